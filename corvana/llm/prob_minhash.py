@@ -9,11 +9,13 @@ their normalised weights. Bands of registers give candidates, and the exact
 probability Jaccard of the candidates' shingles decides.
 
 Texts that are byte for byte equal form one class beforehand and take part once.
-Candidates come from buckets without emitting the pairs of a group: each bucket
-first links its smallest member to the others. After components are known, only
-members outside a bucket's largest component are compared with the members of
-other components, a bounded number of them at a time, until none is left. Each
-pair of a bucket that could still join two components is compared.
+Candidates come from buckets without emitting the pairs of a group. Each bucket
+first links its smallest member to the others. Once components are known, only
+members outside a bucket's largest component are held against the members of other
+components, in blocks of bounded numbers of rows: first by their registers, which
+passes on rows and not pairs, then exactly, which gives back links alone. Each pair
+of a bucket that could still join two components is compared once, in the first
+bucket that the two share.
 
 Defined cases: a null text is a class of its own; empty texts (and texts equal
 in any way) are copies; a text of fewer than five words is one shingle of all its
@@ -38,8 +40,11 @@ REGISTERS = 128
 BANDS, ROWS = 25, 5
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
-#: Members of a bucket outside its largest component that are compared in one round.
-PIVOTS = 64
+#: Share of equal registers, below which a pair is taken to be under MIN_SIMILARITY
+#: (five standard errors below it).
+MIN_AGREEMENT = 0.62
+#: Rows of a block: members outside the largest component, and members they are held against.
+OUTSIDE_ROWS, INSIDE_ROWS = 64, 512
 
 _WORDS: WordCodes = WordCodes()
 
@@ -114,18 +119,20 @@ def probability_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.n
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, high, low, keys = [], [], [], []
+        ids, high, low, keys, sigs = [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             digest = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
             ids.append(doc)
             high.append((digest >> 64) - (1 << 63))
             low.append((digest & (1 << 64) - 1) - (1 << 63))
             h, w = shingles(text)
-            keys.append(bands(signature(h, w)) if len(h) else np.empty(0, dtype=np.int64))
+            sig = signature(h, w)
+            keys.append(bands(sig) if len(h) else np.empty(0, dtype=np.int64))
+            sigs.append(sig.astype(np.uint8).tobytes())
         ends = np.cumsum([0, *map(len, keys)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))],
-            ["doc_id", "h1", "h2", "bands"],
+            [pa.array(ids, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64())), pa.array(sigs, pa.binary())],
+            ["doc_id", "h1", "h2", "bands", "sig"],
         )
 
 
@@ -142,6 +149,99 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of each block (key, c, m), which come one after another."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        rows = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        ends = [k for k in range(1, batch.num_rows) if (rows["key"][k], rows["c"][k], rows["m"][k]) != (rows["key"][k - 1], rows["c"][k - 1], rows["m"][k - 1])]
+        for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+            part = {n: v[a:b] for n, v in rows.items()}
+            if held and (held["key"][0], held["c"][0], held["m"][0]) == (part["key"][0], part["c"][0], part["m"][0]):
+                for n in held:
+                    held[n] += part[n]
+            else:
+                if held:
+                    yield held
+                held = part
+    if held:
+        yield held
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the blocks that agree with some row of the other side in enough registers."""
+    for g in _blocks(batches):
+        asks = np.asarray(g["asks"], dtype=bool)
+        p, q = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(p) or not len(q):
+            continue
+        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(asks), REGISTERS)
+        ids, label = np.asarray(g["id"]), np.asarray(g["label"])
+        keep = np.zeros(len(asks), dtype=bool)
+        for k in p:
+            close = ((sig[q] == sig[k]).mean(axis=1) >= MIN_AGREEMENT) & (label[q] != label[k])
+            keep[k] = close.any()
+            keep[q[close]] = True
+        at = np.flatnonzero(keep)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([g[n][k] for k in at], t) for n, t in (("key", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("asks", pa.bool_()), ("outside", pa.bool_()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())))], ["key", "c", "m", "id", "label", "asks", "outside", "sig", "bands"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the two sides of each block, enough to connect what belongs together."""
+    for g in _blocks(batches):
+        asks = np.asarray(g["asks"], dtype=bool)
+        p, q = np.flatnonzero(asks), np.flatnonzero(~asks)
+        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(asks), REGISTERS)
+        keys, known, root, out = np.asarray(g["bands"]), {}, {}, []
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def weights(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in known:
+                known[k] = shingles(g["text"][k])
+            return known[k]
+
+        for i in p:
+            close = q[(sig[q] == sig[i]).mean(axis=1) >= MIN_AGREEMENT]
+            for j in close:
+                # Two members outside meet twice: the smaller id asks. A pair is settled in its first common bucket.
+                if g["outside"][j] and g["id"][j] < g["id"][i] or top(g["label"][i]) == top(g["label"][j]):
+                    continue
+                if keys[i][np.argmax(keys[i] == keys[j])] != g["key"][i]:
+                    continue
+                s = probability_jaccard(*weights(i), *weights(j))
+                if s >= MIN_SIMILARITY - 1e-9:
+                    root[top(g["label"][i])] = top(g["label"][j])
+                    out.append((g["id"][i], g["id"][j], s))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "sim"])
+
+
+def cross_links(buckets: DataFrame, label: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links within buckets between different components."""
+    placed = materialise(buckets.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("out"), F.sum("n").alias("all"))
+    # In a bucket of two its head was held against the other member.
+    main = materialise(main.filter("parts > 1 AND all > 2").drop("parts"))
+    mixed = placed.join(main, "key").withColumn("outside", F.col("label") != F.col("main"))
+    hashed, chunks, parts = F.xxhash64("id"), F.ceil(F.col("out") / OUTSIDE_ROWS), F.ceil(F.col("all") / INSIDE_ROWS)
+    asking = mixed.filter("outside").withColumn("c", F.pmod(hashed, chunks)).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("asks", F.lit(True))
+    asked = mixed.withColumn("m", F.pmod(hashed, parts)).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("asks", F.lit(False))
+    columns = ["key", "c", "m", "id", "label", "asks", "outside"]
+    rows = asking.select(columns).union(asked.select(columns))
+    sketches = texts.select(F.col("text_id").alias("id"), "sig", "bands")
+    kind = "key long, c long, m long, id long, label long, asks boolean, outside boolean, sig binary, bands array<long>"
+    close = materialise(rows.join(sketches, "id").select(*columns, "sig", "bands").repartition("key", "c", "m").sortWithinPartitions("key", "c", "m").mapInArrow(_agreeing, kind))
+    exact = close.join(bodies.withColumnRenamed("doc_id", "id"), "id").repartition("key", "c", "m").sortWithinPartitions("key", "c", "m")
+    return materialise(exact.mapInArrow(_linked, "a long, b long, sim double"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label): the smallest id of each id's connected component.
 
@@ -171,9 +271,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), text_id (smallest doc_id with that very text)."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    sketched = materialise(given.filter("text IS NOT NULL").mapInArrow(_sketch, "doc_id long, h1 long, h2 long, bands array<long>"))
-    texts = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"), F.min_by("bands", "doc_id").alias("bands"))
-    texts = materialise(texts)
+    sketched = materialise(given.filter("text IS NOT NULL").mapInArrow(_sketch, "doc_id long, h1 long, h2 long, bands array<long>, sig binary"))
+    firsts = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
+    copies = materialise(sketched.select("doc_id", "h1", "h2").join(materialise(firsts), ["h1", "h2"]).select("doc_id", "text_id"))
+    texts = sketched.join(copies.filter("doc_id != text_id").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("text_id"), "bands", "sig").dropDuplicates(["text_id"])
     keyed = texts.select("text_id", F.explode("bands").alias("key"))
     crowded = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("head")).filter("n > 1"))
     buckets = materialise(keyed.join(crowded, "key").select("key", "head", F.col("text_id").alias("id")))
@@ -186,34 +287,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return materialise(with_text.mapInArrow(_verify, "a long, b long, sim double"))
 
     asked = materialise(buckets.filter("id != head").selectExpr("head AS a", "id AS b").distinct())
-    found, label = links(asked), None
-    done, turn = buckets.select("key", "id").limit(0), 0
-    while True:
-        label = components(found) if label is None or grown else label
-        placed = buckets.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("outside")).filter("parts > 1")
-        mixed = materialise(placed.join(materialise(main), "key").select("key", "id", "label", "main", "outside"))
-        waiting = mixed.filter("label != main").join(done, ["key", "id"], "left_anti")
-        taken = waiting.filter(F.pmod(F.xxhash64("key", "id", F.lit(turn)), F.ceil(F.col("outside") / PIVOTS)) == 0)
-        taken = materialise(taken.selectExpr("key", "id AS p", "label AS pl"))
-        if taken.isEmpty():
-            if waiting.isEmpty():
-                break
-            turn, grown = turn + 1, False
-            continue
-        cross = mixed.selectExpr("key", "id AS q", "label AS ql").join(taken, "key").filter("pl != ql")
-        cross = cross.selectExpr("least(p, q) AS a", "greatest(p, q) AS b").distinct()
-        fresh = materialise(cross.join(asked, ["a", "b"], "left_anti"))
-        new = links(fresh)
-        grown = not new.isEmpty()
-        asked, found = asked.union(fresh), found.union(new)
-        done, turn = done.union(taken.selectExpr("key", "p AS id")), turn + 1
-    classes = texts.select("h1", "h2", "text_id").join(label.withColumnRenamed("id", "text_id"), "text_id", "left")
-    classes = classes.select("h1", "h2", "text_id", F.coalesce("label", "text_id").alias("class_id"))
-    placed = sketched.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", "text_id")
+    found = links(asked)
+    label = components(found)
+    label = components(found.union(cross_links(buckets, label, texts, bodies)))
+    classes = copies.join(label.withColumnRenamed("id", "text_id"), "text_id", "left").select("doc_id", F.coalesce("label", "text_id").alias("class_id"), "text_id")
     alone = given.filter("text IS NULL").selectExpr("doc_id", "doc_id AS class_id", "doc_id AS text_id")
-    return placed.union(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id"))
+    return classes.union(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
