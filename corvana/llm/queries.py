@@ -4,19 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import prob_minhash
+from corvana.llm import byte_bpe, langid, ogg, prob_minhash, token_files, toxicity
 from corvana.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from labels outside the held-out quarter."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of every document."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, length and checksum of every document's ids, read back from token files."""
+    read = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the Ogg file of every document's text holds, read back from its bytes."""
+    return ogg.probe(ogg.media_column(table(spark, sf_dir, "documents"))).drop("page_times")
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language mixture of every document, learned outside the held-out quarter."""
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, text_id of every document; classes of near copies at 0.8 or more."""
     return prob_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_files": op4_token_files,
+    "op7_ogg": op7_ogg,
+    "op9_languages": op9_languages,
     "op10_prob_minhash": op10_prob_minhash,
 }
 
