@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import byte_bpe, langid, ogg, prob_minhash, token_files, toxicity
+from corvana.llm import byte_bpe, langid, ogg, prob_minhash, token_files, toxicity, warc
 from corvana.llm.common import table
 
 
@@ -17,6 +17,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, read back and assembled into its capture."""
+    captures = warc.round_trip(table(spark, sf_dir, "pages")).filter("response IS NOT NULL")
+    return captures.select("metadata.page_id", "response.payload_bytes", "response.payload_digest", F.col("response.warc_type").alias("record_type"), "response.refers_to")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,6 +54,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_files": op4_token_files,
     "op7_ogg": op7_ogg,
