@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import byte_bpe, langid, ogg, prob_minhash, token_files, toxicity, warc
+from corvana.llm import byte_bpe, langid, main_text, ogg, prob_minhash, token_files, toxicity, warc
 from corvana.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.probe(ogg.media_column(table(spark, sf_dir, "documents"))).drop("page_times")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language mixture of every document, learned outside the held-out quarter."""
     return langid.languages(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_files": op4_token_files,
     "op7_ogg": op7_ogg,
+    "op8_main_text": op8_main_text,
     "op9_languages": op9_languages,
     "op10_prob_minhash": op10_prob_minhash,
 }
