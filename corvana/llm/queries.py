@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import byte_bpe, langid, main_text, ogg, prob_minhash, token_files, toxicity, warc
+from corvana.llm import byte_bpe, langid, licenses, main_text, ogg, prob_minhash, templates, token_files, toxicity, warc
 from corvana.llm.common import table
 
 
@@ -37,6 +37,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that is in a document, verbatim or with other values in its slots."""
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document, with its coverage and span."""
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the Ogg file of every document's text holds, read back from its bytes."""
     return ogg.probe(ogg.media_column(table(spark, sf_dir, "documents"))).drop("page_times")
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_files": op4_token_files,
+    "op5_templates": op5_templates,
+    "op6_licenses": op6_licenses,
     "op7_ogg": op7_ogg,
     "op8_main_text": op8_main_text,
     "op9_languages": op9_languages,
