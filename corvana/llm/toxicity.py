@@ -98,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("doc_id"))
     picked = bounded_sample(marked, "toxic", SAMPLE_PER_CLASS)
-    given = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic").toArrow()
+    # The sample's bound is the parameter's, so its ids may go to every worker.
+    given = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
     rows = sorted(zip(*(given[c].to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda x: (x[0], x[1], x[2] or ""))
     return fit([x[2] for x in rows], [x[1] for x in rows])
 
