@@ -22,12 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corvana.llm.pretokens import PieceCache, encode_text
+from corvana.llm.pretokens import TextEncoder
 
 BYTE_BASE = 0x100
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2
@@ -81,10 +80,9 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.cache = PieceCache(self.encode_piece)
+        self.encode = TextEncoder(pattern, self.encode_piece).encode
 
     def encode_piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
@@ -93,9 +91,6 @@ class ByteBpe:
             return struct.pack("<I", whole)
         return np.asarray(self.processor.encode(to_chars(data), num_threads=1), dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        return encode_text(text, self.pattern, self.cache)
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 

@@ -15,14 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a per-worker cache keeps before it starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Longer words are hashed each time instead of being kept.
 CACHED_WORD_CHARS = 64
 #: Characters that one numpy pass over several documents holds at most, a single document apart.
 SLICE_CHARS = 2_000_000
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir; from here on the session's Arrow batches are bounded in bytes, not by rows alone."""
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -161,8 +161,8 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocabulary, lanes)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 1 << 48, dtype=np.uint64)
-    # A step gives at most two words a lane; the last three rows hold what is left of low.
-    words, given = np.zeros((2 * steps + 3, lanes), dtype=np.uint32), np.zeros((2 * steps + 3, lanes), dtype=bool)
+    # A step gives at most two words a lane, and three hold what is left of low.
+    words, counts = np.zeros((2 * steps + 3, lanes), dtype=np.uint32), np.zeros(lanes, dtype=np.intp)
     for t in range(steps):
         now = grid[t]
         model.predict()
@@ -177,22 +177,22 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         unit = width >> _TOTAL
         low += unit * start
         width = unit * size
-        for row in (2 * t, 2 * t + 1):
+        for _ in range(2):
             short = np.flatnonzero(width < _LEAST)
             if not len(short):
                 break
             # 17 bits: a carry waits in its word until the lane is complete.
-            words[row, short] = low[short] >> _HALF
-            given[row, short] = True
-            low[short] = (low[short] & _MASK32) << _WORD
+            part = low[short]
+            words[counts[short], short] = part >> _HALF
+            counts[short] += 1
+            low[short] = (part & _MASK32) << _WORD
             width[short] <<= _WORD
         model.update(now)
-    words[-3], words[-2], words[-1] = low >> _HALF, low >> _WORD & _MASK16, low & _MASK16
-    given[-3:] = True
-    counts = given.sum(axis=0)
-    lane_words = np.zeros((int(counts.max()), lanes), dtype=np.uint32)
-    row, lane = np.nonzero(given)
-    lane_words[np.cumsum(given, axis=0, dtype=np.int32)[row, lane] - 1, lane] = words[row, lane]
+    every = np.arange(lanes)
+    for k, part in enumerate((low >> _HALF, low >> _WORD & _MASK16, low & _MASK16)):
+        words[counts + k, every] = part
+    counts += 3
+    lane_words = words[: int(counts.max())]
     for k in range(len(lane_words) - 1, 0, -1):
         lane_words[k - 1] += lane_words[k] >> np.uint32(16)
         lane_words[k] &= np.uint32(0xFFFF)

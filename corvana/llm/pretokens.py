@@ -6,26 +6,39 @@ from collections.abc import Callable
 
 import regex
 
-#: Pre-tokens a worker keeps encoded; the cache starts afresh beyond them.
-CACHED_PIECES = 400_000
+#: Pre-tokens in each of the two generations that a worker keeps.
+CACHED_PIECES = 200_000
 CACHED_PIECE_CHARS = 48
 
 
 class PieceCache(dict):
-    """Pre-token -> its ids as little-endian bytes of a fixed width."""
+    """Pre-token -> its ids as little-endian bytes of a fixed width.
+
+    A full cache becomes the older generation; pre-tokens that are met again come
+    back from it, so that frequent ones stay and rare ones go.
+    """
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= CACHED_PIECE_CHARS:
             if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
-def encode_text(text: str, pattern: regex.Pattern, cache: PieceCache) -> bytes:
-    """The ids of the matches of the pattern in a text, one after another."""
-    return b"".join(map(cache.__getitem__, pattern.findall(text)))
+class TextEncoder:
+    """Encodes whole texts, each match of a pattern by itself; encode gives the ids of one match."""
+
+    def __init__(self, pattern: str, encode: Callable[[str], bytes]) -> None:
+        self.pattern = regex.compile(pattern)
+        self.pieces = PieceCache(encode)
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))

@@ -24,14 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.llm import mixing_coder
 from corvana.llm.common import file_system, materialise, scratch_dir
-from corvana.llm.pretokens import PieceCache, encode_text
+from corvana.llm.pretokens import TextEncoder
 
 TAIL = struct.Struct("<QIQQQ4s")
 TAIL_MAGIC = b"CTF1"
@@ -47,8 +46,12 @@ def _encoder(tokenizer: str, pattern: str):
 
     tok = Tokenizer.from_file(tokenizer)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    cache = PieceCache(lambda piece: np.asarray(tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes())
-    return regex.compile(pattern), cache, tok.get_vocab_size()
+
+    def encode(piece: str) -> bytes:
+        ids = tok.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return TextEncoder(pattern, encode).encode, tok.get_vocab_size()
 
 
 class Writer:
@@ -113,7 +116,7 @@ def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: in
     """Write docs in ascending order of id_col below folder; the manifest: path, bytes, n_docs, n_tokens, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache, vocabulary = _encoder(tokenizer, pattern)
+        encode, vocabulary = _encoder(tokenizer, pattern)
         end = struct.pack("<I", end_id)
         fs, root = file_system(folder)
         path, writer, out, first = f"{root}/{uuid.uuid4().hex}.ctf", None, None, None
@@ -123,7 +126,7 @@ def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: in
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(path)
                     writer, first = Writer(out, vocabulary), NULL_ID if doc is None else doc
-                writer.add(doc, encode_text(text or "", pieces, cache) + end)
+                writer.add(doc, encode(text or "") + end)
         if writer is not None:
             writer.close()
             size = out.tell()
