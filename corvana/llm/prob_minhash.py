@@ -44,7 +44,7 @@ MIN_SIMILARITY = 0.8
 #: (five standard errors below it).
 MIN_AGREEMENT = 0.62
 #: Rows of a block: members outside the largest component, and members they are held against.
-OUTSIDE_ROWS, INSIDE_ROWS = 64, 512
+OUTSIDE_ROWS, INSIDE_ROWS = 512, 512
 
 _WORDS: WordCodes = WordCodes()
 
