@@ -36,7 +36,7 @@ def sparse_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_unit(spark: SparkSession, sf: str) -> DataFrame:
     v = _embeddings(spark, sf).select("vec_id", vectors.dense_normalize(F.col("vector")).alias("v"))
-    return v.select("vec_id", F.size("v").cast("long").alias("dims"), F.bround(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return v.select("vec_id", F.size("v").cast("long").alias("dims"), F.bround(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) * 1_000_000).cast("long").alias("millionths"))
 
 
 def dense_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +268,7 @@ _FOUND = "SELECT {k}, rule, severity, len(regexp_extract_all({x}, pattern)) AS h
 ORACLE = {
     "hash_vectors": f"SELECT k AS doc_id, bucket, CAST(round_even(weight * 1000000, 0) AS BIGINT) AS millionths FROM ({_BUCKETS.format(k='doc_id', src='documents')})",
     "sparse_similarity": f"WITH d AS ({_BUCKETS.format(k='doc_id', src='documents')}), q AS ({_BUCKETS.format(k='item_id', src='(SELECT * FROM benchmark ORDER BY item_id LIMIT 1)')}) SELECT d.k AS doc_id, round_even(sum(round_even(d.weight, 6) * round_even(q.weight, 6)), 3) AS similarity FROM d JOIN q USING (bucket) GROUP BY d.k",
-    "dense_unit": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT vec_id, len(v) AS dims, round_even(list_sum(list_transform(v, lambda x: round_even(x / n, 6))), 3) AS total FROM n",
+    "dense_unit": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT vec_id, len(v) AS dims, CAST(round_even(list_sum(list_transform(v, lambda x: round_even(x / n, 6))) * 1000000, 0) AS BIGINT) AS millionths FROM n",
     "dense_scores": f"{_DOT} SELECT vec_id, score, round_even(round_even(sim, 6), 4) AS vector_score FROM r WHERE score > 0",
     "best_per_label": f"{_DOT} SELECT label, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score, count(*) AS hits FROM r WHERE score > 0 GROUP BY label",
     "content_parts": r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), n AS (SELECT doc_id, t, length(t) AS n, CASE WHEN length(t) <= 400 THEN 1 ELSE (length(t) - 400 + 339) // 340 + 1 END AS need FROM f), p AS (SELECT doc_id, t, n, need, unnest(range(1, least(need, 6) + 1)) AS part FROM n WHERE n > 0) SELECT doc_id, part, sha256(trim(CASE WHEN need > 6 AND part = 6 THEN right(t, 400) ELSE substr(t, (part - 1) * 340 + 1, 400) END)) AS sha FROM p",

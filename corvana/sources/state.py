@@ -77,9 +77,9 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def file_texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, content of the files below a root that are probably text."""
+    """path, content of the files below a root that are probably text; Spark's scan leaves out files of no bytes."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    kept = lambda: read.load(root).filter(probably_text(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("content"))
+    kept = lambda: read.load(root).filter(probably_text(F.col("content"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return _or_empty(spark, StructType.fromDDL("path string, content string"), kept)
 
 
@@ -89,7 +89,7 @@ SAMPLE_BYTES = 8192
 def probably_text(content: Column) -> Column:
     """By the first 8192 bytes: no NUL, few replacement characters (5 %) and few control characters (10 %); empty is text."""
     head = F.substring(content, 1, SAMPLE_BYTES)
-    text = F.decode(head, "UTF-8")
+    text = F.make_valid_utf8(head.cast("string"))
     n = F.greatest(F.lit(1), F.length(text))
     bad = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
     control = F.length(text) - F.length(F.regexp_replace(text, r"[\x01-\x08\x0b\x0e-\x1f\x7f]", ""))
