@@ -30,6 +30,8 @@ from corvana.llm.pretokens import TextEncoder
 
 BYTE_BASE = 0x100
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2
+#: Rows of a batch on its way out of a worker.
+ROWS_OUT = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,3 +126,18 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names)
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, ids and decoded of every row: both directions in one pass of one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(vocabulary, pattern)
+        for batch in batches:
+            for part in (batch.slice(k, ROWS_OUT) for k in range(0, batch.num_rows, ROWS_OUT)):
+                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids binary, decoded binary")

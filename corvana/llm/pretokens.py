@@ -7,7 +7,7 @@ from collections.abc import Callable
 import regex
 
 #: Pre-tokens in each of the two generations that a worker keeps.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 150_000
 CACHED_PIECE_CHARS = 48
 
 
