@@ -25,7 +25,10 @@ def letter_codes(text: str) -> np.ndarray:
     """Lower-case letters with one boundary before, between and after the words."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _letters()[np.minimum(points, 0xFFFF)]
-    codes = np.where(points > 0xFFFF, points, codes)
+    high = np.flatnonzero(points > 0xFFFF)
+    if len(high):
+        kinds, which = np.unique(points[high], return_inverse=True)
+        codes[high] = np.array([ord(low) if (c := chr(p)).isalpha() and len(low := c.lower()) == 1 else BOUNDARY for p in kinds.tolist()], dtype=np.uint32)[which]
     codes = np.concatenate(([BOUNDARY], codes, [BOUNDARY])).astype(np.uint32)
     doubled = (codes[1:] == BOUNDARY) & (codes[:-1] == BOUNDARY)
     return codes[np.concatenate(([True], ~doubled))]

@@ -143,17 +143,17 @@ def spans(library: Library, text: np.ndarray, hits: list[tuple[int, int]]) -> li
             seeds[template].append((p - q, p))
     found = []
     for template, places in seeds.items():
-        words, done = library.words[template], -1
+        words, done = library.words[template], 0
         groups: list[int] = []
         # Hits in the order of their diagonals: those within half a band are one candidate.
         for diagonal, _ in sorted(places):
             if not groups or diagonal - groups[-1] > BAND // 2:
                 groups.append(diagonal)
         for diagonal in groups:
-            low = max(0, diagonal - BAND)
+            low = max(0, diagonal - BAND, done)  # a notice that repeats is found one after another
             part = text[low : diagonal + len(words) + BAND]
             n, first, end = align(words, part, diagonal - low)
-            if n >= MIN_COVERAGE * len(words) and low + first >= done:
+            if n >= MIN_COVERAGE * len(words):
                 done = low + end
                 found.append((template, n, low + first, low + end))
     found.sort(key=lambda s: (-s[1], -s[1] / len(library.words[s[0]]), s[0]))

@@ -65,7 +65,7 @@ def paginate(packets: list[tuple[bytes, int]], serial: int) -> list[bytes]:
     values = b"".join(lace(len(p)) for p, _ in packets)
     data = b"".join(p for p, _ in packets)
     ends = np.cumsum([len(p) // 255 + 1 for p, _ in packets])
-    cuts = [0, int(ends[0]), *range(int(ends[0]) + LACING, len(values), LACING)]
+    cuts = [*range(0, int(ends[0]), LACING), *range(int(ends[0]), len(values), LACING)]
     cuts = sorted({c for c in cuts if c < len(values)}) + [len(values)]
     out, at = [], 0
     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
