@@ -47,7 +47,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
                 "text",
                 f"in:{parent.tag}",
                 f"over:{nodes[parent.parent].tag if parent.parent >= 0 else ''}",
-                f"size:{min(7, size.bit_length() - 1)}",
+                f"size:{min(9, size.bit_length() - 1)}",
                 f"linked:{math.ceil(share * 4)}",
                 "stop" if node.text[-1] in ".!?:;…»”\"。" else "no-stop",
                 f"alone:{parent.children == 1}",
@@ -63,6 +63,8 @@ def features(nodes: list[Node]) -> list[list[str]]:
                     found += [f"name:{w.lower()}" for w in _WORD.findall(value)[:12]]
             if "hidden" in node.names or "display:none" in node.names.get("style", "").replace(" ", ""):
                 found.append("hidden")
+            if node.tag in ("article", "section", "main") and len(found) == 2:
+                found.append(f"bare:{node.tag}")
             out.append(list(dict.fromkeys(found)))
     return out
 
@@ -172,7 +174,7 @@ def _layout(rng: random.Random) -> str:
     def paragraph() -> str:
         r = rng.random()
         if r < 0.62:
-            text = prose(1, 7) if rng.random() < 0.75 else " ".join(words(1, rng.choice((4, 12, 80))))
+            text = prose(1, 7) if rng.random() < 0.75 else " ".join(words(1, rng.choice((4, 12, 80, 300))))
             if rng.random() < 0.25:
                 text = text.replace(" ", f" {link()} ", 1)
             return tag("p", text)
@@ -213,6 +215,8 @@ def _layout(rng: random.Random) -> str:
     body = some(["header", "menu", "notice", "advert", "form", "menu"], 4) + inside + some(["sidebar", "comments", "form", "advert", "share", "notice"], 4) + some(["footer", "notice"], 2)
     if rng.random() < 0.4:
         body = tag("div", body, rng.choice(("wrapper", "container", "page", "site", "row", "")))
+    if rng.random() < 0.08:
+        return f'<div data-y="0">{body}</div>' if rng.random() < 0.5 else inside
     page = f'<!DOCTYPE html><html><head><title>{sentence()}</title><script>var a="</p>";</script></head><body data-y="0">{body}</body></html>'
     return page if rng.random() < 0.9 else page[: int(len(page) * rng.uniform(0.6, 1.0))]
 
