@@ -41,7 +41,7 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded bytes."""
     vocabulary = public_tokenizers.path(VOCABULARY)
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN)
+    decoded = byte_bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

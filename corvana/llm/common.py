@@ -22,14 +22,13 @@ CACHED_WORD_CHARS = 64
 SLICE_CHARS = 2_000_000
 
 
-#: Bytes of an Arrow batch on its way to or from a Python worker.
+#: Bytes of an Arrow batch on its way to a Python worker.
 BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir; from here on the session's Arrow batches are bounded in bytes, not by rows alone."""
-    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -144,7 +144,9 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [infer(model, t) for t in batch.column(text_at).to_pylist()]
-            keep = pa.array([x[0] != UNDETERMINED and x[1] >= KEEP_AT for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns], names)
+            keep = [x[0] != UNDETERMINED and x[1] >= KEEP_AT for x in found]
+            if not any(keep):  # Spark can not read a batch of strings without a row
+                continue
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
 
     return docs.mapInArrow(run, docs.schema)

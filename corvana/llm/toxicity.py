@@ -35,8 +35,8 @@ SAMPLE_PER_CLASS = 5000
 #: Threshold of `predicted`.
 TOXIC_AT = 0.3
 #: A feature needs this many training documents and this log-count ratio.
-MIN_DOCS, MIN_RATIO = 3, 1.0
-SMOOTHING, L2, STEPS, RATE = 1.0, 2e-3, 300, 0.1
+MIN_DOCS, MIN_RATIO = 3, 1.5
+SMOOTHING, L2, STEPS, RATE = 1.0, 2e-2, 300, 0.1
 
 
 @dataclass
@@ -143,6 +143,8 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         table = model.dense()
         for batch in batches:
             keep = score_texts(batch.column(text_at).to_pylist(), table, model.intercept) < TOXIC_AT
+            if not keep.any():  # Spark can not read a batch of strings without a row
+                continue
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
 
     return docs.mapInArrow(run, docs.schema)
