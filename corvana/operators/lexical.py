@@ -35,20 +35,21 @@ def score_tokens(terms: Counter, tokens: Column) -> Column:
     if not terms:
         return F.lit(0).cast("long")
     names = list(terms)
-    hits = F.filter(tokens, lambda t: t.isin(names))
-    length = F.greatest(F.lit(1), F.size(tokens))
-    base = K1 * (1.0 - B + B * length / AVERAGE_LENGTH)
+    # A lambda's free expressions are worked out anew for each element: what they share is bound first.
+    parts = F.struct(F.filter(tokens, lambda t: t.isin(names)).alias("hits"), F.greatest(F.lit(1), F.size(tokens)).alias("n"), F.array_join(tokens, " ").alias("joined"))
+    entries = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(LONG_WEIGHT if len(t) >= LONG_TERM else 1.0).alias("weight"), F.lit(min(c, 2)).alias("times")) for t, c in terms.items()))
+    pairs = _strings([f"{a} {b}" for a, b in zip(names, names[1:], strict=False)])
 
-    def one(entry: Column) -> Column:
+    def one(hits: Column, base: Column, entry: Column) -> Column:
         n = F.size(F.filter(hits, lambda t: t == entry["term"]))
         return F.when(n > 0, entry["weight"] * (n * (K1 + 1.0) / (n + base)) * entry["times"]).otherwise(0.0)
 
-    entries = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(LONG_WEIGHT if len(t) >= LONG_TERM else 1.0).alias("weight"), F.lit(min(c, 2)).alias("times")) for t, c in terms.items()))
-    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + one(e))
-    pairs = [f"{a} {b}" for a, b in zip(names, names[1:], strict=False)]
-    if pairs:
-        joined = F.array_join(tokens, " ")
-        total = total + 0.5 * F.size(F.filter(_strings(pairs), lambda p: F.contains(joined, p)))
+    def whole(p: Column) -> Column:
+        base = K1 * (1.0 - B + B * p["n"] / AVERAGE_LENGTH)
+        total = F.when(F.size(p["hits"]) == 0, 0.0).otherwise(F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + one(p["hits"], base, e)))
+        return total + 0.5 * F.size(F.filter(pairs, lambda x: F.contains(p["joined"], x)))
+
+    total = F.element_at(F.transform(F.array(parts), whole), 1)
     return F.when(F.size(tokens) == 0, 0).otherwise(F.bround(total * 10)).cast("long")
 
 

@@ -48,9 +48,10 @@ def relevance(rows: DataFrame, query: str, thread: str = "", ord_col: str = "ord
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     recency = F.when(F.col("total") > 1, 1 + F.least(F.lit(10), F.floor(F.col(ord_col) * 10 / F.greatest(F.lit(1), F.col("total") - 1)))).otherwise(10)
     out = rows.join(F.broadcast(total)).withColumn("recency", recency.cast("long"))
-    out = out.withColumn("matched", lexical.score(q, F.col("text"))).withColumn("thread_matched", lexical.score(t, F.col("text")))
-    value = lexical.score(q, haystack) * 8 + lexical.score(t, haystack) * 3 + F.col("importance") * 4 + F.col("recency") + F.when(F.col("pinned"), 40).otherwise(0) + F.least(F.lit(8), F.col("seen_count"))
-    return out.withColumn("relevance", value.cast("long")).drop("total")
+    out = out.withColumn("_text", T.tokens(F.col("text"))).withColumn("_hay", T.tokens(haystack))
+    out = out.withColumn("matched", lexical.score_tokens(q, F.col("_text"))).withColumn("thread_matched", lexical.score_tokens(t, F.col("_text")))
+    value = lexical.score_tokens(q, F.col("_hay")) * 8 + lexical.score_tokens(t, F.col("_hay")) * 3 + F.col("importance") * 4 + F.col("recency") + F.when(F.col("pinned"), 40).otherwise(0) + F.least(F.lit(8), F.col("seen_count"))
+    return out.withColumn("relevance", value.cast("long")).drop("total", "_text", "_hay")
 
 
 def rank(rows: DataFrame, query: str, limit: int, thread: str = "", ord_col: str = "ord") -> DataFrame:

@@ -19,8 +19,9 @@ def norm(v: Column) -> Column:
 def dense_normalize(v: Column) -> Column:
     """Unit length, six decimals; empty where the norm is zero."""
     clean = F.filter(v.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x))
-    length = norm(clean)
-    return F.when(length > 0, F.transform(clean, lambda x: F.bround(x / length, 6))).otherwise(F.array().cast("array<double>"))
+    # The length is bound once: a lambda would work it out for every element.
+    unit = F.element_at(F.transform(F.array(norm(clean)), lambda n: F.when(n > 0, F.transform(clean, lambda x: F.bround(x / n, 6)))), 1)
+    return F.coalesce(unit, F.array().cast("array<double>"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -84,13 +85,17 @@ def last_per_id(rows: DataFrame, id_col: str, ord_col: str) -> DataFrame:
 def content_parts(content: Column, budget: int, most: int) -> Column:
     """Windows of budget characters at 85 % steps over the collapsed text; a text cut by `most` ends in its tail."""
     budget, most = max(120, budget), max(1, most)
-    step, flat = int(budget * 0.85), T.collapse(content)
-    n = F.length(flat)
-    needed = F.when(n <= budget, 1).otherwise(F.ceil((n - budget) / step) + 1)
-    kept = F.least(needed, F.lit(most))
-    parts = F.transform(F.sequence(F.lit(0), kept.cast("int") - 1), lambda k: T.strip(F.substring(flat, k * step + 1, F.lit(budget))))
-    cut = F.concat(F.slice(parts, 1, most - 1), F.array(T.strip(F.substring(flat, -budget, budget))))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(F.when(needed > most, cut).otherwise(parts), lambda p: p != ""))
+    step = int(budget * 0.85)
+
+    def split(flat: Column) -> Column:
+        n = F.length(flat)
+        needed = F.when(n <= budget, 1).otherwise(F.ceil((n - budget) / step) + 1)
+        kept = F.least(needed, F.lit(most)).cast("int")
+        cut = lambda k: F.when((k == kept - 1) & (needed > most), F.substring(flat, -budget, budget)).otherwise(F.substring(flat, k * step + 1, F.lit(budget)))
+        parts = F.transform(F.sequence(F.lit(0), kept - 1), lambda k: T.strip(cut(k)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(parts, lambda p: p != ""))
+
+    return F.element_at(F.transform(F.array(T.collapse(content)), split), 1)
 
 
 def byte_parts(text: str, budget: int) -> list[str]:
