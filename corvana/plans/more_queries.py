@@ -78,7 +78,7 @@ def dossier_material(spark: SparkSession, sf: str) -> DataFrame:
 def profile_material(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("profile_id"), F.format_string("%05d-%03d", "conv_id", "turn").alias("id"), "text", "role")
     out = dossiers.profile_material(m.filter("role = 'user'").drop("role"), m.filter("role = 'assistant'").drop("role"))
-    return out.select("profile_id", F.length("text").cast("long").alias("chars"), F.size("memory_ids").cast("long").alias("memories"), F.element_at("conversation_ids", 1).alias("first_conversation"))
+    return out.select("profile_id", F.length("text").cast("long").alias("chars"), F.size("memory_ids").cast("long").alias("memories"), F.get("conversation_ids", F.lit(0)).alias("first_conversation"))
 
 
 def profile_scope(spark: SparkSession, sf: str) -> DataFrame:
