@@ -84,14 +84,17 @@ class ByteBpe:
         self.ranks = ranks
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.encode = TextEncoder(pattern, self.encode_piece).encode
+        self.texts = TextEncoder(pattern, self.encode_pieces)
 
-    def encode_piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return struct.pack("<I", whole)
-        return np.asarray(self.processor.encode(to_chars(data), num_threads=1), dtype="<u4").tobytes()
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens; one that is a token as a whole is that token."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        whole = [self.ranks.get(d) for d in data]
+        merged = iter(self.processor.encode([to_chars(d) for d, w in zip(data, whole, strict=True) if w is None], num_threads=1))
+        return [[w] if w is not None else next(merged) for w in whole]
+
+    def encode(self, text: str) -> bytes:
+        return self.texts.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -108,7 +111,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary, pattern)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = bpe.texts.encode_many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -135,7 +138,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         bpe = codec(vocabulary, pattern)
         for batch in batches:
             for part in (batch.slice(k, ROWS_OUT) for k in range(0, batch.num_rows, ROWS_OUT)):
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = bpe.texts.encode_many(part.column(1).to_pylist())
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "n_tokens", "ids", "decoded"])
 

@@ -1,44 +1,33 @@
-"""Whole texts to token ids through a bounded cache of encoded pre-tokens."""
+"""Whole texts to token ids, each pre-token encoded by itself and once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import regex
 
-#: Pre-tokens in each of the two generations that a worker keeps.
-CACHED_PIECES = 150_000
-CACHED_PIECE_CHARS = 48
+from corvana.llm import batch_pieces
 
 
-class PieceCache(dict):
-    """Pre-token -> its ids as little-endian bytes of a fixed width.
+class TextEncoder:
+    """Encodes whole texts, each match of a pattern by itself; encode gives the ids of a list of matches.
 
-    A full cache becomes the older generation; pre-tokens that are met again come
-    back from it, so that frequent ones stay and rare ones go.
+    Texts that follow the usual byte-level pattern are cut and looked up in numpy, a
+    batch at a time; other patterns, and texts too long for that, go match by match.
+    Ids are little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(piece) <= CACHED_PIECE_CHARS:
-            if len(self) >= CACHED_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class TextEncoder:
-    """Encodes whole texts, each match of a pattern by itself; encode gives the ids of one match."""
-
-    def __init__(self, pattern: str, encode: Callable[[str], bytes]) -> None:
-        self.pattern = regex.compile(pattern)
-        self.pieces = PieceCache(encode)
+    def __init__(self, pattern: str, encode: Callable[[list[str]], Sequence[Sequence[int]]]) -> None:
+        self.pattern, self.list_encode = regex.compile(pattern), encode
+        self.batch = batch_pieces.BatchEncoder(encode) if pattern == batch_pieces.PATTERN else None
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        pieces = self.pattern.findall(text)
+        ids = dict(zip(kinds := list(dict.fromkeys(pieces)), (np.asarray(x, dtype="<u4").tobytes() for x in self.list_encode(kinds)), strict=True)) if pieces else {}
+        return b"".join(map(ids.__getitem__, pieces))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        if self.batch is None:
+            return [self.encode(t or "") for t in texts]
+        return self.batch.encode_many(texts, self.encode)

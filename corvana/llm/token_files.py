@@ -47,11 +47,10 @@ def _encoder(tokenizer: str, pattern: str):
     tok = Tokenizer.from_file(tokenizer)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode(piece: str) -> bytes:
-        ids = tok.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return TextEncoder(pattern, encode).encode, tok.get_vocab_size()
+    return TextEncoder(pattern, encode), tok.get_vocab_size()
 
 
 class Writer:
@@ -116,17 +115,17 @@ def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: in
     """Write docs in ascending order of id_col below folder; the manifest: path, bytes, n_docs, n_tokens, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, vocabulary = _encoder(tokenizer, pattern)
+        encoder, vocabulary = _encoder(tokenizer, pattern)
         end = struct.pack("<I", end_id)
         fs, root = file_system(folder)
         path, writer, out, first = f"{root}/{uuid.uuid4().hex}.ctf", None, None, None
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(path)
                     writer, first = Writer(out, vocabulary), NULL_ID if doc is None else doc
-                writer.add(doc, encode(text or "") + end)
+                writer.add(doc, ids + end)
         if writer is not None:
             writer.close()
             size = out.tell()

@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvana.llm import byte_bpe, mixing_coder, token_files
+from corvana.llm import batch_pieces, byte_bpe, mixing_coder, token_files
 
 P = pytest.importorskip("public_tokenizers")
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -45,15 +46,45 @@ def test_bpe_rows(spark, reference):
     assert byte_bpe.round_trip(frame.limit(0), MULTI, P.PATTERN).count() == 0
 
 
-def test_cache_that_overflows(monkeypatch, reference):
-    from corvana.llm import pretokens
+ODD = list("abcXsétrvmld1²½٣_.,'’-! \n\t  \x1c\x85漢🙂\r𝐀𝟏") + [" "] * 8 + ["'"] * 4
 
-    monkeypatch.setattr(pretokens, "CACHED_PIECES", 3)
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(ODD), max_size=16), min_size=1, max_size=6))
+def test_cuts_equal_the_pattern(texts):
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    want = [p for t in texts for p in regex.findall(batch_pieces.PATTERN, t)]
+    if len(points):
+        begin = batch_pieces.boundaries(points, (np.cumsum(sizes) - sizes)[sizes > 0], batch_pieces._classes()).tolist()
+        assert ["".join(texts)[a:b] for a, b in zip(begin, [*begin[1:], len(points)])] == want
+
+
+def test_pattern_is_the_libraries():
+    assert batch_pieces.PATTERN == P.PATTERN
+    kinds = batch_pieces._classes()
+    for k in range(0, 0x110000, 7):
+        if not 0xD800 <= k < 0xE000:
+            c = chr(k)
+            want = batch_pieces.LETTER if regex.match(r"\p{L}", c) else batch_pieces.NUMBER if regex.match(r"\p{N}", c) else batch_pieces.SPACE if regex.match(r"\s", c) else batch_pieces.OTHER
+            assert kinds[k] == want
+
+
+def test_tables_that_overflow(monkeypatch, reference):
+    monkeypatch.setattr(batch_pieces, "MAX_ENTRIES", 3)
+    monkeypatch.setattr(batch_pieces, "PASS_CHARS", 64)
+    monkeypatch.setattr(batch_pieces, "_SLOTS", 64)
     bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(MULTI), P.PATTERN)
     rng = random.Random(1)
-    for _ in range(50):
-        text = " ".join(rng.choices(["a", "bb", "ccc", "dddd", "eeeee", "ff"], k=20))
-        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    texts = [" ".join(rng.choices(["a", "bb", "ccc", "dddd", "eeeee", "ff", "漢字x"], k=rng.randint(0, 9))) for _ in range(200)] + [None, "long " * 100]
+    got = bpe.texts.encode_many(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference.encode_ordinary(t or "") for t in texts]
+
+
+def test_another_pattern():
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(MULTI), r"\S+|\s+")
+    ref = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=bpe.ranks, special_tokens={})
+    assert np.frombuffer(bpe.encode("it's  a test"), "<u4").tolist() == ref.encode_ordinary("it's  a test") and bpe.encode("") == b""
 
 
 @settings(max_examples=60, deadline=None)
