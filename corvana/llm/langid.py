@@ -138,7 +138,12 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with a language whose proportion is KEEP_AT or more, whole and in one pass."""
+    """The rows of docs with a language whose proportion is KEEP_AT or more, whole and in one pass.
+
+    A model that learned no language rejects nothing.
+    """
+    if not model.languages:
+        return docs
     text_at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
