@@ -126,7 +126,7 @@ def duration(seconds: Column, gap: str = "") -> Column:
     )
 
 
-#: What makes two labels of one phase differ: counters, estimates and refresh modes.
+# What makes two labels of one phase differ (counters, estimates and refresh modes).
 _VOLATILE = (
     r"(?U)\s+(?:initial|full|incremental|resumed|reuse-only|rebuild)(?:\s+(?!(?:reuse|new|batch|parallel|rows|eta)\b)\S+)?(?:\s+reuse\s+\d+)?(?:\s+new\s+\d+)?",
     r"(?U)\s+retry(?=\s|$)",
