@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,16 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared spark.checkpoint.dir, as a URI.
 
     Where that setting is missing (tests, a laptop), a temporary folder of this
-    machine takes its place for the session.
+    machine takes its place until the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='corvana-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_ROOTS:
+            _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="corvana-")
+            atexit.register(shutil.rmtree, _OWN_ROOTS[app], ignore_errors=True)
+        root = f"file://{_OWN_ROOTS[app]}"
     if "://" not in root and not root.startswith("file:"):
         root = f"file://{root}"
     return f"{root.rstrip('/')}/corvana-{uuid.uuid4().hex}"
