@@ -187,3 +187,36 @@ def packed(rows: DataFrame, keys: list[str], order: list[Column], length: Column
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("_end", F.sum(length + separator).over(w) - separator)
     return out.filter(F.col("_end") <= budget).drop("_end")
+
+
+def with_best_content(rows: DataFrame, content_col: str, query: str, limit: int, name: str = "excerpt") -> DataFrame:
+    """Rows with what of a text answers a query within a limit: sections of the dates it names (or the newest it asks for), else a window."""
+    from corvana.plans.planner import dates, recent_count
+
+    exact, recent, content = dates(query), recent_count(query), F.col(content_col)
+    # Sections are a column of their own: a lambda may not hold a Python function.
+    out = rows.withColumn("_s", prune_nested(dated(content)))
+    if exact:
+        out = out.withColumn("_s", F.filter("_s", lambda s: s["label"].isin(exact)))
+    elif recent:
+        out = out.withColumn("_n", F.slice(F.reverse(F.array_sort(F.array_distinct(F.transform("_s", lambda s: s["label"])))), 1, recent))
+        out = out.withColumn("_s", F.filter("_s", lambda s: F.array_contains("_n", s["label"])))
+    else:
+        out = out.withColumn("_s", F.slice("_s", 1, 0))
+    mandatory = F.array_join(F.transform(fit(F.col("_s"), limit), lambda s: s["text"]), "\n\n")
+    best = F.when(F.length(content) <= limit, T.strip(content)).when(F.size("_s") > 0, F.substring(mandatory, 1, limit)).otherwise(term_window(content, query, limit))
+    return out.withColumn(name, best).drop("_s", "_n")
+
+
+def subspans(spans_: DataFrame, limit: int, most: int) -> DataFrame:
+    """Spans (with text and start) cut into at most `most` overlapping parts of `limit` characters each, the last one the tail.
+
+    Parts keep the place of their parent: parent_start, and their own start and end.
+    """
+    n, step = F.length("text"), max(1, int(limit * 0.75))
+    needed = F.when(n <= limit, 1).otherwise(F.ceil((n - limit) / step) + 1).cast("int")
+    kept = F.least(needed, F.lit(most))
+    offset = lambda k: F.when((k == kept - 1) & (n > limit), n - limit).otherwise(k * step)
+    rows = spans_.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), kept - 1), offset)).alias("part", "offset"))
+    out = rows.withColumn("parent_start", F.col("start")).withColumn("text", F.substring(F.col("text"), F.col("offset") + 1, F.lit(limit)))
+    return out.withColumn("start", F.col("parent_start") + F.col("offset")).withColumn("end", F.col("start") + F.length("text")).drop("offset")

@@ -246,3 +246,18 @@ def test_sse():
     assert refresh.sse_line('data: {"choices": [{"delta": {"content": "x"}}]}') == (False, "x", "")
     assert refresh.sse_line("data: [DONE]") == (True, "", "") and refresh.sse_line(": ping") == (False, "", "")
     assert not math.isnan(0.0)
+
+
+def test_best_content(spark):
+    text = "* [2024-05-01] one\nalpha\n* [2024-05-02] two\nbeta\n* [2024-05-03] three\ngamma" + "\nfiller words here" * 40
+    frame = spark.createDataFrame([(text,), ("short",), ("",)], "t string")
+    got = [[r.x for r in spans.with_best_content(frame, "t", q, 60, "x").collect()] for q in ("what on 2024-05-02", "last one day", "gamma", "none")]
+    assert got[0][0] == "* [2024-05-02] two\nbeta" and got[1][0].startswith("* [2024-05-03]") and "gamma" in got[2][0]
+    assert all(len(x) <= 60 for g in got for x in g) and [g[1:] for g in got] == [["short", ""]] * 4
+
+
+def test_subspans(spark):
+    frame = spark.createDataFrame([("a", 10, "0123456789" * 5), ("b", 3, "xyz")], "id string, start int, text string")
+    got = sorted((r.id, r.part, r.parent_start, r.start, r.end, r.text) for r in spans.subspans(frame, 20, 3).collect())
+    assert got[-1] == ("b", 0, 3, 3, 6, "xyz") and [g[1:5] for g in got[:3]] == [(0, 10, 10, 30), (1, 10, 25, 45), (2, 10, 40, 60)]
+    assert got[2][5] == ("0123456789" * 5)[-20:]
