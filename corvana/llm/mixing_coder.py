@@ -33,7 +33,8 @@ MAGIC = b"CMR1"
 BLOCK_IDS, LANE_IDS, MAX_LANES = 1 << 21, 128, 8192
 TOTAL_BITS, RARE_BITS = 24, 20
 CONTEXT_BITS = 18
-RUNS, LEVELS = 16, 8
+RUN_BITS, LEVELS = 4, 8
+RUNS = 1 << RUN_BITS
 STATES = RUNS * RUNS * 2 * LEVELS
 REFRESH = 16
 
@@ -90,12 +91,12 @@ class _Model:
     def __init__(self, vocabulary: int, lanes: int) -> None:
         self.vocabulary, self.step, self.pending = vocabulary, 0, []
         self.counts = np.ones(vocabulary, dtype=np.int64)
-        self.next1, self.run1 = np.zeros(vocabulary, dtype=np.int64), np.zeros(vocabulary, dtype=np.int64)
-        self.next2, self.run2 = np.zeros(1 << CONTEXT_BITS, dtype=np.int64), np.zeros(1 << CONTEXT_BITS, dtype=np.int64)
+        # Candidate and counter of each context in one number: candidate * RUNS + counter.
+        self.order1, self.order2 = np.zeros(vocabulary, dtype=np.int64), np.zeros(1 << CONTEXT_BITS, dtype=np.int64)
         self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
         self.flag2 = _Flag([_STATE, _RUN2, _RUN1 * 2 + _SAME, _LEVEL], _SAME)
         self.flag1 = _Flag([_STATE, _RUN1, _RUN2, _LEVEL], _SAME)
-        self.seen, self.right2, self.right1 = (np.zeros(STATES, dtype=np.int64) for _ in range(3))
+        self.outcomes: list[np.ndarray] = []  # of each id its state, and whether order 2 (2), order 1 (1) or neither was right
         self.refresh()
 
     def refresh(self) -> None:
@@ -118,30 +119,30 @@ class _Model:
 
     def predict(self) -> None:
         self.context = ((self.last * 0x9E3779B1 + self.before * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
-        self.c2, self.r2 = self.next2[self.context], self.run2[self.context]
-        self.c1, self.r1 = self.next1[self.last], self.run1[self.last]
+        self.v2, self.v1 = self.order2[self.context], self.order1[self.last]
+        self.c2, self.c1 = self.v2 >> RUN_BITS, self.v1 >> RUN_BITS
         same = self.c1 == self.c2
-        self.state = (self.r2 * RUNS + self.r1) * (2 * LEVELS) + same * LEVELS + self.level[self.c2]
+        self.state = ((self.v2 & RUNS - 1) << RUN_BITS | self.v1 & RUNS - 1) * (2 * LEVELS) + same * LEVELS + self.level[self.c2]
         # The candidates share at most 15/16 of the range; the rest holds all order-0 intervals.
         self.a = 1 + (self.flag2.p[self.state] * 900 >> 16 << 14)
         self.b = np.where(same, 0, 1 + ((((1 << 10) - 64 << 14) - self.a) * self.flag1.p[self.state] >> 16))
 
     def update(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.c2, ids == self.c1
-        for nxt, run, at, cand, length, hit in ((self.next2, self.run2, self.context, self.c2, self.r2, hit2), (self.next1, self.run1, self.last, self.c1, self.r1, hit1)):
-            nxt[at] = np.where(hit | (length > 1), cand, ids)
-            run[at] = np.where(hit, np.minimum(length + 1, RUNS - 1), length >> 1)
-        self.seen += np.bincount(self.state, minlength=STATES)
-        self.right2 += np.bincount(self.state[hit2], minlength=STATES)
-        self.right1 += np.bincount(self.state[hit1 & ~hit2], minlength=STATES)
+        for table, at, value, hit in ((self.order2, self.context, self.v2, hit2), (self.order1, self.last, self.v1, hit1)):
+            length = value & RUNS - 1
+            keep = value - length
+            missed = np.where(length > 1, keep, ids << RUN_BITS) + (length >> 1)
+            table[at] = np.where(hit, keep + np.minimum(length + 1, RUNS - 1), missed)
+        self.outcomes.append(self.state * 3 + np.where(hit2, 2, hit1))
         self.pending.append(ids)
         self.before, self.last = self.last, ids
         self.step += 1
         if self.step % REFRESH == 0 or self.step in (1, 2, 4, 8):
-            self.flag2.learn(self.seen, self.right2)
-            self.flag1.learn(self.seen - self.right2, self.right1)
-            for x in (self.seen, self.right2, self.right1):
-                x[:] = 0
+            n = np.bincount(np.concatenate(self.outcomes), minlength=3 * STATES).reshape(STATES, 3)
+            self.flag2.learn(n.sum(axis=1), n[:, 2])
+            self.flag1.learn(n[:, 0] + n[:, 1], n[:, 1])
+            self.outcomes = []
             self.refresh()
 
 

@@ -39,6 +39,13 @@ NULL_ID = -(1 << 63)
 READ_DOCS = 2000
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters of byte-level pre-tokens: printable Latin-1 stands for itself, other bytes follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=2)
 def _encoder(tokenizer: str, pattern: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,8 +54,11 @@ def _encoder(tokenizer: str, pattern: str):
     tok = Tokenizer.from_file(tokenizer)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    chars, model = _byte_chars(), tok.model
+
     def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        # A pre-token goes straight to the tokenizer's model, in the characters that stand for its bytes.
+        return [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))] for p in pieces]
 
     return TextEncoder(pattern, encode), tok.get_vocab_size()
 
