@@ -26,6 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from corvana.llm.common import lean
 from corvana.llm.pretokens import TextEncoder
 
 BYTE_BASE = 0x100
@@ -115,7 +116,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -128,7 +129,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             data = [bpe.decode(x or b"") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names)
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+    return encoded.mapInArrow(lean(run), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,4 +144,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids binary, decoded binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, n_tokens long, ids binary, decoded binary")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a per-worker cache keeps before it starts afresh.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 #: Longer words are hashed each time instead of being kept.
 CACHED_WORD_CHARS = 64
 #: Characters that one numpy pass over several documents holds at most, a single document apart.
@@ -25,7 +26,7 @@ SLICE_CHARS = 2_000_000
 
 
 #: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,19 @@ def materialise(df: DataFrame, uri: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that gives back unused memory when its task ends: workers live on and serve other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a URI, and the path in it."""
     if uri.startswith("file:"):

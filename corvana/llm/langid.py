@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.chargrams import gram_buckets, letter_codes
-from corvana.llm.common import bounded_sample, held_out
+from corvana.llm.common import bounded_sample, held_out, lean
 
 ORDER, BITS = 3, 16
 SAMPLE_PER_LANGUAGE = 1500
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, proportions map<string,double>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, lang_pred string, score double, proportions map<string,double>")
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -154,4 +154,4 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvana.llm.common import WordCodes, slices, window_hashes, word_codes
+from corvana.llm.common import WordCodes, lean, slices, window_hashes, word_codes
 
 GRAM, PICK = 3, 2
 #: Cells on either side of a candidate's diagonal that the alignment may use.
@@ -211,4 +211,4 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: s
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [id_col, "license", "matched", "coverage", "start", "end"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, license string, matched long, coverage double, start long, end long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, license string, matched long, coverage double, start long, end long")

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvana.llm.common import lean
+
 PAGE = struct.Struct("<4sBBqIII")
 CONTINUED, FIRST, LAST = 1, 2, 4
 FRAME_BYTES = 576
@@ -197,7 +199,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([store(t)[0] for t in batch.column(1).to_pylist()], pa.binary())], [id_col, "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, media binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, media binary")
 
 
 def probe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -214,7 +216,7 @@ def probe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], [id_col, *PROBED])
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, page_times array<double>")
+    return media.select(id_col, "media").mapInArrow(lean(run), f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, page_times array<double>")
 
 
 PROBED = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page_times"]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvana.llm.common import WordCodes, materialise, mix64, window_hashes, word_codes
+from corvana.llm.common import WordCodes, lean, materialise, mix64, window_hashes, word_codes
 
 REGISTERS = 128
 BANDS, ROWS = 25, 5
@@ -237,9 +237,9 @@ def cross_links(buckets: DataFrame, label: DataFrame, texts: DataFrame, bodies:
     rows = asking.select(columns).union(asked.select(columns))
     sketches = texts.select(F.col("text_id").alias("id"), "sig", "bands")
     kind = "key long, c long, m long, id long, label long, asks boolean, outside boolean, sig binary, bands array<long>"
-    close = materialise(rows.join(sketches, "id").select(*columns, "sig", "bands").repartition("key", "c", "m").sortWithinPartitions("key", "c", "m").mapInArrow(_agreeing, kind))
+    close = materialise(rows.join(sketches, "id").select(*columns, "sig", "bands").repartition("key", "c", "m").sortWithinPartitions("key", "c", "m").mapInArrow(lean(_agreeing), kind))
     exact = close.join(bodies.withColumnRenamed("doc_id", "id"), "id").repartition("key", "c", "m").sortWithinPartitions("key", "c", "m")
-    return materialise(exact.mapInArrow(_linked, "a long, b long, sim double"))
+    return materialise(exact.mapInArrow(lean(_linked), "a long, b long, sim double"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -271,7 +271,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), text_id (smallest doc_id with that very text)."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    sketched = materialise(given.filter("text IS NOT NULL").mapInArrow(_sketch, "doc_id long, h1 long, h2 long, bands array<long>, sig binary"))
+    sketched = materialise(given.filter("text IS NOT NULL").mapInArrow(lean(_sketch), "doc_id long, h1 long, h2 long, bands array<long>, sig binary"))
     firsts = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
     copies = materialise(sketched.select("doc_id", "h1", "h2").join(materialise(firsts), ["h1", "h2"]).select("doc_id", "text_id"))
     texts = sketched.join(copies.filter("doc_id != text_id").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("text_id"), "bands", "sig").dropDuplicates(["text_id"])
@@ -284,7 +284,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     def links(pairs: DataFrame) -> DataFrame:
         left, right = bodies.toDF("a", "ta"), bodies.toDF("b", "tb")
         with_text = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return materialise(with_text.mapInArrow(_verify, "a long, b long, sim double"))
+        return materialise(with_text.mapInArrow(lean(_verify), "a long, b long, sim double"))
 
     asked = materialise(buckets.filter("id != head").selectExpr("head AS a", "id AS b").distinct())
     found = links(asked)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvana.llm.common import CACHE_ENTRIES, CACHED_WORD_CHARS, materialise, mix64, slices, window_hashes
+from corvana.llm.common import CACHED_WORD_CHARS, CACHE_ENTRIES, lean, materialise, mix64, slices, window_hashes
 
 WINDOW, MIN_TOKENS = 8, 4
 LITERALS = 0.6
@@ -194,7 +194,7 @@ def bloom_filter(hashes: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(3)).astype(np.int64)), pa.array((1 << (bit & np.uint64(7)).astype(np.int64)), pa.int64())], ["at", "bit"])
 
     table = np.zeros(bits // 8, dtype=np.uint8)
-    filled = hashes.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = hashes.mapInArrow(lean(run), "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table[filled["at"].to_numpy()] = filled["bits"].to_numpy()
     return table.tobytes()
 
@@ -203,11 +203,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, copies, exact of every item that is in a document."""
     run, kind = _emit("item_id", None, None)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    items = materialise(items.mapInArrow(run, kind))
+    items = materialise(items.mapInArrow(lean(run), kind))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW - MIN_TOKENS + 1 at most
     run, kind = _emit("doc_id", sizes, bloom_filter(items.select("hash").distinct()))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = given.mapInArrow(run, kind).selectExpr("hash", "doc_id", "pos AS doc_pos", "size", "slots AS doc_slots")
+    found = given.mapInArrow(lean(run), kind).selectExpr("hash", "doc_id", "pos AS doc_pos", "size", "slots AS doc_slots")
     both = found.join(items.select("hash", "item_id", "pos", "size", "slots", "tokens"), ["hash", "size"])
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")), lambda x: x["item"] != 0)
     # A copy has each position of the item once: what is collected is bounded by the item.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.llm import mixing_coder
-from corvana.llm.common import file_system, materialise, scratch_dir
+from corvana.llm.common import file_system, lean, materialise, scratch_dir
 from corvana.llm.pretokens import TextEncoder
 
 TAIL = struct.Struct("<QIQQQ4s")
@@ -144,7 +144,7 @@ def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.int64()) for x in rows[1:])], ["path", "bytes", "first_id", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialise(ordered.mapInArrow(run, "path string, bytes long, first_id long, n_docs long, n_tokens long"))
+    manifest = materialise(ordered.mapInArrow(lean(run), "path string, bytes long, first_id long, n_docs long, n_tokens long"))
     # One row for each file: the only thing that is put in one order as a whole.
     before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")))
@@ -169,7 +169,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield _batch(rows)
 
     files = manifest.select("path", "bytes", "start")
-    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(max(1, files.count())).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.chargrams import gram_buckets, letter_codes
-from corvana.llm.common import bounded_sample, held_out
+from corvana.llm.common import bounded_sample, held_out, lean
 
 ORDERS = (4, 5)
 BITS = 21
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,4 +147,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
