@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvana.llm.common import file_system, materialise, scratch_dir
+from corvana.llm.common import file_system, lean, materialise, scratch_dir
 
 MIN_REVISIT_BYTES = 0
 #: The capture date where the table has none.
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
+#: Blocks up to this size are packed with a window of 1 KB.
+SMALL_BYTES = 512
 #: Compressed bytes that the reader takes at a time.
 READ_BYTES = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,7 +58,8 @@ def record(kind: str, record_id: str, headers: list[tuple[str, str]], block: byt
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>"]
     lines += [f"{k}: {re.sub(r'[\r\n]+', ' ', v)}" for k, v in headers]
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode("utf-8", "surrogatepass")
-    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    # A small record needs a small window: setting up a large one costs more than packing it.
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31) if len(block) > SMALL_BYTES else zlib.compressobj(LEVEL, zlib.DEFLATED, 26, 2)
     return pack.compress(head + block + b"\r\n\r\n") + pack.flush()
 
 
@@ -169,7 +172,7 @@ def write(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["path", "bytes", "captures"])
 
-    return materialise(captures.select("page_id", "url", "html", "refers_to", "refers_uri").mapInArrow(run, "path string, bytes long, captures long"))
+    return materialise(captures.select("page_id", "url", "html", "refers_to", "refers_uri").mapInArrow(lean(run), "path string, bytes long, captures long"))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -190,7 +193,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield _batch(rows)
 
     files = manifest.select("path")
-    return files.repartition(max(1, files.count())).mapInArrow(run, _RECORD)
+    return files.repartition(max(1, files.count())).mapInArrow(lean(run), _RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
