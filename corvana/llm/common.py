@@ -112,8 +112,11 @@ class WordCodes(dict):
     """word -> 62-bit code of its lower-cased core, 0 where no letter or digit is left."""
 
     def __missing__(self, word: str) -> int:
-        found = _CORE.search(word)
-        code = (xxhash.xxh3_64_intdigest(found[0].lower()) >> 2 | 1) if found else 0
+        if word.isalpha():  # its own core
+            code = xxhash.xxh3_64_intdigest(word.lower()) >> 2 | 1
+        else:
+            found = _CORE.search(word)
+            code = (xxhash.xxh3_64_intdigest(found[0].lower()) >> 2 | 1) if found else 0
         if len(word) <= CACHED_WORD_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()

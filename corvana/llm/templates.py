@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,26 @@ class _Words(dict):
     """word -> 57-bit hash of its core and flags; 0 (or the end of a sentence alone) for punctuation."""
 
     def __missing__(self, word: str) -> int:
+        value = self.plain(word) if word.isalpha() else self.plain(word[:-1], word[-1]) if word[:-1].isalpha() and word[-1] in ",.!?:;" else self.any(word)
+        if len(word) <= CACHED_WORD_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = value
+        return value
+
+    @staticmethod
+    def plain(core: str, after: str = ",") -> int:
+        """Of letters alone, with at most one sign after them: any() without its searches."""
+        low = core.lower()
+        flags = 0 if after == "," else _ENDS
+        if low in NUMBER_WORDS:
+            flags |= _NUM
+        else:
+            flags |= (_UNIT if low in UNITS else 0) | (_CAP if core[0].isupper() else 0)
+        return (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << 5 | flags
+
+    @staticmethod
+    def any(word: str) -> int:
         found = _CORE.search(word)
         flags = _ENDS if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", ";", "…", "。") else 0
         value = flags
@@ -77,10 +98,6 @@ class _Words(dict):
             elif core[0].isupper():
                 flags |= _CAP
             value = (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << 5 | flags
-        if len(word) <= CACHED_WORD_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = value
         return value
 
 
@@ -91,7 +108,7 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Of the tokens of all texts: text number, canonical code, own code, and whether it is a slot."""
     words = [(t or "").split() for t in texts]
     sizes = [len(w) for w in words]
-    packed = np.fromiter((_WORDS[w] for ws in words for w in ws), dtype=np.uint64, count=sum(sizes))
+    packed = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=sum(sizes))
     owner = np.repeat(np.arange(len(texts)), sizes)
     flags = (packed & np.uint64(31)).astype(np.uint8)
     first = np.ones(len(owner), dtype=bool)
