@@ -187,13 +187,41 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([g[n][k] for k in at], t) for n, t in (("key", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("asks", pa.bool_()), ("outside", pa.bool_()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())))], ["key", "c", "m", "id", "label", "asks", "outside", "sig", "bands"])
 
 
+#: Cells of a block's table of documents and shingles at most; larger blocks are compared pair by pair.
+TABLE_CELLS = 1 << 24
+
+
+def _set_similarities(sets: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+    """Similarities of the rows p with the rows q, nan where weights differ within a document; None for a large block.
+
+    Where all shingles of two documents weigh the same, probability Jaccard is the
+    Jaccard similarity of the sets, and one matrix product has all intersections.
+    """
+    words, place = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    if len(words) * len(sets) > TABLE_CELLS:
+        return None
+    sizes = np.array([len(h) for h, _ in sets])
+    table = np.zeros((len(sets), len(words)), dtype=np.float32)
+    table[np.repeat(np.arange(len(sets)), sizes), place] = 1.0
+    common = table[p] @ table[q].T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = common / (sizes[p][:, None] + sizes[q][None, :] - common)
+    even = np.array([len(w) > 0 and w.min() == w.max() for _, w in sets])
+    out[~even[p], :] = np.nan
+    out[:, ~even[q]] = np.nan
+    return out
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between the two sides of each block, enough to connect what belongs together."""
     for g in _blocks(batches):
         asks = np.asarray(g["asks"], dtype=bool)
         p, q = np.flatnonzero(asks), np.flatnonzero(~asks)
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(asks), REGISTERS)
-        keys, known, root, out = np.asarray(g["bands"]), {}, {}, []
+        keys, root, out = np.asarray(g["bands"]), {}, []
+        ids, outside = np.asarray(g["id"]), np.asarray(g["outside"], dtype=bool)
+        sets = [shingles(t) for t in g["text"]]
+        sims = _set_similarities(sets, p, q)
 
         def top(x: int) -> int:
             while root.setdefault(x, x) != x:
@@ -201,20 +229,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = root[x]
             return x
 
-        def weights(k: int) -> tuple[np.ndarray, np.ndarray]:
-            if k not in known:
-                known[k] = shingles(g["text"][k])
-            return known[k]
-
-        for i in p:
-            close = q[(sig[q] == sig[i]).mean(axis=1) >= MIN_AGREEMENT]
-            for j in close:
-                # Two members outside meet twice: the smaller id asks. A pair is settled in its first common bucket.
-                if g["outside"][j] and g["id"][j] < g["id"][i] or top(g["label"][i]) == top(g["label"][j]):
-                    continue
-                if keys[i][np.argmax(keys[i] == keys[j])] != g["key"][i]:
+        for n, i in enumerate(p):
+            ask = (sig[q] == sig[i]).mean(axis=1) >= MIN_AGREEMENT
+            # Two members outside meet twice: the smaller id asks. A pair is settled in its first common bucket.
+            ask &= ~(outside[q] & (ids[q] < ids[i]))
+            same = keys[q] == keys[i]
+            ask &= keys[i][same.argmax(axis=1)] == g["key"][i]
+            if sims is not None:
+                ask &= ~(sims[n] < MIN_SIMILARITY - 1e-6)  # nan: not known yet
+            for m in np.flatnonzero(ask):
+                j = q[m]
+                if top(g["label"][i]) == top(g["label"][j]):
                     continue
-                s = probability_jaccard(*weights(i), *weights(j))
+                s = probability_jaccard(*sets[i], *sets[j])
                 if s >= MIN_SIMILARITY - 1e-9:
                     root[top(g["label"][i])] = top(g["label"][j])
                     out.append((g["id"][i], g["id"][j], s))
