@@ -13,12 +13,17 @@ counts if its slots are consistent: a value of the item's slots is always replac
 by the same value of the document. An item is in a document if consistent copies
 cover MIN_COVERAGE of its tokens; `exact` tells whether no slot was changed.
 
-Windows with fewer than LITERALS of their tokens standing for themselves are left
-out, as they fit anything. An item shorter than a window is one window as long as
-itself. An item of fewer than MIN_TOKENS tokens, or without a usable window, can
-not be searched for and matches nothing; so do null and empty texts. Repeated
-documents of one id count together; repeated items of one id, too. Null ids are
-left out.
+Templates with fewer than LITERALS of their tokens standing for themselves are left
+out, as they fit anything. Beside them the windows of the tokens themselves, in lower
+case, are joined at all positions, so that word-for-word copies are found however
+many slots they have and whatever became of the case of names; only a window all in
+capitals is held apart from windows that are not. Where the slots of a copy are not
+consistent, its unchanged windows still count.
+
+An item shorter than a window is one window as long as itself. An item of fewer than
+MIN_TOKENS tokens can not be searched for and matches nothing; so do null and empty
+texts. Repeated documents of one id count together; repeated items of one id, too.
+Null ids are left out.
 """
 
 from __future__ import annotations
@@ -52,7 +57,10 @@ UNITS = frozenset(
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _NUMBER = re.compile(r"\d[\d.,:/]*")
 _WITH_UNIT = re.compile(r"\d[\d.,:/]*[^\W\d]{1,6}\Z")
-_CAP, _NUM, _UNIT, _ENDS, _BOTH = 1, 2, 4, 8, 16
+_CAP, _NUM, _UNIT, _ENDS, _BOTH, _SOFT = 1, 2, 4, 8, 16, 32
+_FLAG_BITS = 6
+#: Added to the hash of a window of tokens themselves that is all in capitals.
+_LOUD = np.uint64(xxhash.xxh3_64_intdigest("<capitals>"))
 _NUMBER_SLOT, _BOTH_SLOT, _UNIT_SLOT, _NAME_SLOT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<number>", "<number unit>", "<unit>", "<name>"))
 
 
@@ -76,7 +84,8 @@ class _Words(dict):
             flags |= _NUM
         else:
             flags |= (_UNIT if low in UNITS else 0) | (_CAP if core[0].isupper() else 0)
-        return (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << 5 | flags
+        flags |= 0 if core.isupper() else _SOFT
+        return (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << _FLAG_BITS | flags
 
     @staticmethod
     def any(word: str) -> int:
@@ -97,7 +106,8 @@ class _Words(dict):
                 flags |= _UNIT | (_CAP if core[0].isupper() else 0)
             elif core[0].isupper():
                 flags |= _CAP
-            value = (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << 5 | flags
+            flags |= _SOFT if (not core.isupper() if core.isalpha() else core.upper() != core) else 0
+            value = (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << _FLAG_BITS | flags
         return value
 
 
@@ -106,16 +116,21 @@ _WORDS = _Words()
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the tokens of all texts: text number, canonical code, own code, and whether it is a slot."""
+    return tokens(texts)[:4]
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What canonical() gives, and flags."""
     words = [(t or "").split() for t in texts]
     sizes = [len(w) for w in words]
     packed = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=sum(sizes))
     owner = np.repeat(np.arange(len(texts)), sizes)
-    flags = (packed & np.uint64(31)).astype(np.uint8)
+    flags = (packed & np.uint64((1 << _FLAG_BITS) - 1)).astype(np.uint8)
     first = np.ones(len(owner), dtype=bool)
     if len(owner):
         first[1:] = (owner[1:] != owner[:-1]) | (flags[:-1] & _ENDS > 0)
         # Punctuation alone passes on whether a sentence starts after it.
-        blank = packed < 32
+        blank = packed < 1 << _FLAG_BITS
         if blank.any():
             at = np.flatnonzero(~blank)
             starts = np.cumsum(first | (blank & (flags & _ENDS > 0)))
@@ -123,7 +138,7 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
             kept[0:1] = True
             kept[1:] = (starts[at[1:]] > starts[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
             owner, packed, flags, first = owner[at], packed[at], flags[at], kept
-    own = packed >> np.uint64(5)
+    own = packed >> np.uint64(_FLAG_BITS)
     code = own.copy()
     number, both = flags & _NUM > 0, flags & _BOTH > 0
     unit = np.zeros(len(own), dtype=bool)
@@ -132,7 +147,7 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     name = (flags & _CAP > 0) & ~first & ~unit
     for mask, slot in ((number, _NUMBER_SLOT), (both, _BOTH_SLOT), (unit, _UNIT_SLOT), (name, _NAME_SLOT)):
         code[mask] = slot
-    return owner, code, own, number | both | unit | name
+    return owner, code, own, number | both | unit | name, flags
 
 
 def windows(owner: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,28 +162,47 @@ def windows(owner: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) ->
     return at, mix64(hashes[at] + np.uint64(size))
 
 
+def verbatim(owner: np.ndarray, own: np.ndarray, slot: np.ndarray, flags: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows with slots begin, and the hashes of their tokens themselves.
+
+    A window without slots is its own template: windows() gives it the same hash.
+    """
+    n = len(own) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.intp), np.empty(0, dtype=np.uint64)
+    slots = np.concatenate(([0], np.cumsum(slot)))
+    at = np.flatnonzero((owner[:n] == owner[size - 1 :]) & (slots[size:] > slots[:-size]))
+    soft = np.concatenate(([0], np.cumsum(flags & _SOFT > 0)))
+    loud = soft[at + size] == soft[at]
+    return at, mix64(window_hashes(own, size)[at] + np.uint64(size) + np.where(loud, _LOUD, np.uint64(0)))
+
+
 def _rows(ids: list, texts: list[str | None], sizes: list[int] | None, bloom: np.ndarray | None) -> tuple[list, ...]:
     """hash, id, position, size, values, tokens of the windows of texts that pass the filter.
 
-    sizes: None for items, whose windows are as long as they can be.
+    sizes: None for items, whose windows are as long as they can be. The values of an
+    item are those of its slots; a document has the values of all tokens where a window
+    of it stands for itself.
     """
-    owner, code, own, slot = canonical(texts)
+    owner, code, own, slot, flags = tokens(texts)
     counts = np.bincount(owner, minlength=len(texts)) if len(texts) else np.empty(0, dtype=np.int64)
     starts = np.cumsum(counts) - counts
     out: tuple[list, ...] = ([], [], [], [], [], [])
     for size in sizes if sizes is not None else range(MIN_TOKENS, WINDOW + 1):
-        at, hashes = windows(owner, code, slot, size)
-        if sizes is None and size < WINDOW:
-            keep = counts[owner[at]] == size
-            at, hashes = at[keep], hashes[keep]
-        if bloom is not None and len(at):
-            keep = passes(bloom, hashes)
-            at, hashes = at[keep], hashes[keep]
-        own_at = owner[at]
-        for h, p, o in zip(hashes.view(np.int64).tolist(), at.tolist(), own_at.tolist(), strict=True):
-            out[0].append(h), out[1].append(ids[o]), out[2].append(p - int(starts[o])), out[3].append(size)
-            out[4].append(np.where(slot[p : p + size], own[p : p + size], np.uint64(0)).astype(np.int64))
-            out[5].append(int(counts[o]))
+        for itself, (at, hashes) in enumerate((windows(owner, code, slot, size), verbatim(owner, own, slot, flags, size))):
+            if sizes is None and size < WINDOW:
+                keep = counts[owner[at]] == size
+                at, hashes = at[keep], hashes[keep]
+            if bloom is not None and len(at):
+                keep = passes(bloom, hashes)
+                at, hashes = at[keep], hashes[keep]
+            own_at = owner[at]
+            for h, p, o in zip(hashes.view(np.int64).tolist(), at.tolist(), own_at.tolist(), strict=True):
+                out[0].append(h), out[1].append(ids[o]), out[2].append(p - int(starts[o])), out[3].append(size)
+                values, filled = own[p : p + size], slot[p : p + size]
+                every = sizes is not None and (itself or not filled.any())
+                out[4].append((values if every else np.where(filled, values, np.uint64(0))).astype(np.int64))
+                out[5].append(int(counts[o]))
     return out
 
 
@@ -229,9 +263,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")), lambda x: x["item"] != 0)
     # A copy has each position of the item once: what is collected is bounded by the item.
     copies = both.groupBy("doc_id", "item_id", "tokens", (F.col("doc_pos") - F.col("pos")).alias("diagonal")).agg(
-        F.collect_set(F.struct("pos", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
+        F.collect_set(F.struct("pos", "size", F.forall(pairs, lambda x: x["item"] == x["doc"]).alias("same"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
     )
-    copies = copies.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))))
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
+    counted = F.filter("spans", lambda x: consistent | x["same"])
+    copies = copies.withColumn("spans", F.array_distinct(F.transform(counted, lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))))).filter(F.size("spans") > 0)
     # Of an item's spans each is kept once, so that a document full of copies of it stays small.
     spans = copies.select("doc_id", "item_id", "tokens", "diagonal", F.forall("pairs", lambda x: x["item"] == x["doc"]).alias("exact"), F.explode("spans").alias("span"))
     spans = spans.groupBy("doc_id", "item_id", "tokens", "span").agg(F.max("exact").alias("exact"), F.count(F.lit(1)).alias("times"))

@@ -147,6 +147,25 @@ def test_inconsistent_slots(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def test_verbatim_copies_dense_in_slots_or_of_other_case(spark):
+    dense = "In 2019 Anna Smith paid 45 dollars, Bob Jones paid 30 euros and Carl Brown paid 12 pounds."
+    crowd = "Ann Lee met Ben Cox and Eve Day and Max Fox and Tom Gray then left with Zoe Hill for Rome in May"
+    bench = spark.createDataFrame([(1, ITEM), (2, dense), (3, "WHO PAID 12 POUNDS TO BOB JONES"), (4, crowd)], "item_id long, text string")
+    changed = dense.replace("45", "77").replace("Anna", "Olga").replace("Brown", "White").replace("30", "99")
+    mixed = crowd.replace("in May", "in 7")
+    docs = [(1, f"Before it. {dense} After it."), (2, changed), (3, ITEM.title()), (4, dense.lower()), (5, "Then WHO PAID 12 POUNDS TO BOB JONES"), (6, f"a line {dense} {ITEM}"), (7, mixed)]
+    got = {(r.doc_id, r.item_id): r for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 2), (3, 1), (4, 2), (5, 3), (6, 1), (6, 2), (7, 4)}
+    assert all(got[k].exact and got[k].coverage == 1.0 for k in got if k != (7, 4)) and got[7, 4].coverage < 1
+
+
+def test_unchanged_windows_of_an_inconsistent_copy_count(spark):
+    item = "The old clerk of the harbour office writes down every ship that comes in before dawn, then Ann tells Ben and Ann goes to the market"
+    docs = [(1, item.replace("Ann tells", "Eve tells").replace("Ann goes", "Pat goes"))]
+    (got,) = templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert 0.6 <= got.coverage < 1 and not got.exact
+
+
 def test_many_documents_in_one_pass_keep_apart():
     texts = ["a b c d", "e f g h", "", "i j k l m n o p q"]
     owner, code, own, slot = templates.canonical(texts)
