@@ -57,9 +57,18 @@ def content_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def byte_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Byte-bounded parts of each ASCII question; the split of other characters is tested in Python."""
-    ascii = table(spark, sf, "benchmark").filter(F.length("text") == F.octet_length("text"))
-    parts = vectors.byte_bounded(ascii, "item_id", "text", 64)
+    """Byte-bounded parts of each ASCII question, as far as SQL can follow; byte_parts_whole has all questions."""
+    benchmark = table(spark, sf, "benchmark")
+    return _byte_parts(benchmark.filter(F.length("text") == F.octet_length("text")))
+
+
+def byte_parts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte-bounded parts of each question; without SQL, and held against a plain split in Python."""
+    return _byte_parts(table(spark, sf, "benchmark"))
+
+
+def _byte_parts(rows: DataFrame) -> DataFrame:
+    parts = vectors.byte_bounded(rows, "item_id", "text", 64)
     return parts.groupBy("item_id").agg(F.max(F.octet_length("text")).cast("long").alias("most"), F.count(F.lit(1)).alias("parts"))
 
 
@@ -250,7 +259,7 @@ def recency_rows(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.last_per_id(e, "user_id", "event_id")
 
 
-_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
+_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, byte_parts_whole, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TOK = "regexp_extract_all(lower({x}), '[A-Za-z0-9_''-]{{3,}}')"
