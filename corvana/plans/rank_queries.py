@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
@@ -218,15 +218,22 @@ def worker_scores(spark: SparkSession, sf: str) -> DataFrame:
     return memory.worker_score(rows).select("id", "score", "status")
 
 
-def _skill_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _skill_rows(spark: SparkSession, sf: str, body: Column | None = None) -> DataFrame:
     b = table(spark, sf, "benchmark")
-    return b.select(F.format_string("skill-%d", "item_id").alias("slug"), F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("description"), F.substring("text", 61, 200).alias("body"), (F.col("item_id") % 10 == 0).alias("archived"), F.format_string("2024-01-%02d", (F.col("item_id") % 28 + 1).cast("int")).alias("updated_at"))
+    return b.select(F.format_string("skill-%d", "item_id").alias("slug"), F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("description"), (F.substring("text", 61, 200) if body is None else body).alias("body"), (F.col("item_id") % 10 == 0).alias("archived"), F.format_string("2024-01-%02d", (F.col("item_id") % 28 + 1).cast("int")).alias("updated_at"))
 
 
 def skill_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """With the cuts of its SQL; skill_rank_whole has the whole texts and question."""
     return skills.rank(_skill_rows(spark, sf), "use skill-7 and " + first_question(spark, sf)[:80], 12).select("slug", F.col("score").cast("long").alias("score"))
 
 
+def skill_rank_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Skills of the whole texts, which no cut parts within a word, ranked for the whole first question."""
+    rows = _skill_rows(spark, sf, F.col("text")).withColumn("description", F.lit(""))
+    return skills.rank(rows, "use skill-7 and " + first_question(spark, sf), 12).select("slug", F.col("score").cast("long").alias("score"))
+
+
 def skill_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of questions that share at least four terms."""
     return skills.consolidation(table(spark, sf, "benchmark"), "item_id", F.col("text"), 4)
@@ -259,7 +266,7 @@ def recency_rows(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.last_per_id(e, "user_id", "event_id")
 
 
-_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, byte_parts_whole, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
+_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, byte_parts_whole, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_rank_whole, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TOK = "regexp_extract_all(lower({x}), '[A-Za-z0-9_''-]{{3,}}')"

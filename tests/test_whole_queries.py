@@ -1,5 +1,7 @@
 """Queries over all that SQL can not follow, against plain Python."""
 
+import re
+
 import pytest
 
 from corvana.plans.catalogue import ORACLE, QUERIES
@@ -33,3 +35,22 @@ def test_byte_parts_of_all_questions(spark, folder):
     want = {k: (max(len(p.encode()) for p in parts), len(parts)) for k, t in enumerate(texts) if (parts := plain_parts(t or "", 64))}
     got = {r.item_id: (r.most, r.parts) for r in QUERIES["byte_parts_whole"](spark, sf).collect()}
     assert got == want and len(got) == 6 and "byte_parts_whole" not in ORACLE
+
+
+def test_skill_rank_of_whole_texts_and_question(spark, folder):
+    question = "padding " * 12 + "alpha beta gamma delta"
+    texts = [question, "nothing of note", "filler " * 50 + "alpha beta", "filler " * 8 + "gamma", "word " * 30 + "alpha beta gamma", "", None]
+    rows = [(k + 1, t) for k, t in enumerate(texts)] + [(10, question), (20, question)]
+    sf = folder("benchmark", rows, "item_id long, text string")
+
+    def tokens(x):
+        return set(re.findall(r"[a-z0-9_.-]{3,}", x.lower()))
+
+    asked, want = "use skill-7 and " + question, {}
+    for k, t in rows:
+        slug, text = f"skill-{k}", t or ""
+        score = 10 * len(tokens(asked) & tokens(f"{slug} {text}")) + 20 * (slug in asked)
+        if score and k % 10:
+            want[slug] = score
+    got = {r.slug: r.score for r in QUERIES["skill_rank_whole"](spark, sf).collect()}
+    assert got == want and got["skill-3"] == 20 and got["skill-5"] == 30 and got["skill-4"] == 10 and "skill_rank_whole" not in ORACLE
