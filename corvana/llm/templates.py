@@ -20,7 +20,9 @@ many slots they have and whatever became of the case of names; only a window all
 capitals is held apart from windows that are not. Where the slots of a copy are not
 consistent, its unchanged windows still count.
 
-An item shorter than a window is one window as long as itself. An item of fewer than
+An item shorter than a window is one window as long as itself; if it begins with a
+capital, it has that window with its first word as a name, too, as a document may not
+end a sentence before it. An item of fewer than
 MIN_TOKENS tokens can not be searched for and matches nothing; so do null and empty
 texts. Repeated documents of one id count together; repeated items of one id, too.
 Null ids are left out.
@@ -177,6 +179,13 @@ def verbatim(owner: np.ndarray, own: np.ndarray, slot: np.ndarray, flags: np.nda
     return at, mix64(window_hashes(own, size)[at] + np.uint64(size) + np.where(loud, _LOUD, np.uint64(0)))
 
 
+def _as_name(found: tuple[np.ndarray, np.ndarray], renamed: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows those that are a whole item and begin with a word that was made a name."""
+    at, hashes = found
+    keep = renamed[at] & whole[at]
+    return at[keep], hashes[keep]
+
+
 def _rows(ids: list, texts: list[str | None], sizes: list[int] | None, bloom: np.ndarray | None) -> tuple[list, ...]:
     """hash, id, position, size, values, tokens of the windows of texts that pass the filter.
 
@@ -188,8 +197,16 @@ def _rows(ids: list, texts: list[str | None], sizes: list[int] | None, bloom: np
     counts = np.bincount(owner, minlength=len(texts)) if len(texts) else np.empty(0, dtype=np.int64)
     starts = np.cumsum(counts) - counts
     out: tuple[list, ...] = ([], [], [], [], [], [])
+    if sizes is None:
+        named = slot.copy()
+        begins = starts[counts > 0]
+        named[begins] |= flags[begins] & _CAP > 0
+        renamed = np.where(named & ~slot, _NAME_SLOT, code)
     for size in sizes if sizes is not None else range(MIN_TOKENS, WINDOW + 1):
-        for itself, (at, hashes) in enumerate((windows(owner, code, slot, size), verbatim(owner, own, slot, flags, size))):
+        kinds = [(slot, windows(owner, code, slot, size)), (slot, verbatim(owner, own, slot, flags, size))]
+        if sizes is None:
+            kinds.append((named, _as_name(windows(owner, renamed, named, size), named & ~slot, counts[owner] == size)))
+        for itself, (slots, (at, hashes)) in enumerate(kinds):
             if sizes is None and size < WINDOW:
                 keep = counts[owner[at]] == size
                 at, hashes = at[keep], hashes[keep]
@@ -199,7 +216,7 @@ def _rows(ids: list, texts: list[str | None], sizes: list[int] | None, bloom: np
             own_at = owner[at]
             for h, p, o in zip(hashes.view(np.int64).tolist(), at.tolist(), own_at.tolist(), strict=True):
                 out[0].append(h), out[1].append(ids[o]), out[2].append(p - int(starts[o])), out[3].append(size)
-                values, filled = own[p : p + size], slot[p : p + size]
+                values, filled = own[p : p + size], slots[p : p + size]
                 every = sizes is not None and (itself or not filled.any())
                 out[4].append((values if every else np.where(filled, values, np.uint64(0))).astype(np.int64))
                 out[5].append(int(counts[o]))

@@ -159,6 +159,13 @@ def test_verbatim_copies_dense_in_slots_or_of_other_case(spark):
     assert all(got[k].exact and got[k].coverage == 1.0 for k in got if k != (7, 4)) and got[7, 4].coverage < 1
 
 
+def test_items_of_one_window_after_a_line_without_an_end(spark):
+    bench = [(1, "What is the capital of France?"), (2, "Who was the first king of Norway then?"), (3, "Does every red fox sleep in Oslo?")]
+    docs = [(1, "Quiz 3\nWhat is the capital of France?"), (2, "Quiz 3\nWhat is the capital of Spain?"), (3, "a list\nWho was the first king of Sweden then?"), (4, "asked Does every red fox sleep in Rome?"), (5, "asked does every red fox sleep in Rome?"), (6, "asked Is every red fox asleep in Rome?")]
+    got = templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in got} == {(1, 1, True), (2, 1, False), (3, 2, False), (4, 3, False), (5, 3, False)}
+
+
 def test_unchanged_windows_of_an_inconsistent_copy_count(spark):
     item = "The old clerk of the harbour office writes down every ship that comes in before dawn, then Ann tells Ben and Ann goes to the market"
     docs = [(1, item.replace("Ann tells", "Eve tells").replace("Ann goes", "Pat goes"))]
