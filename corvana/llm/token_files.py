@@ -52,15 +52,24 @@ def _encoder(tokenizer: str, pattern: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-
     chars, model = _byte_chars(), tok.model
 
     def encode(pieces: list[str]) -> list[list[int]]:
         # A pre-token goes straight to the tokenizer's model, in the characters that stand for its bytes.
         return [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))] for p in pieces]
 
-    return TextEncoder(pattern, encode), tok.get_vocab_size()
+    return TextEncoder(pattern, encode), tok
+
+
+def _encode_many(encoder: TextEncoder, tok, texts: list[str | None], added: list[str]) -> list[bytes]:
+    """Ids of texts; those that hold an added token go to the tokenizer as a whole."""
+    whole = {k for k, t in enumerate(texts) if t and any(a in t for a in added)}
+    if not whole:
+        return encoder.encode_many(texts)
+    out = list(encoder.encode_many([None if k in whole else t for k, t in enumerate(texts)]))
+    for k in whole:
+        out[k] = np.asarray(tok.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return out
 
 
 class Writer:
@@ -121,16 +130,20 @@ def read_file(source, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         yield (None if doc == NULL_ID else doc), np.concatenate(parts)
 
 
-def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs in ascending order of id_col below folder; the manifest: path, bytes, n_docs, n_tokens, start."""
+def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", match_added: bool = False) -> DataFrame:
+    """Write docs in ascending order of id_col below folder; the manifest: path, bytes, n_docs, n_tokens, start.
+
+    match_added: strings of the tokenizer's added tokens in a text become their ids; otherwise they are ordinary text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, vocabulary = _encoder(tokenizer, pattern)
+        encoder, tok = _encoder(tokenizer, pattern)
+        vocabulary, added = tok.get_vocab_size(), [t.content for t in tok.get_added_tokens_decoder().values()] if match_added else []
         end = struct.pack("<I", end_id)
         fs, root = file_system(folder)
         path, writer, out, first = f"{root}/{uuid.uuid4().hex}.ctf", None, None, None
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), _encode_many(encoder, tok, batch.column(1).to_pylist(), added), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(path)
@@ -177,7 +190,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, match_added: bool = False) -> DataFrame:
     """Write docs into token files in the shared folder, and read them back."""
     folder = scratch_dir(docs.sparkSession)
-    return read(write(docs, tokenizer, pattern, folder, end_id), folder)
+    return read(write(docs, tokenizer, pattern, folder, end_id, match_added=match_added), folder)

@@ -138,6 +138,22 @@ def test_round_trip(spark):
     assert token_files.round_trip(frame.limit(0), JSON, P.PATTERN).count() == 0
 
 
+def test_added_tokens_of_the_file(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from corvana.llm.queries import QUERIES
+
+    tok, at = Tokenizer.from_file(JSON), 0
+    rows = [*((k, t) for k, (_, t) in enumerate(ROWS)), (20, "end <|endoftext|> start"), (21, "<|endoftext|><|endoftext|>\n x<|endoftext|"), (22, "after it")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op4_token_files"](spark, str(tmp_path)).collect()}
+    for doc, text in rows:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
+        assert got[doc] == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+    assert got[20][1] == 5
+
+
 def test_queries(spark):
     """The contract's digests, from the libraries alone."""
     from corvana.llm.queries import QUERIES
