@@ -88,12 +88,23 @@ def profile_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_per_date(spark: SparkSession, sf: str) -> DataFrame:
-    """For some days the event with the highest value."""
-    e = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("id"), F.col("value").alias("score"), F.col("event_type").alias("text"))
+    """For the first three days, as in its SQL, the event with the highest value; best_per_date_whole has all days."""
+    e = _dated_events(spark, sf)
     days = [r["date"] for r in e.select("date").distinct().orderBy("date").limit(3).collect()]
     return dossiers.best_per_date(e, days, 3000)
 
 
+def best_per_date_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """For every day the event with the highest value, within a budget that grows with the days."""
+    e = _dated_events(spark, sf)
+    days = [r["date"] for r in e.select("date").distinct().filter("date IS NOT NULL").collect()]
+    return dossiers.best_per_date(e, days, 1000 * len(days))
+
+
+def _dated_events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("id"), F.col("value").alias("score"), F.col("event_type").alias("text"))
+
+
 def distinct_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("id"), F.lit(0).alias("start"), (F.col("turn") % 3).alias("end"), F.col("turn").alias("ord"), "text")
     return dossiers.distinct_excerpts(m, ["conv_id"], 3, 700).select("conv_id", "id", "end", "ord")
@@ -158,7 +169,7 @@ def conversation_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.bround(lexical.overlap(F.array_distinct(T.tokens(F.col("text"))), asked), 6).alias("overlap"))
 
 
-_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
+_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, best_per_date_whole, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"

@@ -124,7 +124,7 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
 def retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """The whole hybrid query over pages as code and text, with the first question's words and a path."""
     pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.col("page_id").cast("string").alias("chunk"), F.lit("").alias("summary"), F.col("html").alias("content"))
-    return retrieval.retrieve(pages, "where is function track in example.com/en " + " ".join(list(lexical.query_terms(first_question(spark, sf)))[:6])).select("place", "path", "chunk", "hybrid_score")
+    return retrieval.retrieve(pages, "where is function track in example.com/en " + " ".join(lexical.query_terms(first_question(spark, sf)))).select("place", "path", "chunk", "hybrid_score")
 
 
 def newest_dates(spark: SparkSession, sf: str) -> DataFrame:

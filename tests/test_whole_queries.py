@@ -1,9 +1,11 @@
 """Queries over all that SQL can not follow, against plain Python."""
 
 import re
+from datetime import datetime
 
 import pytest
 
+from corvana.plans import rank_queries
 from corvana.plans.catalogue import ORACLE, QUERIES
 
 
@@ -54,3 +56,22 @@ def test_skill_rank_of_whole_texts_and_question(spark, folder):
             want[slug] = score
     got = {r.slug: r.score for r in QUERIES["skill_rank_whole"](spark, sf).collect()}
     assert got == want and got["skill-3"] == 20 and got["skill-5"] == 30 and got["skill-4"] == 10 and "skill_rank_whole" not in ORACLE
+
+
+def test_best_event_of_every_day(spark, folder):
+    rows = [(k, datetime(2024, 1, 1 + k % 9, 12), (k * 7 % 31) / 2, "click") for k in range(60)]
+    sf = folder("events", rows, "event_id long, ts timestamp, value double, event_type string")
+    want = {}
+    for k, ts, value, _ in rows:
+        want[f"{ts:%Y-%m-%d}"] = max(want.get(f"{ts:%Y-%m-%d}", (-1.0, -1)), (value, k))
+    got = {r.date: r.id for r in QUERIES["best_per_date_whole"](spark, sf).collect()}
+    assert got == {d: k for d, (_, k) in want.items()} and len(got) == 9
+
+
+def test_retrieve_asks_for_all_terms(spark, folder, monkeypatch):
+    sf = folder("benchmark", [(1, " ".join(f"term{k}" for k in range(15)))], "item_id long, text string")
+    folder("pages", [(1, "http://x.org/en/a", "<p>track</p>")], "page_id long, url string, html string")
+    asked, real = [], rank_queries.retrieval.retrieve
+    monkeypatch.setattr(rank_queries.retrieval, "retrieve", lambda rows, q, *a, **k: asked.append(q) or real(rows, q, *a, **k))
+    QUERIES["retrieve"](spark, sf)
+    assert all(f"term{k}" in asked[0].split() for k in range(15))
