@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import math
 import re
 import shutil
 import tempfile
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries a per-worker cache keeps before it starts afresh.
@@ -41,11 +42,14 @@ _OWN_ROOTS: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared spark.checkpoint.dir, as a URI.
 
-    Where that setting is missing (tests, a laptop), a temporary folder of this
-    machine takes its place until the driver ends.
+    Where that setting is missing on one machine (tests, a laptop), a temporary folder
+    of it takes its place until the driver ends; on a cluster that is an error, as
+    executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_ROOTS:
             _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="corvana-")
@@ -64,15 +68,38 @@ def materialise(df: DataFrame, uri: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+#: What a worker keeps between the tasks of a stage, by the module that keeps it: how to empty it.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(module: str, clear: Callable[[], object]) -> None:
+    """Say how to empty what a module keeps, which is done when the worker serves another module."""
+    _KEPT[module] = clear
+
+
+def _serve(module: str) -> None:
+    for other, clear in _KEPT.items():
+        if other != module:
+            clear()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over batches that gives back unused memory when its task ends: workers live on and serve other stages."""
+    """A function over batches for workers that live on and serve other stages: what these kept
+    is emptied when a task begins, and unused memory is given back when it begins and ends."""
+    module = run.__module__
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _serve(module)
+        _give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        _give_back()
 
     return task
 
@@ -90,19 +117,49 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def hash_limit(rows: int, n: int) -> int:
+    """The greatest signed 64-bit hash that about `rows` of n values reach from below, or ten standard errors more."""
+    want = min(n, rows + math.isqrt(100 * rows) + 20)
+    return (want << 64) // max(n, 1) - (1 << 63) - 1
+
+
 def bounded_sample(df: DataFrame, by: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """Up to `rows` rows for each value of `by`, the same ones whatever the partitioning.
+    """The `rows` distinct ids of each value of `by` (all, if there are no more) that come first by hash, then by id.
 
-    The ids are thinned by a hash threshold worked out from counts, so that no
-    task sorts or gathers a class; a tie of hashes is broken by the id.
+    Ids are thinned by a threshold on the whole range of the hash, worked out from the
+    counts of the values, and cut exactly among the few that pass. Where repeated rows
+    leave too few of a value, its threshold is raised. Columns: id_col, by.
+    """
+    spark, hashed = df.sparkSession, F.xxhash64(F.col(id_col))
+    kind = df.schema[by].dataType.simpleString()
+    limits = {r[by]: [r["count"], hash_limit(rows, r["count"])] for r in df.groupBy(by).count().collect()}
+    while True:
+        table = spark.createDataFrame([(v, x) for v, (_, x) in limits.items()], f"{by} {kind}, _limit long")
+        # One row for each value.
+        picked = materialise(df.select(id_col, by).join(F.broadcast(table), by).filter(hashed <= F.col("_limit")).select(id_col, by).distinct())
+        have = {r[by]: r["count"] for r in picked.groupBy(by).count().collect()}
+        lacking = [v for v, (_, x) in limits.items() if have.get(v, 0) < rows and x < (1 << 63) - 1]
+        if not lacking:
+            break
+        for v in lacking:
+            limits[v][0] = max(1, limits[v][0] // 16)
+            limits[v][1] = hash_limit(rows, limits[v][0])
+    first = Window.partitionBy(by).orderBy(hashed, id_col)
+    return picked.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= rows).drop("_place")
+
+
+def bounded_texts(docs: DataFrame, picked: DataFrame, by: str, size: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """(id, value of `by`, text) of sampled ids, by id: one text for each id, whole texts by hash until `size` bytes of a value are full.
+
+    docs: id_col, text_col, and `by` if texts are to have that value themselves.
     """
-    counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, rows / max(n, 1))
-        point = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
-        keep = keep | ((F.col(by) == F.lit(value)) & (F.lit(share >= 1.0) | point))
-    return df.filter(keep)
+    on = [c for c in picked.columns if c in docs.columns]
+    # The sample's bound is its parameter, so its ids may go to every worker.
+    found = docs.join(F.broadcast(picked), on).groupBy(id_col, by).agg(F.min(text_col).alias("_text"))
+    before = Window.partitionBy(by).orderBy(F.xxhash64(F.col(id_col)), id_col).rowsBetween(Window.unboundedPreceding, -1)
+    sized = materialise(found).withColumn("_before", F.coalesce(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(before), F.lit(0)))
+    given = sized.filter(F.col("_before") < size).select(id_col, by, "_text").toArrow()
+    return sorted(zip(*(given[c].to_pylist() for c in (id_col, by, "_text")), strict=True), key=lambda x: (x[0], x[1]))
 
 
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)

@@ -9,12 +9,14 @@ document whose best single language comes within the penalty of it is settled at
 once; otherwise languages are added greedily while each addition pays for itself.
 
 Distributions are fitted on at most SAMPLE_PER_LANGUAGE whole documents of each
-language, thinned by a hash of the id; languages are those of all learned rows.
+language, the first by a hash of the id, and on no further ones once they fill
+SAMPLE_BYTES; languages are those of all learned rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and
 no proportions. Null lang and held-out rows are not learned from. Equal
 likelihoods go to the language first in the alphabet. With no labelled row at
-all, every document is `und`. Repeated rows give repeated results.
+all, every document is `und`. Repeated rows give repeated results and are learned
+from once; of texts that share id and language the first in the alphabet is.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.chargrams import gram_buckets, letter_codes
-from corvana.llm.common import bounded_sample, held_out, lean
+from corvana.llm.common import bounded_sample, bounded_texts, held_out, lean
 
 ORDER, BITS = 3, 16
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1500, 32 << 20
 SMOOTHING = 0.1
 ITERATIONS, TOLERANCE = 40, 1e-4
 #: Log-likelihood that a further language must gain, for each log of a trigram count.
@@ -69,8 +71,8 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
 
 def train(docs: DataFrame) -> Model:
     marked = docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out("doc_id"))
-    picked = bounded_sample(marked.select("doc_id", "text", "lang"), "lang", SAMPLE_PER_LANGUAGE).toArrow()
-    return fit(picked["text"].to_pylist(), picked["lang"].to_pylist())
+    rows = bounded_texts(marked, bounded_sample(marked.select("doc_id", "lang"), "lang", SAMPLE_PER_LANGUAGE), "lang", SAMPLE_BYTES)
+    return fit([x[2] for x in rows], [x[1] for x in rows])
 
 
 def mixture(p: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:

@@ -6,14 +6,16 @@ where p and q count the toxic and the other documents with a feature; logistic
 regression is trained on features scaled by r, and a score is its probability.
 
 The classifier is fitted on at most SAMPLE_PER_CLASS labelled documents of each
-class, thinned by a hash of the id; scoring takes every character of every text.
+class, the first by a hash of the id, and on no further ones once their texts fill
+SAMPLE_BYTES; scoring takes every character of every text.
 Only text and label are used: neither lang nor source nor doc_id is a feature.
 
 Defined cases: null and empty texts, and texts without letters, score as no
 feature does (the intercept, about the share of toxic documents, at most 0.25).
 Null labels, null ids and held-out rows are not learned from. With labels of one
 class alone (or none) every score is the share of toxic labels, at most 0.25.
-Repeated rows give repeated results.
+Repeated rows give repeated results and are learned from once; of texts that share
+an id the first in the alphabet is.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.chargrams import gram_buckets, letter_codes
-from corvana.llm.common import bounded_sample, held_out, lean
+from corvana.llm.common import bounded_sample, bounded_texts, held_out, lean
 
 ORDERS = (4, 5)
 BITS = 21
-SAMPLE_PER_CLASS = 5000
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 5000, 64 << 20
 #: Threshold of `predicted`.
 TOXIC_AT = 0.3
 #: A feature needs this many training documents and this log-count ratio.
@@ -97,10 +99,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("doc_id"))
-    picked = bounded_sample(marked, "toxic", SAMPLE_PER_CLASS)
-    # The sample's bound is the parameter's, so its ids may go to every worker.
-    given = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = sorted(zip(*(given[c].to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda x: (x[0], x[1], x[2] or ""))
+    rows = bounded_texts(docs.select("doc_id", "text"), bounded_sample(marked, "toxic", SAMPLE_PER_CLASS), "toxic", SAMPLE_BYTES)
     return fit([x[2] for x in rows], [x[1] for x in rows])
 
 

@@ -26,9 +26,39 @@ def test_split(spark):
 
 def test_sample_is_bounded_and_stable(spark):
     frame = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
-    picked = lambda f: sorted(r.doc_id for r in common.bounded_sample(f, "toxic", 200).collect())
+    picked = lambda f: sorted((r.toxic, r.doc_id) for r in common.bounded_sample(f, "toxic", 200).collect())
     once = picked(frame)
-    assert once == picked(frame.repartition(7)) and 300 < len(once) < 500
+    assert once == picked(frame.repartition(7)) and [t for t, _ in once] == [0] * 200 + [1] * 200
+    hashes = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for label in (0, 1):
+        of = sorted((h, i) for i, h in hashes.items() if (i % 4 == 0) == bool(label))
+        assert {i for t, i in once if t == label} == {i for _, i in of[:200]}
+
+
+def test_sample_of_repeated_rows(spark):
+    """One id with almost all rows of its class: the others are still drawn, and it counts once."""
+    frame = spark.range(20000).select(F.when(F.col("id") < 19950, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("lang"))
+    got = [r.doc_id for r in common.bounded_sample(frame, "lang", 30).collect()]
+    assert len(got) == len(set(got)) == 30
+    few = [r.doc_id for r in common.bounded_sample(frame, "lang", 1000).collect()]
+    assert sorted(few) == [7, *range(19950, 20000)]
+
+
+@pytest.mark.parametrize("n", [1, 1499, 1500, 10**6, 10**9, 16 * 10**8, 10**10, 10**15])
+def test_no_class_vanishes_at_any_size(n):
+    """Of n hashes spread evenly about as many pass as are wanted, with ten standard errors to spare."""
+    passing = (common.hash_limit(1500, n) + (1 << 63) + 1) * n >> 64
+    assert min(n, 1500) <= passing + 1 and passing <= min(n, 2000)
+    assert -(1 << 63) <= common.hash_limit(1500, n) < 1 << 63
+
+
+def test_texts_of_a_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(k, "é" * 50) for k in range(40)] + [(3, "a"), (99, None)], "doc_id long, text string")
+    picked = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    rows = common.bounded_texts(docs, picked, "toxic", 450)
+    assert {t for i, _, t in rows if i not in (3, 99)} == {"é" * 50} and all(t == "a" for i, _, t in rows if i == 3)
+    assert 5 <= sum(label == 0 for _, label, _ in rows) <= 6 and rows == sorted(rows, key=lambda x: x[0])
+    assert rows == common.bounded_texts(docs.repartition(5), picked.repartition(3), "toxic", 450)
 
 
 def test_letters():
@@ -70,6 +100,35 @@ def test_toxicity_learns_from_text_alone(spark):
     assert {r.doc_id: r.score for r in toxicity.toxicity(frame, other).collect()} == got
 
 
+def test_scores_are_those_of_a_plain_scorer():
+    """Log-count ratios and scores by dictionaries of n-grams, from the weights of the fit."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(2, 6)))
+    texts = [" ".join([word() for _ in range(40)] + ["zzqqx"] * (k % 3 == 0)) for k in range(120)] + [None, ""]
+    labels = [int(k % 3 == 0) for k in range(122)]
+    model = toxicity.fit(texts, labels)
+
+    def grams(text):
+        codes = "".join(map(chr, letter_codes(text or "")))
+        found = {codes[i : i + n] for n in toxicity.ORDERS for i in range(len(codes) - n + 1)}
+        return {g: int(toxicity.gram_buckets(np.array(list(map(ord, g)), dtype=np.uint32), len(g), toxicity.BITS)[0]) for g in found}
+
+    weights, have = dict(zip(model.features.tolist(), model.weights.tolist())), [set(grams(t).values()) for t in texts]
+    counts = [{}, {}]
+    for found, label in zip(have, labels):
+        for x in found:
+            counts[label][x] = counts[label].get(x, 0) + 1
+    pos, n = sum(labels), len(labels)
+    ratio = {x: np.log((1 + counts[1].get(x, 0)) / (1 + pos)) - np.log((1 + counts[0].get(x, 0)) / (1 + n - pos)) for x in {*counts[0], *counts[1]}}
+    chosen = {x for x, r in ratio.items() if counts[0].get(x, 0) + counts[1].get(x, 0) >= toxicity.MIN_DOCS and abs(r) >= toxicity.MIN_RATIO}
+    assert chosen == set(weights) and all(abs(weights[x]) < 1e-6 or np.sign(weights[x]) == np.sign(ratio[x]) or abs(weights[x]) < 0.5 for x in chosen)
+    asked = [*texts[:20], "zzqqx", "one zzqqx two", None, "", "😀 é 12", "Zzqqx!" * 500]
+    want = [1 / (1 + np.exp(-(model.intercept + sum(weights.get(x, 0.0) for x in set(grams(t).values()))))) for t in asked]
+    assert np.allclose(toxicity.score_texts(asked, model.dense(), model.intercept), want, atol=1e-5)
+    # Equal sets of n-grams, equal scores: a tie is a tie.
+    assert len({round(x, 12) for x in toxicity.score_texts(["zzqqx ab", "ab zzqqx ab zzqqx ab", "AB ZZQQX ab"], model.dense(), model.intercept)[1:]}) == 1
+
+
 def test_toxicity_edges(spark):
     model = toxicity.fit(["bad badly worst"] * 5 + ["good fine nice", None, ""] * 3, [1] * 5 + [0] * 9)
     frame = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "bad badly worst"), (None, "x"), (4, "fine")], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("predicted", F.lit(1))
@@ -113,6 +172,59 @@ def test_mixture(model):
     assert langid.infer(langid.fit([], []), "abc") == ("und", 0.0, [])
 
 
+def plain_infer(model, text):
+    """The same by dictionaries: EM over all sets that the greedy search may try."""
+    from math import log
+
+    codes = "".join(map(chr, letter_codes(text or "")))
+    counts = {}
+    for i in range(len(codes) - langid.ORDER + 1):
+        b = int(langid.gram_buckets(np.array(list(map(ord, codes[i : i + langid.ORDER])), dtype=np.uint32), langid.ORDER, langid.BITS)[0])
+        counts[b] = counts.get(b, 0) + 1
+    k = len(model.languages)
+    if not counts:
+        return "und", 0.0, []
+    p = {b: [np.exp(float(model.logp[b, j])) for j in range(k)] for b in counts}
+    total = sum(counts.values())
+
+    def em(use):
+        share = {j: 1 / len(use) for j in use}
+        for _ in range(langid.ITERATIONS):
+            new = {j: sum(n * share[j] * p[b][j] / sum(share[i] * p[b][i] for i in use) for b, n in counts.items()) / total for j in use}
+            moved = max(abs(new[j] - share[j]) for j in use)
+            share = new
+            if moved < langid.TOLERANCE:
+                break
+        return share, sum(n * log(sum(share[i] * p[b][i] for i in use)) for b, n in counts.items())
+
+    penalty = langid.PENALTY * log(total + 1)
+    single = [sum(n * log(p[b][j]) for b, n in counts.items()) for j in range(k)]
+    best = max(range(k), key=lambda j: (single[j], -j))
+    whole, bound = em(list(range(k)))
+    chosen, value, part = [best], single[best], {best: 1.0}
+    while bound - value > penalty and len(chosen) < k:
+        tries = [(em([*chosen, j]), -j) for j in range(k) if j not in chosen]
+        (share, v), j = max(tries, key=lambda x: (x[0][1], x[1]))
+        if v - value <= penalty:
+            break
+        chosen, value, part = [*chosen, -j], v, share
+    main = max(chosen, key=lambda j: (part[j], -j))
+    return model.languages[main], whole[main] if len(chosen) == 1 else part[main], sorted((model.languages[j], part[j]) for j in chosen)
+
+
+def test_inference_is_that_of_plain_em(model):
+    m, make = model
+    texts = [make("abcde"), f"{make('abcde')} {make('fghij')}", f"{make('fghij')} {make('klmno')} {make('klmno')}", f"{make('abcde')} {make('fghij')} {make('klmno')}", "ab", "a", "cafe", "abc fgh klm", "é ü 1", "", None]
+    for text in texts:
+        got, want = langid.infer(m, text), plain_infer(m, text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=2e-3) and [(n, pytest.approx(x, abs=2e-3)) for n, x in sorted(got[2])] == want[2]
+
+
+def test_equal_likelihoods_go_to_the_first_language():
+    same = langid.fit(["abc def", "abc def", "xyz"], ["bb", "aa", "cc"])
+    assert langid.infer(same, "abc")[0] == "aa" and plain_infer(same, "abc")[0] == "aa"
+
+
 def test_language_rows(spark, model):
     m, make = model
     frame = spark.createDataFrame([(1, make("abcde")), (2, None), (None, make("fghij")), (3, "!"), (1, make("abcde"))], "doc_id long, text string").withColumn("lang_pred", F.lit("clash"))
