@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corvana.llm.common import lean
+from corvana.llm.common import keeps, lean
 from corvana.llm.pretokens import TextEncoder
 
 BYTE_BASE = 0x100
@@ -106,6 +106,9 @@ def codec(vocabulary: str, pattern: str) -> ByteBpe:
     return ByteBpe(read_ranks(vocabulary), pattern)
 
 
+keeps(__name__, codec.cache_clear)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens and ids of every row; the vocabulary file must be readable on the workers."""
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvana.llm.common import WordCodes, lean, slices, window_hashes, word_codes
+from corvana.llm.common import WordCodes, keeps, lean, slices, window_hashes, word_codes
 
 GRAM, PICK = 3, 2
 #: Cells on either side of a candidate's diagonal that the alignment may use.
@@ -64,6 +64,7 @@ TEMPLATES = {
 }
 
 _WORDS = WordCodes()
+keeps(__name__, _WORDS.clear)
 
 
 def winnow(hashes: np.ndarray, pick: int = PICK) -> np.ndarray:

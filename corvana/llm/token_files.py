@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.llm import mixing_coder
-from corvana.llm.common import file_system, lean, materialise, scratch_dir
+from corvana.llm.common import file_system, keeps, lean, materialise, scratch_dir
 from corvana.llm.pretokens import TextEncoder
 
 TAIL = struct.Struct("<QIQQQ4s")
@@ -61,6 +61,9 @@ def _encoder(tokenizer: str, pattern: str):
     return TextEncoder(pattern, encode), tok
 
 
+keeps(__name__, _encoder.cache_clear)
+
+
 def _encode_many(encoder: TextEncoder, tok, texts: list[str | None], added: list[str]) -> list[bytes]:
     """Ids of texts; those that hold an added token go to the tokenizer as a whole."""
     whole = {k for k, t in enumerate(texts) if t and any(a in t for a in added)}

@@ -90,6 +90,53 @@ def test_large_family_in_many_buckets(spark, monkeypatch):
 EDGE = [(1, None), (2, None), (3, ""), (4, ""), (5, "..."), (6, "..."), (7, "!!!"), (8, "One two"), (9, "one, TWO!"), (10, "one two three"), (None, "one two"), (11, "a b c d e"), (12, "a b c d e"), (12, "a b c d e"), (13, "la " * 30000), (14, "la " * 30001)]
 
 
+def versions(rng, n):
+    """Texts that share most words: many pairs a little below or above the threshold, over many components."""
+    base, rows = words(rng, 60), []
+    for k in range(n):
+        mine = base[:]
+        for _ in range(rng.randint(0, 3)):
+            mine[rng.randrange(60)] = f"w{rng.randrange(60)}"
+        rows.append((k, " ".join(mine)))
+    return rows
+
+
+@pytest.mark.parametrize("crowded", [0, 3, 8192])
+def test_crowded_buckets(spark, monkeypatch, crowded):
+    """Buckets dealt anew by further registers give what blocks alone give."""
+    rows = versions(random.Random(21), 120) + [(1000 + k, t) for k, (_, t) in enumerate(versions(random.Random(22), 60))]
+    monkeypatch.setattr(P, "CROWDED", crowded)
+    monkeypatch.setattr(P, "OUTSIDE_ROWS", 8)
+    monkeypatch.setattr(P, "OUTSIDE_SHINGLES", 200)
+    assert classes(spark, rows) == brute(rows)
+
+
+def test_skewed_bucket(spark, monkeypatch):
+    """One passage of which every text has nine tenths at most: a third of all rows in common buckets, few of them near."""
+    rng = random.Random(23)
+    passage, rows = words(rng, 70), []
+    for k in range(200):
+        rows.append((k, " ".join(words(rng, 9 + k % 9) + passage)))
+    rows += [(500 + k, " ".join(words(rng, 80))) for k in range(400)]
+    monkeypatch.setattr(P, "CROWDED", 16)
+    assert classes(spark, rows) == brute(rows)
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(P, "MATCHES", 7)
+    pool = np.unique(rng.integers(1, 2**62, 50, dtype=np.uint64))
+    side = P._Side(())
+    sets = [np.sort(rng.choice(pool, size=n, replace=False)) for n in (1, 5, 20, 40)]
+    sizes = [len(x) for x in sets]
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    side.rows, side.every, side.owner = len(sets), every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    for n in (0, 1, 30, len(pool)):
+        asked = np.sort(rng.choice(pool, size=n, replace=False))
+        assert side.shared(asked).tolist() == [len(np.intersect1d(asked, x)) for x in sets]
+
+
 def test_edges(spark):
     got = classes(spark, EDGE)
     assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11, 12: 11, 13: 13, 14: 13}
