@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 #: Elements that begin and end a block of text.
@@ -31,8 +33,9 @@ ENDS = {
 _KEEP_P = frozenset(("button", "label", "svg", "video", "audio", "object", "iframe", "select", "textarea", "option", "optgroup", "html", "body", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend"))
 _P_SCOPE = frozenset(("button", "td", "th", "caption", "table", "html", "object"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SIGN = re.compile(r"[>\"']")
 
 
 @dataclass
@@ -53,17 +56,69 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)}
 
 
+class _Tokens:
+    """Tags and the text between them, in one pass: each character is looked at a bounded number of times."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at, self.quoted = source, 0, True
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name or text, rest of the tag); kinds: text, open, close."""
+        source, end = self.source, len(self.source)
+        while self.at < end:
+            at = self.at
+            if source[at] != "<":
+                self.at = stop = (source.find("<", at) + 1 or end + 1) - 1
+                yield "text", source[at:stop], ""
+                continue
+            if source.startswith("<!--", at):
+                self.at = (source.find("-->", at + 4) + 3) if source.find("-->", at + 4) >= 0 else end
+                continue
+            after = source[at + 1 : at + 2]
+            if after in ("!", "?"):
+                self.at = (source.find(">", at) + 1) or end
+                continue
+            closing = after == "/"
+            name = _NAME.match(source, at + 1 + closing)
+            stop = self.tag_end(name.end()) if name else -1
+            if stop < 0:  # no tag, or one whose quotes never end: its sign is text
+                self.at = at + 1
+                yield "text", "<", ""
+                continue
+            self.at = min(stop + 1, end)
+            yield ("close" if closing else "open"), name[0].lower(), source[name.end() : stop]
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag's `>` is, or the end of the page; -1 where a quote never ends, after which quotes count no more."""
+        source = self.source
+        while self.quoted:
+            sign = _SIGN.search(source, at)
+            if sign is None:
+                return len(source)
+            if sign[0] == ">":
+                return sign.start()
+            at = source.find(sign[0], sign.end()) + 1
+            if not at:
+                self.quoted = False
+                return -1
+        stop = source.find(">", at)
+        return stop if stop >= 0 else len(source)
+
+
 def parse(source: str | None) -> list[Node]:
     """Nodes in page order, parents before children; node 0 is the root.
 
     White space of a run is one space, character references are decoded, comments
     and silent elements are left out. Tags that are missing or out of order end
-    where their parents do.
+    where their parents do. Time is in proportion to the page, whatever its markup:
+    the open elements of each name are known by their depth.
     """
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # block elements that are open
-    links = silent = linked = 0
+    depths: dict[str, list[int]] = defaultdict(list)  # where those of a name are
+    links = linked = 0
     quiet: list[str] = []
+    hushed: Counter[str] = Counter()
     run: list[str] = []
     source = source or ""
 
@@ -80,63 +135,59 @@ def parse(source: str | None) -> list[Node]:
 
     def close_to(depth: int) -> None:
         flush()
-        del stack[depth:]
-
-    at, end = 0, len(source)
-    while at < end:
-        m = _TOKEN.match(source, at)
-        if m is None:  # a tag whose quotes never end: its sign is text
-            run.append("<")
-            at += 1
-            continue
-        at, tag = m.end(), m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if not silent:
-                    run.append(piece)
-                    if links:
-                        linked += len(piece)
+        while len(stack) > depth:
+            depths[stack.pop()[0]].pop()
+
+    def nearest(names: Iterable[str]) -> int:
+        """Depth of the innermost open element of any of the names, 0 without one."""
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
+    tokens = _Tokens(source)
+    for kind, tag, rest in tokens:
+        if kind == "text":
+            if not quiet:
+                run.append(tag)
+                if links:
+                    linked += len(tag)
             continue
-        tag = tag.lower()
-        if m[1]:
-            if silent:
-                if tag in quiet:
-                    while quiet and quiet.pop() != tag:
-                        pass
-                    silent = len(quiet)
+        if kind == "close":
+            if quiet:
+                if hushed[tag]:
+                    while (name := quiet.pop()) != tag:
+                        hushed[name] -= 1
+                    hushed[tag] -= 1
                 continue
             if tag == "a":
                 links = 0
             elif tag in BLOCKS:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+                depth = nearest((tag,))
                 if depth:
                     close_to(depth)
                 else:
                     flush()
                 links = 0
             continue
-        if silent:
-            if tag in SILENT and tag not in VOID and not m[3].endswith("/") and tag not in RAW:
+        if quiet:
+            if tag in SILENT and tag not in VOID and not rest.endswith("/") and tag not in RAW:
                 quiet.append(tag)
-                silent = len(quiet)
+                hushed[tag] += 1
             elif tag == "body":  # a head that was never closed
                 quiet.clear()
-                silent = 0
-            else:
+                hushed.clear()
+            elif tag not in RAW:
                 continue
-            if silent:
+            if quiet and tag not in RAW:
                 continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
-            if tag in BLOCKS:
+            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, tokens.at)
+            if tag in BLOCKS and not quiet:
                 flush()
-            at = stop.end() if stop else end
+            tokens.at = stop.end() if stop else len(source)
             continue
         if tag in SILENT:
-            if not m[3].endswith("/"):
+            if not rest.endswith("/"):
                 quiet.append(tag)
-                silent = len(quiet)
+                hushed[tag] += 1
             if tag in BLOCKS:
                 flush()
             continue
@@ -146,28 +197,23 @@ def parse(source: str | None) -> list[Node]:
             run.append("\n")
         elif tag in BLOCKS:
             if tag not in _KEEP_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close_to(k)
-                        break
-                    if stack[k][0] in _P_SCOPE:
-                        break
+                paragraph = nearest(("p",))
+                if paragraph > nearest(_P_SCOPE):
+                    close_to(paragraph)
             if tag in ENDS:
                 ended, scope = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in scope:
-                        break
-                    if stack[k][0] in ended:
-                        close_to(k)
-                        break
+                inner = nearest(ended)
+                if inner > nearest(scope - ended):
+                    close_to(inner)
             flush()
             links = 0
             if tag == "hr":
                 continue
             above = stack[-1][1]
             nodes[above].children += 1
-            names = attributes(m[3]) if "=" in m[3] else {}
+            names = attributes(rest) if "=" in rest else {}
             nodes.append(Node(tag, above, names=names))
+            depths[tag].append(len(stack))
             stack.append((tag, len(nodes) - 1))
     flush()
     return nodes

@@ -13,7 +13,8 @@ pages are written by layouts(), from a seed: layouts of many styles with the lab
 of their elements, since no table has such labels.
 
 Defined cases: null and empty html, and html without text, give an empty text.
-Broken and cut markup is read as far as it goes. Repeated rows give repeated
+Fragments without html and body, plain text too, may be an article alone. Broken and
+cut markup is read as far as it goes, in time in proportion to its size. Repeated rows give repeated
 results; other columns are not carried.
 """
 
@@ -32,6 +33,8 @@ from corvana.llm.common import lean
 from corvana.llm.dom import Node, parse
 
 EDGES = ("element", "text")
+#: A page with one of these has a frame; without, it may be an article alone.
+FRAME = ("html", "body")
 TRAINING_PAGES, EPOCHS, RATE, L2, SEED = 800, 16, 0.15, 2e-3, 11
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -40,14 +43,17 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 def features(nodes: list[Node]) -> list[list[str]]:
     """Names of the active features of each node."""
     out: list[list[str]] = []
+    frame = "page" if any(n.tag in FRAME for n in nodes) else "fragment"
     for node in nodes:
         if node.tag == "#text":
             size, parent = len(node.text), nodes[node.parent]
+            above = nodes[max(0, parent.parent)]
             share = node.linked / size
             out.append([
                 "text",
                 f"in:{parent.tag}",
-                f"over:{nodes[parent.parent].tag if parent.parent >= 0 else ''}",
+                f"over:{above.tag if parent.parent >= 0 else ''}{'' if above.names else '-bare'}",
+                f"{frame}:{parent.tag}",
                 f"size:{min(9, size.bit_length() - 1)}",
                 f"linked:{math.ceil(share * 4)}",
                 "stop" if node.text[-1] in ".!?:;…»”\"。" else "no-stop",
@@ -57,14 +63,16 @@ def features(nodes: list[Node]) -> list[list[str]]:
         else:
             found = [f"tag:{node.tag}"]
             if node.parent >= 0:
-                found.append(f"under:{nodes[node.parent].tag}")
+                found += [f"under:{nodes[node.parent].tag}", f"under:{nodes[node.parent].tag}>{node.tag}"]
+            else:
+                found.append(frame)
             for name in ("class", "id", "role", "aria-label", "itemprop"):
                 value = node.names.get(name)
                 if value:
-                    found += [f"name:{w.lower()}" for w in _WORD.findall(value)[:12]]
+                    found += [f"name:{w.lower()}" for w in _WORD.findall(value)]
             if "hidden" in node.names or "display:none" in node.names.get("style", "").replace(" ", ""):
                 found.append("hidden")
-            if node.tag in ("article", "section", "main") and len(found) == 2:
+            if not any(f.startswith("name:") for f in found):
                 found.append(f"bare:{node.tag}")
             out.append(list(dict.fromkeys(found)))
     return out
@@ -123,10 +131,10 @@ class Model:
 
 
 def _label(nodes: list[Node]) -> None:
-    """Labels from data-y; a node without one takes its parent's."""
+    """Labels from data-y, which goes from the names; a node without one takes its parent's, and the root of a page with no label 0 takes 1."""
+    marks = [n.names.pop("data-y", None) for n in nodes]
     for k, node in enumerate(nodes):
-        own = node.names.get("data-y")
-        node.label = int(own) if own in ("0", "1") else nodes[node.parent].label if k else 0
+        node.label = int(marks[k]) if marks[k] in ("0", "1") else nodes[node.parent].label if k else int("0" not in marks)
 
 
 _SYLLABLES = "ta re mi on an der ver schi la que ion ment ci os ar th ing ed un ei pa ro sel".split()
@@ -166,7 +174,7 @@ def _layout(rng: random.Random) -> str:
         "advert": lambda: box(["ad", "ads", "advert", "advertisement", "adbox", "sponsored", "sponsor", "promo", "promotion", "banner-ad", "ad-slot", "commercial", "partner", "outbrain", "taboola"], prose(1, 3) if rng.random() < 0.6 else tag("p", prose(1, 2)) + link(), ("div", "div", "aside", "section", "ins")),
         "form": lambda: tag("form", tag("label", " ".join(words(1, 3))) + '<input name="q">' + (tag("p", prose(1, 2)) if rng.random() < 0.5 else "") + tag("button", " ".join(words(1, 2))), rng.choice(("", "search", "login", "signup", "contact", "subscribe")), 0),
         "comments": lambda: box(["comments", "comment-list", "responses", "discussion", "disqus", "replies", "reader-comments", "respond", "feedback"], tag(rng.choice(("h2", "h3")), " ".join(words(1, 3))) + "".join(tag(rng.choice(("div", "li", "article")), tag("p", prose(1, 4)), rng.choice(("comment", "reply", "comment-body", "message"))) for _ in range(rng.randint(1, 4))), ("section", "div", "div", "ol")),
-        "share": lambda: box(["share", "social", "sharing", "follow", "share-buttons", "author-bio", "byline", "meta", "post-meta", "print", "tools", "skip", "screen-reader", "caption-credit"], " ".join(link() for _ in range(rng.randint(1, 4))) if rng.random() < 0.7 else sentence(2, 7)),
+        "share": lambda: box(["share", "social", "sharing", "follow", "share-buttons", "author-bio", "byline", "meta", "post-meta", "print", "tools", "skip", "screen-reader", "caption-credit"], rng.choice((" ".join(link() for _ in range(rng.randint(1, 4))), " ".join(words(1, 3)) + " " + link(), " ".join(words(1, 4)), sentence(2, 7)))),
     }
 
     def some(kinds: list[str], most: int) -> str:
@@ -200,6 +208,17 @@ def _layout(rng: random.Random) -> str:
         parts.insert(rng.randint(0, len(parts)), side[rng.choice(("advert", "advert", "notice", "share", "sidebar", "form", "form", "menu", "comments"))]())
     inside = (tag("h1", " ".join(words(2, 10)).capitalize()) if rng.random() < 0.8 else "") + (tag("p", prose(1, 2)) if rng.random() < 0.3 else "") + "".join(parts)
     good = ["article", "content", "main", "main-content", "post", "entry", "entry-content", "story", "story-body", "article-body", "body", "text", "page-content", "post-content", "prose", ""]
+    if rng.random() < 0.12:  # a fragment that is an article alone, in all its parts
+        bare = "".join(re.sub(r"<(?:form|aside|nav|ins|dialog)\b.*", "", x) for x in parts if "data-y" not in x)
+        kind = rng.random()
+        if kind < 0.2 or not bare:
+            return rng.choice(("", "\n")) + rng.choice((prose(1, 9), " ".join(words(1, 60)), f"{prose(1, 3)}<br><br>{prose(1, 4)}"))
+        return bare if kind < 0.45 else tag(rng.choice(("div", "div", "section", "article", "main")), bare, rng.choice(("", "", "", "text", "content")))
+    title = tag("h1", " ".join(words(2, 10)).capitalize())
+    if rng.random() < 0.15:  # an article's own header: its headline belongs to it
+        inside = tag("header", title + rng.choice(("", side["share"](), tag("p", sentence(4, 14)))), rng.choice(("", "", "entry-header", "post-header")), 1) + "".join(parts)
+    if rng.random() < 0.1:
+        inside += tag("footer", side["share"]() if rng.random() < 0.5 else sentence(2, 7), rng.choice(("", "entry-footer", "post-footer")), 0)
     style = rng.random()
     if style < 0.45:
         inside = tag("article", inside, rng.choice(good) if rng.random() < 0.4 else "", 1)
