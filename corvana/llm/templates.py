@@ -16,9 +16,10 @@ cover MIN_COVERAGE of its tokens; `exact` tells whether no slot was changed.
 Templates with fewer than LITERALS of their tokens standing for themselves are left
 out, as they fit anything. Beside them the windows of the tokens themselves, in lower
 case, are joined at all positions, so that word-for-word copies are found however
-many slots they have and whatever became of the case of names; only a window all in
-capitals is held apart from windows that are not. Where the slots of a copy are not
-consistent, its unchanged windows still count.
+many slots they have and whatever their case: all in capitals, in title case or without
+any. Where the slots of a copy are not consistent, its unchanged windows still count.
+Number and unit words are those of English, German, French and Spanish; words that are
+common in another sense in one of these (`once`, `elf`, `seize`, articles) are left out.
 
 An item shorter than a window is one window as long as itself; if it begins with a
 capital, it has that window with its first word as a name, too, as a document may not
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvana.llm.common import CACHED_WORD_CHARS, CACHE_ENTRIES, lean, materialise, mix64, slices, window_hashes
+from corvana.llm.common import CACHED_WORD_CHARS, CACHE_ENTRIES, keeps, lean, materialise, mix64, slices, window_hashes
 
 WINDOW, MIN_TOKENS = 8, 4
 LITERALS = 0.6
@@ -48,21 +49,27 @@ MIN_COVERAGE = 0.6
 #: Bits of the Bloom filter for each benchmark window, and of the whole at most.
 FILTER_BITS, MAX_FILTER_BITS = 64, 1 << 27
 
-# English number words and common units of measure.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+# Number words and common units of measure.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million milliarde "
+    "zéro deux trois quatre cinq huit neuf dix onze douze treize quatorze quinze vingt trente quarante cinquante soixante cent mille milliard "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil millón".split()
+)
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons tonne tonnes oz ounce ounces lb lbs pound pounds ml cl l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh kph hz khz mhz ghz b kb mb gb tb w kw kwh v a c f k j kj cal kcal pa kpa "
-    "meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms degree degrees percent dollar dollars cent cents euro euros usd eur gbp".split()
+    "meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms degree degrees percent dollar dollars cent cents euro euros usd eur gbp "
+    "stunde stunden minute minuten sekunde sekunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren gramm kilogramm pfund meile meilen grad prozent "
+    "heure heures seconde secondes jour jours semaine semaines mois année années kilogramme kilogrammes grammes mètre mètres livre livres litres kilomètre kilomètres degrés "
+    "hora horas minuto minutos segundo segundos día días semana semanas mes meses año años gramo gramos kilo kilos metro metros libra libras litro litros kilómetro kilómetros grados dólares céntimos".split()
 )
 
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _NUMBER = re.compile(r"\d[\d.,:/]*")
 _WITH_UNIT = re.compile(r"\d[\d.,:/]*[^\W\d]{1,6}\Z")
-_CAP, _NUM, _UNIT, _ENDS, _BOTH, _SOFT = 1, 2, 4, 8, 16, 32
+_CAP, _NUM, _UNIT, _ENDS, _BOTH = 1, 2, 4, 8, 16
 _FLAG_BITS = 6
-#: Added to the hash of a window of tokens themselves that is all in capitals.
-_LOUD = np.uint64(xxhash.xxh3_64_intdigest("<capitals>"))
 _NUMBER_SLOT, _BOTH_SLOT, _UNIT_SLOT, _NAME_SLOT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<number>", "<number unit>", "<unit>", "<name>"))
 
 
@@ -86,7 +93,6 @@ class _Words(dict):
             flags |= _NUM
         else:
             flags |= (_UNIT if low in UNITS else 0) | (_CAP if core[0].isupper() else 0)
-        flags |= 0 if core.isupper() else _SOFT
         return (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << _FLAG_BITS | flags
 
     @staticmethod
@@ -108,12 +114,12 @@ class _Words(dict):
                 flags |= _UNIT | (_CAP if core[0].isupper() else 0)
             elif core[0].isupper():
                 flags |= _CAP
-            flags |= _SOFT if (not core.isupper() if core.isalpha() else core.upper() != core) else 0
             value = (xxhash.xxh3_64_intdigest(low) >> 7 | 1) << _FLAG_BITS | flags
         return value
 
 
 _WORDS = _Words()
+keeps(__name__, _WORDS.clear)
 
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +170,8 @@ def windows(owner: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) ->
     return at, mix64(hashes[at] + np.uint64(size))
 
 
-def verbatim(owner: np.ndarray, own: np.ndarray, slot: np.ndarray, flags: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows with slots begin, and the hashes of their tokens themselves.
+def verbatim(owner: np.ndarray, own: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows with slots begin, and the hashes of their tokens themselves, in lower case.
 
     A window without slots is its own template: windows() gives it the same hash.
     """
@@ -174,9 +180,7 @@ def verbatim(owner: np.ndarray, own: np.ndarray, slot: np.ndarray, flags: np.nda
         return np.empty(0, dtype=np.intp), np.empty(0, dtype=np.uint64)
     slots = np.concatenate(([0], np.cumsum(slot)))
     at = np.flatnonzero((owner[:n] == owner[size - 1 :]) & (slots[size:] > slots[:-size]))
-    soft = np.concatenate(([0], np.cumsum(flags & _SOFT > 0)))
-    loud = soft[at + size] == soft[at]
-    return at, mix64(window_hashes(own, size)[at] + np.uint64(size) + np.where(loud, _LOUD, np.uint64(0)))
+    return at, mix64(window_hashes(own, size)[at] + np.uint64(size))
 
 
 def _as_name(found: tuple[np.ndarray, np.ndarray], renamed: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +207,7 @@ def _rows(ids: list, texts: list[str | None], sizes: list[int] | None, bloom: np
         named[begins] |= flags[begins] & _CAP > 0
         renamed = np.where(named & ~slot, _NAME_SLOT, code)
     for size in sizes if sizes is not None else range(MIN_TOKENS, WINDOW + 1):
-        kinds = [(slot, windows(owner, code, slot, size)), (slot, verbatim(owner, own, slot, flags, size))]
+        kinds = [(slot, windows(owner, code, slot, size)), (slot, verbatim(owner, own, slot, size))]
         if sizes is None:
             kinds.append((named, _as_name(windows(owner, renamed, named, size), named & ~slot, counts[owner] == size)))
         for itself, (slots, (at, hashes)) in enumerate(kinds):
@@ -278,9 +282,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = given.mapInArrow(lean(run), kind).selectExpr("hash", "doc_id", "pos AS doc_pos", "size", "slots AS doc_slots")
     both = found.join(items.select("hash", "item_id", "pos", "size", "slots", "tokens"), ["hash", "size"])
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")), lambda x: x["item"] != 0)
-    # A copy has each position of the item once: what is collected is bounded by the item.
+    # A copy has each position of the item once, repeated rows of a document give it again: sets are bounded by the item and its values.
     copies = both.groupBy("doc_id", "item_id", "tokens", (F.col("doc_pos") - F.col("pos")).alias("diagonal")).agg(
-        F.collect_set(F.struct("pos", "size", F.forall(pairs, lambda x: x["item"] == x["doc"]).alias("same"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
+        F.collect_set(F.struct("pos", "size", F.forall(pairs, lambda x: x["item"] == x["doc"]).alias("same"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
     counted = F.filter("spans", lambda x: consistent | x["same"])

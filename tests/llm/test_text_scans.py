@@ -101,6 +101,65 @@ def test_main_text_edges(spark, model):
     assert main_text.main_text(frame.limit(0), model).count() == 0
 
 
+LINE = "This is a paragraph of the article with a whole sentence in it. And a second one follows."
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "Plain text of a page without a tag.\nIt has two sentences.",
+        f"<p>{LINE}</p><p>{LINE}</p>",
+        f"<div><p>{LINE}</p><p>{LINE}</p></div>",
+        f"<section><p>{LINE}</p><p>{LINE}</p></section>",
+        f"<article><h2>A headline</h2><p>{LINE}</p></article>",
+        f"<h1>A headline</h1>{LINE}",
+    ],
+)
+def test_fragments_are_articles(model, source):
+    blocks = [n.text for n in dom.parse(source) if n.tag == "#text"]
+    assert [t for t, _ in main_text.extract(model, source)] == blocks
+
+
+#: Pages written by hand, apart from the generator: the article's blocks are marked by @.
+PAGES = [
+    f"""<html><body><header class="site"><a href="/">The Daily</a></header><nav><a href="/a">World</a> <a href="/b">Sport</a></nav>
+    <article><header><h1>@A headline of the day</h1></header><p>@{LINE}</p><div class="share">Share this</div><p>@{LINE}</p></article>
+    <aside class="related"><h3>Related</h3><ul><li><a href="/x">Another story</a></li></ul></aside><footer>&copy; 2024 The Daily</footer></body></html>""",
+    f"""<body><div id="cookie-banner"><p>We use cookies to improve this site.</p><button>Accept</button></div><div id="main"><h2>@On rivers</h2>
+    <p>@{LINE}</p><blockquote><p>@{LINE}</p></blockquote><ul><li>@first point of the text</li><li>@second point of the text</li></ul></div>
+    <div id="comments"><h3>2 comments</h3><div class="comment"><p>I do not agree with this at all.</p></div></div></body>""",
+    f"""<html><head><title>x</title></head><body><div class="wrapper"><div class="menu"><ul><li><a href="1">Home</a></li><li><a href="2">Shop</a></li></ul></div>
+    <main class="content"><h1>@Bread</h1><p>@{LINE}</p><form action="/s"><label>Newsletter</label><input><button>Send</button></form><p>@{LINE}</p>
+    <figure><img src=x><figcaption>@A loaf of bread on a table</figcaption></figure></main></div><div class="footer"><p>All rights reserved. Contact us.</p></div></body></html>""",
+    f"""<html><body><div class="post"><div class="post-content"><p>@{LINE} {LINE}</p><div class="ad">Buy two now and save a lot of money.</div><p>@{LINE}</p></div></div>
+    <div class="sidebar"><h4>Popular</h4><p>Ten things that you did not know.</p></div></body></html>""",
+]
+
+
+def test_pages_written_by_hand(model):
+    right = wrong = missed = 0
+    for page in PAGES:
+        want = [n.text[1:] for n in dom.parse(page) if n.tag == "#text" and n.text.startswith("@")]
+        got = [t for t, _ in main_text.extract(model, page.replace("@", ""))]
+        right += len(set(want) & set(got))
+        wrong, missed = wrong + len(set(got) - set(want)), missed + len(set(want) - set(got))
+    assert wrong == 0 and missed == 0 and right == 11
+
+
+@pytest.mark.parametrize(
+    "source",
+    ['<a x="' * 170_000, "<a \"<a '>\" '" * 80_000, "<div>" * 60_000 + "</b></i></ul></p>" * 40_000, "<li><ul>" + "<div><li></li>" * 70_000, "<svg>" * 100_000 + "</math>" * 70_000, "<" * 1_000_000, "<dl>" + "<dt><div>" * 100_000, "<p><b>" * 160_000, "<div></p></section>" * 50_000, "<!--" * 250_000, "<p a" + " " * 1_000_000],
+    ids=range(11),
+)
+def test_hostile_markup_is_read_in_seconds(source):
+    """About a megabyte each."""
+    import time
+
+    began = time.process_time()
+    dom.parse(source)
+    assert time.process_time() - began < 15
+
+
 # Decontamination
 
 
@@ -133,10 +192,10 @@ def test_templates(spark):
     bench = [(1, ITEM), (2, None), (3, ""), (4, "two words"), (5, "one short item here")]
     frame, items = spark.createDataFrame(docs, "doc_id long, text string").withColumn("slots", F.lit("clash")), spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in templates.leaks(frame, items).collect()}
-    assert {k[0] for k in got} == {1, 2, 7, 10} and {k[1] for k in got} == {1}
-    assert got[1, 1].exact and got[10, 1].exact and not got[2, 1].exact and got[10, 1].copies >= 299
+    assert {k[0] for k in got} == {1, 2, 4, 7, 10} and {k[1] for k in got} == {1}
+    assert got[1, 1].exact and got[4, 1].exact and got[10, 1].exact and not got[2, 1].exact and got[10, 1].copies >= 299
     kept = templates.without_leaks(frame, items)
-    assert kept.columns == frame.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 6, 8, 9]
+    assert kept.columns == frame.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 5, 6, 8, 9]
     assert templates.leaks(frame.limit(0), items).count() == 0 and templates.leaks(frame, items.limit(0)).count() == 0
 
 
@@ -173,6 +232,20 @@ def test_unchanged_windows_of_an_inconsistent_copy_count(spark):
     assert 0.6 <= got.coverage < 1 and not got.exact
 
 
+def test_slots_of_other_languages(spark):
+    bench = [(1, "Wenn sie gestern zwölf rote und drei grüne davon gekauft und dafür zwanzig Euro bezahlt hat, wie viel hat sie dann noch übrig"), (2, "Ayer compró Luis cinco libras de pan y ocho litros de agua en la tienda nueva de la calle mayor")]
+    docs = [(1, "Wenn sie gestern sieben rote und neun grüne davon gekauft und dafür 31 Euro bezahlt hat, wie viel hat sie dann noch übrig"), (2, "Ayer compró Pablo 7 kilos de pan y nueve litros de agua en la tienda nueva de la calle mayor"), (3, "nichts davon")]
+    got = templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in got} == {(1, 1, False), (2, 2, False)}
+
+
+def test_repeated_rows_and_hot_windows(spark):
+    """Repeated rows of a document count once; a window that thousands of rows share meets each once."""
+    rows = [(k % 3, f"Before it. {ITEM} After it.") for k in range(900)] + [(100 + k, f"{ITEM} {k}") for k in range(600)]
+    got = templates.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, *range(100, 700)] and all(r.copies == 1 and r.exact for r in got)
+
+
 def test_many_documents_in_one_pass_keep_apart():
     texts = ["a b c d", "e f g h", "", "i j k l m n o p q"]
     owner, code, own, slot = templates.canonical(texts)
