@@ -60,7 +60,7 @@ def orphans(files: DataFrame, referenced: DataFrame, key: str = "path") -> DataF
 
 def lifecycle_status(exists: Column, ignored: Column, changed: Column) -> Column:
     """ignored, deleted, changed or fresh."""
-    return F.when(exists & ignored, "ignored").when(~exists, "deleted").when(changed, "changed").otherwise("fresh")
+    return F.when(ignored, "ignored").when(~exists, "deleted").when(changed, "changed").otherwise("fresh")
 
 
 ACTIONS = {"ignored": "detach-derived-artifacts", "deleted": "mark-stale-and-clean-derived-artifacts", "changed": "reprocess-from-source", "fresh": "keep"}
@@ -73,9 +73,11 @@ def lifecycle_action(status: Column) -> Column:
 def snapshot_diff(indexed: DataFrame, current: DataFrame) -> DataFrame:
     """path, status, action of the indexed files that are no longer fresh.
 
-    indexed: path, sha256; current: path, sha256, ignored. Files that are not indexed yet do not appear.
+    indexed: path, sha256; current: path, sha256, ignored, and `there` where rows stand for
+    files that are gone. Files that are not indexed yet do not appear.
     """
-    now = current.select("path", F.col("sha256").alias("_now"), F.col("ignored").alias("_ignored"), F.lit(True).alias("_there"))
+    there = F.col("there") if "there" in current.columns else F.lit(True)
+    now = current.select("path", F.col("sha256").alias("_now"), F.col("ignored").alias("_ignored"), there.alias("_there"))
     both = indexed.join(now, "path", "left")
     there = F.coalesce("_there", F.lit(False))
     status = lifecycle_status(there, F.coalesce("_ignored", F.lit(False)), ~F.col("sha256").eqNullSafe(F.col("_now")))
@@ -133,9 +135,19 @@ SEVERITY = ("fresh", "metadata-changed", "unknown", "stale")
 
 
 def file_staleness(size: Column, mtime: Column, sha: Column, size_now: Column, mtime_now: Column, sha_now: Column) -> Column:
-    """unknown without a fingerprint, fresh where size and time agree; else the digest tells."""
-    same_meta = (size == size_now) & (mtime == mtime_now)
-    return F.when(size.isNull() | mtime.isNull(), "unknown").when(size_now.isNull(), "stale").when(same_meta, "fresh").when(sha_now.isNull() | sha.isNull(), "metadata-changed").when(sha == sha_now, "mtime-only").otherwise("stale")
+    """unknown without a fingerprint, stale without a file, fresh where size and time agree; else the digest tells.
+
+    Without a digest of now (it was not taken) another size is stale, another time alone metadata-changed.
+    """
+    same_size, same_time = size.eqNullSafe(size_now), mtime.eqNullSafe(mtime_now)
+    return (
+        F.when(size.isNull() & mtime.isNull() & sha.isNull(), "unknown")
+        .when(size_now.isNull(), "stale")
+        .when(same_size & same_time, "fresh")
+        .when(sha_now.isNull(), F.when(same_size, "metadata-changed").otherwise("stale"))
+        .when(sha.eqNullSafe(sha_now), "mtime-only")
+        .otherwise("stale")
+    )
 
 
 def index_staleness(files: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
+from corvana.operators import skills
 
 ROW = "path string, kind string, name string, qualname string, line int, end_line int, detail string"
 _NAMES = [x.split(" ")[0] for x in ROW.split(", ")]
@@ -140,8 +141,23 @@ def query(rows: DataFrame, text: str, per_kind: int) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_kind)
 
 
-def python_findings(files: DataFrame, risky: tuple[str, ...] = ("os.system", "eval", "exec", "subprocess.Popen", "subprocess.run", "pickle.loads")) -> DataFrame:
-    """path, line, finding: risky calls and syntax errors."""
+# Imports and calls that a review looks at, with their rules.
+RISKY_IMPORTS = {"subprocess": "subprocess_import", "socket": "network_import", "urllib": "network_import", "http": "network_import", "requests": "network_import", "aiohttp": "network_import", "shutil": "filesystem_mutation_import", "pty": "terminal_import"}
+RISKY_CALLS = {"os.system": "subprocess_call", "subprocess.Popen": "subprocess_call", "subprocess.run": "subprocess_call", "subprocess.call": "subprocess_call", "shutil.rmtree": "destructive_call", "Path.home": "broad_path_call"}
+
+
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def python_findings(files: DataFrame) -> DataFrame:
+    """path, line, rule, severity of a script's text, its imports and calls, and its syntax error."""
     rows = code_rows(files)
-    hit: Column = (F.col("kind") == "error") | ((F.col("kind") == "call") & F.col("name").isin(*risky))
-    return rows.filter(hit).select("path", "line", F.when(F.col("kind") == "error", F.concat(F.lit("syntax: "), "name")).otherwise(F.concat(F.lit("call: "), "name")).alias("finding"))
+    imported = _looked_up(F.substring_index(F.regexp_replace("name", r"^\.+", ""), ".", 1), RISKY_IMPORTS)
+    rule = F.when(F.col("kind") == "import", imported).when(F.col("kind") == "call", _looked_up(F.col("name"), RISKY_CALLS)).when(F.col("kind") == "error", "python_syntax_error")
+    found = rows.withColumn("rule", rule).filter("rule IS NOT NULL").groupBy("path", "kind", "line", "rule", "name").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    # One statement may import several names of a module; calls count one by one.
+    each = found.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == "import", 1).otherwise(F.col("n")))))
+    severe = F.col("rule").isin("destructive_call", "python_syntax_error")
+    risky = each.select("path", "line", "rule", F.when(severe, "block").otherwise("warn").alias("severity"))
+    return risky.union(skills.rule_findings(files, "path", F.col("content")).select("path", F.col("line").cast("int"), "rule", "severity"))

@@ -11,23 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvana.functions import references as R
+from corvana.functions import text as T
 
 
-def referencing(trees: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows (file, json) whose tree names a value under one of the keys."""
-    return trees.filter(R.references(F.col("json"), keys, value))
+def referencing(trees: DataFrame, role: str, value: str) -> DataFrame:
+    """Rows (file, json) whose tree names an index or a conversation (role)."""
+    return trees.filter(R.references(F.col("json"), role, value))
 
 
-def without(rows: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+def without(rows: DataFrame, role: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(kept rows, one row with the number removed) of rows with a column json."""
-    named = R.references(F.col("json"), keys, value)
-    return rows.filter(~named), rows.agg(F.count_if(named).alias("removed"))
+    marked = rows.withColumn("_named", R.references(F.col("json"), role, value))
+    return marked.filter("NOT _named").drop("_named"), marked.agg(F.count_if("_named").alias("removed"))
 
 
 def artifact_records(trees: DataFrame, kind: str, policy: str, index_id: str, source_paths: list[str]) -> DataFrame:
     """A record of each file that names an index or mentions a source: which sources, and its size."""
     paths = F.array(*map(F.lit, source_paths)).cast("array<string>")
-    found = trees.withColumn("source_paths", R.paths_mentioned(F.col("json"), paths)).withColumn("by_index", R.references(F.col("json"), R.INDEX_KEYS, index_id))
+    found = R.with_strings(trees, "json").withColumn("source_paths", R.paths_mentioned(paths)).withColumn("by_index", R.references(F.col("json"), R.INDEX, index_id)).drop("_strings")
     hit = found.filter(F.col("by_index") | (F.size("source_paths") > 0))
     return hit.select(F.col("file").alias("artifact_id"), F.lit(kind).alias("artifact_kind"), F.lit(policy).alias("cleanup_policy"), "by_index", "source_paths", F.lit(1).cast("long").alias("row_count"), F.octet_length("json").cast("long").alias("bytes_estimate"))
 
@@ -39,21 +40,32 @@ def ledger_record(lines: DataFrame, kind: str, policy: str, index_id: str, sourc
     return whole
 
 
-def dependency_counts(trees: DataFrame, kinds: list[str], keys: list[str], value: str) -> DataFrame:
+def dependency_counts(trees: DataFrame, kinds: list[str], role: str, value: str) -> DataFrame:
     """kind, n: files of each kind (column kind) that name a value; kinds without any have 0."""
-    have = trees.groupBy("kind").agg(F.count_if(R.references(F.col("json"), keys, value)).alias("n"))
+    have = referencing(trees, role, value).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     every = trees.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
     return every.join(have, "kind", "left").fillna(0, ["n"])
 
 
+def path_variants(path: Column, resolved: Column | None = None) -> Column:
+    """A path as given, without a leading ./, and as the file system resolves it, where the listing says so."""
+    forms = [T.strip(path), F.regexp_replace(T.strip(path), r"^(?:\./)+", ""), *([] if resolved is None else [resolved])]
+    return F.array_distinct(F.filter(F.array(*forms), lambda p: F.coalesce(p, F.lit("")) != ""))
+
+
+def affected(lifecycle: DataFrame) -> DataFrame:
+    """status, path of what is no longer fresh, in all forms of the path."""
+    resolved = F.col("resolved") if "resolved" in lifecycle.columns else None
+    return lifecycle.filter("coalesce(status, '') NOT IN ('', 'fresh')").select("status", F.explode(path_variants(F.col("path"), resolved)).alias("path")).distinct()
+
+
 def affected_paths(lifecycle: DataFrame) -> DataFrame:
-    """Paths that are no longer fresh, as given and without a leading ./"""
-    variants = F.array_distinct(F.array("path", F.regexp_replace("path", r"^(?:\./)+", "")))
-    return lifecycle.filter("status <> 'fresh'").select(F.explode(variants).alias("path")).distinct()
+    """Paths that are no longer fresh, in all their forms."""
+    return affected(lifecycle).select("path").distinct()
 
 
 def paths_by_status(lifecycle: DataFrame) -> DataFrame:
-    return lifecycle.groupBy("status").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return affected(lifecycle).groupBy("status").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def readiness(lifecycle: DataFrame, replacement: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvana.functions import text as T
 
 # Words that say nothing about a skill.
-GENERIC = ["about", "active", "after", "answer", "before", "context", "from", "help", "into", "request", "skill", "task", "that", "this", "user", "when", "with"]
+GENERIC = ["skill", "workflow", "procedure", "response", "style", "planning", "debugging", "project", "file", "files", "with", "when", "this", "that", "use", "using", "context"]
 
 
 def terms(text: Column) -> Column:
@@ -60,26 +60,38 @@ def with_lifecycle(skills: DataFrame, state: DataFrame) -> DataFrame:
     return skills.join(state, "slug", "left").select(*skills.columns, F.coalesce("state", F.lit("active")).alias("state"), F.coalesce("selected_count", F.lit(0)).alias("selected_count"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
-# What a text of instructions must not hold, by how much it matters.
+# What a text of instructions is searched for: severity, rule, pattern (in any case).
 RULES = [
-    ("shell-pipe", "block", r"(?i)\b(?:curl|wget)\b[^\n|]*\|\s*(?:ba|z)?sh\b"),
-    ("delete-root", "block", r"(?i)\brm\s+-rf?\s+/(?:\s|$)"),
-    ("private-key", "block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("override", "review", r"(?i)\bignore (?:all )?previous instructions\b"),
-    ("credential", "review", r"(?i)\b(?:api[_-]?key|password|secret|token)\s*[:=]\s*\S{6,}"),
-    ("script", "review", r"(?i)<script\b"),
+    ("block", "prompt_injection", r"ignore (all )?(previous|above) instructions|system prompt|developer message"),
+    ("block", "destructive_shell", r"\brm\s+-rf\b|\bshutil\.rmtree\b|\.unlink\("),
+    ("warn", "network_reference", r"\b(socket|urllib|httpx|requests|aiohttp|curl|wget)\b"),
+    ("warn", "subprocess_reference", r"\b(subprocess|os\.system|Popen|pty\.spawn)\b"),
+    ("warn", "ambient_secret_reference", r"\b(os\.environ|getenv|SSH_|TOKEN|API[_-]?KEY|PASSWORD|SECRET)\b"),
+    ("warn", "broad_path_reference", r"(/home/|/etc/|/var/|~\/|Path\.home\()"),
+    ("info", "shell_snippet", r"```(?:bash|sh|shell)|\bpython\s+-c\b"),
 ]
+SEVERITIES = ("block", "warn", "info")
+_MARK = "\x01"
 
 
 def rule_findings(rows: DataFrame, id_col: str, text: Column, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """id, rule, severity, line of every match; rules stand in the plan, a text is read once for each."""
-    found = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.regexp_count(text, F.lit(p)).alias("hits"), F.regexp_instr(text, F.lit(p)).alias("at")) for n, s, p in rules))
-    out = rows.select(id_col, text.alias("_t"), F.explode(F.filter(found, lambda f: f["hits"] > 0)).alias("f"))
-    head = F.substring(F.col("_t"), F.lit(1), F.col("f.at"))
-    return out.select(id_col, "f.rule", "f.severity", "f.hits", (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).alias("first_line"))
+    """id, rule, severity, line of every match, by expressions alone.
+
+    A mark before each match stays in its line when the text is split, so that lines are counted once for each rule.
+    """
+    clean = F.translate(text, _MARK, " ")
+
+    def lines(pattern: str) -> Column:
+        marked = F.split(F.regexp_replace(clean, F.lit(f"(?i){pattern}"), F.lit(f"{_MARK}$0")), "\n")
+        counted = F.transform(marked, lambda x, i: F.struct((i + 1).alias("line"), (F.length(x) - F.length(F.translate(x, _MARK, ""))).alias("n")))
+        return F.flatten(F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: F.array_repeat(x["line"], x["n"])))
+
+    found = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), lines(pattern).alias("lines")) for severity, rule, pattern in rules))
+    out = rows.select(id_col, F.explode(F.filter(found, lambda f: F.size(f["lines"]) > 0)).alias("f"))
+    return out.select(id_col, "f.rule", "f.severity", F.explode("f.lines").alias("line"))
 
 
 def verdict(findings: DataFrame, id_col: str) -> DataFrame:
-    """id, blocked, review, status of each text with findings."""
-    n = findings.groupBy(id_col).agg(F.sum(F.when(F.col("severity") == "block", F.col("hits")).otherwise(0)).alias("blocked"), F.sum(F.when(F.col("severity") == "review", F.col("hits")).otherwise(0)).alias("review"))
-    return n.withColumn("status", F.when(F.col("blocked") > 0, "blocked").when(F.col("review") > 0, "review").otherwise("pass"))
+    """id, the number of findings of each severity, and status: blocked, review or pass."""
+    n = findings.groupBy(id_col).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+    return n.withColumn("status", F.when(F.col("block") > 0, "blocked").when(F.col("warn") > 0, "review").otherwise("pass"))

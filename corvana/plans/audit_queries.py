@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
@@ -63,7 +63,9 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
 
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf, "documents").select(F.format_string("f%d", "doc_id").alias("path"), T.sha256(F.col("text")).alias("sha256"), "doc_id")
-    now = d.filter("doc_id % 9 <> 4").select("path", F.when(F.col("doc_id") % 7 == 1, "changed").otherwise(F.col("sha256")).alias("sha256"), (F.col("doc_id") % 11 == 2).alias("ignored"))
+    n = F.col("doc_id")
+    # A listing has rows for what is there, and for what rules exclude, there or not.
+    now = d.filter("doc_id % 9 <> 4 OR doc_id % 11 = 2").select("path", F.when(n % 7 == 1, "changed").otherwise(F.col("sha256")).alias("sha256"), (n % 11 == 2).alias("ignored"), (n % 9 != 4).alias("there"))
     return d.select("path", "sha256"), now
 
 
@@ -101,13 +103,29 @@ def superseded(spark: SparkSession, sf: str) -> DataFrame:
     return audit.superseded(orders, "family", ["created"]).select("id", "latest_id", "decision")
 
 
-FILES = "('a', 'x', 1, 10, 's1', 1, 10, 's1'), ('a', 'y', 1, 10, 's1', 2, 10, 's2'), ('b', 'x', 1, 10, 's1', 1, 11, 's1'), ('c', 'x', NULL, NULL, NULL, 1, 1, 's'), ('c', 'y', 1, 1, 's', 1, 1, 's'), ('d', 'x', 1, 1, 's', 1, 2, NULL)"
+def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of indexes (one for each source): what was stored of each, and what is there now."""
+    d, size, sha = F.col("doc_id"), F.octet_length("text").cast("long"), T.sha256(F.col("text"))
+    return table(spark, sf, "documents").select(
+        (d % 40).alias("index_id"),
+        F.concat(F.lit("f"), d).alias("path"),
+        *(F.when(d % 37 != 5, x).alias(n) for n, x in (("size", size), ("mtime", d), ("sha", sha))),
+        F.when(d % 31 != 7, F.when(d % 13 == 3, size + 1).otherwise(size)).alias("size_now"),
+        F.when(d % 17 == 2, d + 1).otherwise(d).alias("mtime_now"),
+        F.when(d % 3 == 0, F.when(d % 13 == 3, "other").otherwise(sha)).alias("sha_now"),
+    )
+
+
+def _file_status() -> Column:
+    return audit.file_staleness(*(F.col(c) for c in ("size", "mtime", "sha", "size_now", "mtime_now", "sha_now")))
+
+
+def file_states(spark: SparkSession, sf: str) -> DataFrame:
+    return _fingerprints(spark, sf).select("path", _file_status().alias("status"))
 
 
 def staleness(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, FILES, "index_id, path, size, mtime, sha, size_now, mtime_now, sha_now")
-    status = audit.file_staleness(*(F.col(c) for c in ("size", "mtime", "sha", "size_now", "mtime_now", "sha_now")))
-    return audit.index_staleness(rows.withColumn("status", status))
+    return audit.index_staleness(_fingerprints(spark, sf).withColumn("status", _file_status()))
 
 
 def lru_eviction(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,14 +210,14 @@ def stream_lines(spark: SparkSession, sf: str) -> DataFrame:
     return refresh.sse_columns(values(spark, STREAM, "value"))
 
 
-QUESTIONS = "('notes in a/b.org from 2024-05-01'), ('last three days'), ('latest [#A] TODO items :work:'), ('where is function parse'), ('hello')"
+QUESTIONS = "('notes in a/b.org from 2024-05-01'), ('last three days'), ('latest [#A] TODO items :work:'), ('where is function parse'), ('hello'), ('todo items and things on hold'), ('headings tagged urgent, waiting or canceled'), ('entries with the tag home priority 2'), ('is anything scheduled'), ('the kitchen sink'), ('org-mode tasks of the week'), ('to-dos under tag #garden last 12 entries')"
 
 
 def query_plans(spark: SparkSession, sf: str) -> DataFrame:
     """What the planner makes of some questions."""
     rows = [r["question"] for r in values(spark, QUESTIONS, "question").collect()]
     plans = [planner.build_plan(q) for q in rows]
-    return spark.createDataFrame([(p.query, ",".join(p.paths), ",".join(p.dates), p.recent, ",".join(p.tags), ",".join(p.todo), ",".join(p.priorities), ",".join(p.handlers)) for p in plans], "question string, paths string, dates string, recent int, tags string, todo string, priorities string, handlers string")
+    return spark.createDataFrame([(p.query, ",".join(p.paths), ",".join(p.dates), p.recent, ",".join(p.tags), ",".join(p.todo), ",".join(p.priorities), ",".join(k for k, v in p.flags.items() if v), ",".join(p.handlers)) for p in plans], "question string, paths string, dates string, recent int, tags string, todo string, priorities string, flags string, handlers string")
 
 
 SOURCE = '''"""Module doc."""
@@ -225,6 +243,14 @@ class Box:
 
 parser.add_parser("run")
 '''
+RISKY = """import socket, json
+from urllib import parse, request
+import shutil as s
+from .pty import spawn
+shutil.rmtree("/tmp/x"); os.system("ls")
+home = Path.home()
+subprocess.run(["curl", "x"])
+"""
 OTHER = "from m import helper\n\n\ndef main():\n    helper(2)\n    helper(3)\n"
 
 
@@ -249,7 +275,8 @@ def code_hotspots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return code.python_findings(_sources(spark)).select("path", F.col("line").cast("long").alias("line"), "finding")
+    risky = spark.createDataFrame([("r.py", RISKY)], "path string, content string")
+    return code.python_findings(_sources(spark).union(risky)).select("path", F.col("line").cast("long").alias("line"), "rule", "severity")
 
 
 def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,11 +289,20 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return stored.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.max(F.size("vector") > 0).alias("embedded"))
 
 
-_ALL = (storage_records, storage_totals, duplicate_targets, missing_targets, exact_duplicates, orphans, snapshot_diff, snapshot_coverage, status_paths, artifact_plans, policy_rollup, latest_per_family, superseded, staleness, lru_eviction, cache_usage, latest_records, upserts, context_plan, grounding, expansion, jsonl_tail, ledger, scrubbed, hourly_activity, stream_lines, query_plans, code_symbols, code_edges, code_boundaries, code_hotspots, code_findings, incremental_refresh)
+_ALL = (storage_records, storage_totals, duplicate_targets, missing_targets, exact_duplicates, orphans, snapshot_diff, snapshot_coverage, status_paths, artifact_plans, policy_rollup, latest_per_family, superseded, file_states, staleness, lru_eviction, cache_usage, latest_records, upserts, context_plan, grounding, expansion, jsonl_tail, ledger, scrubbed, hourly_activity, stream_lines, query_plans, code_symbols, code_edges, code_boundaries, code_hotspots, code_findings, incremental_refresh)
 QUERIES = {f.__name__: f for f in _ALL}
 
+#: The text rules in SQL: severity, rule, pattern.
+_WORDS_SQL = r"('block', 'prompt_injection', 'ignore (all )?(previous|above) instructions|system prompt|developer message'), ('block', 'destructive_shell', '\brm\s+-rf\b|\bshutil\.rmtree\b|\.unlink\('), ('warn', 'network_reference', '\b(socket|urllib|httpx|requests|aiohttp|curl|wget)\b'), ('warn', 'subprocess_reference', '\b(subprocess|os\.system|Popen|pty\.spawn)\b'), ('warn', 'ambient_secret_reference', '\b(os\.environ|getenv|SSH_|TOKEN|API[_-]?KEY|PASSWORD|SECRET)\b'), ('warn', 'broad_path_reference', '(/home/|/etc/|/var/|~/|Path\.home\()'), ('info', 'shell_snippet', '```(?:bash|sh|shell)|\bpython\s+-c\b')"
+
+
+def _LIT(text: str) -> str:  # noqa: N802
+    return text.replace("'", "''")
+
+
 _C = "c AS (SELECT 'i' || doc_id % 4 AS index_id, CASE WHEN doc_id % 4 = 3 THEN 'partial' ELSE 'index' END AS kind, source AS path, doc_id AS chunk, sha256(text) AS digest, octet_length(encode(text)) AS bytes, doc_id % 10 = 7 AS dup, doc_id % 50 = 11 AS miss FROM documents)"
-_DIFF = "d AS (SELECT 'f' || doc_id AS path, doc_id % 9 = 4 AS gone, doc_id % 11 = 2 AS ign, doc_id % 7 = 1 AS chg FROM documents), s AS (SELECT path, CASE WHEN NOT gone AND ign THEN 'ignored' WHEN gone THEN 'deleted' WHEN chg THEN 'changed' ELSE 'fresh' END AS status FROM d)"
+_DIFF = "d AS (SELECT 'f' || doc_id AS path, doc_id % 9 = 4 AS gone, doc_id % 11 = 2 AS ign, doc_id % 7 = 1 AS chg FROM documents), s AS (SELECT path, CASE WHEN ign THEN 'ignored' WHEN gone THEN 'deleted' WHEN chg THEN 'changed' ELSE 'fresh' END AS status FROM d)"
+_PRINTS = "f AS (SELECT doc_id % 40 AS index_id, 'f' || doc_id AS path, CASE WHEN doc_id % 37 = 5 THEN 'unknown' WHEN doc_id % 31 = 7 THEN 'stale' WHEN doc_id % 13 <> 3 AND doc_id % 17 <> 2 THEN 'fresh' WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 13 = 3 THEN 'stale' ELSE 'metadata-changed' END WHEN doc_id % 13 = 3 THEN 'stale' ELSE 'mtime-only' END AS status FROM documents)"
 _TARGET = "EXISTS (SELECT 1 FROM c t WHERE NOT t.dup AND NOT t.miss AND t.kind = 'index' AND t.digest = c.digest AND t.index_id <> c.index_id)"
 ORACLE = {
     "storage_records": f"WITH {_C} SELECT index_id, kind, count(*) AS chunks, count(*) FILTER (WHERE NOT dup AND NOT miss) AS stored_chunks, count(*) FILTER (WHERE dup) AS duplicate_chunks, CAST(sum(bytes) AS BIGINT) AS logical_bytes, CAST(coalesce(sum(bytes) FILTER (WHERE NOT dup AND NOT miss), 0) AS BIGINT) AS stored_bytes, CAST(coalesce(sum(bytes) FILTER (WHERE dup), 0) AS BIGINT) AS duplicate_bytes, count(*) FILTER (WHERE NOT dup AND miss) AS missing_chunks, 0 AS without_digest FROM c GROUP BY index_id, kind",
@@ -282,7 +318,8 @@ ORACLE = {
     "policy_rollup": "WITH r AS (SELECT source AS kind, CASE lang WHEN 'en' THEN 'delete-derived' WHEN 'de' THEN 'manual-review' ELSE 'keep' END AS policy, n_chars FROM documents) SELECT policy, kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM r GROUP BY GROUPING SETS ((policy, kind), (policy))",
     "latest_per_family": "SELECT o_custkey AS family, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders GROUP BY o_custkey",
     "superseded": "WITH o AS (SELECT o_orderkey::VARCHAR AS id, o_custkey AS family, o_orderdate AS created, o_orderstatus = 'F' AS stale, o_orderkey % 4 = 0 AS lack FROM orders), l AS (SELECT family, arg_max(id, (created, id)) AS latest_id FROM o GROUP BY family) SELECT o.id, latest_id, CASE WHEN NOT o.stale THEN 'keep' WHEN t.lack THEN 'block' ELSE 'delete' END AS decision FROM o JOIN l USING (family) JOIN o t ON t.id = latest_id WHERE o.id <> latest_id",
-    "staleness": "SELECT * FROM (VALUES ('a', 'stale'), ('b', 'fresh'), ('c', 'unknown'), ('d', 'metadata-changed')) AS t(index_id, status)",
+    "file_states": f"WITH {_PRINTS} SELECT path, status FROM f",
+    "staleness": f"WITH {_PRINTS} SELECT index_id, CASE WHEN bool_or(status = 'stale') THEN 'stale' WHEN bool_or(status = 'unknown') THEN 'unknown' WHEN bool_or(status = 'metadata-changed') THEN 'metadata-changed' ELSE 'fresh' END AS status FROM f GROUP BY index_id",
     "lru_eviction": "WITH e AS (SELECT user_id, event_id AS id, CAST(floor(abs(value) * 100) AS BIGINT) AS bytes, ts FROM events), w AS (SELECT *, sum(bytes) OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC ROWS UNBOUNDED PRECEDING) AS run, sum(bytes) OVER (PARTITION BY user_id) AS total FROM e) SELECT user_id, id FROM w WHERE total <= 60000 OR run <= 60000",
     "cache_usage": "SELECT CAST(coalesce(sum(CASE WHEN event_id % 10 <> 0 THEN CAST(floor(abs(value) * 100) AS BIGINT) END), 0) AS BIGINT) AS bytes, count(*) AS records, count(*) FILTER (WHERE event_id % 10 = 0) AS unknown FROM events",
     "latest_records": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS ord FROM events GROUP BY user_id, event_type",
@@ -295,9 +332,10 @@ ORACLE = {
     "scrubbed": "SELECT conv_id, turn, role, CASE WHEN text IS NOT NULL THEN '[redacted]' END AS text FROM conversations",
     "hourly_activity": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "stream_lines": "SELECT value, value = 'data: [DONE]' AS done, CASE WHEN starts_with(value, 'data: {') THEN coalesce(json_extract_string(substr(value, 7), '$.choices[0].delta.content'), '') ELSE '' END AS content, CASE WHEN starts_with(value, 'data: {') THEN coalesce(json_extract_string(substr(value, 7), '$.choices[0].delta.reasoning_content'), '') ELSE '' END AS reasoning FROM (VALUES " + STREAM + ") AS t(value)",
-    "query_plans": "SELECT * FROM (VALUES ('notes in a/b.org from 2024-05-01', 'a/b.org', '2024-05-01', 0, '', '', '', 'lexical,vector,temporal'), ('last three days', '', '', 3, '', '', '', 'lexical,vector,temporal'), ('latest [#A] TODO items :work:', '', '', 2, 'work', 'TODO', 'A', 'lexical,vector,temporal,structural'), ('where is function parse', '', '', 0, '', '', '', 'lexical,vector,code'), ('hello', '', '', 0, '', '', '', 'lexical,vector')) AS t(question, paths, dates, recent, tags, todo, priorities, handlers)",
+    # The rules of a question as SQL over the questions, one expression for each.
+    "query_plans": f"WITH q(question) AS (VALUES {QUESTIONS}), s(state) AS (VALUES ('CANCELED'), ('CANCELLED'), ('DONE'), ('HOLD'), ('NEXT'), ('TODO'), ('WAIT'), ('WAITING')), c AS (SELECT question, lower(question) AS low, list_filter(regexp_extract_all(lower(question), '[a-z0-9_./~+-]+\\.[a-z0-9][a-z0-9._+-]*'), lambda w: true) AS paths, regexp_extract_all(question, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) AS dates, CASE WHEN regexp_matches(lower(question), '\\blast\\s+(\\d+|one|two|three|four|five)\\s+(day|days|entry|entries|date|dates)\\b') THEN least(7, CASE regexp_extract(lower(question), '\\blast\\s+(\\d+|one|two|three|four|five)\\s', 1) WHEN 'one' THEN 1 WHEN 'two' THEN 2 WHEN 'three' THEN 3 WHEN 'four' THEN 4 WHEN 'five' THEN 5 ELSE try_cast(regexp_extract(lower(question), '\\blast\\s+(\\d+)\\s', 1) AS INT) END) WHEN regexp_matches(lower(question), '\\b(latest|recent|newest|today|yesterday)\\b') THEN 2 ELSE 0 END AS recent, list_distinct(list_filter([regexp_extract(question, ':([A-Za-z0-9_@#%+-]+):', 1), regexp_extract(question, '(?i)\\btag\\s*[:=]\\s*#?:?([A-Za-z0-9_@#%+-]+)', 1), lower(regexp_extract(question, '(?i)\\b(?:tagged|with\\s+(?:the\\s+)?tag|under\\s+(?:the\\s+)?tag)\\s+#?:?([A-Za-z0-9_@#%+-]+)', 1)), lower(regexp_extract(question, '(?i)\\b(?:elements?|headings?|tasks?|entries?)\\s+(?:with|tagged)\\s+#?:?([A-Za-z0-9_@#%+-]+)', 1))], lambda t: t NOT IN ('', 'the', 'tag', 'with'))) AS tags, (SELECT list(DISTINCT replace(state, 'CANCELED', 'CANCELLED') ORDER BY replace(state, 'CANCELED', 'CANCELLED')) FROM s WHERE regexp_matches(question, '(?i)\\b' || state || '\\b') OR (state = 'TODO' AND regexp_matches(question, '(?i)\\bto[- ]dos?\\b'))) AS todo, list_filter([coalesce(nullif(regexp_extract(question, '\\[#([A-Za-z0-9])\\]', 1), ''), regexp_extract(question, '(?i)\\bpriority\\s+([a-z0-9])\\b', 1))], lambda p: p <> '') AS priorities, list_filter([CASE WHEN regexp_matches(lower(question), '\\bdeadlines?\\b') THEN 'deadline' END, CASE WHEN regexp_matches(lower(question), '\\bscheduled?\\b') THEN 'scheduled' END, CASE WHEN regexp_matches(lower(question), '\\b(headings?|elements?|entries)\\b') THEN 'heading' END], lambda f: f IS NOT NULL) AS flags FROM q) SELECT question, array_to_string(paths, ',') AS paths, array_to_string(dates, ',') AS dates, recent, array_to_string(tags, ',') AS tags, coalesce(array_to_string(todo, ','), '') AS todo, upper(array_to_string(priorities, ',')) AS priorities, array_to_string(flags, ',') AS flags, 'lexical,vector' || CASE WHEN len(dates) > 0 OR recent > 0 THEN ',temporal' ELSE '' END || CASE WHEN len(tags) > 0 OR todo IS NOT NULL OR len(priorities) > 0 OR regexp_matches(low, '\\borg(-mode|mode)?\\b.*\\b(headings?|entries|tasks?|deadlines?|scheduled|tags?)\\b|\\b(deadlines?|scheduled)\\b') THEN ',structural' ELSE '' END || CASE WHEN regexp_matches(low, '\\b(function|class|method|command)\\b|where is|which file') THEN ',code' ELSE '' END AS handlers FROM c",
     "code_edges": "SELECT * FROM (VALUES ('m.py', 'Box.open', 'm.py', 'helper', 15), ('m.py', 'Box.open', 'm.py', 'Box.open', 0), ('m.py', 'Box.open', 'm.py', 'Box.close', 16), ('n.py', 'main', 'm.py', 'helper', 5), ('n.py', 'main', 'm.py', 'helper', 6)) AS t(caller_path, caller, callee_path, callee, line) WHERE line > 0",
-    "code_findings": "SELECT * FROM (VALUES ('m.py', 19, 'call: eval'), ('bad.py', 1, 'syntax: SyntaxError')) AS t(path, line, finding)",
+    "code_findings": rf"WITH t(path, content) AS (VALUES ('m.py', '{_LIT(SOURCE)}'), ('n.py', '{_LIT(OTHER)}'), ('bad.py', 'def ('), ('r.py', '{_LIT(RISKY)}')), l AS (SELECT path, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM t), imports(root, rule) AS (VALUES ('subprocess', 'subprocess_import'), ('socket', 'network_import'), ('urllib', 'network_import'), ('http', 'network_import'), ('requests', 'network_import'), ('aiohttp', 'network_import'), ('shutil', 'filesystem_mutation_import'), ('pty', 'terminal_import')), calls(name, rule) AS (VALUES ('os.system', 'subprocess_call'), ('subprocess.Popen', 'subprocess_call'), ('subprocess.run', 'subprocess_call'), ('subprocess.call', 'subprocess_call'), ('shutil.rmtree', 'destructive_call'), ('Path.home', 'broad_path_call')), words(severity, rule, pattern) AS (VALUES {_WORDS_SQL}) SELECT path, line, rule, 'warn' AS severity FROM l, imports WHERE regexp_matches(x, '^\s*(import|from)\s.*\b' || root || '\b') AND NOT regexp_matches(x, ' import .*\b' || root || '\b') UNION ALL SELECT path, line, rule, CASE rule WHEN 'destructive_call' THEN 'block' ELSE 'warn' END FROM l, calls WHERE contains(x, name || '(') UNION ALL SELECT path, line, rule, severity FROM (SELECT path, line, rule, severity, unnest(regexp_extract_all(x, pattern, 0, 'i')) FROM l, words) UNION ALL SELECT 'bad.py', 1, 'python_syntax_error', 'block'",
     "code_boundaries": "SELECT * FROM (VALUES ('m.py', 2, 2, 2), ('n.py', 1, 1, 0), ('bad.py', 0, 0, 0)) AS t(path, public_symbols, imports, incoming)",
     "code_hotspots": "SELECT * FROM (VALUES ('m.py', 'helper', 3, 1), ('m.py', 'Box.open', 3, 2), ('m.py', 'Box.close', 2, 1), ('n.py', 'main', 3, 2)) AS t(path, qualname, lines, calls)",
     "incremental_refresh": "SELECT item_id::VARCHAR AS id, 1 AS times, true AS embedded FROM benchmark",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvana.functions import references as R
 from corvana.functions import text as T
-from corvana.operators import dossiers, lexical, lifecycle, services
+from corvana.operators import audit, dossiers, lexical, lifecycle, services
 from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table, values
 
 TREES = """('a', 'topic', '{"index_id": "i1", "files": ["/s/x.org"]}'), ('b', 'topic', '{"note": "see /s/y.org"}'), ('c', 'dossier', '{"source_index_ids": ["i2", "i1"]}'), ('d', 'eval', '{"conversation_id": "c1"}')"""
@@ -25,31 +25,48 @@ def ledger_record(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dependency_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.dependency_counts(values(spark, TREES, "file, kind, json"), ["topic", "dossier", "eval", "profile"], R.INDEX_KEYS, "i1")
+    """Orders as artifacts of a kind that name indexes: how many of each kind name one of them."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderpriority").alias("kind"), F.concat(F.lit('{"source_index_ids": ["i'), F.col("o_custkey") % 7, F.lit('", {"id": "i'), F.col("o_orderkey") % 5, F.lit('"}]}')).alias("json"))
+    return lifecycle.dependency_counts(orders, ["1-URGENT", "2-HIGH", "no such kind"], R.INDEX, "i1")
 
 
 def rows_without(spark: SparkSession, sf: str) -> DataFrame:
-    kept, removed = lifecycle.without(values(spark, TREES, "file, kind, json"), R.CONVERSATION_KEYS, "c1")
+    """Turns as rows of a ledger: what stays without one conversation, and how many go."""
+    turns = table(spark, sf, "conversations").select(F.concat(F.lit('{"conversation_id": '), "conv_id", F.lit(', "turn": '), "turn", F.lit("}")).alias("json"))
+    kept, removed = lifecycle.without(turns, R.CONVERSATION, "3")
     return kept.agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(removed))  # one row each
 
 
-LIFE = "('a', 'deleted'), ('./b', 'changed'), ('c', 'ignored'), ('d', 'fresh'), ('e', 'changed')"
+def _lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as sources of an index, each with a status."""
+    d = F.col("doc_id")
+    status = F.when(d % 11 == 2, "ignored").when(d % 9 == 4, "deleted").when(d % 7 == 1, "changed").otherwise("fresh")
+    return table(spark, sf, "documents").select(F.concat(F.when(d % 2 == 0, "./").otherwise(""), F.lit("f"), d).alias("path"), status.alias("status"))
 
 
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
-    life = values(spark, LIFE, "path, status")
-    good = lifecycle.readiness(life, values(spark, "('./b'), ('e'), ('d')", "path")).withColumn("case", F.lit("good"))
-    lost = lifecycle.readiness(life, values(spark, "('e')", "path")).withColumn("case", F.lit("lost"))
-    kept = lifecycle.readiness(life, values(spark, "('a'), ('./b'), ('e')", "path")).withColumn("case", F.lit("kept"))
+    """Three replacements of an index: one that holds what it must, one that lost sources, one that keeps detached ones."""
+    life = _lifecycle(spark, sf)
+    good = lifecycle.readiness(life, life.filter("status IN ('fresh', 'changed')").select("path")).withColumn("case", F.lit("good"))
+    lost = lifecycle.readiness(life, life.filter("status = 'fresh'").select("path")).withColumn("case", F.lit("lost"))
+    kept = lifecycle.readiness(life, life.select("path")).withColumn("case", F.lit("kept"))
     return good.union(lost).union(kept)
 
 
 def affected_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.affected_paths(values(spark, LIFE, "path, status"))
+    return lifecycle.affected_paths(_lifecycle(spark, sf))
 
 
 def paths_by_status(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.paths_by_status(values(spark, LIFE, "path, status")).select("status", F.array_join("paths", ",").alias("paths"))
+    """Number of the paths of each status, with the first and the last; fresh ones are not affected."""
+    return lifecycle.paths_by_status(_lifecycle(spark, sf)).select("status", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first_path"), F.element_at("paths", -1).alias("last_path"))
+
+
+def lifecycle_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Status and action of sources that are gone, ignored or changed, in every combination."""
+    d = F.col("doc_id")
+    status = audit.lifecycle_status(d % 9 != 4, d % 4 == 1, d % 7 == 1)
+    return table(spark, sf, "documents").select("doc_id", status.alias("status"), audit.lifecycle_action(status).alias("action"))
 
 
 def boundary_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,19 +186,21 @@ def conversation_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.bround(lexical.overlap(F.array_distinct(T.tokens(F.col("text"))), asked), 6).alias("overlap"))
 
 
-_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, best_per_date_whole, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
+_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, lifecycle_states, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, best_per_date_whole, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
 QUERIES = {f.__name__: f for f in _ALL}
 
+_LIFE = "l AS (SELECT CASE WHEN doc_id % 2 = 0 THEN './' ELSE '' END || 'f' || doc_id AS path, CASE WHEN doc_id % 11 = 2 THEN 'ignored' WHEN doc_id % 9 = 4 THEN 'deleted' WHEN doc_id % 7 = 1 THEN 'changed' ELSE 'fresh' END AS status FROM documents)"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _CUT = f"CASE WHEN length({_FLAT}) <= 60 THEN {_FLAT} ELSE rtrim(left({_FLAT}, 59)) || '…' END"
 ORACLE = {
     "artifact_records": "SELECT * FROM (VALUES ('a', true, 1, 41), ('b', false, 1, 24), ('c', true, 0, 34)) AS t(artifact_id, by_index, n_paths, bytes_estimate)",
     "ledger_record": "SELECT 'ledger' AS artifact_id, true AS by_index, '/s/x.org,/s/y.org' AS paths, 3 AS row_count",
-    "dependency_counts": "SELECT * FROM (VALUES ('topic', 1), ('dossier', 1), ('eval', 0), ('profile', 0)) AS t(kind, n)",
-    "rows_without": "SELECT 3 AS kept, 1 AS removed",
-    "readiness": "SELECT * FROM (VALUES (true, '', 'good'), (false, 'changed sources are missing', 'lost'), (false, 'detached sources remain', 'kept')) AS t(ready, reason, \"case\")",
-    "affected_paths": "SELECT * FROM (VALUES ('a'), ('./b'), ('b'), ('c'), ('e')) AS t(path)",
-    "paths_by_status": "SELECT status, string_agg(path, ',' ORDER BY path) AS paths FROM (VALUES " + LIFE + ") AS t(path, status) GROUP BY status",
+    "dependency_counts": "SELECT kind, (SELECT count(*) FROM orders WHERE o_orderpriority = kind AND (o_custkey % 7 = 1 OR o_orderkey % 5 = 1)) AS n FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('no such kind')) AS t(kind)",
+    "rows_without": "SELECT count(*) FILTER (WHERE conv_id <> 3) AS kept, count(*) FILTER (WHERE conv_id = 3) AS removed FROM conversations",
+    "readiness": f"WITH {_LIFE} SELECT count(*) FILTER (WHERE status = 'x') = 0 AS ready, '' AS reason, 'good' AS \"case\" FROM l UNION ALL SELECT count(*) FILTER (WHERE status = 'changed') = 0, CASE WHEN count(*) FILTER (WHERE status = 'changed') > 0 THEN 'changed sources are missing' ELSE '' END, 'lost' FROM l UNION ALL SELECT count(*) FILTER (WHERE status IN ('deleted', 'ignored')) = 0, CASE WHEN count(*) FILTER (WHERE status IN ('deleted', 'ignored')) > 0 THEN 'detached sources remain' ELSE '' END, 'kept' FROM l",
+    "affected_paths": f"WITH {_LIFE} SELECT path FROM l WHERE status <> 'fresh' UNION SELECT replace(path, './', '') FROM l WHERE status <> 'fresh'",
+    "paths_by_status": f"WITH {_LIFE}, v AS (SELECT status, path FROM l WHERE status <> 'fresh' UNION SELECT status, replace(path, './', '') FROM l WHERE status <> 'fresh') SELECT status, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM v GROUP BY status",
+    "lifecycle_states": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'ignored' WHEN doc_id % 9 = 4 THEN 'deleted' WHEN doc_id % 7 = 1 THEN 'changed' ELSE 'fresh' END AS status FROM documents) SELECT doc_id, status, CASE status WHEN 'ignored' THEN 'detach-derived-artifacts' WHEN 'deleted' THEN 'mark-stale-and-clean-derived-artifacts' WHEN 'changed' THEN 'reprocess-from-source' ELSE 'keep' END AS action FROM s",
     "boundary_reasons": "SELECT * FROM (VALUES ('i1', '1 files without a source boundary'), ('i2', '')) AS t(index_id, reason)",
     "material_until_full": "SELECT conv_id, turn FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations) WHERE b < 600",
     "dossier_excerpts": f"WITH {TERMS_SQL}, c AS (SELECT conv_id * 10000 + turn AS key, * FROM conversations),\n{score_sql('c', 'key', 'text')}, r AS (SELECT conv_id, turn, score, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY score DESC, turn ROWS UNBOUNDED PRECEDING) - 2 AS e FROM c JOIN scored ON k = key) SELECT conv_id AS dossier_id, turn AS ord, score FROM r WHERE e <= 900",

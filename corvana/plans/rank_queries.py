@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvana.functions import text as T
 from corvana.operators import fusion, lexical, memory, skills, spans, vectors
 from corvana.plans import retrieval
+from corvana.plans.audit_queries import _WORDS_SQL
 from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table, values
 
 
@@ -253,7 +254,7 @@ def stale_skills(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
     found = skills.rule_findings(table(spark, sf, "pages"), "page_id", F.col("html"))
-    return found.select("page_id", "rule", "severity", F.col("hits").cast("long").alias("hits"), F.col("first_line").cast("long").alias("first_line"))
+    return found.withColumn("line", F.col("line").cast("long"))
 
 
 def rule_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,14 +274,14 @@ _TOK = "regexp_extract_all(lower({x}), '[A-Za-z0-9_''-]{{3,}}')"
 _BUCKETS = "SELECT k, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS weight FROM (SELECT k, ('0x' || left(sha256(term), 8))::BIGINT % 256 AS bucket, sum((1 + sqrt(least(4, n))) * CASE WHEN length(term) >= 7 THEN 1.2::DOUBLE ELSE 1.0 END) AS w FROM (SELECT k, term, count(*) AS n FROM (SELECT {k} AS k, unnest(" + _TOK.format(x="text").replace("{", "{{").replace("}", "}}") + ") AS term FROM {src}) GROUP BY k, term) GROUP BY k, bucket)"
 _DOT = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS qv FROM e ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, label, list_sum(list_transform(list_zip(v, qv), lambda x: x[1] * x[2])) AS sim FROM e, q), r AS (SELECT vec_id, label, CAST(round_even(sim * 1000, 0) AS BIGINT) AS score, sim FROM s)"
 _NAME = "list_distinct(regexp_extract_all(lower({x}), '[a-z0-9_.-]{{3,}}'))"
-_STOP = "[" + ", ".join(f"'{w}'" for w in skills.GENERIC) + "]"
 _MEM = "mem AS (SELECT doc_id, 'm' || doc_id AS id, source, text, greatest(1, least(5, doc_id % 7)) AS importance, doc_id % 97 = 5 AS pinned, lang, doc_id % 11 AS seen, text || chr(10) || lang || chr(10) || source AS hay, 1 + least(10, doc_id * 10 // greatest(1, (SELECT count(*) FROM documents) - 1)) AS recency FROM documents)"
 _REL = f"WITH {TERMS_SQL}, {_MEM}, a AS (WITH {score_sql('mem', 'doc_id', 'text')} SELECT k, score AS matched FROM scored), b AS (WITH {score_sql('mem', 'doc_id', 'hay')} SELECT k, score AS hay FROM scored), rel AS (SELECT mem.*, a.matched, b.hay * 8 + importance * 4 + recency + CASE WHEN pinned THEN 40 ELSE 0 END + least(8, seen) AS relevance FROM mem JOIN a ON a.k = doc_id JOIN b ON b.k = doc_id)"
 _LANES = f"lex AS (SELECT k::VARCHAR AS chunk, score FROM scored WHERE score > 0 ORDER BY score DESC, k LIMIT 40), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT v AS qv FROM e ORDER BY vec_id LIMIT 1), vs AS (SELECT vec_id, CAST(round_even(list_sum(list_transform(list_zip(v, qv), lambda x: x[1] * x[2])) * 1000, 0) AS BIGINT) AS score FROM e, qv), vec AS (SELECT vec_id::VARCHAR AS chunk, score FROM vs WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 40), fused AS (SELECT coalesce(lex.chunk, vec.chunk) AS chunk, coalesce(lex.score, 0)::DOUBLE AS ls, coalesce(vec.score, 0)::DOUBLE AS vs, CASE WHEN lex.chunk IS NULL THEN 'vector' WHEN vec.chunk IS NULL THEN 'lexical' ELSE 'lexical,vector' END AS methods, CASE WHEN lex.chunk IS NULL THEN 0.0 ELSE 10.0 END::DOUBLE AS guard FROM lex FULL JOIN vec ON lex.chunk = vec.chunk)"
 _FUSED = f"WITH {TERMS_SQL},\n{score_sql('documents', 'doc_id', 'text')},\n{_LANES}"
 _FEED = "f AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'up' WHEN toxic = 1 THEN 'down' ELSE 'ok' END AS rating, (['stale page', 'wrong file here', 'please plan', 'did not use it', '', 'source missing'])[doc_id % 6 + 1] AS note FROM labels)"
-_RULES = "rules(rule, severity, pattern) AS (VALUES " + ", ".join(f"('{n}', '{v}', '{p}')" for n, v, p in skills.RULES) + ")"
-_FOUND = "SELECT {k}, rule, severity, len(regexp_extract_all({x}, pattern)) AS hits, length(regexp_replace(left({x}, strpos({x}, regexp_extract({x}, pattern))), '[^\\n]', '', 'g')) + 1 AS first_line FROM {src}, rules"
+_RULES = f"rules(severity, rule, pattern) AS (VALUES {_WORDS_SQL})"
+_FOUND = r"SELECT k, rule, severity, line FROM (SELECT {k} AS k, unnest(string_split({x}, chr(10))) AS x, generate_subscripts(string_split({x}, chr(10)), 1) AS line FROM {src}), rules, unnest(regexp_extract_all(x, pattern, 0, 'i'))"
+_STOP = "['skill', 'workflow', 'procedure', 'response', 'style', 'planning', 'debugging', 'project', 'file', 'files', 'with', 'when', 'this', 'that', 'use', 'using', 'context']"
 ORACLE = {
     "hash_vectors": f"SELECT k AS doc_id, bucket, CAST(round_even(weight * 1000000, 0) AS BIGINT) AS millionths FROM ({_BUCKETS.format(k='doc_id', src='documents')})",
     "sparse_similarity": f"WITH d AS ({_BUCKETS.format(k='doc_id', src='documents')}), q AS ({_BUCKETS.format(k='item_id', src='(SELECT * FROM benchmark ORDER BY item_id LIMIT 1)')}) SELECT d.k AS doc_id, round_even(sum(round_even(d.weight, 6) * round_even(q.weight, 6)), 3) AS similarity FROM d JOIN q USING (bucket) GROUP BY d.k",
@@ -312,7 +313,7 @@ ORACLE = {
     "skill_matches": f"WITH a AS (SELECT DISTINCT conv_id || '-' || turn AS text_id, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM conversations WHERE role = 'user'), b AS (SELECT item_id AS ord, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark), p AS (SELECT text_id, ord, string_agg(DISTINCT term, ' ' ORDER BY term) AS shared FROM a JOIN b USING (term) GROUP BY text_id, ord) SELECT text_id, 'skill-' || ord AS slug, shared FROM p QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY ord) <= 3",
     "stale_skills": "WITH s AS (SELECT item_id, 'skill-' || item_id AS slug, date_diff('day', make_date(2024, 1, (item_id % 28 + 1)::INT), DATE '2024-03-01') AS age_days FROM benchmark) SELECT slug, age_days FROM s WHERE item_id % 3 <> 0 AND item_id % 2 = 0 AND age_days >= 40",
     "byte_parts": "SELECT item_id, most, parts FROM (SELECT item_id, 64 AS most, length(text) AS n, length(text) = octet_length(encode(text)) AS ascii, 1 + greatest(0, (length(text) - 64 + 55) // 56) AS parts FROM benchmark) WHERE ascii",
-    "rule_findings": f"WITH {_RULES} SELECT page_id, rule, severity, hits, first_line FROM ({_FOUND.format(k='page_id', src='pages', x='html')}) WHERE hits > 0",
-    "rule_verdicts": f"WITH {_RULES}, f AS ({_FOUND.format(k='doc_id', src='documents', x='text')}) SELECT doc_id, CAST(sum(CASE WHEN severity = 'block' THEN hits ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(CASE WHEN severity = 'review' THEN hits ELSE 0 END) AS BIGINT) AS review, CASE WHEN blocked > 0 THEN 'blocked' ELSE 'review' END AS status FROM f WHERE hits > 0 GROUP BY doc_id",
+    "rule_findings": f"WITH {_RULES} SELECT k AS page_id, rule, severity, line FROM ({_FOUND.format(k='page_id', src='pages', x='html')})",
+    "rule_verdicts": f"WITH {_RULES}, f AS ({_FOUND.format(k='doc_id', src='documents', x='text')}) SELECT k AS doc_id, count(*) FILTER (WHERE severity = 'block') AS block, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, CASE WHEN block > 0 THEN 'blocked' WHEN warn > 0 THEN 'review' ELSE 'pass' END AS status FROM f GROUP BY k",
     "recency_rows": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
 }

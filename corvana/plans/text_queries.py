@@ -119,11 +119,15 @@ def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
     return values(spark, PATHS, "path").select("path", R.ignored_by(F.col("path"), R.parse_ignore(IGNORE)).alias("line"))
 
 
-TREES = """(1, '{"a": {"conversation_id": "c1"}}'), (2, '{"x": [{"source_conversations": ["c2", "c1"]}]}'), (3, '{"conversation": "c3"}'), (4, '{"note": "c1"}'), (5, '{"index_ids": ["i1", "c1"]}')"""
+TREES = """(1, '{"a": {"conversation_id": "c1"}}'), (2, '{"x": [{"source_conversations": [{"id": "c2"}, {"id": "c1"}]}]}'), (3, '{"conversation": "c1"}'), (4, '{"note": "c1"}'), (5, '{"index_ids": ["i1", {"id": "i2"}]}'), (6, '{"owner_conversation_id": "c1", "index": {"id": "i1"}}'), (7, '{"conversation_ids": ["c1", 5], "dossier_id": "d1"}'), (8, '{"kind": "topic", "id": "t1", "topics": ["t2", {"id": "t3"}]}'), (9, '{"context_items": [{"kind": "index", "id": "i1"}, {"kind": "file", "id": "i9"}]}'), (10, '{"source_conversations": ["c1"]}'), (11, '{"source_index": 7, "created_by_conversation_id": 12}'), (12, 'no json'), (13, NULL)"""
 
 
 def tree_references(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, TREES, "id, tree").filter(R.references(F.col("tree"), R.CONVERSATION_KEYS, "c1")).select("id")
+    return values(spark, TREES, "id, tree").filter(R.references(F.col("tree"), R.CONVERSATION, "c1")).select("id")
+
+
+def tree_index_references(spark: SparkSession, sf: str) -> DataFrame:
+    return values(spark, TREES, "id, tree").filter(R.references(F.col("tree"), R.INDEX, "i1")).select("id")
 
 
 def tree_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,13 +161,14 @@ def term_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", spans.term_window(F.col("text"), first_question(spark, sf), 200).alias("excerpt"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, first_words, lexical_scores, lexical_topk, matched_terms, compact_texts, titles, human_units, parse_sizes, phase_keys, relative_times, ratings, slugs, json_objects, path_boost, memory_tags, code_locator, ignored_paths, tree_references, tree_links, dated_sections, headings, evidence_windows, term_windows)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, first_words, lexical_scores, lexical_topk, matched_terms, compact_texts, titles, human_units, parse_sizes, phase_keys, relative_times, ratings, slugs, json_objects, path_boost, memory_tags, code_locator, ignored_paths, tree_references, tree_index_references, tree_links, dated_sections, headings, evidence_windows, term_windows)}
 
 
 def _q(s: str) -> str:
     return s.replace("\\n", "' || chr(10) || '")
 
 
+_NODES = f"t(id, tree) AS (VALUES {TREES}), n AS (SELECT t.id, j.id AS node, j.parent, j.key, j.type, j.value FROM t, json_tree(CASE WHEN json_valid(t.tree) THEN t.tree END) j)"
 _LEX = f"WITH {TERMS_SQL},\n{score_sql('documents', 'doc_id', 'text')}\nSELECT k AS doc_id, score FROM scored WHERE score > 0"
 _STRIP = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
 _FLAT = rf"regexp_replace({_STRIP.format(x='text')}, '\s+', ' ', 'g')"
@@ -186,8 +191,9 @@ ORACLE = {
     "memory_tags": f"WITH w AS (SELECT doc_id, t AS tag, count(*) AS n, min(p) AS first_pos FROM (SELECT doc_id, unnest(k) AS t, generate_subscripts(k, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORDS}) AS k FROM documents)) GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS r FROM w), s AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS place FROM r WHERE r <= 20 AND tag NOT IN ({', '.join(repr(x) for x in memory.TAG_STOP)})) SELECT doc_id, tag, place FROM s WHERE place <= 8",
     "code_locator": "WITH c AS (SELECT page_id, html, lower(html) AS l, lower(url) AS u FROM pages), t(term) AS (VALUES ('track'), ('script'), ('charset')), x AS (SELECT page_id, term, (length(l) - length(replace(l, term, ''))) // length(term) AS n, contains(u, term) AS inu, strpos(l, term) AS hit, regexp_matches(html, '(?m)^\\s*' || term || '\\s*=') AS eq, regexp_matches(html, '(?m)^\\s*(def|class)\\s+' || term || '\\b') AS de FROM c, t) SELECT page_id, CAST(sum(least(n, 8) * 90 + CASE WHEN inu THEN 250 ELSE 0 END + CASE WHEN eq THEN 350 ELSE 0 END + CASE WHEN de THEN 1200 ELSE 0 END) AS BIGINT) AS score, min(nullif(hit, 0)) - 1 AS first_hit FROM x GROUP BY page_id HAVING score > 0",
     "ignored_paths": "SELECT * FROM (VALUES ('a.log', 1), ('x/b.log', 1), ('build/y.txt', 2), ('src/build/z.c', 2), ('docs/private/k', 3), ('x/docs/private', NULL), ('cache', 4), ('a/cache/b', 4), ('keep.txt', NULL), ('building', NULL)) AS t(path, line)",
-    "tree_references": "SELECT * FROM (VALUES (1), (2)) AS t(id)",
-    "tree_links": "SELECT * FROM (VALUES (1, 'conversation', 'c1'), (2, 'conversation', 'c2'), (2, 'conversation', 'c1'), (3, 'conversation', 'c3'), (5, 'index', 'i1'), (5, 'index', 'c1')) AS t(id, kind, ref)",
+    "tree_references": f"WITH {_NODES} SELECT DISTINCT n.id FROM n LEFT JOIN n p ON p.id = n.id AND p.node = n.parent WHERE (n.key IN ('conversation_id', 'owner_conversation_id', 'created_by_conversation_id') AND n.value->>'$' = 'c1') OR (p.type = 'ARRAY' AND p.key IN ('conversation_ids', 'source_conversation_ids') AND n.value->>'$' = 'c1') OR (p.type = 'ARRAY' AND p.key = 'source_conversations' AND n.value->>'id' = 'c1')",
+    "tree_index_references": f"WITH {_NODES} SELECT DISTINCT n.id FROM n LEFT JOIN n p ON p.id = n.id AND p.node = n.parent WHERE (n.key IN ('index', 'index_id', 'source_index', 'source_index_id', 'created_by_index_id', 'source_fingerprint_index') AND (n.value->>'$' = 'i1' OR n.value->>'id' = 'i1')) OR (p.type = 'ARRAY' AND p.key IN ('indexes', 'index_ids', 'source_indexes', 'source_index_ids') AND (n.value->>'$' = 'i1' OR n.value->>'id' = 'i1')) OR (p.type = 'ARRAY' AND p.key = 'context_items' AND n.value->>'kind' = 'index' AND n.value->>'id' = 'i1')",
+    "tree_links": f"WITH {_NODES}, one(key, kind) AS (VALUES ('index', 'index'), ('index_id', 'index'), ('source_index', 'index'), ('source_index_id', 'index'), ('created_by_index_id', 'index'), ('topic', 'topic'), ('topic_id', 'topic'), ('source_topic', 'topic'), ('dossier', 'dossier'), ('dossier_id', 'dossier'), ('source_dossier', 'dossier')), many(key, kind) AS (VALUES ('indexes', 'index'), ('index_ids', 'index'), ('source_indexes', 'index'), ('source_index_ids', 'index'), ('topics', 'topic'), ('topic_ids', 'topic'), ('dossiers', 'dossier'), ('dossier_ids', 'dossier')), c AS (SELECT id, kind, value FROM n JOIN one USING (key) UNION ALL SELECT n.id, kind, n.value FROM n JOIN n p ON p.id = n.id AND p.node = n.parent AND p.type = 'ARRAY' JOIN many ON many.key = p.key UNION ALL SELECT id, value->>'kind', value FROM n WHERE type = 'OBJECT' AND value->>'kind' IN ('index', 'topic', 'dossier')), r AS (SELECT id, kind, CASE json_type(value) WHEN 'VARCHAR' THEN value->>'$' WHEN 'OBJECT' THEN value->>'id' END AS ref FROM c) SELECT DISTINCT id, kind, ref FROM r WHERE ref <> ''",
     "headings": "SELECT id, kind, label, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", base AS base_score FROM (VALUES (1, 'org-heading', '[2024-05-01 Wed] one', 0, 57, 76.0::DOUBLE), (1, 'org-heading', 'sub [2024-05-01 Wed]', 28, 57, 72.0), (1, 'org-heading', 'plain', 57, 65, 76.0), (1, 'org-heading', '<2024-05-03> two', 65, 87, 76.0), (2, 'markdown-heading', 'md', 0, 16, 76.0), (2, 'markdown-heading', 'deep', 7, 16, 72.0)) AS t(id, kind, label, s, e, base)",
     "dated_sections": "SELECT id, date, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM (VALUES (1, '2024-05-01', 0, 57), (1, '2024-05-03', 65, 87)) AS t(id, date, s, e)",
 }

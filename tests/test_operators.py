@@ -186,8 +186,18 @@ def test_ignore_rules():
 
 def test_json_strings_with_quotes(spark):
     tree = json.dumps({"a": [{"index_ids": ['i"1', "i2"]}, {"index": "i3", "note": "index_ids"}]})
-    row = spark.createDataFrame([(tree,)], "j string").select(R.strings_under(F.col("j"), R.INDEX_KEYS).alias("s")).first()
-    assert set(row.s) == {'i\\"1', "i2", "i3"}
+    row = spark.createDataFrame([(tree,)], "j string").select(*(R.references(F.col("j"), R.INDEX, v).alias(f"x{k}") for k, v in enumerate(('i"1', "i2", "i3", "index_ids", "")))).first()
+    assert tuple(row) == (True, True, True, False, False)
+
+
+def test_json_references_of_every_form():
+    assert R.named({"index": {"id": 7}, "source_conversations": [{"id": "c"}, "d"], "conversation_id": 5, "conversation": "no"}) == {("index", "7"), ("conversation", "c"), ("conversation", "5")}
+    assert R.named([{"context_items": [{"kind": "index", "id": "i"}, {"kind": "file", "id": "j"}]}]) == {("index", "i"), ("link-index", "i")}
+    assert R.named({"kind": "topic", "id": "t", "dossiers": ["d", {"id": "e"}, 3]}) == {("link-topic", "t"), ("link-dossier", "d"), ("link-dossier", "e")}
+    deep = {"index_id": "x"}
+    for _ in range(5000):
+        deep = [deep]
+    assert ("index", "x") in R.named(deep)
 
 
 def test_planner():
