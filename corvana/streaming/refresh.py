@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,18 +29,26 @@ def refresh(spark: SparkSession, source: str, schema: str, store: str, checkpoin
 
     def batch(rows: DataFrame, number: int) -> None:
         fresh = rows.withColumn("input_sha256", T.sha256(F.col("text"))).dropDuplicates(["id", "input_sha256"])
-        try:
-            stored = spark.read.parquet(store).select("id", "input_sha256")
-            fresh = fresh.join(stored, ["id", "input_sha256"], "left_anti")
-        except Exception as error:  # the store does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        # A batch that runs again overwrites its own folder and nothing else.
+        # A batch that runs again (its commit was lost) finds its own rows in the store: they
+        # are what it is about to write, so only those of batches before it count as stored.
+        stored = _batches(spark, store)
+        if stored is not None:
+            fresh = fresh.join(stored.filter(F.col("batch") < number).select("id", "input_sha256"), ["id", "input_sha256"], "left_anti")
         embed(fresh).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _batches(spark: SparkSession, store: str) -> DataFrame | None:
+    """The stored rows with their batch; None before the first batch has written any."""
+    try:
+        return spark.read.parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def hashed_embedding(rows: DataFrame, dims: int = vectors.LEXICAL_DIMS) -> DataFrame:
     """Rows with `vector`, a hashed bag of words: stands in for a model."""
     long_form = vectors.lexical_vectors(rows, "id", F.col("text"), dims)

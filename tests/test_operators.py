@@ -271,3 +271,26 @@ def test_subspans(spark):
     got = sorted((r.id, r.part, r.parent_start, r.start, r.end, r.text) for r in spans.subspans(frame, 20, 3).collect())
     assert got[-1] == ("b", 0, 3, 3, 6, "xyz") and [g[1:5] for g in got[:3]] == [(0, 10, 10, 30), (1, 10, 25, 45), (2, 10, 40, 60)]
     assert got[2][5] == ("0123456789" * 5)[-20:]
+
+
+def test_refresh_keeps_vectors_when_a_batch_runs_again(spark, tmp_path):
+    """The driver died between a batch's write and its commit: every vector is there once, after that and a further run."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        refresh.refresh(spark, f"file://{folder}", "id string, text string", f"file://{tmp_path}/store", f"file://{tmp_path}/cp", refresh.hashed_embedding, files_per_batch=1).awaitTermination()
+        return sorted((r.id, r.n) for r in spark.read.parquet(f"file://{tmp_path}/store").groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect())
+
+    lines = lambda a, b: "".join(json.dumps({"id": f"d{k}", "text": f"some words of text {k}"}) + "\n" for k in range(a, b))
+    (folder / "a.json").write_text(lines(0, 10))
+    (folder / "b.json").write_text(lines(10, 20))
+    every = [(f"d{k}", 1) for k in range(20)]
+    assert run() == sorted(every)
+    for _ in range(2):
+        commits = sorted((p for p in (tmp_path / "cp/commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+        commits[-1].unlink()
+        (tmp_path / f"cp/commits/.{commits[-1].name}.crc").unlink(missing_ok=True)
+        assert run() == sorted(every)
+    (folder / "c.json").write_text(lines(15, 22))
+    assert run() == sorted([*every, ("d20", 1), ("d21", 1)])
