@@ -1,4 +1,4 @@
-"""Scalar text, size and time functions as Columns; all of them stay in the JVM.
+"""Scalar text, size and time functions as Columns; all but word_counts() stay in the JVM.
 
 White space is Unicode white space throughout, lengths and offsets are code points,
 and rounding is half to even, as the engine's scores need it.
@@ -6,10 +6,15 @@ and rounding is half to even, as the engine's scores need it.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[A-Za-z0-9_'-]{3,}"
+_WORDS = re.compile(WORD)
 
 
 def strip(x: Column) -> Column:
@@ -35,6 +40,22 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def word_counts(x: Column) -> Column:
+    """Distinct tokens with their counts, the commonest first, then by first occurrence: one Arrow pass, nothing leaves the row."""
+
+    @F.arrow_udf("array<struct<word:string,n:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = [[{"word": w, "n": n} for w, n in counted(t).most_common()] for t in texts.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))
+
+    return run(x)
+
+
+def counted(text: str | None) -> Counter[str]:
+    """Tokens of a text with their counts, by first occurrence."""
+    return Counter(_WORDS.findall((text or "").lower()))
+
+
 def locator_tokens(x: Column) -> Column:
     """Code tokens of two or more characters, and their parts between _, ., / and -."""
     whole = F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9_./-]{2,}"), F.lit(0))

@@ -73,12 +73,12 @@ def task_boost(query: str, found: DataFrame) -> DataFrame:
     return found.withColumn("boost", value if asks else F.lit(0))
 
 
-def evidence(documents: DataFrame, id_col: str, text: Column, window: int = 1200) -> DataFrame:
-    """id, kind, label, start, end, text of dated sections, headings and windows; the same span counts once."""
-    every = F.concat(spans.dated(text), spans.headed(text, "org"), spans.headed(text, "markdown"), spans.windowed(text, window))
-    rows = documents.select(id_col, F.posexplode(every).alias("o", "s")).select(id_col, "o", "s.*")
-    first = rows.groupBy(id_col, "start", "end", T.sha256(F.substring("text", 1, 240)).alias("d")).agg(F.min_by(F.struct("kind", "label", "text", "base_score"), "o").alias("r"))
-    return first.select(id_col, "r.kind", "r.label", "start", "end", "r.text", "r.base_score")
+def evidence(documents: DataFrame, id_col: str, text: Column, window: int = 1200, most: int | None = spans.MOST_WINDOWS) -> DataFrame:
+    """id, kind, label, start, end, text, base_score of dated sections, headings and windows; the same span counts once.
+
+    One pass over each text, without a shuffle; `most` windows and the tail of a text, all of them with None.
+    """
+    return documents.select(id_col, F.explode(spans.evidence(text, window, most)).alias("s")).select(id_col, "s.kind", "s.label", "s.start", "s.end", "s.text", "s.base_score")
 
 
 def evidence_query(rows: DataFrame, query: str, path: Column, limit: int) -> DataFrame:

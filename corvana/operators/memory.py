@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
-from corvana.operators import lexical
+from corvana.operators import lexical, similarity
 
 IMPORTANCE, MOST_IMPORTANCE, DUPLICATE_AT = 3, 5, 0.72
 # Words that are no tags.
@@ -32,10 +32,9 @@ def normalize(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
 
 def tags(rows: DataFrame, id_col: str, text: Column, top: int = 20, most: int = 8, stop: list[str] = TAG_STOP) -> DataFrame:
     """id, tag, place: the first `most` of the `top` commonest words that are no stop words; ties by first occurrence."""
-    words = rows.select(id_col, F.posexplode(T.tokens(text)).alias("pos", "tag")).groupBy(id_col, "tag").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy(id_col).orderBy(F.desc("n"), "first")
-    common = words.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).filter(~F.col("tag").isin(stop))
-    return common.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("r"))).filter(F.col("place") <= most).select(id_col, "tag", "place")
+    common = F.slice(T.word_counts(text), 1, top)
+    kept = F.slice(F.filter(F.transform(common, lambda w: w["word"]), lambda w: ~w.isin(stop)), 1, most)
+    return rows.select(id_col, F.posexplode(kept).alias("place", "tag")).select(id_col, "tag", (F.col("place") + 1).alias("place"))
 
 
 def relevance(rows: DataFrame, query: str, thread: str = "", ord_col: str = "ord") -> DataFrame:
@@ -73,18 +72,11 @@ def rank(rows: DataFrame, query: str, limit: int, thread: str = "", ord_col: str
 
 
 def most_similar(texts: DataFrame, rows: DataFrame, threshold: float = DUPLICATE_AT) -> DataFrame:
-    """For each text (id, text) the row (id, text, ord) with the highest overlap coefficient, if it reaches the threshold.
-
-    Pairs come from a join on shared words, as a pair without one has an overlap of 0;
-    their counts are summed before sets are compared, so no text meets a row twice.
-    """
-    left = texts.select(F.col("id").alias("text_id"), F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    right = rows.select(F.col("id").alias("row_id"), "ord", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    a = left.select("text_id", F.size("w").alias("na"), F.explode("w").alias("word"))
-    b = right.select("row_id", "ord", F.size("w").alias("nb"), F.explode("w").alias("word"))
-    shared = a.join(b, "word").groupBy("text_id", "row_id", "ord", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-    near = shared.withColumn("overlap", F.col("n") / F.least("na", "nb")).filter(F.col("overlap") >= threshold)
-    return near.groupBy("text_id").agg(F.max_by(F.struct("row_id", "overlap"), F.struct(F.col("overlap"), -F.col("ord"))).alias("b")).select("text_id", "b.*")
+    """For each text (id, text) the row (id, text, ord) with the highest overlap coefficient, if it reaches the threshold; ties by ord."""
+    words = lambda r: r.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    near = similarity.overlapping(words(texts), words(rows), threshold).join(rows.select(F.col("id").alias("b"), "ord"), "b")
+    best = F.max_by(F.struct(F.col("b").alias("row_id"), "overlap"), F.struct("overlap", -F.col("ord")))
+    return near.groupBy(F.col("a").alias("text_id")).agg(best.alias("r")).select("text_id", "r.*")
 
 
 ROLES = ("user", "assistant", "system", "summary", "error", "queued")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
+from corvana.operators import similarity
 
 # Words that say nothing about a skill.
 GENERIC = ["skill", "workflow", "procedure", "response", "style", "planning", "debugging", "project", "file", "files", "with", "when", "this", "that", "use", "using", "context"]
@@ -31,21 +32,22 @@ def with_terms(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
 def matches(texts: DataFrame, skills: DataFrame, per_text: int = 3) -> DataFrame:
     """text_id, slug, shared terms: for each text the first skills, in their own order, that share a term with it.
 
-    texts: text_id, text; skills: slug, ord, text. The join is on terms; its rows are
-    counted per pair before skills are put in order.
+    texts: text_id, text; skills: slug, ord, text.
     """
-    a = texts.select("text_id", F.explode(terms(F.col("text"))).alias("term"))
-    b = skills.select("slug", "ord", F.explode(terms(F.col("text"))).alias("term"))
-    pairs = a.join(b, "term").groupBy("text_id", "slug", "ord").agg(F.sort_array(F.collect_set("term")).alias("shared"))
-    picked = pairs.groupBy("text_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "slug", "shared"))), 1, per_text).alias("m"))
-    return picked.select("text_id", F.explode("m").alias("m")).select("text_id", "m.slug", "m.shared")
+    left = texts.select(F.col("text_id").alias("id"), terms(F.col("text")).alias("words"))
+    right = skills.select(F.col("slug").alias("id"), "ord", terms(F.col("text")).alias("words"))
+    return similarity.first_sharing(left, right, per_text).toDF("text_id", "slug", "shared")
+
+
+def feedback_matches(feedback: DataFrame, skills: DataFrame, per_text: int = 3) -> DataFrame:
+    """The same for feedback (id, rating, note, prompt) that is not 'up'."""
+    asked = feedback.filter(F.coalesce("rating", F.lit("")) != "up").select(F.col("id").alias("text_id"), F.concat_ws(" ", "note", "prompt").alias("text"))
+    return matches(asked, skills, per_text)
 
 
 def consolidation(rows: DataFrame, id_col: str, text: Column, least: int = 2) -> DataFrame:
-    """a, b, shared: pairs of rows (a before b) that share at least `least` terms, from a join on terms."""
-    each = rows.select(F.col(id_col).alias("i"), F.explode(terms(text)).alias("term"))
-    joined = each.toDF("a", "term").join(each.toDF("b", "term"), "term").filter("a < b")
-    return joined.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    """a, b, shared: pairs of rows (a before b) that share at least `least` terms."""
+    return similarity.sharing(rows.select(F.col(id_col).alias("id"), terms(text).alias("words")), least)
 
 
 def stale_unused(skills: DataFrame, now: Column, days: int) -> DataFrame:

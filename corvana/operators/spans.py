@@ -63,8 +63,8 @@ def headed_sections(content: str, style: str, deepest: int = 4) -> list[dict]:
     return [{"kind": f"{style}-heading", "label": _short(t, 120), "start": a, "end": b, "text": x, "base_score": 80.0 - 4 * n} for a, b, n, t, _ in found if n <= deepest and (x := content[a:b].strip())]
 
 
-def windows(content: str, size: int) -> list[dict]:
-    """Overlapping windows at steps of three quarters that end at a blank line in their second half, and the tail."""
+def windows(content: str, size: int, most: int | None = MOST_WINDOWS) -> list[dict]:
+    """Overlapping windows at steps of three quarters that end at a blank line in their second half: at most `most` and the tail, or all (None)."""
     size = max(LEAST_CHARS, size)
     if not content.strip():
         return []
@@ -77,7 +77,7 @@ def windows(content: str, size: int) -> list[dict]:
         return made("whole-chunk", "whole chunk", 0, len(content), 10.0)
     out: list[dict] = []
     at = 0
-    while at < len(content) and len(out) < MOST_WINDOWS:
+    while at < len(content) and (most is None or len(out) < most):
         end = min(len(content), at + size)
         blank = content.rfind("\n\n", at, end)
         end = blank if blank > at + size // 2 else end
@@ -107,15 +107,34 @@ def headed(content: Column, style: str) -> Column:
     return _udf(lambda t: headed_sections(t, style))(content)
 
 
-def windowed(content: Column, size: int) -> Column:
-    return _udf(lambda t: windows(t, size))(content)
+def windowed(content: Column, size: int, most: int | None = MOST_WINDOWS) -> Column:
+    return _udf(lambda t: windows(t, size, most))(content)
+
+
+def every_span(content: str, size: int, most: int | None = MOST_WINDOWS) -> list[dict]:
+    """Dated sections, headings and windows in that order; of spans of one place that begin alike the first."""
+    found = [*dated_sections(content), *headed_sections(content, "org"), *headed_sections(content, "markdown"), *windows(content, size, most)]
+    once: dict[tuple, dict] = {}
+    for s in found:
+        once.setdefault((s["start"], s["end"], s["text"][:240]), s)
+    return list(once.values())
+
+
+def evidence(content: Column, size: int, most: int | None = MOST_WINDOWS) -> Column:
+    return _udf(lambda t: every_span(t, size, most))(content)
 
 
 def prune_nested(spans: Column) -> Column:
     """Without spans that lie in an earlier or longer span of the same date."""
     order = F.array_sort(spans, lambda a, b: F.when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    kept = F.aggregate(order, F.slice(order, 1, 0), lambda acc, s: F.when(F.exists(acc, lambda k: (k["label"] == s["label"]) & (s["start"] >= k["start"]) & (s["end"] <= k["end"])), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+    # By start, and the longest first: a span lies in one before it if that of its date which reaches farthest reaches its end.
+    state = F.struct(F.slice(order, 1, 0).alias("kept"), F.lit("").alias("label"), F.lit(-1).alias("far"))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = (acc["label"] == s["label"]) & (s["end"] <= acc["far"])
+        return F.when(inside, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(s)).alias("kept"), s["label"].alias("label"), s["end"].alias("far")))
+
+    return F.array_sort(F.aggregate(order, state, step)["kept"], lambda a, b: a["start"] - b["start"])
 
 
 def newest_dates(rows: DataFrame, date_col: str, n: int, keys: list[str] | None = None) -> DataFrame:
@@ -132,6 +151,12 @@ def scored(spans: DataFrame, query: str) -> DataFrame:
     return out.withColumn("score", F.col("base_score") + F.col("lexical"))
 
 
+def ranked(spans: Column, query: str) -> Column:
+    """An array of spans as (o, start, end, kind, text), the highest base_score + lexical first; o is its negative."""
+    terms = query_terms(query)
+    return F.array_sort(F.transform(spans, lambda s: F.struct((-(s["base_score"] + score(terms, s["text"]))).alias("o"), s["start"], s["end"], s["kind"], s["text"])))
+
+
 def select_non_overlapping(spans: Column, budget: int) -> Column:
     """Greedy choice in the given order: no overlap, at most MOST_SPANS, within the budget with separators of two.
 

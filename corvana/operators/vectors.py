@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,28 +36,42 @@ def sparse_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + F.coalesce(F.try_element_at(a, k) * F.try_element_at(b, k), F.lit(0.0)))
 
 
-def bucket(term: Column, dims: int = LEXICAL_DIMS) -> Column:
-    """The first four bytes of a term's sha256, modulo the dimensions."""
-    return (F.conv(F.substring(T.sha256(term), 1, 8), 16, 10).cast("long") % max(8, dims)).cast("int")
+def lexical_entries(text: Column, dims: int = LEXICAL_DIMS) -> Column:
+    """Entries (bucket, w) of a text's hashed bag of words, by bucket: one Arrow pass, nothing leaves the row."""
 
+    @F.arrow_udf("array<struct<bucket:int,w:double>>")
+    def run(texts: pa.Array) -> pa.Array:
+        place: dict[str, int] = {}
+        out = []
+        for text in texts.to_pylist():
+            sums: dict[int, float] = {}
+            for word, n in T.counted(text).items():
+                if word not in place:
+                    place[word] = int.from_bytes(hashlib.sha256(word.encode()).digest()[:4]) % max(8, dims)
+                sums[place[word]] = sums.get(place[word], 0.0) + (1.0 + math.sqrt(min(4, n))) * (1.2 if len(word) >= 7 else 1.0)
+            out.append([{"bucket": b, "w": sums[b]} for b in sorted(sums)])
+        return pa.array(out, pa.list_(pa.struct([("bucket", pa.int32()), ("w", pa.float64())])))
 
-def lexical_vectors(rows: DataFrame, id_col: str, text: Column, dims: int = LEXICAL_DIMS) -> DataFrame:
-    """id, bucket, weight: hashed bags of words of unit length, in long form.
+    return run(text)
 
-    Terms are counted by id and term, so a text's size bounds no task; both
-    aggregations share the hash partitioning of the id.
-    """
-    terms = rows.select(id_col, F.explode(T.tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    weight = (1.0 + F.sqrt(F.least(F.lit(4), F.col("n")))) * F.when(F.length("term") >= 7, 1.2).otherwise(1.0)
-    weights = terms.groupBy(id_col, bucket(F.col("term"), dims).alias("bucket")).agg(F.sum(weight).alias("w"))
-    lengths = weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weights.join(lengths, id_col).select(id_col, "bucket", F.bround(F.col("w") / F.col("length"), 6).alias("weight"))
+
+def lexical_vectors(rows: DataFrame, id_col: str, text: Column, dims: int = LEXICAL_DIMS) -> DataFrame:
+    """id, bucket, weight: hashed bags of words of unit length, in long form, without a shuffle."""
+    entries = rows.select(id_col, lexical_entries(text, dims).alias("_e")).withColumn("_n", F.sqrt(F.aggregate("_e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
+    return entries.select(id_col, "_n", F.explode("_e").alias("e")).select(id_col, "e.bucket", F.bround(F.col("e.w") / F.col("_n"), 6).alias("weight"))
 
 
 def sparse_map(long_form: DataFrame, id_col: str) -> DataFrame:
     return long_form.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "weight")))).alias("vector"))
 
 
+def with_lexical_map(rows: DataFrame, text: Column, name: str = "vector", dims: int = LEXICAL_DIMS) -> DataFrame:
+    """Rows with the hashed vector of a text as a map, within the row; a text without a word has none."""
+    out = rows.withColumn("_e", lexical_entries(text, dims)).withColumn("_n", F.sqrt(F.aggregate("_e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
+    entries = F.transform("_e", lambda x: F.struct(x["bucket"], F.bround(x["w"] / F.col("_n"), 6)))
+    return out.withColumn(name, F.when(F.size("_e") > 0, F.map_from_entries(entries))).drop("_e", "_n")
+
+
 def rank(rows: DataFrame, query_vector: list[float], query: str = "") -> DataFrame:
     """score, vector_score, lexical and path_boost of stored rows; only positive scores stay.
 

@@ -14,8 +14,9 @@ WORDS = "'[A-Za-z0-9_''-]{3,}'"
 
 
 def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+    """Occurrences of each word and the documents that have it: a document is one row, so both are counts with map-side combine."""
+    counted = table(spark, sf, "documents").select(F.explode(T.word_counts(F.col("text"))).alias("w"))
+    return counted.groupBy("w.word").agg(F.sum("w.n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def first_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,9 +151,9 @@ def headings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows of every document, scored against the first question, chosen without overlap."""
-    d = table(spark, sf, "documents").select("doc_id", F.explode(spans.windowed(F.col("text"), 600)).alias("s")).select("doc_id", "s.*")
-    ranked = spans.scored(d, first_question(spark, sf)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start", "end", "kind", "text"))).alias("w"))
+    """Windows of every document, scored against the first question, chosen without overlap: all within the row."""
+    d = table(spark, sf, "documents").select("doc_id", spans.windowed(F.col("text"), 600).alias("w"))
+    ranked = d.select("doc_id", spans.ranked(F.col("w"), first_question(spark, sf)).alias("w"))
     chosen = ranked.select("doc_id", F.explode(spans.select_non_overlapping(F.col("w"), 1500)).alias("s"))
     return chosen.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), (-F.col("s.o")).alias("score"))
 

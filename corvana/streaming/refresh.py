@@ -51,8 +51,7 @@ def _batches(spark: SparkSession, store: str) -> DataFrame | None:
 
 def hashed_embedding(rows: DataFrame, dims: int = vectors.LEXICAL_DIMS) -> DataFrame:
     """Rows with `vector`, a hashed bag of words: stands in for a model."""
-    long_form = vectors.lexical_vectors(rows, "id", F.col("text"), dims)
-    return rows.join(vectors.sparse_map(long_form, "id"), "id", "left")
+    return vectors.with_lexical_map(rows, F.col("text"), dims=dims)
 
 
 def activity(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:

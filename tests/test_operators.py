@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvana.functions import references as R
 from corvana.functions import text as T
-from corvana.operators import audit, code, fusion, lexical, memory, spans, vectors
+from corvana.operators import audit, code, fusion, lexical, memory, similarity, spans, vectors
 from corvana.plans import planner, retrieval
 from corvana.sources import state
 from corvana.streaming import refresh
@@ -294,3 +294,34 @@ def test_refresh_keeps_vectors_when_a_batch_runs_again(spark, tmp_path):
         assert run() == sorted(every)
     (folder / "c.json").write_text(lines(15, 22))
     assert run() == sorted([*every, ("d20", 1), ("d21", 1)])
+
+
+def test_similarity_joins_equal_all_pairs(spark):
+    """Prefix-filtered joins against every pair, with words that all rows have, empty rows and repeated texts."""
+    import random
+
+    rng = random.Random(3)
+    pool = [f"w{k}" for k in range(25)]
+    make = lambda n: [(k, ["common", *rng.choices(pool, k=rng.randint(0, 9), weights=[30 - j for j in range(25)])] if k % 11 else []) for k in range(n)]
+    left, right = [(k, sorted(set(w))) for k, w in make(60)], [(k, sorted(set(w))) for k, w in make(50)]
+    x, y = spark.createDataFrame(left, "id long, words array<string>"), spark.createDataFrame([(k, 50 - k, w) for k, w in right], "id long, ord long, words array<string>")
+    for t in (0.5, 0.72, 1.0):
+        got = {(r.a, r.b): r.overlap for r in similarity.overlapping(x, y.drop("ord"), t).collect()}
+        want = {(a, b): len(set(u) & set(v)) / min(len(u), len(v)) for a, u in left for b, v in right if u and v and len(set(u) & set(v)) / min(len(u), len(v)) >= t}
+        assert got == want
+    for least in (1, 2, 4):
+        got = {(r.a, r.b): r.shared for r in similarity.sharing(x, least).collect()}
+        assert got == {(a, b): len(set(u) & set(v)) for a, u in left for b, v in left if a < b and len(set(u) & set(v)) >= least}
+    got = {(r.a, r.b): r.shared for r in similarity.first_sharing(x, y, 3).collect()}
+    want = {}
+    for a, u in left:
+        for b, v in sorted((r for r in right if set(u) & set(r[1])), key=lambda r: 50 - r[0])[:3]:
+            want[a, b] = sorted(set(u) & set(v))
+    assert got == want
+
+
+def test_windows_beyond_the_cap():
+    text = "word " * 20000
+    few, every = spans.windows(text, 600), spans.windows(text, 600, None)
+    assert len(few) == 33 and few[-1]["label"].startswith("tail") and len(every) > 200 and every[-1]["end"] >= len(text) - 1
+    assert every[:32] == few[:32]
