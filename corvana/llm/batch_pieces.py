@@ -22,7 +22,7 @@ from corvana.llm.common import mix64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Characters of a pass, and what a worker's table holds before it starts afresh.
-PASS_CHARS, MAX_ENTRIES, MAX_IDS = 1 << 19, 800_000, 1 << 22
+PASS_CHARS, MAX_ENTRIES, MAX_IDS = 1 << 18, 800_000, 1 << 22
 _SLOTS = 1 << 21
 
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93

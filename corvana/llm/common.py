@@ -27,7 +27,7 @@ SLICE_CHARS = 2_000_000
 
 
 #: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corvana-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, uri: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    uri = uri or scratch_dir(spark)
+#: Rows that a task writes at least, where their number is known and they are short.
+TASK_ROWS = 100_000
+
+
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there.
+
+    rows: how many short rows there are at most, where that is known; a small table is
+    then written by fewer tasks, a large one by as many as it has partitions.
+    """
+    spark, uri = df.sparkSession, scratch_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.option("compression", "zstd").parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
@@ -83,7 +92,8 @@ def _serve(module: str) -> None:
             clear()
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return unused memory to the system: a worker serves other stages next, a driver other steps."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -97,9 +107,9 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _serve(module)
-        _give_back()
+        give_back()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return task
 

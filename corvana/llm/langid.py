@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.chargrams import gram_buckets, letter_codes
-from corvana.llm.common import bounded_sample, bounded_texts, held_out, lean
+from corvana.llm.common import bounded_sample, bounded_texts, give_back, held_out, lean
 
 ORDER, BITS = 3, 16
 SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1500, 32 << 20
@@ -72,7 +72,12 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
 def train(docs: DataFrame) -> Model:
     marked = docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out("doc_id"))
     rows = bounded_texts(marked, bounded_sample(marked.select("doc_id", "lang"), "lang", SAMPLE_PER_LANGUAGE), "lang", SAMPLE_BYTES)
-    return fit([x[2] for x in rows], [x[1] for x in rows])
+    texts, names = [x[2] for x in rows], [x[1] for x in rows]
+    del rows
+    model = fit(texts, names)
+    del texts
+    give_back()
+    return model
 
 
 def mixture(p: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:

@@ -50,6 +50,8 @@ OUTSIDE_ROWS, OUTSIDE_SHINGLES, INSIDE_ROWS = 512, 1 << 19, 512
 CROWDED, FINER_ROWS = 8192, 4
 #: Equal shingles that are counted in one numpy pass.
 MATCHES = 1 << 20
+#: Pairs that a task compares at least: by registers, and by texts.
+TASK_PAIRS, TASK_TEXTS = 50_000, 4_000
 
 _WORDS: WordCodes = WordCodes()
 keeps(__name__, _WORDS.clear)
@@ -265,7 +267,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the two sides of each block, enough to connect what belongs together.
+    """Links between the components of the two sides of each block, enough to connect what belongs together.
 
     The side that asks is held, bounded in rows and shingles; the other passes by in
     batches that are bounded in bytes, and its texts are cut only where registers agree.
@@ -314,7 +316,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = probability_jaccard(*side.sets[i], h, w)
                 if s >= MIN_SIMILARITY - 1e-9:
                     root[top(int(side.label[i]))] = top(labels[k])
-                    out.append((int(side.id[i]), ids[k], s))
+                    out.append((int(side.label[i]), labels[k], s))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "sim"])
 
@@ -338,34 +340,39 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), batch["id"].take(pa.array(rows)), batch["n"].take(pa.array(rows))], ["key", "id", "n"])
 
 
-def _headed(keyed: DataFrame) -> DataFrame:
-    """key, head, id, n of the members (key, id, n) of buckets of more than one; the head is the smallest id."""
-    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head")).filter("size > 1").drop("size"))
-    return materialise(keyed.join(shared, "key").select("key", "head", "id", "n"))
+def _tasks(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
+
+
+def _headed(keyed: DataFrame, rows: int) -> DataFrame:
+    """key, head, id, n of the members (key, id, n) of buckets of more than one; the head is the smallest id. rows: at most so many members."""
+    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head")).filter("size > 1").drop("size"), rows)
+    return materialise(keyed.join(shared, "key").select("key", "head", "id", "n"), rows)
 
 
 def head_links(buckets: DataFrame, bodies: DataFrame) -> DataFrame:
     """Links of each bucket's head with its other members: by registers first, then exactly."""
     pairs = buckets.filter("id != head").selectExpr("head AS a", "id AS b").distinct()
     signed = pairs.join(bodies.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(bodies.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    close = materialise(signed.select("a", "b", "sa", "sb").mapInArrow(lean(_close), "a long, b long"))
+    close = materialise(signed.select("a", "b", "sa", "sb").coalesce(_tasks(buckets.count(), TASK_PAIRS)).mapInArrow(lean(_close), "a long, b long"))
     with_text = close.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(bodies.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return materialise(with_text.mapInArrow(lean(_verify), "a long, b long, sim double"))
+    return materialise(with_text.coalesce(_tasks(close.count(), TASK_TEXTS)).mapInArrow(lean(_verify), "a long, b long, sim double"))
 
 
 def _mixed(buckets: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (key, id, n, label) and the buckets that hold several components: main, members and shingles outside it, members."""
-    placed = materialise(buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")))
+    size = buckets.count()
+    placed = materialise(buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), size)
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"))
     biggest = F.max(F.struct("r", "label", "n"))
     main = sizes.groupBy("key").agg(biggest.alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("r").alias("all"), F.sum("n").alias("every"))
     # In a bucket of two its head was held against the other member.
     main = main.filter("parts > 1 AND all > 2").selectExpr("key", "m.label AS main", "all - m.r AS out", "every - m.n AS out_n", "all")
-    return placed, materialise(main)
+    return placed, materialise(main, size)
 
 
 def block_links(placed: DataFrame, main: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links within buckets between members outside the main component and all others, in bounded blocks."""
+    """Links of components within buckets, from members outside the main one and all others, in bounded blocks."""
     mixed = placed.join(main, "key").withColumn("outside", F.col("label") != F.col("main"))
     hashed, parts = F.xxhash64("id"), F.ceil(F.col("all") / INSIDE_ROWS)
     chunks = F.greatest(F.ceil(F.col("out") / OUTSIDE_ROWS), F.ceil(F.col("out_n") / OUTSIDE_SHINGLES), F.lit(1).cast("long"))
@@ -381,8 +388,8 @@ def block_links(placed: DataFrame, main: DataFrame, bodies: DataFrame) -> DataFr
     return materialise(exact.mapInArrow(lean(_linked), "a long, b long, sim double"))
 
 
-def cross_links(buckets: DataFrame, found: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links within buckets between the components that the links found so far leave apart.
+def with_cross_links(buckets: DataFrame, label: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(id, label) once the components of label are joined that members of one bucket link.
 
     Buckets with up to CROWDED members outside their main component go through blocks,
     so that a member is in at most 2 * CROWDED / OUTSIDE_ROWS of a bucket's blocks or so. Members
@@ -390,17 +397,28 @@ def cross_links(buckets: DataFrame, found: DataFrame, bodies: DataFrame) -> Data
     MIN_SIMILARITY shares one of these with a probability of 1 - 2e-7. The finer buckets
     are linked by their heads in turn, and only what these leave apart goes through blocks.
     """
-    placed, main = _mixed(buckets, components(found))
-    links = block_links(placed, main.filter(F.col("out") <= CROWDED), bodies)
+    placed, main = _mixed(buckets, label)
+    label = merged(label, block_links(placed, main.filter(F.col("out") <= CROWDED), bodies))
     crowded = main.filter(F.col("out") > CROWDED)
     if crowded.isEmpty():
-        return links
+        return label
     members = placed.join(crowded.select("key"), "key", "left_semi").join(bodies.select("id", "sig", "bands"), "id").select("key", "id", "n", "sig", "bands")
-    finer = _headed(materialise(members.mapInArrow(lean(_refine), "key long, id long, n long")))
-    links = links.union(head_links(finer, bodies))
-    placed, main = _mixed(finer, components(found.union(links)))
+    dealt = materialise(members.mapInArrow(lean(_refine), "key long, id long, n long"))
+    finer = _headed(dealt, dealt.count())
+    heads, own = head_links(finer, bodies), lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+    named = heads.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    label = merged(label, named)
     # The finer keys are no bands: a pair may meet in several of them.
-    return links.union(block_links(placed, main, bodies.withColumn("bands", F.array().cast("array<long>"))))
+    placed, main = _mixed(finer, label)
+    return merged(label, block_links(placed, main, bodies.withColumn("bands", F.array().cast("array<long>"))))
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) of components that links (a, b: labels, or ids without one) join further."""
+    further = components(links)
+    size = label.count() + further.count()
+    moved = label.join(further.toDF("label", "_to"), "label", "left").select("id", F.coalesce("_to", "label").alias("label"))
+    return materialise(moved.union(further.join(label, "id", "left_anti").select("id", "label")), size)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -411,38 +429,39 @@ def components(edges: DataFrame) -> DataFrame:
     written result, which Spark broadcasts where its size allows and else deals out
     with hubs split; a hub's edges are never gathered.
     """
-    now, before = materialise(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u != v").distinct()), None
+    size, before = 2 * edges.count(), None  # no step makes more rows
+    now = materialise(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u != v").distinct(), size)
     while True:
         # Large star: a node's larger neighbours move to the smallest of its neighbourhood.
         both = now.union(now.selectExpr("v AS u", "u AS v"))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(m, u) AS m"))
-        large = materialise(both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct())
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(m, u) AS m"), size)
+        large = materialise(both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct(), size)
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), size)
         small = large.join(least, "u").selectExpr("v AS u", "m AS v").filter("u != v").union(least.selectExpr("u", "m AS v"))
-        now = materialise(small.distinct())
+        now = materialise(small.distinct(), size)
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
         if state == before:
             break
         before = state
     labelled = now.selectExpr("u AS id", "v AS label")
-    return materialise(labelled.union(labelled.selectExpr("label AS id", "label").distinct()))
+    return materialise(labelled.union(labelled.selectExpr("label AS id", "label").distinct()), size)
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), text_id (smallest doc_id with that very text)."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     sketched = materialise(given.filter("text IS NOT NULL").mapInArrow(lean(_sketch), "doc_id long, h1 long, h2 long, n long, bands array<long>, sig binary"))
-    firsts = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
-    copies = materialise(sketched.select("doc_id", "h1", "h2").join(materialise(firsts), ["h1", "h2"]).select("doc_id", "text_id"))
+    size = sketched.count()
+    firsts = materialise(sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id")), size)
+    copies = materialise(sketched.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "text_id"), size)
     texts = sketched.join(copies.filter("doc_id != text_id").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "bands", "sig").dropDuplicates(["id"])
-    buckets = _headed(texts.select("id", "n", F.explode("bands").alias("key")))
-    involved = materialise(buckets.select("id").distinct())
+    buckets = _headed(texts.select("id", "n", F.explode("bands").alias("key")), BANDS * size)
+    involved = materialise(buckets.select("id").distinct(), size)
     # One row for each text that has a candidate: all that the comparisons read.
     once = given.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     bodies = materialise(once.join(texts.select("id", "bands", "sig"), "id"))
-    found = head_links(buckets, bodies)
-    label = components(found.union(cross_links(buckets, found, bodies)))
+    label = with_cross_links(buckets, components(head_links(buckets, bodies)), bodies)
     classes = copies.join(label.withColumnRenamed("id", "text_id"), "text_id", "left").select("doc_id", F.coalesce("label", "text_id").alias("class_id"), "text_id")
     alone = given.filter("text IS NULL").selectExpr("doc_id", "doc_id AS class_id", "doc_id AS text_id")
     return classes.union(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.chargrams import gram_buckets, letter_codes
-from corvana.llm.common import bounded_sample, bounded_texts, held_out, lean
+from corvana.llm.common import bounded_sample, bounded_texts, give_back, held_out, lean
 
 ORDERS = (4, 5)
 BITS = 21
@@ -73,13 +73,16 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         (p if label else q)[rows[-1]] += 1
     ratio = np.log((SMOOTHING + p) / (SMOOTHING + y.sum())) - np.log((SMOOTHING + q) / (SMOOTHING + len(y) - y.sum()))
     chosen = (p + q >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
-    place = np.full(size, -1, dtype=np.int64)
+    place = np.full(size, -1, dtype=np.int32)
     features = np.flatnonzero(chosen)
     place[features] = np.arange(len(features))
     r = ratio[features]
+    del p, q
     cols = [c[c >= 0] for c in (place[x] for x in rows)]
-    doc = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.empty(0, np.int64)
+    del rows
+    doc = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols) if cols else np.empty(0, np.int32)
+    del cols
     w, b = np.zeros(len(features)), float(np.log(y.mean() / (1 - y.mean())))
     base = b
     m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
@@ -100,7 +103,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("doc_id"))
     rows = bounded_texts(docs.select("doc_id", "text"), bounded_sample(marked, "toxic", SAMPLE_PER_CLASS), "toxic", SAMPLE_BYTES)
-    return fit([x[2] for x in rows], [x[1] for x in rows])
+    texts, marks = [x[2] for x in rows], [x[1] for x in rows]
+    del rows
+    model = fit(texts, marks)
+    del texts
+    give_back()
+    return model
 
 
 def score_texts(texts: list[str | None], table: np.ndarray, intercept: float) -> np.ndarray:
