@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -51,13 +52,19 @@ def word_counts(x: Column) -> Column:
     return run(x)
 
 
+def now() -> str:
+    """The driver's time as ISO text with its offset, to the second."""
+    return datetime.now().astimezone().isoformat(timespec="seconds")
+
+
 def counted(text: str | None) -> Counter[str]:
     """Tokens of a text with their counts, by first occurrence."""
     return Counter(_WORDS.findall((text or "").lower()))
 
 
-def locator_tokens(x: Column) -> Column:
+def locator_tokens(x: Column | str) -> Column:
     """Code tokens of two or more characters, and their parts between _, ., / and -."""
+    x = F.col(x) if isinstance(x, str) else x
     whole = F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9_./-]{2,}"), F.lit(0))
     parts = F.flatten(F.transform(whole, lambda t: F.split(t, r"[_./-]+")))
     return F.array_union(whole, F.filter(parts, lambda p: F.length(p) >= 2))

@@ -174,6 +174,39 @@ def evict(records: DataFrame, budget: int, keys: list[str], used: str = "last_us
     return out.withColumn("stays", (F.col("_all") <= budget) | (F.col("_kept") <= budget)).drop("_kept", "_all")
 
 
+SLOT_SCHEMA, SLOT_NAMESPACE, MOST_SLOTS = "slot-cache-v1", "default", 512
+
+
+def read_slots(manifest: DataFrame) -> DataFrame:
+    """Records of a manifest (schema, records: array of structs); none of a manifest of another schema."""
+    return manifest.filter(F.col("schema") == SLOT_SCHEMA).select(F.posexplode("records").alias("ord", "r")).select("ord", "r.*")
+
+
+def kept_slots(records: DataFrame, most: int = MOST_SLOTS) -> DataFrame:
+    """What a manifest keeps: the `most` records that were updated last."""
+    moment = F.coalesce(F.nullif("updated", F.lit("")), "created", F.lit(""))
+    return records.orderBy(moment.desc(), F.desc("ord")).limit(most)
+
+
+def observed_bytes(records: DataFrame, route: str) -> DataFrame:
+    """One row: the largest size of a route's records, 0 without any."""
+    return records.filter(F.col("catalog_route") == route).agg(F.coalesce(F.max(F.when(F.col("bytes") > 0, F.col("bytes"))), F.lit(0)).cast("long").alias("bytes"))
+
+
+def latest_slot(records: DataFrame, schema: str = SLOT_SCHEMA, namespace: str = SLOT_NAMESPACE) -> DataFrame:
+    """For each conversation and route fingerprint the record of this schema and namespace that was saved last."""
+    saved = records.filter((F.col("schema") == schema) & (F.coalesce("client_namespace", F.lit(SLOT_NAMESPACE)) == namespace) & (F.col("status") == "saved"))
+    return latest_record(saved, ["conversation_id", "route_fingerprint"])
+
+
+SLOT_KEY = ["route_fingerprint", "conversation_id", "filename"]
+
+
+def upsert_slots(records: DataFrame, new: DataFrame) -> DataFrame:
+    """Records with new ones merged in by route, conversation and file."""
+    return upsert(records, new, SLOT_KEY)
+
+
 def latest_record(records: DataFrame, keys: list[str]) -> DataFrame:
     """The latest record of each key by updated, else created."""
     columns = [c for c in records.columns if c not in keys]

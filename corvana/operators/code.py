@@ -7,10 +7,12 @@ call edges, hotspots, helper paths and boundaries are joins and aggregations on
 from __future__ import annotations
 
 import ast
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
@@ -29,6 +31,25 @@ def call_name(node: ast.AST) -> str:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else ""
 
 
+def artifact_families(constant: str, value: ast.AST) -> list[dict]:
+    """Families that a literal list of dictionaries in a constant *ARTIFACT_FAMILIES* declares, with the kind and storage that its name tells."""
+    if "ARTIFACT_FAMILIES" not in constant.upper():
+        return []
+    try:
+        listed = ast.literal_eval(value)
+    except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
+        return []
+    low = constant.lower()
+    storage = "jsonl-ledger" if "jsonl" in low else "json-file" if "json_file" in low or "file_artifact" in low else "json-dir"
+    owner = "derived" if "derived" in low else "manual" if "manual" in low else "artifact"
+    told = lambda d, *keys: next((str(d[k]) for k in keys if d.get(k)), "")
+    return [
+        {"family_kind": f"{owner}-{storage}", "storage": storage, "path_key": told(d, "path_key"), "artifact_kind": told(d, "artifact_kind", "artifact_id"), "cleanup_policy": told(d, "cleanup_policy"), "report_label": told(d, "report_label")}
+        for d in (listed if isinstance(listed, (list, tuple)) else ())
+        if isinstance(d, dict)
+    ]
+
+
 class _Visitor(ast.NodeVisitor):
     def __init__(self) -> None:
         self.rows: list[tuple[str, str, str, int, int, str]] = []
@@ -73,6 +94,8 @@ class _Visitor(ast.NodeVisitor):
             for target in node.targets:
                 if isinstance(target, ast.Name) and target.id.isupper():
                     self.add("constant", target.id, node, ast.unparse(node.value)[:160])
+                    for family in artifact_families(target.id, node.value):
+                        self.add("family", family["path_key"], node, json.dumps(family, sort_keys=True))
         self.generic_visit(node)
 
 
@@ -130,15 +153,70 @@ def boundaries(rows: DataFrame) -> DataFrame:
     return per.join(into, "path", "left").fillna(0, ["incoming"])
 
 
-def query(rows: DataFrame, text: str, per_kind: int) -> DataFrame:
-    """The best rows of each kind: 20 a shared token, 40 for a name and 20 for a path in the query."""
+#: Functions of this engine whose callers take part in stopping work, in choosing models, in cleaning up.
+HELPERS = {
+    "cancellation": ["raise_if_cancelled", "request_stop", "request_stop_by_kind", "request_pause"],
+    "model_route": ["route_for_task", "routes_for_tasks", "routes_for_capability", "embed", "rerank"],
+    "artifact_lifecycle": ["collect", "cleanup_plans", "apply_plan", "delete_files", "cleanup_superseded", "delete_conversation", "cascade"],
+}
+#: How this repository is checked, in order.
+GATES = [
+    (10, "syntax", "python -m compileall -q corvana", "after edits of Python"),
+    (20, "tests", "python -m pytest tests/ -x -q", "after changes of behaviour"),
+    (30, "oracle", "python -m pytest tests/test_catalogue.py -q", "after changes of queries or their SQL"),
+    (40, "bench", "python bench.py", "after changes of plans"),
+    (50, "whitespace", "git diff --check", "before a commit"),
+]
+
+
+def role_paths(rows: DataFrame, helpers: dict[str, list[str]] = HELPERS, limit: int = 200) -> DataFrame:
+    """role, path, caller, helpers, checks of the functions that call a helper of each role."""
+    return reduce(DataFrame.unionByName, (helper_paths(rows, names, limit).withColumn("role", F.lit(role)) for role, names in helpers.items()))
+
+
+def validation_gates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GATES, "ord int, name string, command string, moment string")
+
+
+def test_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """path, name, qualname, line, tokens of every test (a function test_*): tokens of its names and its own source lines."""
+    tests = rows.filter("kind = 'function' AND name LIKE 'test\\_%'").select("path", "name", "qualname", "line", "end_line", F.col("detail").alias("doc"))
+    both = tests.join(files.select("path", F.split("content", "\n").alias("_l")), "path")
+    source = F.array_join(F.slice("_l", F.col("line"), F.greatest(F.lit(1), F.col("end_line") - F.col("line") + 1)), "\n")
+    return both.select("path", "name", "qualname", "line", T.locator_tokens(F.concat_ws(" ", "name", "qualname", "path", "doc", source)).alias("tokens"))
+
+
+def search_sets(rows: DataFrame) -> DataFrame:
+    """set, name, path, line, haystack of everything that a question about code may find, one set beside the other."""
+    item = lambda found, name, title, *hay: found.select(F.lit(name).alias("set"), title.alias("name"), "path", "line", F.concat_ws(" ", *hay).alias("haystack"))
+    c, kind = F.col, lambda *k: rows.filter(F.col("kind").isin(*k))
+    joined = lambda x: F.array_join(x, " ")
+    line = lambda found: found.withColumn("line", F.lit(0))
+    edges = call_edges(rows)
+    parts = [
+        item(kind("function", "class"), "symbols", c("name"), "name", "qualname", "path", "detail"),
+        item(kind("constant"), "constants", c("name"), "name", "detail", "path"),
+        item(kind("family"), "artifact_families", c("name"), "name", "detail", "path"),
+        item(kind("command"), "commands", c("name"), "name", "path"),
+        item(edges.select(c("caller_path").alias("path"), "caller", "callee", "callee_path", "line"), "call_edges", c("callee"), "caller", "callee", "path", "callee_path"),
+        item(line(boundaries(rows)), "service_boundaries", c("path"), "path"),
+        item(line(hotspots(rows).drop("line")), "hotspots", c("qualname"), "qualname", "path"),
+        item(kind("function").filter(c("name").startswith("test_")), "tests", c("name"), "name", "qualname", "path", "detail"),
+        item(kind("module"), "files", c("path"), "path"),
+        item(line(validation_gates(rows.sparkSession).withColumn("path", F.lit(""))), "validation_gates", c("name"), "name", "command", "moment"),
+    ]
+    parts += [item(line(helper_paths(rows, names)), f"{role}_paths", c("caller"), "caller", "path", joined("helpers"), F.lit(role)) for role, names in HELPERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def query(sets: DataFrame, text: str, limit: int) -> DataFrame:
+    """The best rows of each set: 20 a shared token, 40 for one in the name and 20 for one in the path."""
     asked = T.locator_tokens(F.lit(text))
-    low = text.lower()
-    haystack = T.locator_tokens(F.concat_ws(" ", "name", "qualname", "path", "detail"))
-    score = F.size(F.array_intersect(asked, haystack)) * 20 + F.when((F.col("name") != "") & F.lit(low).contains(F.lower("name")), 40).otherwise(0) + F.when(F.lit(low).contains(F.lower(T.base_name(F.col("path")))), 20).otherwise(0)
-    w = Window.partitionBy("kind").orderBy(F.desc("score"), "line", "path", "name")
-    hits = rows.withColumn("score", score).filter("score > 0")
-    return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_kind)
+    shared = F.array_intersect(asked, T.locator_tokens("haystack"))
+    hit = lambda name: F.arrays_overlap(asked, T.locator_tokens(name))
+    scored = sets.withColumn("score", F.size(shared) * 20 + F.when(hit("name"), 40).otherwise(0) + F.when(hit("path"), 20).otherwise(0)).filter(F.size(shared) > 0)
+    w = Window.partitionBy("set").orderBy(F.desc("score"), "line", "path", "name")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("haystack")
 
 
 # Imports and calls that a review looks at, with their rules.

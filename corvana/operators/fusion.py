@@ -77,15 +77,25 @@ def ordered(ranked: DataFrame) -> list[Column]:
     return [F.asc("phase"), F.desc("hybrid_score"), F.desc("base"), F.desc("guard"), F.asc("path"), F.asc("chunk")]
 
 
-def select_required(ranked: DataFrame, limit: int, dates: list[str]) -> DataFrame:
-    """The first `limit` rows, and for each date that none of them has the best row with it."""
-    w = Window.orderBy(*ordered(ranked))
-    top = ranked.orderBy(*ordered(ranked)).limit(limit).withColumn("place", F.row_number().over(w))
-    if not dates:
+def select_required(ranked: DataFrame, limit: int, dates: list[str], method: str = "", least: int = 3) -> DataFrame:
+    """The first `limit` rows; for each date that none of them has, the best row with it; then rows of a method.
+
+    Of the method's rows that were left out, as many follow as make `least` of it, and one at least.
+    """
+    order = ordered(ranked)
+    w = Window.orderBy(*order)
+    top = ranked.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(w))
+    if dates:
+        have = top.select(F.explode("evidence.date").alias("date")).distinct()
+        dated = ranked.withColumn("date", F.explode(F.array_distinct("evidence.date"))).filter(F.col("date").isin(dates)).join(F.broadcast(have), "date", "left_anti")
+        best = dated.groupBy("date").agg(F.min_by(F.struct(*ranked.columns), F.struct("phase", -F.col("hybrid_score"), -F.col("base"), -F.col("guard"), "path", "chunk")).alias("r")).select("r.*")
+        extra = best.dropDuplicates(["path", "chunk"]).withColumn("place", limit + F.row_number().over(w))
+        top = top.unionByName(extra)
+    if not method:
         return top
-    have = top.select(F.explode("evidence.date").alias("date")).distinct()
-    dated = ranked.withColumn("date", F.explode(F.array_distinct("evidence.date"))).filter(F.col("date").isin(dates)).join(F.broadcast(have), "date", "left_anti")
-    columns = [c for c in ranked.columns]
-    best = dated.groupBy("date").agg(F.min_by(F.struct(*columns), F.struct("phase", -F.col("hybrid_score"), -F.col("base"), -F.col("guard"), "path", "chunk")).alias("r")).select("r.*")
-    extra = best.dropDuplicates(["path", "chunk"]).withColumn("place", limit + F.row_number().over(w))
-    return top.unionByName(extra)
+    mine = F.array_contains("methods", method)
+    n = top.agg(F.count_if(mine).alias("_have"), F.coalesce(F.max("place"), F.lit(0)).alias("_last"))
+    # At most limit rows and one a date are chosen by now, and `least` more are looked at.
+    left = ranked.filter(mine).join(F.broadcast(top.select("path", "chunk")), ["path", "chunk"], "left_anti").orderBy(*order).limit(least)
+    more = left.withColumn("_r", F.row_number().over(w)).join(F.broadcast(n)).filter(F.col("_r") <= F.greatest(F.lit(1), least - F.col("_have")))
+    return top.unionByName(more.withColumn("place", (F.col("_last") + F.col("_r")).cast("int")).drop("_r", "_have", "_last"))

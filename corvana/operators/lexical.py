@@ -118,29 +118,31 @@ def looks_like_code(path: Column, content: Column) -> Column:
     return F.greatest(name.rlike(r"\.(?:" + "|".join(CODE_SUFFIXES) + r")$"), name == "makefile", sample.rlike(CODE_LINE), *marked)
 
 
+# What an occurrence counts (eight at most), what a definition, an assignment and hits in path and summary count.
+MOST_HITS, COMMAND_HIT, PLAIN_HIT = 8, 900, 90
+DEFINED, ASSIGNED, IN_PATH, IN_SUMMARY, HANDLES, REGISTERED = 1200, 350, 250, 25, 500, 600
+_DEFINES, _ASSIGNS, _REGISTERS = r"(?m)^\s*(?:def|class)\s+([A-Za-z_]\w*)", r"(?m)^\s*([^=\n]*?)\s*=", r"\(\s*[\"']/[A-Za-z][\w-]*[\"']"
+
+
 def code_score(terms: list[str], path: Column, content: Column, summary: Column) -> Column:
-    """Occurrences up to eight, definitions, assignments, and hits in path and summary."""
-    low, low_path, low_summary = F.lower(content), F.lower(path), F.lower(summary)
-    total = F.lit(0)
-    for term in terms:
-        t, literal = term.lower(), r"\Q" + term + r"\E"
-        n = ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
-        total = total + F.when(n > 0, F.least(n, F.lit(8)) * (900 if term.startswith("/") else 90)).otherwise(0)
-        total = total + F.when(content.rlike(rf"(?m)^\s*(?:def|class)\s+{literal}\b"), 1200).otherwise(0)
-        total = total + F.when(content.rlike(rf"(?m)^\s*{literal}\s*="), 350).otherwise(0)
-        total = total + F.when(low_path.contains(t), 250).otherwise(0) + F.when(low_summary.contains(t), 25).otherwise(0)
-        if term.startswith(tuple(f"{h}_" for h in HANDLER_NAMES)):
-            total = total + F.when(low.contains(t), 500).otherwise(0)
-    if any(t.startswith("/") for t in terms):
-        total = total + F.when(content.rlike(r"\(\s*[\"']/[A-Za-z][\w-]*[\"']"), 600).otherwise(0)
-    return total
+    """Points of all terms, as a fold over them: the plan does not grow with a question, and a text is searched for definitions once."""
+    entries = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low"), F.lit(COMMAND_HIT if t.startswith("/") else PLAIN_HIT).alias("hit"), F.lit(HANDLES if t.startswith(tuple(f"{h}_" for h in HANDLER_NAMES)) else 0).alias("handles")) for t in terms))
+    shared = F.struct(F.lower(content).alias("low"), F.lower(path).alias("path"), F.lower(summary).alias("summary"), F.regexp_extract_all(content, F.lit(_DEFINES), F.lit(1)).alias("defined"), F.regexp_extract_all(content, F.lit(_ASSIGNS), F.lit(1)).alias("assigned"))
+
+    def points(x: Column, t: Column) -> Column:
+        n = F.floor((F.length(x["low"]) - F.length(F.replace(x["low"], t["low"], F.lit("")))) / F.length(t["low"])).cast("int")
+        there = F.least(n, F.lit(MOST_HITS)) * t["hit"] + F.when(F.array_contains(x["defined"], t["term"]), DEFINED).otherwise(0) + F.when(F.array_contains(x["assigned"], t["term"]), ASSIGNED).otherwise(0) + t["handles"]
+        return F.when(n > 0, there).otherwise(0) + F.when(F.contains(x["path"], t["low"]), IN_PATH).otherwise(0) + F.when(F.contains(x["summary"], t["low"]), IN_SUMMARY).otherwise(0)
+
+    total = F.element_at(F.transform(F.array(shared), lambda x: F.aggregate(entries, F.lit(0), lambda acc, t: acc + points(x, t))), 1)
+    return total + (F.when(content.rlike(_REGISTERS), REGISTERED).otherwise(0) if any(t.startswith("/") for t in terms) else 0)
 
 
 def first_hit(terms: list[str], content: Column) -> Column:
     """Offset of the earliest term, null without one."""
     low = F.lower(content)
-    places = [F.nullif(F.locate(t.lower(), low), F.lit(0)) for t in terms]
-    return (F.least(*places) if len(places) > 1 else places[0]) - 1
+    places = F.element_at(F.transform(F.array(low), lambda x: F.transform(_strings([t.lower() for t in terms]), lambda t: F.nullif(F.position(t, x), F.lit(0)))), 1)
+    return F.array_min(F.filter(places, lambda p: p.isNotNull())) - 1
 
 
 def excerpt(terms: list[str], content: Column, limit: int = 1600) -> Column:
@@ -155,7 +157,7 @@ def code_rows(chunks: DataFrame, query: str, limit: int = 12) -> DataFrame:
     if not wants_code(query) or not terms:
         return chunks.select("path", "chunk", F.lit(0).alias("total"), F.lit(0).alias("path_boost"), F.lit(0).alias("start"), F.col("content").alias("text")).limit(0)
     low_path = F.lower("path")
-    boost = F.when(F.lit(False) if not terms else F.greatest(*(low_path.contains(t.lower()) for t in terms), F.lit(False)), 2000).otherwise(0)
+    boost = F.when(F.exists(_strings([t.lower() for t in terms]), lambda t: F.contains(low_path, t)), 2000).otherwise(0)
     scored = chunks.filter(looks_like_code(F.col("path"), F.col("content"))).withColumn("total", code_score(terms, F.col("path"), F.col("content"), F.col("summary"))).withColumn("path_boost", boost).filter("total > 0")
     top = scored.orderBy(F.desc("total"), F.desc("path_boost"), "path", "chunk").limit(limit)
     return top.select("path", "chunk", "total", "path_boost", F.coalesce(first_hit(terms, F.col("content")), F.lit(0)).alias("start"), excerpt(terms, F.col("content")).alias("text"))

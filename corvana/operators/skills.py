@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
@@ -25,6 +25,48 @@ def rank(skills: DataFrame, query: str, limit: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc("updated_at"), "slug").limit(limit)
 
 
+def support_files(files: DataFrame, query: str, per_skill: int = 2) -> DataFrame:
+    """slug, file, score, matched of the best support files (slug, file, content, updated_at) of each skill: ten a shared term, twenty for one in the name."""
+    asked = T.name_tokens(F.lit(query))
+    spelled = F.translate("file", "/.-", "   ")
+    shared = F.array_intersect(asked, T.name_tokens(F.concat_ws("\n", "file", spelled, F.substring("content", 1, 8000))))
+    scored = files.withColumn("matched", F.sort_array(shared)).filter(F.size("matched") > 0).withColumn("score", F.size("matched") * 10 + F.when(F.arrays_overlap(asked, T.name_tokens(F.col("file"))), 20).otherwise(0))
+    w = Window.partitionBy("slug").orderBy(F.desc("score"), F.desc("updated_at"), "file")
+    return scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_skill).select("slug", "file", "score", "matched")
+
+
+def rendered(skills: DataFrame, files: DataFrame, query: str, limit: int, budget: int) -> DataFrame:
+    """slug, place, text: the ranked skills with their best support files, as many as fit a running budget."""
+    top = rank(skills, query, limit).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("updated_at"), "slug")))
+    best = support_files(files, query).groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "file"))), lambda f: F.concat(F.lit("support: "), f["file"])), "\n").alias("_files"))
+    text = F.concat_ws("\n", F.concat(F.lit("skill: "), "slug"), F.nullif("description", F.lit("")), F.nullif("body", F.lit("")), "_files")
+    rows = top.join(best, "slug", "left").withColumn("text", text)
+    w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_end", F.sum(F.length("text") + 2).over(w) - 2).filter(F.col("_end") <= budget).select("slug", "place", "text")
+
+
+# Handlers that a skill may name, with the effects that each may have.
+HANDLERS = {
+    "prompt-only": ("prompt-context",),
+    "temporal": ("retrieval-plan", "source-scoped-evidence"),
+    "structural": ("retrieval-plan", "structured-evidence"),
+    "codebase": ("retrieval-plan", "code-intelligence"),
+}
+
+
+def handler(name: str | None) -> str:
+    """A handler that there is; prompt-only otherwise."""
+    wanted = (name or "").strip()
+    return wanted if wanted in HANDLERS else "prompt-only"
+
+
+def effects(requested: list[str] | str | None, handler_name: str | None = None) -> list[str]:
+    """Of the effects that are asked for those that the handler may have; all of its own, if none is."""
+    allowed = HANDLERS[handler(handler_name)]
+    asked = [e.strip() for e in (requested.split(",") if isinstance(requested, str) else requested or [])]
+    return list(dict.fromkeys(e for e in asked if e in allowed)) or list(allowed)
+
+
 def with_terms(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     return rows.select(id_col, terms(text).alias("terms")).withColumn("n_terms", F.size("terms"))
 

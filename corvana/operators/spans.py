@@ -151,6 +151,35 @@ def scored(spans: DataFrame, query: str) -> DataFrame:
     return out.withColumn("score", F.col("base_score") + F.col("lexical"))
 
 
+def effective(spans: DataFrame) -> DataFrame:
+    """Spans with the part that was chosen of them, where there is one (sub_text, sub_start, sub_end), in place of their own text and offsets."""
+    part = T.strip(F.coalesce("sub_text", F.lit("")))
+    at = lambda own, sub: F.when(part != "", F.coalesce(sub, own)).otherwise(F.col(own)).alias(own)
+    return spans.select(*(c for c in spans.columns if c not in ("text", "start", "end", "sub_text", "sub_start", "sub_end")), F.when(part != "", part).otherwise(F.col("text")).alias("text"), at("start", "sub_start"), at("end", "sub_end"))
+
+
+def model_text(kind: Column, label: Column, text: Column, limit: int) -> Column:
+    """A span as a model reads it: kind and label before its text, whose middle goes where it is too long."""
+    clean = lambda c: F.nullif(T.strip(F.coalesce(c, F.lit(""))), F.lit(""))
+    prefix = F.concat_ws(": ", clean(kind), clean(label))
+    plain = T.compact_middle(text, max(1, limit))
+    # The prefix decides how much is left: one expression for each length of it that is possible.
+    room = F.greatest(F.lit(120), F.lit(limit) - F.length(prefix) - 1)
+    flat = T.collapse(text)
+    side = F.greatest(F.lit(1), F.floor((room - 5) / 2).cast("int"))
+    tail = F.greatest(F.lit(1), room - 5 - side)
+    short = F.substring(F.concat(T.rstrip(F.substring(flat, F.lit(1), side)), F.lit(" ... "), T.lstrip(F.substring(flat, F.length(flat) - tail + 1, tail))), F.lit(1), room)
+    body = F.when(F.length(flat) <= room, flat).otherwise(short)
+    return F.when(prefix == "", plain).otherwise(T.strip(F.substring(F.concat(prefix, F.lit("\n"), body), 1, limit)))
+
+
+def model_rows(candidates: DataFrame, limit: int, most: int) -> DataFrame:
+    """Parts of all candidates' spans (id, spans) as rows for a model: id, span, part, model_text, offsets."""
+    flat = candidates.select("id", F.posexplode("spans").alias("span", "s")).select("id", "span", "s.*")
+    parts = subspans(flat, limit, most)
+    return parts.withColumn("model_text", model_text(F.col("kind"), F.col("label"), F.col("text"), limit))
+
+
 def ranked(spans: Column, query: str) -> Column:
     """An array of spans as (o, start, end, kind, text), the highest base_score + lexical first; o is its negative."""
     terms = query_terms(query)

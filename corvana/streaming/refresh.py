@@ -6,9 +6,10 @@ import json
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import IO
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -175,6 +176,13 @@ def raise_if_cancelled(job: Job) -> None:
         raise Cancelled(job.id)
 
 
+def cancellable_lines(source: Iterator[bytes] | IO[bytes], job: Job) -> Iterator[bytes]:
+    """Lines of an open answer; asking the job to stop ends it before the next one."""
+    for line in iter(source.readline, b"") if hasattr(source, "readline") else source:
+        raise_if_cancelled(job)
+        yield line
+
+
 class Maintenance:
     """State of a background run in one small file: begun, updated, resumed at most a few times."""
 
