@@ -105,13 +105,6 @@ def profile_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_per_date(spark: SparkSession, sf: str) -> DataFrame:
-    """For the first three days, as in its SQL, the event with the highest value; best_per_date_whole has all days."""
-    e = _dated_events(spark, sf)
-    days = [r["date"] for r in e.select("date").distinct().orderBy("date").limit(3).collect()]
-    return dossiers.best_per_date(e, days, 3000)
-
-
-def best_per_date_whole(spark: SparkSession, sf: str) -> DataFrame:
     """For every day the event with the highest value, within a budget that grows with the days."""
     e = _dated_events(spark, sf)
     days = [r["date"] for r in e.select("date").distinct().filter("date IS NOT NULL").collect()]
@@ -186,7 +179,7 @@ def conversation_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.bround(lexical.overlap(F.array_distinct(T.tokens(F.col("text"))), asked), 6).alias("overlap"))
 
 
-_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, lifecycle_states, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, best_per_date_whole, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
+_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, lifecycle_states, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LIFE = "l AS (SELECT CASE WHEN doc_id % 2 = 0 THEN './' ELSE '' END || 'f' || doc_id AS path, CASE WHEN doc_id % 11 = 2 THEN 'ignored' WHEN doc_id % 9 = 4 THEN 'deleted' WHEN doc_id % 7 = 1 THEN 'changed' ELSE 'fresh' END AS status FROM documents)"
@@ -207,7 +200,7 @@ ORACLE = {
     "dossier_material": f"WITH a AS (SELECT conv_id, 0 AS lane, -(turn % 5) AS o1, '' AS o2, 'memory' AS kind, format('m{{:04d}}', turn) AS id, {_CUT} AS t FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, 1, 0, format('{{:04d}}', turn), 'conversation', format('c{{:04d}}', turn), {_CUT} FROM conversations WHERE role = 'assistant'), s AS (SELECT *, CASE WHEN lane = 0 THEN o1::VARCHAR END AS k0 FROM a WHERE t <> ''), w AS (SELECT *, row_number() OVER x AS place, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY lane, k0 NULLS FIRST, o2 DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s WINDOW x AS (PARTITION BY conv_id ORDER BY lane, k0 NULLS FIRST, o2 DESC, id)) SELECT conv_id AS dossier_id, place, kind, id FROM w WHERE b < 200",
     "profile_material": "WITH m AS (SELECT conv_id % 10 AS profile_id, format('{:05d}-{:03d}', conv_id, turn) AS id, text, role FROM conversations WHERE role IN ('user', 'assistant')) SELECT profile_id, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS chars, count(*) FILTER (WHERE role = 'user') AS memories, min(id) FILTER (WHERE role = 'assistant') AS first_conversation FROM m GROUP BY profile_id",
     "profile_scope": "SELECT conv_id % 10 AS profile_id, bool_and(conv_id % 10 < 7 AND conv_id % 20 <> 5) AS in_scope FROM conversations GROUP BY 1",
-    "best_per_date": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, value, event_type FROM events) SELECT date, arg_max(event_id, (value, length(event_type), event_id)) AS id, arg_max(event_type, (value, length(event_type), event_id)) AS text FROM e WHERE date IN (SELECT DISTINCT date FROM e ORDER BY date LIMIT 3) GROUP BY date",
+    "best_per_date": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, value, event_type FROM events) SELECT date, arg_max(event_id, (value, length(event_type), event_id)) AS id, arg_max(event_type, (value, length(event_type), event_id)) AS text FROM e WHERE date IS NOT NULL GROUP BY date",
     "distinct_excerpts": "WITH o AS (SELECT conv_id, role AS id, turn % 3 AS e, min(turn) AS ord, arg_min(text, turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY ALL), w AS (SELECT *, sum(length(text) + 2) OVER x - 2 AS run, count(*) OVER x AS n FROM o WINDOW x AS (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT conv_id, id, e AS \"end\", ord FROM w WHERE run <= 700 AND n <= 3",
     "source_summary": "WITH e AS (SELECT event_id AS ord, (['memory', 'chunk', 'other', 'dossier', 'file'])[event_id % 5 + 1] AS kind FROM events) SELECT ord, kind FROM e WHERE kind <> 'other' ORDER BY list_position(['chunk', 'file', 'dossier', 'memory'], kind), ord LIMIT 15",
     "embedding_answers": "SELECT * FROM (VALUES (1, '0.6 0.8'), (2, '1.0 0.0 0.0 1.0'), (3, NULL), (4, NULL)) AS t(id, vectors)",

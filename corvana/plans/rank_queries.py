@@ -58,18 +58,8 @@ def content_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def byte_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Byte-bounded parts of each ASCII question, as far as SQL can follow; byte_parts_whole has all questions."""
-    benchmark = table(spark, sf, "benchmark")
-    return _byte_parts(benchmark.filter(F.length("text") == F.octet_length("text")))
-
-
-def byte_parts_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Byte-bounded parts of each question; without SQL, and held against a plain split in Python."""
-    return _byte_parts(table(spark, sf, "benchmark"))
-
-
-def _byte_parts(rows: DataFrame) -> DataFrame:
-    parts = vectors.byte_bounded(rows, "item_id", "text", 64)
+    parts = vectors.byte_bounded(table(spark, sf, "benchmark"), "item_id", "text", 64)
     return parts.groupBy("item_id").agg(F.max(F.octet_length("text")).cast("long").alias("most"), F.count(F.lit(1)).alias("parts"))
 
 
@@ -219,20 +209,14 @@ def worker_scores(spark: SparkSession, sf: str) -> DataFrame:
     return memory.worker_score(rows).select("id", "score", "status")
 
 
-def _skill_rows(spark: SparkSession, sf: str, body: Column | None = None) -> DataFrame:
+def _skill_rows(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
-    return b.select(F.format_string("skill-%d", "item_id").alias("slug"), F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("description"), (F.substring("text", 61, 200) if body is None else body).alias("body"), (F.col("item_id") % 10 == 0).alias("archived"), F.format_string("2024-01-%02d", (F.col("item_id") % 28 + 1).cast("int")).alias("updated_at"))
+    return b.select(F.format_string("skill-%d", "item_id").alias("slug"), F.col("item_id").alias("ord"), F.lit("").alias("description"), F.col("text").alias("body"), (F.col("item_id") % 10 == 0).alias("archived"), F.format_string("2024-01-%02d", (F.col("item_id") % 28 + 1).cast("int")).alias("updated_at"))
 
 
 def skill_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """With the cuts of its SQL; skill_rank_whole has the whole texts and question."""
-    return skills.rank(_skill_rows(spark, sf), "use skill-7 and " + first_question(spark, sf)[:80], 12).select("slug", F.col("score").cast("long").alias("score"))
-
-
-def skill_rank_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Skills of the whole texts, which no cut parts within a word, ranked for the whole first question."""
-    rows = _skill_rows(spark, sf, F.col("text")).withColumn("description", F.lit(""))
-    return skills.rank(rows, "use skill-7 and " + first_question(spark, sf), 12).select("slug", F.col("score").cast("long").alias("score"))
+    """Skills of the whole texts, ranked for the whole first question."""
+    return skills.rank(_skill_rows(spark, sf), "use skill-7 and " + first_question(spark, sf), 12).select("slug", F.col("score").cast("long").alias("score"))
 
 
 def skill_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +251,7 @@ def recency_rows(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.last_per_id(e, "user_id", "event_id")
 
 
-_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, byte_parts_whole, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_rank_whole, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
+_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TOK = "regexp_extract_all(lower({x}), '[A-Za-z0-9_''-]{{3,}}')"
@@ -308,11 +292,10 @@ ORACLE = {
     "feedback_counts": "WITH " + _FEED + ", x AS (SELECT lower(rating || ' ' || note || ' a question') AS t FROM f), l AS (SELECT list_filter([CASE WHEN t LIKE '%missing%' OR t LIKE '%didn''t find%' OR t LIKE '%did not find%' OR t LIKE '%not found%' OR t LIKE '%absent%' OR t LIKE '%sources%' THEN 'recall' END, CASE WHEN t LIKE '%wrong source%' OR t LIKE '%wrong file%' OR t LIKE '%irrelevant%' OR t LIKE '%ranking%' OR t LIKE '%top result%' THEN 'ranking' END, CASE WHEN t LIKE '%citation%' OR t LIKE '%source%' OR t LIKE '%excerpt%' OR t LIKE '%ground%' OR t LIKE '%quote%' THEN 'evidence' END, CASE WHEN t LIKE '%ignored%' OR t LIKE '%didn''t use%' OR t LIKE '%did not use%' OR t LIKE '%answer%' THEN 'prompt_use' END, CASE WHEN t LIKE '%stale%' OR t LIKE '%old%' OR t LIKE '%outdated%' OR t LIKE '%changed%' THEN 'staleness' END, CASE WHEN t LIKE '%summary%' OR t LIKE '%prioritize%' OR t LIKE '%todo%' OR t LIKE '%plan%' THEN 'synthesis' END], lambda v: v IS NOT NULL) AS l FROM x) SELECT 'rating' AS facet, rating AS value, count(*) AS n FROM f GROUP BY rating UNION ALL SELECT 'focus', v, count(*) FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['answer_quality'] ELSE l END) AS v FROM l) GROUP BY v",
     "feedback_status": f"WITH {_FEED} SELECT doc_id, CASE rating WHEN 'up' THEN 'accepted-good' WHEN 'ok' THEN 'accepted-mixed' ELSE 'needs-review' END AS status FROM f",
     "worker_scores": "SELECT * FROM (VALUES (1, 100.0::DOUBLE, 'pass'), (2, 40.0, 'fail'), (3, 70.0, 'fail'), (4, 90.0, 'fail')) AS t(id, score, status)",
-    "skill_rank": f"WITH q AS (SELECT 'use skill-7 and ' || left(text, 80) AS q FROM benchmark ORDER BY item_id LIMIT 1), s AS (SELECT 'skill-' || item_id AS slug, left(text, 60) || ' ' || substr(text, 61, 200) AS t, format('2024-01-{{:02d}}', item_id % 28 + 1) AS u FROM benchmark WHERE item_id % 10 <> 0), r AS (SELECT slug, u, len(list_intersect({_NAME.format(x='q')}, {_NAME.format(x='slug || chr(32) || t')})) * 10 + CASE WHEN contains(lower(q), slug) THEN 20 ELSE 0 END AS score FROM s, q) SELECT slug, score FROM r WHERE score > 0 ORDER BY score DESC, u DESC, slug LIMIT 12",
+    "skill_rank": f"WITH q AS (SELECT 'use skill-7 and ' || text AS q FROM benchmark ORDER BY item_id LIMIT 1), s AS (SELECT 'skill-' || item_id AS slug, text AS t, format('2024-01-{{:02d}}', item_id % 28 + 1) AS u FROM benchmark WHERE item_id % 10 <> 0), r AS (SELECT slug, u, len(list_intersect({_NAME.format(x='q')}, {_NAME.format(x='slug || chr(32) || t')})) * 10 + CASE WHEN contains(lower(q), slug) THEN 20 ELSE 0 END AS score FROM s, q) SELECT slug, score FROM r WHERE score > 0 ORDER BY score DESC, u DESC, slug LIMIT 12",
     "skill_groups": f"WITH t AS (SELECT item_id AS i, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark) SELECT a.i AS a, b.i AS b, count(*) AS shared FROM t a JOIN t b ON a.term = b.term AND a.i < b.i GROUP BY 1, 2 HAVING shared >= 4",
     "skill_matches": f"WITH a AS (SELECT DISTINCT conv_id || '-' || turn AS text_id, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM conversations WHERE role = 'user'), b AS (SELECT item_id AS ord, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark), p AS (SELECT text_id, ord, string_agg(DISTINCT term, ' ' ORDER BY term) AS shared FROM a JOIN b USING (term) GROUP BY text_id, ord) SELECT text_id, 'skill-' || ord AS slug, shared FROM p QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY ord) <= 3",
     "stale_skills": "WITH s AS (SELECT item_id, 'skill-' || item_id AS slug, date_diff('day', make_date(2024, 1, (item_id % 28 + 1)::INT), DATE '2024-03-01') AS age_days FROM benchmark) SELECT slug, age_days FROM s WHERE item_id % 3 <> 0 AND item_id % 2 = 0 AND age_days >= 40",
-    "byte_parts": "SELECT item_id, most, parts FROM (SELECT item_id, 64 AS most, length(text) AS n, length(text) = octet_length(encode(text)) AS ascii, 1 + greatest(0, (length(text) - 64 + 55) // 56) AS parts FROM benchmark) WHERE ascii",
     "rule_findings": f"WITH {_RULES} SELECT k AS page_id, rule, severity, line FROM ({_FOUND.format(k='page_id', src='pages', x='html')})",
     "rule_verdicts": f"WITH {_RULES}, f AS ({_FOUND.format(k='doc_id', src='documents', x='text')}) SELECT k AS doc_id, count(*) FILTER (WHERE severity = 'block') AS block, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, CASE WHEN block > 0 THEN 'blocked' WHEN warn > 0 THEN 'review' ELSE 'pass' END AS status FROM f GROUP BY k",
     "recency_rows": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",

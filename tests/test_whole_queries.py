@@ -35,8 +35,8 @@ def test_byte_parts_of_all_questions(spark, folder):
     texts = ["plain words " * 20, "é" * 100, "漢字かな" * 40, "a😀" * 50, "short", "x" * 63 + "ü" + "y" * 30, "", None]
     sf = folder("benchmark", list(enumerate(texts)), "item_id long, text string")
     want = {k: (max(len(p.encode()) for p in parts), len(parts)) for k, t in enumerate(texts) if (parts := plain_parts(t or "", 64))}
-    got = {r.item_id: (r.most, r.parts) for r in QUERIES["byte_parts_whole"](spark, sf).collect()}
-    assert got == want and len(got) == 6 and "byte_parts_whole" not in ORACLE
+    got = {r.item_id: (r.most, r.parts) for r in QUERIES["byte_parts"](spark, sf).collect()}
+    assert got == want and len(got) == 6 and "byte_parts" not in ORACLE
 
 
 def test_skill_rank_of_whole_texts_and_question(spark, folder):
@@ -54,8 +54,8 @@ def test_skill_rank_of_whole_texts_and_question(spark, folder):
         score = 10 * len(tokens(asked) & tokens(f"{slug} {text}")) + 20 * (slug in asked)
         if score and k % 10:
             want[slug] = score
-    got = {r.slug: r.score for r in QUERIES["skill_rank_whole"](spark, sf).collect()}
-    assert got == want and got["skill-3"] == 20 and got["skill-5"] == 30 and got["skill-4"] == 10 and "skill_rank_whole" not in ORACLE
+    got = {r.slug: r.score for r in QUERIES["skill_rank"](spark, sf).collect()}
+    assert got == want and got["skill-3"] == 20 and got["skill-5"] == 30 and got["skill-4"] == 10
 
 
 def test_best_event_of_every_day(spark, folder):
@@ -64,7 +64,7 @@ def test_best_event_of_every_day(spark, folder):
     want = {}
     for k, ts, value, _ in rows:
         want[f"{ts:%Y-%m-%d}"] = max(want.get(f"{ts:%Y-%m-%d}", (-1.0, -1)), (value, k))
-    got = {r.date: r.id for r in QUERIES["best_per_date_whole"](spark, sf).collect()}
+    got = {r.date: r.id for r in QUERIES["best_per_date"](spark, sf).collect()}
     assert got == {d: k for d, (_, k) in want.items()} and len(got) == 9
 
 
