@@ -231,6 +231,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder, read the archives back, and assemble the captures."""
+    """Archive pages in the shared folder, read the archives back, and assemble the captures.
+
+    The records are written once, without payloads: assembly reads them several times.
+    """
     folder = scratch_dir(pages.sparkSession)
-    return assemble(read(write(with_revisits(pages), folder), folder))
+    return assemble(materialise(read(write(with_revisits(pages), folder), folder)))
