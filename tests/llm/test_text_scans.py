@@ -267,6 +267,16 @@ def test_each_template_is_found_alone(library):
         assert [f[0] for f in found] == [name] and found[0][2] == 1.0
 
 
+def test_whole_texts_and_neighbours(library):
+    """A whole license is one match, not its first sentence; a notice that differs in a word has its own name."""
+    whole = "Copyright 2024 X. " + licenses.TEMPLATES["MIT-text"].replace(". ", ".\n\n * ") + " end"
+    assert [f[0] for f in licenses.scan_texts(library, [whole])[0]] == ["MIT-text"]
+    both = licenses.TEMPLATES["BSD-3-Clause-text"] + " " + licenses.TEMPLATES["BSD-disclaimer"]
+    assert [f[0] for f in licenses.scan_texts(library, [both])[0]] == ["BSD-3-Clause-text", "BSD-disclaimer"]
+    for name in ("AGPL-3.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1"):
+        assert [f[0] for f in licenses.scan_texts(library, [f"x. {licenses.TEMPLATES[name]}."])[0]] == [name]
+
+
 def test_spans_and_edits(library):
     text = "é x. Licensed under the Apache Licence, Version 2.0. y. Released under the MIT License."
     found = licenses.scan_texts(library, [text])[0]
