@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corvana.llm.common import keeps, lean
+from corvana.llm.common import keeps, lean, vocabulary_file
 from corvana.llm.pretokens import TextEncoder
 
 BYTE_BASE = 0x100
@@ -103,7 +103,7 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def codec(vocabulary: str, pattern: str) -> ByteBpe:
-    return ByteBpe(read_ranks(vocabulary), pattern)
+    return ByteBpe(read_ranks(vocabulary_file(vocabulary)), pattern)
 
 
 keeps(__name__, codec.cache_clear)

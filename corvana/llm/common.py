@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import math
+import os
 import re
 import shutil
 import tempfile
@@ -114,6 +115,15 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
+def vocabulary_file(path: str) -> str:
+    """A vocabulary file as this machine has it: at the path, else where its own public_tokenizers keeps that name."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a URI, and the path in it."""
     if uri.startswith("file:"):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.llm import mixing_coder
-from corvana.llm.common import file_system, keeps, lean, materialise, scratch_dir
+from corvana.llm.common import file_system, keeps, lean, materialise, scratch_dir, vocabulary_file
 from corvana.llm.pretokens import TextEncoder
 
 TAIL = struct.Struct("<QIQQQ4s")
@@ -51,7 +51,7 @@ def _encoder(tokenizer: str, pattern: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer)
+    tok = Tokenizer.from_file(vocabulary_file(tokenizer))
     chars, model = _byte_chars(), tok.model
 
     def encode(pieces: list[str]) -> list[list[int]]:
