@@ -455,12 +455,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     size = sketched.count()
     firsts = materialise(sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id")), size)
     copies = materialise(sketched.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "text_id"), size)
-    texts = sketched.join(copies.filter("doc_id != text_id").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "bands", "sig").dropDuplicates(["id"])
+    # Read three times below: written once, so that rows of one id are put together once.
+    texts = materialise(sketched.join(copies.filter("doc_id != text_id").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "bands", "sig").dropDuplicates(["id"]))
     buckets = _headed(texts.select("id", "n", F.explode("bands").alias("key")), BANDS * size)
     involved = materialise(buckets.select("id").distinct(), size)
     # One row for each text that has a candidate: all that the comparisons read.
     once = given.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    bodies = materialise(once.join(texts.select("id", "bands", "sig"), "id"))
+    bodies = materialise(once.join(texts.join(involved, "id", "left_semi").select("id", "bands", "sig"), "id"))
     label = with_cross_links(buckets, components(head_links(buckets, bodies)), bodies)
     classes = copies.join(label.withColumnRenamed("id", "text_id"), "text_id", "left").select("doc_id", F.coalesce("label", "text_id").alias("class_id"), "text_id")
     alone = given.filter("text IS NULL").selectExpr("doc_id", "doc_id AS class_id", "doc_id AS text_id")
@@ -469,5 +470,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class; rows without an id stay."""
+    # Written first: where the ids are few, Spark then need not deal the texts out to leave them out.
     others = near_duplicate_classes(docs).filter("doc_id != class_id").select("doc_id")
+    others = materialise(others, docs.count())
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
