@@ -158,8 +158,12 @@ def duration(seconds: Column, gap: str = "") -> Column:
 _VOLATILE = (
     r"(?U)\s+(?:initial|full|incremental|resumed|reuse-only|rebuild)(?:\s+(?!(?:reuse|new|batch|parallel|rows|eta)\b)\S+)?(?:\s+reuse\s+\d+)?(?:\s+new\s+\d+)?",
     r"(?U)\s+retry(?=\s|$)",
-    *(rf"(?U)\s+{unit}\s+\d+/\d+.*$" for unit in ("batch", "rows", "file", "chunk")),
-    *(rf"(?U)\s+{unit}\s+\S+.*$" for unit in ("eta", "call")),
+    r"(?U)\s+batch\s+\d+/\d+.*$",
+    r"(?U)\s+rows\s+\d+/\d+.*$",
+    r"(?U)\s+file\s+\d+/\d+.*$",
+    r"(?U)\s+chunk\s+\d+/\d+.*$",
+    r"(?U)\s+eta\s+\S+.*$",
+    r"(?U)\s+call\s+\S+.*$",
 )
 
 
@@ -251,14 +255,19 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+# What a mentioned file adds to a path that is it, has its name, holds it, or whose name holds its name.
+WHOLE_PATH, SAME_NAME, PART_OF_PATH, PART_OF_NAME = 2500, 2000, 1200, 800
+
+
 def path_boost(query: Column, path: Column) -> Column:
-    """What each file mentioned in a query adds to a path: whole 2500, name 2000, part 1200, part of the name 800."""
+    """What all files mentioned in a query add to a path; of each the first of the cases that holds."""
     low = F.lower(F.coalesce(path, F.lit("")))
     name = base_name(low)
 
     def add(total: Column, m: Column) -> Column:
         own = base_name(m)
-        return total + F.when((low == m) | low.endswith(F.concat(F.lit("/"), m)), 2500).when(name == own, 2000).when(low.contains(m), 1200).when((own != "") & name.contains(own), 800).otherwise(0)
+        whole, part = (low == m) | low.endswith(F.concat(F.lit("/"), m)), (own != "") & name.contains(own)
+        return total + F.when(whole, WHOLE_PATH).when(name == own, SAME_NAME).when(low.contains(m), PART_OF_PATH).when(part, PART_OF_NAME).otherwise(0)
 
     return F.when(low == "", 0).otherwise(F.aggregate(path_mentions(query), F.lit(0), add))
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
 from corvana.operators import audit, code, memory
 from corvana.plans import planner
-from corvana.plans.tables import table, values
+from corvana.plans.tables import shared_folder, table, values
 from corvana.sources import state
 from corvana.streaming import refresh
 
@@ -182,10 +179,10 @@ def expansion(spark: SparkSession, sf: str) -> DataFrame:
 
 def jsonl_tail(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of JSON with noise, written by this query's own small fixture, read back: the last three rows."""
-    folder = Path(tempfile.mkdtemp(prefix="corvana-"))
+    folder = shared_folder(spark)
     lines = ['{"id": 1, "t": "a"}', "", "not json", "[1, 2]", "7", *(f'{{"id": {k}, "t": "x{k}"}}' for k in range(2, 7))]
-    (folder / "rows.jsonl").write_text("\n".join(lines))
-    return state.jsonl(spark, f"file://{folder}/rows.jsonl", "id long, t string", limit=3).select("id", "t")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    return state.jsonl(spark, folder, "id long, t string", limit=3).select("id", "t")
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,7 +278,7 @@ def code_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Questions embedded by a stream that runs twice over the same files: the second run embeds nothing."""
-    root = f"file://{tempfile.mkdtemp(prefix='corvana-')}"
+    root = shared_folder(spark)
     table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text").write.json(f"{root}/in")
     for _ in range(2):
         refresh.refresh(spark, f"{root}/in", "id string, text string", f"{root}/store", f"{root}/checkpoint", refresh.hashed_embedding).awaitTermination()

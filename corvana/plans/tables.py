@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,6 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, as a URI; on one machine without that setting a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="corvana-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        root = _OWN[app]
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    return f"{root.rstrip('/')}/corvana-{uuid.uuid4().hex}"
+
+
 def values(spark: SparkSession, sql_values: str, columns: str) -> DataFrame:
     """An inline table from the very literals that its SQL uses."""
     return spark.sql(f"SELECT * FROM VALUES {sql_values} AS t({columns})")
