@@ -191,6 +191,7 @@ ORACLE = {
     "path_boost": r"WITH p AS (SELECT page_id, lower(regexp_replace(url, '^[a-z]+://', '')) AS l FROM pages), m(m, own) AS (VALUES ('ththth.example.net', 'ththth.example.net'), ('therha.example.com', 'therha.example.com'), ('example.org', 'example.org'), ('a.b', 'a.b')), n AS (SELECT page_id, l, list_last(string_split(l, '/')) AS name FROM p) SELECT page_id, CAST(sum(CASE WHEN l = m OR ends_with(l, '/' || m) THEN 2500 WHEN name = own THEN 2000 WHEN contains(l, m) THEN 1200 WHEN contains(name, own) THEN 800 ELSE 0 END) AS BIGINT) AS boost FROM n, m GROUP BY page_id",
     "memory_tags": f"WITH w AS (SELECT doc_id, t AS tag, count(*) AS n, min(p) AS first_pos FROM (SELECT doc_id, unnest(k) AS t, generate_subscripts(k, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORDS}) AS k FROM documents)) GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS r FROM w), s AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS place FROM r WHERE r <= 20 AND tag NOT IN ({', '.join(repr(x) for x in memory.TAG_STOP)})) SELECT doc_id, tag, place FROM s WHERE place <= 8",
     "code_locator": "WITH c AS (SELECT page_id, html, lower(html) AS l, lower(url) AS u FROM pages), t(term) AS (VALUES ('track'), ('script'), ('charset')), x AS (SELECT page_id, term, (length(l) - length(replace(l, term, ''))) // length(term) AS n, contains(u, term) AS inu, strpos(l, term) AS hit, regexp_matches(html, '(?m)^\\s*' || term || '\\s*=') AS eq, regexp_matches(html, '(?m)^\\s*(def|class)\\s+' || term || '\\b') AS de FROM c, t) SELECT page_id, CAST(sum(least(n, 8) * 90 + CASE WHEN inu THEN 250 ELSE 0 END + CASE WHEN eq THEN 350 ELSE 0 END + CASE WHEN de THEN 1200 ELSE 0 END) AS BIGINT) AS score, min(nullif(hit, 0)) - 1 AS first_hit FROM x GROUP BY page_id HAVING score > 0",
+    "term_windows": rf"WITH {TERMS_SQL}, w AS (SELECT list(term) AS ts FROM numbered WHERE length(term) >= 4), h AS (SELECT doc_id, text, length(text) AS n, list_min(list_filter(list_transform(ts, lambda t: strpos(lower(text), t)), lambda p: p > 0)) - 1 AS a FROM documents, w), s AS (SELECT *, greatest(0, a - 66) AS s0, least(n, greatest(0, a - 66) + 200) AS e FROM h), f AS (SELECT doc_id, CASE WHEN n <= 200 THEN text WHEN a IS NULL THEN left(text, 200) ELSE substr(text, CASE WHEN e - s0 < 200 THEN greatest(0, e - 200) ELSE s0 END + 1, e - CASE WHEN e - s0 < 200 THEN greatest(0, e - 200) ELSE s0 END) END AS x FROM s) SELECT doc_id, {_STRIP.format(x='x')} AS excerpt FROM f",
     "ignored_paths": "SELECT * FROM (VALUES ('a.log', 1), ('x/b.log', 1), ('build/y.txt', 2), ('src/build/z.c', 2), ('docs/private/k', 3), ('x/docs/private', NULL), ('cache', 4), ('a/cache/b', 4), ('keep.txt', NULL), ('building', NULL)) AS t(path, line)",
     "tree_references": f"WITH {_NODES} SELECT DISTINCT n.id FROM n LEFT JOIN n p ON p.id = n.id AND p.node = n.parent WHERE (n.key IN ('conversation_id', 'owner_conversation_id', 'created_by_conversation_id') AND n.value->>'$' = 'c1') OR (p.type = 'ARRAY' AND p.key IN ('conversation_ids', 'source_conversation_ids') AND n.value->>'$' = 'c1') OR (p.type = 'ARRAY' AND p.key = 'source_conversations' AND n.value->>'id' = 'c1')",
     "tree_index_references": f"WITH {_NODES} SELECT DISTINCT n.id FROM n LEFT JOIN n p ON p.id = n.id AND p.node = n.parent WHERE (n.key IN ('index', 'index_id', 'source_index', 'source_index_id', 'created_by_index_id', 'source_fingerprint_index') AND (n.value->>'$' = 'i1' OR n.value->>'id' = 'i1')) OR (p.type = 'ARRAY' AND p.key IN ('indexes', 'index_ids', 'source_indexes', 'source_index_ids') AND (n.value->>'$' = 'i1' OR n.value->>'id' = 'i1')) OR (p.type = 'ARRAY' AND p.key = 'context_items' AND n.value->>'kind' = 'index' AND n.value->>'id' = 'i1')",

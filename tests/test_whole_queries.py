@@ -75,3 +75,77 @@ def test_retrieve_asks_for_all_terms(spark, folder, monkeypatch):
     monkeypatch.setattr(rank_queries.retrieval, "retrieve", lambda rows, q, *a, **k: asked.append(q) or real(rows, q, *a, **k))
     QUERIES["retrieve"](spark, sf)
     assert all(f"term{k}" in asked[0].split() for k in range(15))
+
+
+def plain_score(question, text):
+    """Saturated counts of the question's terms, half a point for neighbours, ten times that, half to even."""
+    word = r"[A-Za-z0-9_'-]{3,}"
+    asked, tokens = re.findall(word, question.lower()), re.findall(word, text.lower())
+    names, total = list(dict.fromkeys(asked)), 0.0
+    for t in names:
+        n = tokens.count(t)
+        if n:
+            total += (1.15 if len(t) >= 7 else 1.0) * (n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(tokens) / 400))) * min(asked.count(t), 2)
+    total += 0.5 * sum(f"{a} {b}" in " ".join(tokens) for a, b in zip(names, names[1:]))
+    return round(total * 10) if tokens else 0
+
+
+def plain_windows(text, size):
+    """(start, end, kind, text, base) of windows that step by three quarters and end at a blank line in their second half."""
+    if len(text.strip()) <= size:
+        return [(0, len(text), "whole-chunk", text.strip(), 10)] if text.strip() else []
+    out, at = [], 0
+    while at < len(text) and len(out) < 32:
+        end = min(len(text), at + size)
+        blank = text.rfind("\n\n", at, end)
+        end = blank if blank > at + size // 2 else end
+        if text[at:end].strip():
+            out.append((at, end, "text-window", text[at:end].strip(), 5))
+        if end >= len(text):
+            return out
+        at = max(at + size * 3 // 4, end - size // 4)
+    if out and out[-1][1] < len(text):
+        out.append((len(text) - size, len(text), "text-window", text[len(text) - size :].strip(), 8))
+    return out
+
+
+def long_texts():
+    import random
+
+    rng = random.Random(12)
+    make = lambda n: " ".join(rng.choice(("alpha", "beta", "gamma-ray", "delta", "of", "considerable", "x")) + rng.choice(("", "", ".", "\n\n")) for _ in range(n))
+    return [make(n) for n in (5, 80, 200, 900, 9000)] + ["", None, " \n ", "alpha " * 20, "* [2024-05-01] a\ntext\n** sub\nmore\n# md\nend"]
+
+
+def test_windows_of_whole_texts(spark, folder):
+    question = "alpha beta considerable gamma-ray alpha"
+    folder("benchmark", [(1, question)], "item_id long, text string")
+    sf = folder("documents", list(enumerate(long_texts())), "doc_id long, text string")
+    want = set()
+    for k, t in enumerate(long_texts()):
+        ranked = sorted((-(base + plain_score(question, x)), a, b, kind, x) for a, b, kind, x, base in plain_windows(t or "", 600))
+        kept, used = [], 0
+        for o, a, b, _, x in ranked:
+            cost = len(x) + (2 if kept else 0)
+            if any(a < d and b > c for c, d in kept) or (kept and used + cost > 1500):
+                continue
+            kept.append((a, b))
+            want.add((k, a, b, float(-o)))
+            used += cost
+            if len(kept) == 4 or used >= 1500:
+                break
+    got = {(r.doc_id, r.start, r.end, float(r.score)) for r in QUERIES["evidence_windows"](spark, sf).collect()}
+    assert got == want and len({g[0] for g in got}) == 7
+
+
+def test_evidence_of_whole_texts(spark, folder):
+    sf = folder("documents", list(enumerate(long_texts())), "doc_id long, text string")
+    got = {(r.doc_id, r.kind): (r.n, r.last) for r in QUERIES["evidence_rows"](spark, sf).collect()}
+    for k, t in enumerate(long_texts()[:9]):
+        spans_ = plain_windows(t or "", 1200)
+        for kind in ("whole-chunk", "text-window"):
+            mine = {(a, b) for a, b, x, _, _ in spans_ if x == kind}
+            assert got.get((k, kind)) == ((len(mine), max(b for _, b in mine)) if mine else None)
+    outline = long_texts()[9]
+    # The day's section is its heading's and the whole text's, too: the first of a place stands.
+    assert got[9, "org-date"] == (1, len(outline)) and got[9, "org-heading"] == (1, len(outline)) and got[9, "markdown-heading"] == (1, len(outline)) and (9, "whole-chunk") not in got
