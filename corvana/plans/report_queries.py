@@ -435,6 +435,7 @@ ORACLE = {
     "slot_upserts": f"WITH {_SLOT}, o AS (SELECT route_fingerprint, conversation_id, filename, arg_max(status, (moment, ord)) AS status, arg_max(ord, (moment, ord)) AS last FROM sl GROUP BY 1, 2, 3), u AS (SELECT CASE WHEN o.conversation_id LIKE '%1' THEN 'deleted' ELSE o.status END AS status, sl.bytes FROM o JOIN sl ON sl.ord = o.last) SELECT status, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM u GROUP BY status",
     "effective_spans": r"WITH d AS (SELECT *, regexp_replace(regexp_replace(substr(text, 5, 50), '^\s+', ''), '\s+$', '') AS part FROM documents) SELECT doc_id AS id, sha256(CASE WHEN doc_id % 3 = 0 AND part <> '' THEN part ELSE text END) AS digest, CASE WHEN doc_id % 6 = 0 AND part <> '' THEN 4 ELSE 0 END AS start, CASE WHEN doc_id % 6 = 0 AND part <> '' THEN 54 ELSE length(text) END AS " + '"end"' + r" FROM d",
     "model_texts": f"WITH d AS (SELECT doc_id, {_FLAT.format(x='text')} AS flat, CASE WHEN doc_id % 2 = 0 THEN 'text-window: a label' ELSE 'text-window' END AS pre FROM documents), r AS (SELECT *, 300 - length(pre) - 1 AS room FROM d), s AS (SELECT *, (room - 5) // 2 AS side FROM r) SELECT doc_id AS id, trim(left(pre || chr(10) || CASE WHEN length(flat) <= room THEN flat ELSE left(rtrim(left(flat, side)) || ' ... ' || ltrim(right(flat, room - 5 - side)), room) END, 300), ' ' || chr(10)) AS model_text FROM s",
+    "model_parts": f"WITH d AS (SELECT doc_id, text, length(text) AS n, CASE WHEN doc_id % 2 = 0 THEN 'text-window: a label' ELSE 'text-window' END AS pre FROM documents), k AS (SELECT *, CASE WHEN n <= 400 THEN 1 ELSE least(3, (n - 400 + 299) // 300 + 1) END AS kept FROM d), p AS (SELECT *, unnest(range(0, kept)) AS part FROM k), o AS (SELECT *, CASE WHEN part = kept - 1 AND n > 400 THEN n - 400 ELSE part * 300 END AS off FROM p), x AS (SELECT *, {_FLAT.format(x='substr(text, off + 1, 400)')} AS flat, 400 - length(pre) - 1 AS room FROM o), s AS (SELECT *, (room - 5) // 2 AS side FROM x) SELECT doc_id AS id, part, off AS start, length(trim(left(pre || chr(10) || CASE WHEN length(flat) <= room THEN flat ELSE left(rtrim(left(flat, side)) || ' ... ' || ltrim(right(flat, room - 5 - side)), room) END, 400), ' ' || chr(10))) AS chars FROM s",
     "explain_chunks": f"WITH {TERMS_SQL}, {_DOCS},\n{score_sql('dc', 'doc_id', 'hay')} SELECT path, doc_id AS chunk, score AS lexical, score AS total FROM scored JOIN dc ON k = doc_id ORDER BY score DESC, path, doc_id LIMIT 12",
     "explain_files": "SELECT DISTINCT source || '/' || doc_id % 7 || '.md' AS path, CASE WHEN doc_id % 7 = 3 THEN 2500 ELSE 0 END AS path_boost FROM documents ORDER BY path_boost DESC, path LIMIT 10",
     "lexical_candidates": f"WITH {TERMS_SQL}, {_DOCS},\n{score_sql('dc', 'doc_id', 'hay')} SELECT path, doc_id::VARCHAR AS chunk, score::DOUBLE AS score FROM scored JOIN dc ON k = doc_id WHERE score > 0 ORDER BY score DESC, path, doc_id LIMIT 24",
