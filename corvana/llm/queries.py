@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import byte_bpe, langid, licenses, main_text, ogg, prob_minhash, templates, token_files, toxicity, warc
+from corvana.llm import byte_bpe, langid, licenses, main_text, ogg, prob_minhash, templates, token_files, toxicity, variants, warc
 from corvana.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all texts with its near words, its commoner form and the root of its chain of forms."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_languages": op9_languages,
     "op10_prob_minhash": op10_prob_minhash,
+    "op11_variants": op11_variants,
 }
 
 ORACLE: dict[str, str] = {}
