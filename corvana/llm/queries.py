@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import byte_bpe, langid, licenses, main_text, ogg, prob_minhash, templates, token_files, toxicity, variants, warc
+from corvana.llm import byte_bpe, langid, licenses, main_text, merkle, ngram_join, ogg, prob_minhash, templates, token_files, toxicity, variants, warc
 from corvana.llm.common import table
 
 
@@ -71,6 +71,16 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of word n-grams and its component of links at 0.85 or more."""
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's digest, its proof up to the manifest's root, and whether the checked row folds back to it."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_languages": op9_languages,
     "op10_prob_minhash": op10_prob_minhash,
     "op11_variants": op11_variants,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE: dict[str, str] = {}
