@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -119,21 +121,35 @@ def cascade(families: list[Family], conversation_id: str) -> DataFrame:
 
 
 def rewrite_without(path: Path, conversation_id: str) -> int:
-    """Rows of a JSON-lines file that named a conversation and are gone; a file without any other row goes too."""
-    from corvana.sources.state import atomic_write
+    """Rows of a JSON-lines file that named a conversation and are gone; a file without any other row goes too.
 
+    The file is read and written line by line. Lines that are no JSON name nothing and stay as they are.
+    """
+    gone = kept = 0
+    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
     try:
-        rows = [json.loads(x) for x in path.read_text().splitlines() if x.strip()]
+        with path.open("rb") as lines, part.open("wb") as out:
+            for line in lines:
+                if not line.strip():
+                    continue
+                try:
+                    named = (R.CONVERSATION, conversation_id) in R.named(json.loads(line))
+                except ValueError:
+                    named = False
+                if named:
+                    gone += 1
+                else:
+                    kept += 1
+                    out.write(line)
+        if gone and kept:
+            os.replace(part, path)
+        elif gone:
+            path.unlink(missing_ok=True)
     except FileNotFoundError:
         return 0
-    kept = [r for r in rows if (R.CONVERSATION, conversation_id) not in R.named(r)]
-    if len(kept) == len(rows):
-        return 0
-    if kept:
-        atomic_write(path, "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in kept))
-    else:
-        path.unlink(missing_ok=True)
-    return len(rows) - len(kept)
+    finally:
+        part.unlink(missing_ok=True)
+    return gone
 
 
 def delete_naming(folder: Path, role: str, value: str) -> int:

@@ -29,22 +29,34 @@ def _or_empty(spark: SparkSession, schema: StructType, read: Callable[[], DataFr
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
-    """Rows of JSON lines with ord, their place in the files; limit keeps the last ones.
+    """Rows of JSON lines with file and ord, which rises along a file; limit keeps the last ones, last first.
 
-    ord orders rows by file and offset, so the tail is a top-k and not a sort of everything.
+    (file, ord) is the order of the rows: files by their path, lines as they stand. The tail is a
+    top-k and not a sort of everything. Lines that are no objects are no rows: a bare number, or bad JSON.
     """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    full = StructType([*kind.fields]).add("ord", "long")
+    full = StructType([*kind.fields]).add("file", "string").add("ord", "long")
 
     def read() -> DataFrame:
-        lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-        # Objects only: a bare number or list is no row.
+        # The scan deals a file out in blocks, and numbers rise within a block.
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
         objects = lines.filter(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
-        parsed = objects.select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"), "ord")
-        return parsed.select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind.fields), "ord")
+        return objects.select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"), "file", "at")
 
-    rows = _or_empty(spark, full, read)
-    return rows if limit is None else rows.orderBy(F.desc("ord")).limit(limit)
+    def shown(rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind.fields), "file", "ord")
+
+    try:
+        rows = read()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], full)
+    # Rows of a block keep 33 bits of their number; its start keeps the rest in order.
+    placed = rows.withColumn("ord", F.col("at.block") * (1 << 20) + F.col("at.row") % (1 << 33))
+    if limit is not None:
+        placed = placed.orderBy(F.desc("file"), F.desc("at.block"), F.desc("at.row")).limit(limit)
+    return shown(placed)
 
 
 def json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

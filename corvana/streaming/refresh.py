@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import threading
 import time
 import uuid
@@ -11,43 +12,83 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import IO
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from corvana.functions import text as T
 from corvana.operators import vectors
+from corvana.sources.state import atomic_write, exclusive_lock
 
 
-def refresh(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], files_per_batch: int = 64) -> StreamingQuery:
+@dataclass(frozen=True)
+class Route:
+    """What a stored vector has to agree with, beside its id and text: another one is made if any of it changes."""
+
+    schema: str = "text-v1"
+    kind: str = "raw_chunk_embedding"
+    dims: int = vectors.LEXICAL_DIMS
+
+
+#: What the state keeps of an id: the digest of its text and the route of its vector.
+STATE = "input_sha256 string, input_schema string, kind string, dims int"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _changed(route: Route) -> Callable:
+    want = (route.schema, route.kind, route.dims)
+
+    def run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        """The newest row of an id (by its file's time and name, then digest) if it differs from what the state has."""
+        newest, place = None, None
+        for rows in batches:
+            last = rows.sort_values(["_time", "_file", "input_sha256"]).iloc[[-1]]
+            mine = tuple(last[c].iloc[0] for c in ("_time", "_file", "input_sha256"))
+            if place is None or mine > place:
+                newest, place = last, mine
+        now = (place[2], *want)
+        if not state.exists or tuple(state.get) != now:
+            state.update(now)
+            yield newest.drop(columns=["_time", "_file"])
+
+    return run
+
+
+def refresh(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], files_per_batch: int = 64, route: Route | None = None) -> StreamingQuery:
     """Embed what is new or changed below source (JSON lines with id and text), then stop.
 
-    Files that a former run finished are not read again (the stream's checkpoint), and
-    texts whose digest is stored are not embedded again (an anti join). embed adds `vector`.
+    Files that a former run finished are not read again (the stream's checkpoint). Of each id the
+    stream's state keeps the digest of the text and the route of the vector that are stored, so
+    that a batch touches the states of its own ids and never reads the store. embed adds `vector`.
+
+    A batch writes run=<id of the query>/batch=<number>, and again if its commit was lost: its
+    state is that of the batch before, then. A lost checkpoint begins a run of its own, beside
+    the others; stored() gives the newest row of each id.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+    route = route or Route()
+    typed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+    stamped = typed.select("*", T.sha256(F.col("text")).alias("input_sha256"), F.col("_metadata.file_modification_time").cast("double").alias("_time"), F.col("_metadata.file_path").alias("_file"))
+    kept = StructType([f for f in stamped.schema.fields if f.name not in ("_time", "_file")])
+    fresh = stamped.groupBy("id").applyInPandasWithState(_changed(route), kept, StructType.fromDDL(STATE), "update", GroupStateTimeout.NoTimeout)
 
     def batch(rows: DataFrame, number: int) -> None:
-        fresh = rows.withColumn("input_sha256", T.sha256(F.col("text"))).dropDuplicates(["id", "input_sha256"])
-        # A batch that runs again (its commit was lost) finds its own rows in the store: they
-        # are what it is about to write, so only those of batches before it count as stored.
-        stored = _batches(spark, store)
-        if stored is not None:
-            fresh = fresh.join(stored.filter(F.col("batch") < number).select("id", "input_sha256"), ["id", "input_sha256"], "left_anti")
-        embed(fresh).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        run = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        made = embed(rows).withColumns({"input_schema": F.lit(route.schema), "kind": F.lit(route.kind), "dims": F.lit(route.dims), "written": F.current_timestamp()})
+        made.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        return fresh.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def _batches(spark: SparkSession, store: str) -> DataFrame | None:
-    """The stored rows with their batch; None before the first batch has written any."""
-    try:
-        return spark.read.parquet(store)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """The newest stored row of each id."""
+    return vectors.last_per_id(spark.read.parquet(store).withColumn("_place", F.struct("written", "batch", "input_sha256")), "id", "_place").drop("_place", "run", "batch")
 
 
 def hashed_embedding(rows: DataFrame, dims: int = vectors.LEXICAL_DIMS) -> DataFrame:
@@ -197,8 +238,6 @@ class Maintenance:
         return state if isinstance(state, dict) else None
 
     def _write(self, state: dict) -> dict:
-        from corvana.sources.state import atomic_write
-
         atomic_write(self.path, json.dumps(state))
         return state
 
@@ -226,42 +265,77 @@ class Maintenance:
 
 
 class PromptQueue:
-    """First in, first out, kept in JSON lines."""
+    """First in, first out, as a log: a line for each prompt, and one for each that was taken.
+
+    Nothing is rewritten to append or to take; a line that was cut off by a crash, or is no object,
+    counts as none. Once the log holds COMPACT_AT lines and less than half of its prompts wait, it
+    is replaced by those that wait, with their numbers. A lock keeps writers apart.
+    """
+
+    COMPACT_AT = 256
 
     def __init__(self, path: Path) -> None:
-        self.path = path
+        self.path, self.lock = path, path.with_name(path.name + ".lock")
 
-    def texts(self) -> list[str]:
+    def _read(self) -> tuple[dict[str, str], int]:
+        """(waiting prompts by number, in order, lines)."""
         try:
-            rows = [json.loads(x) for x in self.path.read_text().splitlines() if x.strip()]
+            lines = self.path.read_text(encoding="utf-8", errors="replace").split("\n")
         except OSError:
-            return []
-        return [r["text"] for r in rows if isinstance(r, dict) and str(r.get("text", "")).strip()]
-
-    def _replace(self, texts: list[str]) -> None:
-        from corvana.sources.state import atomic_write
+            return {}, 0
+        waiting: dict[str, str] = {}
+        for k, line in enumerate(lines):
+            try:
+                row = json.loads(line)
+            except ValueError:
+                continue
+            if not isinstance(row, dict):
+                continue
+            if "taken" in row:
+                waiting.pop(str(row["taken"]), None)
+            elif str(row.get("text") or "").strip():
+                waiting[str(row.get("number", f"line-{k}"))] = str(row["text"])
+        return waiting, len(lines)
+
+    def _log(self, rows: list[dict]) -> None:
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        with self.path.open("ab+") as out:
+            # A line that a crash cut off stays a bad line of its own.
+            if out.tell() and (out.seek(-1, os.SEEK_END), out.read(1))[1] != b"\n":
+                out.write(b"\n")
+            out.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode())
+            out.flush()
+            os.fsync(out.fileno())
+
+    def _compact(self) -> None:
+        waiting, lines = self._read()
+        if lines >= self.COMPACT_AT and 2 * len(waiting) < lines:
+            atomic_write(self.path, "".join(json.dumps({"number": n, "text": t}, ensure_ascii=False) + "\n" for n, t in waiting.items()))
 
-        atomic_write(self.path, "".join(json.dumps({"text": t}) + "\n" for t in texts))
+    def texts(self) -> list[str]:
+        return list(self._read()[0].values())
 
     def append(self, text: str) -> bool:
         if not text.strip():
             return False
-        self._replace([*self.texts(), text])
+        with exclusive_lock(self.lock):
+            self._log([{"number": uuid.uuid4().hex, "text": text}])
         return True
 
     def pop(self, expected: str | None = None) -> str | None:
         """The first text, or the first that is the expected one."""
-        texts = self.texts()
-        if expected is not None and expected not in texts:
-            return None
-        if not texts:
-            return None
-        at = texts.index(expected) if expected is not None else 0
-        taken = texts.pop(at)
-        self._replace(texts)
-        return taken
+        with exclusive_lock(self.lock):
+            waiting, _ = self._read()
+            found = next(((n, t) for n, t in waiting.items() if expected is None or t == expected), None)
+            if found is None:
+                return None
+            self._log([{"taken": found[0]}])
+            self._compact()
+        return found[1]
 
     def clear(self) -> int:
-        n = len(self.texts())
-        self._replace([])
-        return n
+        with exclusive_lock(self.lock):
+            waiting, _ = self._read()
+            self._log([{"taken": n} for n in waiting])
+            self._compact()
+        return len(waiting)
