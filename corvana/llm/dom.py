@@ -211,7 +211,7 @@ def parse(source: str | None) -> list[Node]:
                 continue
             above = stack[-1][1]
             nodes[above].children += 1
-            names = attributes(rest) if "=" in rest else {}
+            names = attributes(rest) if rest and not rest.isspace() else {}
             nodes.append(Node(tag, above, names=names))
             depths[tag].append(len(stack))
             stack.append((tag, len(nodes) - 1))

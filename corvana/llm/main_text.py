@@ -2,7 +2,8 @@
 
 Every block element and every run of text is a node with a binary variable: part
 of the article or not. A node's own potential is a linear function of its features
-(tag, words of class, id and role, length, share of linked text, tags above);
+(tag, words of class, id and role, length and share of linked text of the node and of all
+below it, tags above, hidden or not); words that training has hardly met count for nothing;
 potentials between parent and child depend on the kind of child. Messages go from
 the leaves to the root and back (sum-product), which gives the exact marginal of
 every node; runs of text whose marginal is above one half are the article.
@@ -23,8 +24,9 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,33 +37,62 @@ from corvana.llm.dom import Node, parse
 EDGES = ("element", "text")
 #: A page with one of these has a frame; without, it may be an article alone.
 FRAME = ("html", "body")
-TRAINING_PAGES, EPOCHS, RATE, L2, SEED = 800, 16, 0.15, 2e-3, 11
+TRAINING_PAGES, EPOCHS, RATE, L2, SEED = 1300, 14, 0.15, 2e-3, 11
+
+STOPS = ".!?:;…»”\"。"
+RIGHTS = ("copyright", "all rights", "alle rechte", "tous droits", "todos los derechos")
+#: Words of names that fewer training nodes have than this count for nothing.
+KNOWN_NODES = 25
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _shares(nodes: list[Node]) -> tuple[list[int], list[int], list[int]]:
+    """Letters, linked letters and runs that end a sentence in and below each node."""
+    size, linked, stops = ([0] * len(nodes) for _ in range(3))
+    for k in range(len(nodes) - 1, -1, -1):
+        node = nodes[k]
+        if node.tag == "#text":
+            size[k], linked[k], stops[k] = len(node.text), node.linked, int(node.text[-1] in STOPS)
+        if k:
+            size[node.parent] += size[k]
+            linked[node.parent] += linked[k]
+            stops[node.parent] += stops[k]
+    return size, linked, stops
+
+
+def _is_hidden(node: Node) -> bool:
+    style = node.names.get("style", "").replace(" ", "").lower()
+    return "hidden" in node.names or "display:none" in style or "visibility:hidden" in style
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
     """Names of the active features of each node."""
     out: list[list[str]] = []
     frame = "page" if any(n.tag in FRAME for n in nodes) else "fragment"
-    for node in nodes:
+    size, linked, stops = _shares(nodes)
+    unseen = [False] * len(nodes)
+    for k, node in enumerate(nodes):
+        unseen[k] = (k > 0 and unseen[node.parent]) or _is_hidden(node)
+        share = math.ceil(4 * linked[k] / size[k]) if size[k] else 5
         if node.tag == "#text":
-            size, parent = len(node.text), nodes[node.parent]
+            parent = nodes[node.parent]
             above = nodes[max(0, parent.parent)]
-            share = node.linked / size
-            out.append([
+            start = node.text[:40].lower()
+            found = [
                 "text",
                 f"in:{parent.tag}",
-                f"over:{above.tag if parent.parent >= 0 else ''}{'' if above.names else '-bare'}",
+                f"over:{above.tag if parent.parent >= 0 else ''}",
                 f"{frame}:{parent.tag}",
-                f"size:{min(9, size.bit_length() - 1)}",
-                f"linked:{math.ceil(share * 4)}",
-                "stop" if node.text[-1] in ".!?:;…»”\"。" else "no-stop",
+                f"size:{min(9, size[k].bit_length() - 1)}",
+                f"linked:{share}",
+                "stop" if node.text[-1] in STOPS else "no-stop",
                 f"alone:{parent.children == 1}",
-                "sign" if node.text[0] in "©" or "©" in node.text[:40] else "plain",
-            ])
+                "sign" if "©" in start or start.startswith(RIGHTS) else "plain",
+                f"beside:{min(3, stops[parent.parent] if parent.parent >= 0 else 0)}",
+            ]
         else:
-            found = [f"tag:{node.tag}"]
+            found = [f"tag:{node.tag}", f"links:{share}", f"links:{share}:{node.tag}", f"stops:{min(4, stops[k].bit_length())}", f"part:{min(4, 5 * size[k] // max(1, size[0]))}:{frame}"]
             if node.parent >= 0:
                 found += [f"under:{nodes[node.parent].tag}", f"under:{nodes[node.parent].tag}>{node.tag}"]
             else:
@@ -70,11 +101,9 @@ def features(nodes: list[Node]) -> list[list[str]]:
                 value = node.names.get(name)
                 if value:
                     found += [f"name:{w.lower()}" for w in _WORD.findall(value)]
-            if "hidden" in node.names or "display:none" in node.names.get("style", "").replace(" ", ""):
-                found.append("hidden")
-            if not any(f.startswith("name:") for f in found):
-                found.append(f"bare:{node.tag}")
-            out.append(list(dict.fromkeys(found)))
+        if unseen[k]:
+            found.append("hidden-text" if node.tag == "#text" else "hidden")
+        out.append(list(dict.fromkeys(found)))
     return out
 
 
@@ -137,6 +166,8 @@ def _label(nodes: list[Node]) -> None:
         node.label = int(marks[k]) if marks[k] in ("0", "1") else nodes[node.parent].label if k else int("0" not in marks)
 
 
+#: Class words of layout, which say nothing of what a box holds.
+_UTILITY = "container row col-md-8 col-lg-4 col-12 flex grid px-4 py-2 mx-auto grow w-full mt-3 mb-6 d-flex gap-2 block inner outer wrap left-0 max-w-xl rounded shadow text-lg bg-white justify-center items-center clearfix span6 u-full box l-stack".split()
 _SYLLABLES = "ta re mi on an der ver schi la que ion ment ci os ar th ing ed un ei pa ro sel".split()
 
 
@@ -162,8 +193,22 @@ def _layout(rng: random.Random) -> str:
     def links(name: str, low: int = 3, high: int = 9) -> str:
         return tag("ul", "".join(tag("li", link()) for _ in range(rng.randint(low, high))), name)
 
+    def named(names: list[str]) -> str:
+        """A class list: names that tell, utility words that any box may have, words that nobody has met, or nothing."""
+        told = [rng.choice(names)] if rng.random() < 0.55 else []
+        told += rng.sample(_UTILITY, rng.randint(1, 4)) if rng.random() < 0.45 else []
+        told += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) + rng.choice(("", "__", "-")) + str(rng.randint(0, 99))] if rng.random() < 0.3 else []
+        rng.shuffle(told)
+        return " ".join(told).strip()
+
     def box(names: list[str], inside: str, tags: tuple[str, ...] = ("div",), y: int = 0) -> str:
-        return tag(rng.choice(tags), inside, rng.choice(names), y, rng.choice(("class", "class", "id")))
+        # Without a tag or a name that tells, a box of prose is nobody's to tell from the article.
+        return tag(rng.choice(tags), inside, named(names) if rng.random() < 0.5 else rng.choice(names), y, rng.choice(("class", "class", "id")))
+
+    def wrapped(inside: str, low: int, high: int) -> str:
+        for _ in range(rng.randint(low, high)):
+            inside = tag(rng.choice(("div", "div", "div", "section")), inside, " ".join(rng.sample(_UTILITY, rng.randint(1, 3))) if rng.random() < 0.6 else rng.choice(("", "wrapper", "container", "page", "site", "row", "inner")))
+        return inside
 
     side = {
         "menu": lambda: box(["nav", "navbar", "menu", "main-menu", "navigation", "top-nav", "breadcrumb", "breadcrumbs", "pagination", "toc", "tabs", ""], links(rng.choice(("", "menu", "nav-list", "links"))) if rng.random() < 0.7 else " ".join(link() for _ in range(rng.randint(2, 7))), ("nav", "nav", "div", "ul")),
@@ -174,9 +219,16 @@ def _layout(rng: random.Random) -> str:
         "advert": lambda: box(["ad", "ads", "advert", "advertisement", "adbox", "sponsored", "sponsor", "promo", "promotion", "banner-ad", "ad-slot", "commercial", "partner", "outbrain", "taboola"], prose(1, 3) if rng.random() < 0.6 else tag("p", prose(1, 2)) + link(), ("div", "div", "aside", "section", "ins")),
         "form": lambda: tag("form", tag("label", " ".join(words(1, 3))) + '<input name="q">' + (tag("p", prose(1, 2)) if rng.random() < 0.5 else "") + tag("button", " ".join(words(1, 2))), rng.choice(("", "search", "login", "signup", "contact", "subscribe")), 0),
         "comments": lambda: box(["comments", "comment-list", "responses", "discussion", "disqus", "replies", "reader-comments", "respond", "feedback"], tag(rng.choice(("h2", "h3")), " ".join(words(1, 3))) + "".join(tag(rng.choice(("div", "li", "article")), tag("p", prose(1, 4)), rng.choice(("comment", "reply", "comment-body", "message"))) for _ in range(rng.randint(1, 4))), ("section", "div", "div", "ol")),
+        "cells": lambda: tag(rng.choice(("div", "td")), tag("table", "".join(tag("tr", "".join(tag("td", link()) for _ in range(rng.randint(1, 4)))) for _ in range(rng.randint(1, 5)))), named(["menu", "nav", "links"]), 0),
+        "rights": lambda: tag(rng.choice(("div", "p", "span", "small")), rng.choice(("Copyright", "&copy;", "Copyright &copy;", "All rights reserved.")) + f" {rng.randint(1998, 2026)} " + " ".join(words(1, 4)), "", 0),
+        "unseen": lambda: rng.choice(('<p hidden data-y="0">', '<div style="display: none" data-y="0">', '<div style="display:none" data-y="0">', '<section hidden data-y="0">', '<p style="visibility: hidden" data-y="0">')) + prose(1, 4),
         "share": lambda: box(["share", "social", "sharing", "follow", "share-buttons", "author-bio", "byline", "meta", "post-meta", "print", "tools", "skip", "screen-reader", "caption-credit"], rng.choice((" ".join(link() for _ in range(rng.randint(1, 4))), " ".join(words(1, 3)) + " " + link(), " ".join(words(1, 4)), sentence(2, 7)))),
     }
 
+    ends = {"<p": "</p>", "<d": "</div>", "<s": "</section>"}
+    unseen = side["unseen"]
+    side["unseen"] = lambda: (x := unseen()) + ends[x[:2]]
+
     def some(kinds: list[str], most: int) -> str:
         return "".join(side[k]() for k in rng.sample(kinds, rng.randint(0, min(most, len(kinds)))))
 
@@ -205,18 +257,22 @@ def _layout(rng: random.Random) -> str:
 
     parts = [paragraph() for _ in range(rng.randint(1, 12))]
     for _ in range(rng.randint(0, 3) if rng.random() < 0.6 else 0):
-        parts.insert(rng.randint(0, len(parts)), side[rng.choice(("advert", "advert", "notice", "share", "sidebar", "form", "form", "menu", "comments"))]())
+        parts.insert(rng.randint(0, len(parts)), side[rng.choice(("advert", "advert", "notice", "share", "sidebar", "form", "form", "menu", "comments", "unseen", "unseen", "unseen", "unseen"))]())
     inside = (tag("h1", " ".join(words(2, 10)).capitalize()) if rng.random() < 0.8 else "") + (tag("p", prose(1, 2)) if rng.random() < 0.3 else "") + "".join(parts)
     good = ["article", "content", "main", "main-content", "post", "entry", "entry-content", "story", "story-body", "article-body", "body", "text", "page-content", "post-content", "prose", ""]
-    if rng.random() < 0.12:  # a fragment that is an article alone, in all its parts
+    if rng.random() < 0.16:  # a fragment that is an article alone, in all its parts
         bare = "".join(re.sub(r"<(?:form|aside|nav|ins|dialog)\b.*", "", x) for x in parts if "data-y" not in x)
         kind = rng.random()
         if kind < 0.2 or not bare:
             return rng.choice(("", "\n")) + rng.choice((prose(1, 9), " ".join(words(1, 60)), f"{prose(1, 3)}<br><br>{prose(1, 4)}"))
+        if rng.random() < 0.5:
+            bare = tag(rng.choice(("h1", "h2", "h3")), " ".join(words(1, 8)).capitalize()) + bare
         return bare if kind < 0.45 else tag(rng.choice(("div", "div", "section", "article", "main")), bare, rng.choice(("", "", "", "text", "content")))
     title = tag("h1", " ".join(words(2, 10)).capitalize())
     if rng.random() < 0.15:  # an article's own header: its headline belongs to it
         inside = tag("header", title + rng.choice(("", side["share"](), tag("p", sentence(4, 14)))), rng.choice(("", "", "entry-header", "post-header")), 1) + "".join(parts)
+    elif rng.random() < 0.15:  # headline and text in boxes of their own
+        inside = tag("div", title + rng.choice(("", side["share"]())), named(["title", "headline", "lead", "intro"]), 1) + tag("div", "".join(parts), named(good), 1)
     if rng.random() < 0.1:
         inside += tag("footer", side["share"]() if rng.random() < 0.5 else sentence(2, 7), rng.choice(("", "entry-footer", "post-footer")), 0)
     style = rng.random()
@@ -228,13 +284,15 @@ def _layout(rng: random.Random) -> str:
         inside = tag("main", inside, rng.choice(good) if rng.random() < 0.4 else "", 1)
     elif style < 0.72:
         inside = tag("section", inside, rng.choice(good[:-1]), 1)
-    elif style < 0.8:
+    elif style < 0.85:
         inside = re.sub(r"<(p|h1|h2|h3|h4|ul|ol|blockquote|pre|table|figure)>", r'<\1 data-y="1">', inside)
     else:
-        inside = tag("div", tag("div", inside, rng.choice(good)) if rng.random() < 0.4 else inside, rng.choice(good), 1, rng.choice(("class", "id")))
-    body = some(["header", "menu", "notice", "advert", "form", "menu"], 4) + inside + some(["sidebar", "comments", "form", "advert", "share", "notice"], 4) + some(["footer", "notice"], 2)
+        inside = tag("div", tag("div", inside, named(good)) if rng.random() < 0.4 else inside, named(good) if rng.random() < 0.7 else rng.choice(good), 1, rng.choice(("class", "id")))
+    near = side["sidebar"]() if rng.random() < 0.3 else ""
+    inside = wrapped(wrapped(inside, 0, 2) + near, 0, 3) if rng.random() < 0.5 else inside + near
+    body = some(["header", "menu", "notice", "advert", "form", "menu", "cells", "unseen"], 4) + inside + some(["sidebar", "comments", "form", "advert", "share", "notice", "unseen"], 4) + some(["footer", "notice", "rights"], 2)
     if rng.random() < 0.4:
-        body = tag("div", body, rng.choice(("wrapper", "container", "page", "site", "row", "")))
+        body = wrapped(body, 1, 2)
     if rng.random() < 0.08:
         return f'<div data-y="0">{body}</div>' if rng.random() < 0.5 else inside
     page = f'<!DOCTYPE html><html><head><title>{sentence()}</title><script>var a="</p>";</script></head><body data-y="0">{body}</body></html>'
@@ -247,12 +305,20 @@ def layouts(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
     return [_layout(rng) for _ in range(n)]
 
 
+@lru_cache(maxsize=4)
+def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Model:
+    """The model of layouts(pages, seed), fitted once for a driver."""
+    return train(layouts(pages, seed))
+
+
 def train(pages: list[str] | None = None) -> Model:
-    model, data = Model(), []
+    model, data, met = Model(), [], Counter()
     for page in pages or layouts():
         nodes = parse(page)
         _label(nodes)
         data.append((nodes, features(nodes)))
+        met.update(f for fs in data[-1][1] for f in fs if f.startswith("name:"))
+    data = [(nodes, [[f for f in fs if not f.startswith("name:") or met[f] >= KNOWN_NODES] for fs in feats]) for nodes, feats in data]
     for epoch in range(EPOCHS):
         for nodes, feats in data:
             model.learn(nodes, feats, RATE / (1 + epoch / 3))
@@ -269,7 +335,7 @@ def extract(model: Model, html: str | None) -> list[tuple[str, float]]:
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
-    model = model or train()
+    model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

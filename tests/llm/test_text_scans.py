@@ -337,3 +337,69 @@ def test_license_edges(spark):
     assert licenses.licenses(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.Library.of({"x": "two words"})
+
+
+L1 = "The city council voted on Tuesday to close the old bridge for two months while workers repair its pillars."
+L2 = "Drivers will have to use the tunnel instead, which is expected to be crowded in the mornings."
+S1, S2, H = "It rained all day.", "Nobody came.", "Old bridge to close for repairs"
+NAV = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>'
+ART = f"<h1>@{H}</h1><p>@{L1}</p><p>@{L2}</p>"
+#: Pages whose class names say nothing or are unknown to the generator; the whole article and nothing else.
+STRANGE_PAGES = [
+    f'<html><body><div class="flex px-4 grow">{ART}</div></body></html>',
+    f'<html><body><header class="p-3"><a href="/">Logo</a></header><div class="container"><div class="row"><div class="col-md-8">{ART}</div><div class="col-md-4"><h4>Most read</h4>{NAV}</div></div></div></body></html>',
+    f'<html><body><div class="post">{ART}</div></body></html>',
+    f'<html><body><div class="post"><p>@{S1}</p><p>@{S2}</p></div></body></html>',
+    f'<html><body>{ART}</body></html>',
+    f'<html><body><table><tr><td><a href="/">Home</a></td><td><a href="/n">News</a></td><td><a href="/s">Sport</a></td></tr></table><div class="x1">{ART}</div></body></html>',
+    f'<html><body><article>{ART}<p hidden>This paragraph is hidden from all readers of the page.</p></article></body></html>',
+    f'<html><body><article>{ART}<div style="display: none"><p>Loading the next story, please wait a moment.</p></div></article></body></html>',
+    f'<html><body><div class="k">{ART}</div><div>Copyright 2024 Example</div></body></html>',
+    f'<html><body><div id="zq81"><div class="q7"><div class="b">{ART}</div></div></div></body></html>',
+    f'<html><body><div class="w-full max-w-xl mx-auto">{ART}<blockquote><p>@{L2}</p></blockquote></div><footer>&copy; 2024 The Daily</footer></body></html>',
+    f'<html><body><nav class="d-flex gap-2">{NAV}</nav><div class="td-pb-span8">{ART}<h2>@What comes next</h2><p>@{L1}</p></div></body></html>',
+    f'<html><body><div class="c-page"><div class="c-page__in">{ART}</div></div><div id="comments"><h3>3 comments</h3><div class="comment"><p>I do not believe a word of this.</p></div></div></body></html>',
+    f'<html><body><div class="u-full"><section class="grid">{ART}<ul><li>@The bridge closes on May 2.</li><li>@It opens again on July 1.</li></ul></section></div></body></html>',
+    f'<html><body><div class="site"><div class="top"><a href="/">Home</a> <a href="/a">About</a> <a href="/c">Contact</a></div><div class="yy2">{ART}</div></div></body></html>',
+    f'<html><body><main class="px-4"><div class="qq">{ART}</div></main><aside><h3>Related</h3><ul><li><a href="/1">A tunnel story</a></li><li><a href="/2">Bridges of the world</a></li></ul></aside></body></html>',
+    f'<html><body><div class="sc-1f2"><div class="sc-88a"><h1>@{H}</h1><div class="sc-2b"><p>@{L1}</p><p>@{L2} {L1}</p><p>@{S1}</p></div></div></div></body></html>',
+    f'<html><body><form action="/q"><label>Search</label><input name="q"><button>Go</button></form><div class="r3">{ART}</div></body></html>',
+    f'<html><body><div class="cookie-bar flex"><p>We use cookies to make this site better for you.</p><button>Accept</button></div><div class="flex">{ART}</div></body></html>',
+    f'<html><body><div class="hp-2"><div class="entry mt-3 mb-6">{ART}<p>@{L2}</p></div><div class="sidebar bg-white"><h4>Popular</h4>{NAV}</div></div></body></html>',
+    f'<html><body><div><div><div><div><div>{ART}</div></div></div></div></div></body></html>',
+    f'<html><body><section class="l-stack"><h1>@{H}</h1><p>@{S1}</p><p>@{L1}</p><pre>@make repair</pre><p>@{S2}</p></section></body></html>',
+    f'<html><body><div class="nn1">{ART}<figure><img src="b.jpg"><figcaption>@The bridge in spring, seen from the south.</figcaption></figure><p>@{L2}</p></div></body></html>',
+    f'<html><body><div class="box">{ART}</div><div class="box"><h3>Newsletter</h3><form><label>Your address</label><input><button>Sign up</button></form></div></body></html>',
+    f'<html><body><div class="ad-slot">Buy two and save a lot of money today.</div><div class="zz9">{ART}</div><footer class="py-2"><p>Contact us. All rights reserved.</p></footer></body></html>',
+    f'<html><body><div class="outer"><div class="inner"><p>@{L1}</p><p>@{L2}</p><p>@{L1} {L2}</p></div></div></body></html>',
+    f'<html><body><article class="mt-3"><header><h1>@{H}</h1></header><p>@{L1}</p><div class="share">Share this</div><p>@{L2}</p></article><div style="display:none">Tracking text that nobody sees at all.</div></body></html>',
+    f'<html><body><div class="m-9"><table><tr><td><a href="/1">One</a></td></tr><tr><td><a href="/2">Two</a></td></tr><tr><td><a href="/3">Three</a></td></tr></table></div><div class="m-10">{ART}</div></body></html>',
+    f'<html><body><div class="root"><div class="lead"><h1>@{H}</h1></div><div class="rest"><p>@{L1}</p><p>@{L2}</p></div></div><div class="bottom-x">&copy; 2023 Somebody</div></body></html>',
+]
+
+
+@pytest.mark.parametrize("page", STRANGE_PAGES)
+def test_pages_with_names_nobody_has_met(model, page):
+    want = [n.text[1:] for n in dom.parse(page) if n.tag == "#text" and n.text.startswith("@")]
+    assert [t for t, _ in main_text.extract(model, page.replace("@", ""))] == want
+
+
+def test_held_out_families_of_layouts():
+    """A family that training has not seen: articles in boxes without names, in wrappers, with side boxes of prose links."""
+    family = lambda page: "<article" not in page and "<main" not in page
+    pages = main_text.layouts(700, seed=5)
+    model = main_text.train([p for p in pages if not family(p)])
+    right = found = there = 0
+    for page in filter(family, main_text.layouts(250, seed=6)):
+        nodes = dom.parse(page)
+        main_text._label(nodes)
+        odds, _, _ = model.marginals(nodes, main_text.features(nodes))
+        for node, x in zip(nodes, odds, strict=True):
+            if node.tag == "#text":
+                n = len(node.text)
+                right, found, there = right + n * (x > 0 and node.label), found + n * (x > 0), there + n * bool(node.label)
+    assert 2 * right / (found + there) > 0.95
+
+
+def test_the_model_is_fitted_once():
+    assert main_text.trained() is main_text.trained()
