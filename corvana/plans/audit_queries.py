@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
-from corvana.operators import audit, code, memory
-from corvana.plans import planner
-from corvana.plans.tables import shared_folder, table, values
+from corvana.operators import audit
+from corvana.plans.tables import shared_folder, table
 from corvana.sources import state
 from corvana.streaming import refresh
 
@@ -169,22 +168,6 @@ def grounding(spark: SparkSession, sf: str) -> DataFrame:
     return audit.grounding_audit(rows.filter("answer_id % 6 <> 1 OR kind = 'memory'"), ["chunk", "file"], ["memory"], F.lit(True))
 
 
-DECISIONS = "(false, false, false, 0, 0.0), (true, true, false, 1, 9.0), (true, false, true, 1, 9.0), (true, false, false, 2, 0.0), (true, false, false, 0, 5.0), (true, false, false, 0, 1.0)"
-
-
-def expansion(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, DECISIONS, "needed, path_warning, stale, strong, best").withColumn("best", F.col("best").cast("double"))
-    return rows.withColumn("decision", audit.expansion_decision(F.col("needed"), F.col("path_warning"), F.col("stale"), F.col("strong"), F.col("best"), 4.0))
-
-
-def jsonl_tail(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of JSON with noise, written by this query's own small fixture, read back: the last three rows."""
-    folder = shared_folder(spark)
-    lines = ['{"id": 1, "t": "a"}', "", "not json", "[1, 2]", "7", *(f'{{"id": {k}, "t": "x{k}"}}' for k in range(2, 7))]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
-    return state.jsonl(spark, folder, "id long, t string", limit=3).select("id", "t")
-
-
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(F.col("event_id").alias("action_id"), F.col("event_type").alias("kind"), F.col("props").alias("arguments"))
     return state.ledger(rows, "completed", F.lit("2024-01-01")).select("action_id", "kind", "status", "recorded")
@@ -200,82 +183,6 @@ def hourly_activity(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.bround("value", 4).alias("value"))
 
 
-STREAM = r"""('data: {"choices": [{"delta": {"content": "a"}}]}'), ('data: [DONE]'), (': ping'), ('data: {"choices": [{"delta": {"reasoning_content": "r"}}]}')"""
-
-
-def stream_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return refresh.sse_columns(values(spark, STREAM, "value"))
-
-
-QUESTIONS = "('notes in a/b.org from 2024-05-01'), ('last three days'), ('latest [#A] TODO items :work:'), ('where is function parse'), ('hello'), ('todo items and things on hold'), ('headings tagged urgent, waiting or canceled'), ('entries with the tag home priority 2'), ('is anything scheduled'), ('the kitchen sink'), ('org-mode tasks of the week'), ('to-dos under tag #garden last 12 entries')"
-
-
-def query_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """What the planner makes of some questions."""
-    rows = [r["question"] for r in values(spark, QUESTIONS, "question").collect()]
-    plans = [planner.build_plan(q) for q in rows]
-    return spark.createDataFrame([(p.query, ",".join(p.paths), ",".join(p.dates), p.recent, ",".join(p.tags), ",".join(p.todo), ",".join(p.priorities), ",".join(k for k, v in p.flags.items() if v), ",".join(p.handlers)) for p in plans], "question string, paths string, dates string, recent int, tags string, todo string, priorities string, flags string, handlers string")
-
-
-SOURCE = '''"""Module doc."""
-import os
-from a import b
-
-LIMIT = 3
-
-
-def helper(x):
-    """Help."""
-    return os.path.join(x)
-
-
-class Box:
-    def open(self):
-        helper(1)
-        self.close()
-
-    def close(self):
-        eval("1")
-
-
-parser.add_parser("run")
-'''
-RISKY = """import socket, json
-from urllib import parse, request
-import shutil as s
-from .pty import spawn
-shutil.rmtree("/tmp/x"); os.system("ls")
-home = Path.home()
-subprocess.run(["curl", "x"])
-"""
-OTHER = "from m import helper\n\n\ndef main():\n    helper(2)\n    helper(3)\n"
-
-
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("m.py", SOURCE), ("n.py", OTHER), ("bad.py", "def (")], "path string, content string")
-
-
-def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return code.code_rows(_sources(spark)).select("path", "kind", "name", "qualname", F.col("line").cast("long").alias("line"))
-
-
-def code_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return code.call_edges(code.code_rows(_sources(spark))).withColumn("line", F.col("line").cast("long"))
-
-
-def code_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    return code.boundaries(code.code_rows(_sources(spark)))
-
-
-def code_hotspots(spark: SparkSession, sf: str) -> DataFrame:
-    return code.hotspots(code.code_rows(_sources(spark))).select("path", "qualname", F.col("lines").cast("long").alias("lines"), "calls")
-
-
-def code_findings(spark: SparkSession, sf: str) -> DataFrame:
-    risky = spark.createDataFrame([("r.py", RISKY)], "path string, content string")
-    return code.python_findings(_sources(spark).union(risky)).select("path", F.col("line").cast("long").alias("line"), "rule", "severity")
-
-
 def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Questions embedded by a stream that runs twice over the same files: the second run embeds nothing."""
     root = shared_folder(spark)
@@ -286,17 +193,13 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return stored.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.max(F.size("vector") > 0).alias("embedded"))
 
 
-_ALL = (storage_records, storage_totals, duplicate_targets, missing_targets, exact_duplicates, orphans, snapshot_diff, snapshot_coverage, status_paths, artifact_plans, policy_rollup, latest_per_family, superseded, file_states, staleness, lru_eviction, cache_usage, latest_records, upserts, context_plan, grounding, expansion, jsonl_tail, ledger, scrubbed, hourly_activity, stream_lines, query_plans, code_symbols, code_edges, code_boundaries, code_hotspots, code_findings, incremental_refresh)
+_ALL = (storage_records, storage_totals, duplicate_targets, missing_targets, exact_duplicates, orphans, snapshot_diff, snapshot_coverage, status_paths, artifact_plans, policy_rollup, latest_per_family, superseded, file_states, staleness, lru_eviction, cache_usage, latest_records, upserts, context_plan, grounding, ledger, scrubbed, hourly_activity, incremental_refresh)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: The text rules in SQL: severity, rule, pattern.
 _WORDS_SQL = r"('block', 'prompt_injection', 'ignore (all )?(previous|above) instructions|system prompt|developer message'), ('block', 'destructive_shell', '\brm\s+-rf\b|\bshutil\.rmtree\b|\.unlink\('), ('warn', 'network_reference', '\b(socket|urllib|httpx|requests|aiohttp|curl|wget)\b'), ('warn', 'subprocess_reference', '\b(subprocess|os\.system|Popen|pty\.spawn)\b'), ('warn', 'ambient_secret_reference', '\b(os\.environ|getenv|SSH_|TOKEN|API[_-]?KEY|PASSWORD|SECRET)\b'), ('warn', 'broad_path_reference', '(/home/|/etc/|/var/|~/|Path\.home\()'), ('info', 'shell_snippet', '```(?:bash|sh|shell)|\bpython\s+-c\b')"
 
 
-def _LIT(text: str) -> str:  # noqa: N802
-    return text.replace("'", "''")
-
-
 _C = "c AS (SELECT 'i' || doc_id % 4 AS index_id, CASE WHEN doc_id % 4 = 3 THEN 'partial' ELSE 'index' END AS kind, source AS path, doc_id AS chunk, sha256(text) AS digest, octet_length(encode(text)) AS bytes, doc_id % 10 = 7 AS dup, doc_id % 50 = 11 AS miss FROM documents)"
 _DIFF = "d AS (SELECT 'f' || doc_id AS path, doc_id % 9 = 4 AS gone, doc_id % 11 = 2 AS ign, doc_id % 7 = 1 AS chg FROM documents), s AS (SELECT path, CASE WHEN ign THEN 'ignored' WHEN gone THEN 'deleted' WHEN chg THEN 'changed' ELSE 'fresh' END AS status FROM d)"
 _PRINTS = "f AS (SELECT doc_id % 40 AS index_id, 'f' || doc_id AS path, CASE WHEN doc_id % 37 = 5 THEN 'unknown' WHEN doc_id % 31 = 7 THEN 'stale' WHEN doc_id % 13 <> 3 AND doc_id % 17 <> 2 THEN 'fresh' WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 13 = 3 THEN 'stale' ELSE 'metadata-changed' END WHEN doc_id % 13 = 3 THEN 'stale' ELSE 'mtime-only' END AS status FROM documents)"
@@ -323,17 +226,9 @@ ORACLE = {
     "upserts": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'renamed' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 6 = 0 THEN 99 ELSE s_nationkey END AS s_nationkey FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'renamed', CASE WHEN s_suppkey % 2 = 0 THEN 99 END FROM supplier WHERE s_suppkey % 3 = 0",
     "context_plan": "WITH l AS (SELECT role AS lane, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS items FROM conversations GROUP BY role) SELECT lane, chars, items, (SELECT CAST(sum(chars) AS BIGINT) FROM l) AS total_chars, CASE WHEN (SELECT sum(chars) FROM l) > 10000 THEN 'over-budget' ELSE 'within-budget' END AS status FROM l",
     "grounding": "WITH s AS (SELECT conv_id AS answer_id, CASE turn % 3 WHEN 0 THEN 'chunk' WHEN 1 THEN 'memory' ELSE 'file' END AS kind, conv_id % 2 = 0 OR conv_id % 5 > 0 AS strong_chunk, (conv_id + turn) % 7 = 0 AS stale, turn % 2 AS p FROM conversations), f AS (SELECT * FROM s WHERE answer_id % 6 <> 1 OR kind = 'memory'), n AS (SELECT answer_id, count(*) FILTER (WHERE kind = 'file' OR (kind = 'chunk' AND strong_chunk)) AS strong, count(*) FILTER (WHERE kind IN ('file', 'chunk')) AS nominal, count(*) FILTER (WHERE kind = 'memory') AS context, count(*) AS total, count(*) FILTER (WHERE stale) AS warnings, count(DISTINCT p) AS paths FROM f GROUP BY answer_id) SELECT *, greatest(0, nominal - strong) AS weak, CASE WHEN strong > 0 THEN CASE WHEN warnings > 0 THEN 'warn' ELSE 'pass' END WHEN context > 0 THEN 'partial' ELSE 'fail' END AS audit FROM n",
-    "expansion": f"WITH t(needed, path_warning, stale, strong, best) AS (VALUES {DECISIONS}) SELECT needed, path_warning, stale, strong, best::DOUBLE AS best, CASE WHEN NOT needed THEN 'not-needed' WHEN path_warning THEN 'path-warning' WHEN stale THEN 'stale-warning' WHEN strong > 0 THEN 'sufficient' WHEN best >= 4 THEN 'expand' ELSE 'no-candidate' END AS decision FROM t",
-    "jsonl_tail": "SELECT * FROM (VALUES (6, 'x6'), (5, 'x5'), (4, 'x4')) AS t(id, t)",
     "ledger": "SELECT event_id AS action_id, event_type AS kind, 'completed' AS status, '2024-01-01' AS recorded FROM events",
     "scrubbed": "SELECT conv_id, turn, role, CASE WHEN text IS NOT NULL THEN '[redacted]' END AS text FROM conversations",
     "hourly_activity": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS value FROM events GROUP BY 1, 2",
-    "stream_lines": "SELECT value, value = 'data: [DONE]' AS done, CASE WHEN starts_with(value, 'data: {') THEN coalesce(json_extract_string(substr(value, 7), '$.choices[0].delta.content'), '') ELSE '' END AS content, CASE WHEN starts_with(value, 'data: {') THEN coalesce(json_extract_string(substr(value, 7), '$.choices[0].delta.reasoning_content'), '') ELSE '' END AS reasoning FROM (VALUES " + STREAM + ") AS t(value)",
     # The rules of a question as SQL over the questions, one expression for each.
-    "query_plans": f"WITH q(question) AS (VALUES {QUESTIONS}), s(state) AS (VALUES ('CANCELED'), ('CANCELLED'), ('DONE'), ('HOLD'), ('NEXT'), ('TODO'), ('WAIT'), ('WAITING')), c AS (SELECT question, lower(question) AS low, list_filter(regexp_extract_all(lower(question), '[a-z0-9_./~+-]+\\.[a-z0-9][a-z0-9._+-]*'), lambda w: true) AS paths, regexp_extract_all(question, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) AS dates, CASE WHEN regexp_matches(lower(question), '\\blast\\s+(\\d+|one|two|three|four|five)\\s+(day|days|entry|entries|date|dates)\\b') THEN least(7, CASE regexp_extract(lower(question), '\\blast\\s+(\\d+|one|two|three|four|five)\\s', 1) WHEN 'one' THEN 1 WHEN 'two' THEN 2 WHEN 'three' THEN 3 WHEN 'four' THEN 4 WHEN 'five' THEN 5 ELSE try_cast(regexp_extract(lower(question), '\\blast\\s+(\\d+)\\s', 1) AS INT) END) WHEN regexp_matches(lower(question), '\\b(latest|recent|newest|today|yesterday)\\b') THEN 2 ELSE 0 END AS recent, list_distinct(list_filter([regexp_extract(question, ':([A-Za-z0-9_@#%+-]+):', 1), regexp_extract(question, '(?i)\\btag\\s*[:=]\\s*#?:?([A-Za-z0-9_@#%+-]+)', 1), lower(regexp_extract(question, '(?i)\\b(?:tagged|with\\s+(?:the\\s+)?tag|under\\s+(?:the\\s+)?tag)\\s+#?:?([A-Za-z0-9_@#%+-]+)', 1)), lower(regexp_extract(question, '(?i)\\b(?:elements?|headings?|tasks?|entries?)\\s+(?:with|tagged)\\s+#?:?([A-Za-z0-9_@#%+-]+)', 1))], lambda t: t NOT IN ('', 'the', 'tag', 'with'))) AS tags, (SELECT list(DISTINCT replace(state, 'CANCELED', 'CANCELLED') ORDER BY replace(state, 'CANCELED', 'CANCELLED')) FROM s WHERE regexp_matches(question, '(?i)\\b' || state || '\\b') OR (state = 'TODO' AND regexp_matches(question, '(?i)\\bto[- ]dos?\\b'))) AS todo, list_filter([coalesce(nullif(regexp_extract(question, '\\[#([A-Za-z0-9])\\]', 1), ''), regexp_extract(question, '(?i)\\bpriority\\s+([a-z0-9])\\b', 1))], lambda p: p <> '') AS priorities, list_filter([CASE WHEN regexp_matches(lower(question), '\\bdeadlines?\\b') THEN 'deadline' END, CASE WHEN regexp_matches(lower(question), '\\bscheduled?\\b') THEN 'scheduled' END, CASE WHEN regexp_matches(lower(question), '\\b(headings?|elements?|entries)\\b') THEN 'heading' END], lambda f: f IS NOT NULL) AS flags FROM q) SELECT question, array_to_string(paths, ',') AS paths, array_to_string(dates, ',') AS dates, recent, array_to_string(tags, ',') AS tags, coalesce(array_to_string(todo, ','), '') AS todo, upper(array_to_string(priorities, ',')) AS priorities, array_to_string(flags, ',') AS flags, 'lexical,vector' || CASE WHEN len(dates) > 0 OR recent > 0 THEN ',temporal' ELSE '' END || CASE WHEN len(tags) > 0 OR todo IS NOT NULL OR len(priorities) > 0 OR regexp_matches(low, '\\borg(-mode|mode)?\\b.*\\b(headings?|entries|tasks?|deadlines?|scheduled|tags?)\\b|\\b(deadlines?|scheduled)\\b') THEN ',structural' ELSE '' END || CASE WHEN regexp_matches(low, '\\b(function|class|method|command)\\b|where is|which file') THEN ',code' ELSE '' END AS handlers FROM c",
-    "code_edges": "SELECT * FROM (VALUES ('m.py', 'Box.open', 'm.py', 'helper', 15), ('m.py', 'Box.open', 'm.py', 'Box.open', 0), ('m.py', 'Box.open', 'm.py', 'Box.close', 16), ('n.py', 'main', 'm.py', 'helper', 5), ('n.py', 'main', 'm.py', 'helper', 6)) AS t(caller_path, caller, callee_path, callee, line) WHERE line > 0",
-    "code_findings": rf"WITH t(path, content) AS (VALUES ('m.py', '{_LIT(SOURCE)}'), ('n.py', '{_LIT(OTHER)}'), ('bad.py', 'def ('), ('r.py', '{_LIT(RISKY)}')), l AS (SELECT path, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM t), imports(root, rule) AS (VALUES ('subprocess', 'subprocess_import'), ('socket', 'network_import'), ('urllib', 'network_import'), ('http', 'network_import'), ('requests', 'network_import'), ('aiohttp', 'network_import'), ('shutil', 'filesystem_mutation_import'), ('pty', 'terminal_import')), calls(name, rule) AS (VALUES ('os.system', 'subprocess_call'), ('subprocess.Popen', 'subprocess_call'), ('subprocess.run', 'subprocess_call'), ('subprocess.call', 'subprocess_call'), ('shutil.rmtree', 'destructive_call'), ('Path.home', 'broad_path_call')), words(severity, rule, pattern) AS (VALUES {_WORDS_SQL}) SELECT path, line, rule, 'warn' AS severity FROM l, imports WHERE regexp_matches(x, '^\s*(import|from)\s.*\b' || root || '\b') AND NOT regexp_matches(x, ' import .*\b' || root || '\b') UNION ALL SELECT path, line, rule, CASE rule WHEN 'destructive_call' THEN 'block' ELSE 'warn' END FROM l, calls WHERE contains(x, name || '(') UNION ALL SELECT path, line, rule, severity FROM (SELECT path, line, rule, severity, unnest(regexp_extract_all(x, pattern, 0, 'i')) FROM l, words) UNION ALL SELECT 'bad.py', 1, 'python_syntax_error', 'block'",
-    "code_boundaries": "SELECT * FROM (VALUES ('m.py', 2, 2, 2), ('n.py', 1, 1, 0), ('bad.py', 0, 0, 0)) AS t(path, public_symbols, imports, incoming)",
-    "code_hotspots": "SELECT * FROM (VALUES ('m.py', 'helper', 3, 1), ('m.py', 'Box.open', 3, 2), ('m.py', 'Box.close', 2, 1), ('n.py', 'main', 3, 2)) AS t(path, qualname, lines, calls)",
     "incremental_refresh": "SELECT item_id::VARCHAR AS id, 1 AS times, true AS embedded FROM benchmark",
 }

@@ -1,12 +1,12 @@
-"""Queries of index building: chunks, outlines, evidence, gates, recall, commands."""
+"""Queries of index building: chunks, evidence, gates, recall, commands."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.operators import code, corpus
-from corvana.plans.tables import table, values
+from corvana.operators import corpus
+from corvana.plans.tables import table
 
 
 def chunked(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,36 +18,12 @@ def stored_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.stored_bodies(rows, "doc_id").groupBy("duplicate").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-ORG = r"""(1, '* TODO [#A] Prepare review :sample:urgent:\nDEADLINE: <2026-05-20 Wed>\n* TODO [#B] Later\nSCHEDULED: <2026-05-21 Thu>\n** DONE old :x:\n* plain'), (2, 'no outline'), (3, NULL)"""
-
-
-def outlines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.outline(values(spark, ORG, "id, content"), "id", F.col("content"))
-    return rows.select("id", F.col("place").cast("long").alias("place"), F.col("level").cast("long").alias("level"), "todo", "priority", "title", F.array_join("tags", ",").alias("tags"))
-
-
-def outline_signals(spark: SparkSession, sf: str) -> DataFrame:
-    found = corpus.signals(values(spark, ORG, "id, content"), "id", F.col("content"))
-    return corpus.task_boost("open tasks", found).withColumn("boost", F.col("boost").cast("long"))
-
-
-def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.profile(corpus.signals(values(spark, ORG, "id, content"), "id", F.col("content")))
-
-
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Number of evidence rows of each kind in each document."""
     rows = corpus.evidence(table(spark, sf, "documents"), "doc_id", F.col("text"), 1200)
     return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("end").cast("long").alias("last"))
 
 
-GATE = "('a', 's', 'b', '* x', 1), ('a', '', 'b', 'y', 0), ('b', 's', '', 'y', 0), ('c', 's', 'b', '* x', 0), ('d', 's', 'b', 'y', 0)"
-
-
-def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.quality_gate(values(spark, GATE, "index_id, summary, source_boundary, content, evidence_rows"))
-
-
 def fixture_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of each language as expected keys, labelled ones as found."""
     expected = table(spark, sf, "documents").select(F.col("lang").alias("fixture"), F.col("doc_id").alias("key"))
@@ -55,26 +31,12 @@ def fixture_recall(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.recall(expected, found).withColumn("recall", F.bround("recall", 6))
 
 
-CODE = "sub.add_parser('list-notes')\nsub.add_parser('quit')\ndef command_list_notes():\n    pass\n"
-TESTS = "def test_list_notes():\n    pass\ndef test_command_list_notes_empty():\n    pass\ndef test_other_notes():\n    pass\n"
-
-
-def command_traces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = code.code_rows(spark.createDataFrame([("m.py", CODE), ("t.py", TESTS)], "path string, content string"))
-    return corpus.command_traces(rows).select("command", "handler", F.array_join("tests", ",").alias("tests"))
-
-
-_ALL = (chunked, stored_bodies, outlines, outline_signals, corpus_profile, evidence_rows, quality_gate, fixture_recall, command_traces)
+_ALL = (chunked, stored_bodies, evidence_rows, fixture_recall)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CHUNKS = "c AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1000 THEN 1 ELSE (length(text) - 1000 + 899) // 900 + 1 END)) AS chunk FROM documents), k AS (SELECT doc_id, chunk, chunk * 900 AS start, substr(text, chunk * 900 + 1, 1000) AS content FROM c)"
 ORACLE = {
     "chunked": f"WITH {_CHUNKS} SELECT doc_id, chunk, start, sha256(content) AS digest FROM k",
     "stored_bodies": f"WITH {_CHUNKS} SELECT duplicate, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM (SELECT content, row_number() OVER (PARTITION BY content ORDER BY doc_id, chunk) > 1 AS duplicate FROM k) GROUP BY duplicate",
-    "outlines": "SELECT * FROM (VALUES (1, 0, 1, 'TODO', 'A', 'Prepare review', 'sample,urgent'), (1, 1, 1, 'TODO', 'B', 'Later', ''), (1, 2, 2, 'DONE', '', 'old', 'x'), (1, 3, 1, '', '', 'plain', '')) AS t(id, place, level, todo, priority, title, tags)",
-    "outline_signals": "SELECT * FROM (VALUES (1, 4, 2, 1, 1, '2026-05-20', 60), (2, 0, 0, 0, 0, NULL, 0), (3, 0, 0, 0, 0, NULL, 0)) AS t(id, headings, open_tasks, done_tasks, priority_a, first_deadline, boost)",
-    "corpus_profile": "SELECT 3 AS documents, 1 AS outlined, 2 AS open_tasks, 1 AS priority_a, '2026-05-20' AS first_deadline",
-    "quality_gate": "SELECT * FROM (VALUES ('a', 1, 0, 0, 'warn'), ('b', 0, 1, 0, 'fail'), ('c', 0, 0, 1, 'fail'), ('d', 0, 0, 0, 'pass')) AS t(index_id, empty_summaries, without_provenance, lost_outline, status)",
     "fixture_recall": "SELECT d.lang AS fixture, count(*) AS wanted, count(l.doc_id) AS hits, round_even(count(l.doc_id) / count(*), 6) AS recall FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY d.lang",
-    "command_traces": "SELECT * FROM (VALUES ('list-notes', 'command_list_notes', 'test_command_list_notes_empty,test_list_notes,test_other_notes'), ('quit', NULL, '')) AS t(command, handler, tests)",
 }

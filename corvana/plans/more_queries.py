@@ -8,20 +8,7 @@ from pyspark.sql import functions as F
 from corvana.functions import references as R
 from corvana.functions import text as T
 from corvana.operators import audit, dossiers, lexical, lifecycle, services
-from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table, values
-
-TREES = """('a', 'topic', '{"index_id": "i1", "files": ["/s/x.org"]}'), ('b', 'topic', '{"note": "see /s/y.org"}'), ('c', 'dossier', '{"source_index_ids": ["i2", "i1"]}'), ('d', 'eval', '{"conversation_id": "c1"}')"""
-
-
-def artifact_records(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lifecycle.artifact_records(values(spark, TREES, "file, kind, json"), "topic", "delete-derived", "i1", ["/s/x.org", "/s/y.org"])
-    return rows.select("artifact_id", "by_index", F.size("source_paths").cast("long").alias("n_paths"), "bytes_estimate")
-
-
-def ledger_record(spark: SparkSession, sf: str) -> DataFrame:
-    lines = values(spark, TREES, "file, kind, json").withColumn("file", F.lit("ledger"))
-    rows = lifecycle.ledger_record(lines, "ledger", "rewrite", "i1", ["/s/x.org", "/s/y.org"])
-    return rows.select("artifact_id", "by_index", F.array_join("source_paths", ",").alias("paths"), "row_count")
+from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table
 
 
 def dependency_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,11 +56,6 @@ def lifecycle_states(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", status.alias("status"), audit.lifecycle_action(status).alias("action"))
 
 
-def boundary_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, "('i1', 'r', 'b'), ('i1', '', 'b'), ('i2', 'r', 'b')", "index_id, source_root, source_boundary")
-    return lifecycle.boundary_reason(rows)
-
-
 def material_until_full(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of each conversation until what stands before them fills a budget."""
     m = table(spark, sf, "conversations")
@@ -126,75 +108,31 @@ def source_summary(spark: SparkSession, sf: str) -> DataFrame:
     return dossiers.summary(e, 15)
 
 
-PAYLOADS = """(1, '{"embedding": [3, 4]}'), (2, '{"data": [{"index": 1, "embedding": [0, 2]}, {"index": 0, "embedding": [5, 0]}]}'), (3, '{"data": []}'), (4, 'nonsense')"""
-
-
-def embedding_answers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, PAYLOADS, "id, payload")
-    n = F.when(F.col("id") == 1, services.embeddings(F.col("payload"), 1)).otherwise(services.embeddings(F.col("payload"), 2))
-    return rows.select("id", F.array_join(F.transform(F.flatten(n), lambda x: x.cast("string")), " ").alias("vectors"))
-
-
-RANKS = """(1, '{"scores": [0.5, 0.25]}'), (2, '{"results": [{"index": 1, "relevance_score": 0.75}]}'), (3, '{"data": [{"document_index": 0, "score": 2.0}, {"document_index": 1, "logit": 3.0}]}'), (4, '[{"index": 0, "rank_score": 0.5}]'), (5, '{}')"""
-
-
-def rerank_answers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, RANKS, "id, payload")
-    return rows.select("id", F.array_join(F.transform(services.rerank_scores(F.col("payload"), 2), lambda x: x.cast("string")), " ").alias("scores"))
-
-
 def embedding_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Lengths of headers and contents under a limit."""
     text = services.embedding_text(F.concat(F.lit("path: "), "source"), F.col("text"), 300)
     return table(spark, sf, "documents").select("doc_id", (F.length(text) <= 300).alias("fits"), F.startswith(text, F.concat(F.lit("path: "), "source", F.lit("\ncontent: "))).alias("headed"))
 
 
-ROUTES = "('r1', 'chat', 'summarize', 5, false), ('r2', 'embed', 'embed', 9, false), ('r3', 'chat', 'summarize', 7, false), ('r4', 'rerank', 'rerank', 1, true), ('r5', 'chat', 'summarize', 1, true)"
-
-
-def _routes(spark: SparkSession) -> DataFrame:
-    return values(spark, ROUTES, "route, kind, task, priority, is_default").withColumn("tasks", F.array("task")).withColumn("endpoints", F.array(F.concat(F.lit("/v1/"), "kind")))
-
-
-def task_routes(spark: SparkSession, sf: str) -> DataFrame:
-    return services.routes_for_tasks(_routes(spark), ["summarize", "rerank"]).select("route")
-
-
-def task_route(spark: SparkSession, sf: str) -> DataFrame:
-    return services.route_for_task(_routes(spark), "summarize").select("route")
-
-
-def capability_routes(spark: SparkSession, sf: str) -> DataFrame:
-    return services.routes_for_capability(_routes(spark), "embed", ["rerank"], "/v1/none").select("route")
-
-
-def source_signals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, "(1, '3.5', 2.0, NULL), (2, 'x', NULL, 1.0), (3, NULL, NULL, NULL)", "id, score, vector_score, rerank_score")
-    return rows.select("id", dossiers.signal(rows).alias("signal"))
-
-
 def conversation_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap coefficient of each document's words with the first question's."""
     asked = F.array(*map(F.lit, lexical.query_terms(first_question(spark, sf)))).cast("array<string>")
     return table(spark, sf, "documents").select("doc_id", F.bround(lexical.overlap(F.array_distinct(T.tokens(F.col("text"))), asked), 6).alias("overlap"))
 
 
-_ALL = (artifact_records, ledger_record, dependency_counts, rows_without, readiness, affected_paths, paths_by_status, lifecycle_states, boundary_reasons, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, distinct_excerpts, source_summary, embedding_answers, rerank_answers, embedding_texts, task_routes, task_route, capability_routes, source_signals, conversation_overlap)
+_ALL = (dependency_counts, rows_without, readiness, affected_paths, paths_by_status, lifecycle_states, material_until_full, dossier_excerpts, dossier_material, profile_material, profile_scope, best_per_date, distinct_excerpts, source_summary, embedding_texts, conversation_overlap)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LIFE = "l AS (SELECT CASE WHEN doc_id % 2 = 0 THEN './' ELSE '' END || 'f' || doc_id AS path, CASE WHEN doc_id % 11 = 2 THEN 'ignored' WHEN doc_id % 9 = 4 THEN 'deleted' WHEN doc_id % 7 = 1 THEN 'changed' ELSE 'fresh' END AS status FROM documents)"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _CUT = f"CASE WHEN length({_FLAT}) <= 60 THEN {_FLAT} ELSE rtrim(left({_FLAT}, 59)) || '…' END"
 ORACLE = {
-    "artifact_records": "SELECT * FROM (VALUES ('a', true, 1, 41), ('b', false, 1, 24), ('c', true, 0, 34)) AS t(artifact_id, by_index, n_paths, bytes_estimate)",
-    "ledger_record": "SELECT 'ledger' AS artifact_id, true AS by_index, '/s/x.org,/s/y.org' AS paths, 3 AS row_count",
     "dependency_counts": "SELECT kind, (SELECT count(*) FROM orders WHERE o_orderpriority = kind AND (o_custkey % 7 = 1 OR o_orderkey % 5 = 1)) AS n FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('no such kind')) AS t(kind)",
     "rows_without": "SELECT count(*) FILTER (WHERE conv_id <> 3) AS kept, count(*) FILTER (WHERE conv_id = 3) AS removed FROM conversations",
     "readiness": f"WITH {_LIFE} SELECT count(*) FILTER (WHERE status = 'x') = 0 AS ready, '' AS reason, 'good' AS \"case\" FROM l UNION ALL SELECT count(*) FILTER (WHERE status = 'changed') = 0, CASE WHEN count(*) FILTER (WHERE status = 'changed') > 0 THEN 'changed sources are missing' ELSE '' END, 'lost' FROM l UNION ALL SELECT count(*) FILTER (WHERE status IN ('deleted', 'ignored')) = 0, CASE WHEN count(*) FILTER (WHERE status IN ('deleted', 'ignored')) > 0 THEN 'detached sources remain' ELSE '' END, 'kept' FROM l",
     "affected_paths": f"WITH {_LIFE} SELECT path FROM l WHERE status <> 'fresh' UNION SELECT replace(path, './', '') FROM l WHERE status <> 'fresh'",
     "paths_by_status": f"WITH {_LIFE}, v AS (SELECT status, path FROM l WHERE status <> 'fresh' UNION SELECT status, replace(path, './', '') FROM l WHERE status <> 'fresh') SELECT status, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM v GROUP BY status",
     "lifecycle_states": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'ignored' WHEN doc_id % 9 = 4 THEN 'deleted' WHEN doc_id % 7 = 1 THEN 'changed' ELSE 'fresh' END AS status FROM documents) SELECT doc_id, status, CASE status WHEN 'ignored' THEN 'detach-derived-artifacts' WHEN 'deleted' THEN 'mark-stale-and-clean-derived-artifacts' WHEN 'changed' THEN 'reprocess-from-source' ELSE 'keep' END AS action FROM s",
-    "boundary_reasons": "SELECT * FROM (VALUES ('i1', '1 files without a source boundary'), ('i2', '')) AS t(index_id, reason)",
     "material_until_full": "SELECT conv_id, turn FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations) WHERE b < 600",
     "dossier_excerpts": f"WITH {TERMS_SQL}, c AS (SELECT conv_id * 10000 + turn AS key, * FROM conversations),\n{score_sql('c', 'key', 'text')}, r AS (SELECT conv_id, turn, score, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY score DESC, turn ROWS UNBOUNDED PRECEDING) - 2 AS e FROM c JOIN scored ON k = key) SELECT conv_id AS dossier_id, turn AS ord, score FROM r WHERE e <= 900",
     "dossier_material": f"WITH a AS (SELECT conv_id, 0 AS lane, -(turn % 5) AS o1, '' AS o2, 'memory' AS kind, format('m{{:04d}}', turn) AS id, {_CUT} AS t FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, 1, 0, format('{{:04d}}', turn), 'conversation', format('c{{:04d}}', turn), {_CUT} FROM conversations WHERE role = 'assistant'), s AS (SELECT *, CASE WHEN lane = 0 THEN o1::VARCHAR END AS k0 FROM a WHERE t <> ''), w AS (SELECT *, row_number() OVER x AS place, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY lane, k0 NULLS FIRST, o2 DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s WINDOW x AS (PARTITION BY conv_id ORDER BY lane, k0 NULLS FIRST, o2 DESC, id)) SELECT conv_id AS dossier_id, place, kind, id FROM w WHERE b < 200",
@@ -203,12 +141,6 @@ ORACLE = {
     "best_per_date": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, value, event_type FROM events) SELECT date, arg_max(event_id, (value, length(event_type), event_id)) AS id, arg_max(event_type, (value, length(event_type), event_id)) AS text FROM e WHERE date IS NOT NULL GROUP BY date",
     "distinct_excerpts": "WITH o AS (SELECT conv_id, role AS id, turn % 3 AS e, min(turn) AS ord, arg_min(text, turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY ALL), w AS (SELECT *, sum(length(text) + 2) OVER x - 2 AS run, count(*) OVER x AS n FROM o WINDOW x AS (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT conv_id, id, e AS \"end\", ord FROM w WHERE run <= 700 AND n <= 3",
     "source_summary": "WITH e AS (SELECT event_id AS ord, (['memory', 'chunk', 'other', 'dossier', 'file'])[event_id % 5 + 1] AS kind FROM events) SELECT ord, kind FROM e WHERE kind <> 'other' ORDER BY list_position(['chunk', 'file', 'dossier', 'memory'], kind), ord LIMIT 15",
-    "embedding_answers": "SELECT * FROM (VALUES (1, '0.6 0.8'), (2, '1.0 0.0 0.0 1.0'), (3, NULL), (4, NULL)) AS t(id, vectors)",
-    "rerank_answers": "SELECT * FROM (VALUES (1, '0.5 0.25'), (2, '0.0 0.75'), (3, '2.0 3.0'), (4, '0.5 0.0'), (5, NULL)) AS t(id, scores)",
     "embedding_texts": "SELECT doc_id, true AS fits, trim(text) <> '' AS headed FROM documents",
-    "task_routes": "SELECT * FROM (VALUES ('r1'), ('r3'), ('r4'), ('r5')) AS t(route)",
-    "task_route": "SELECT 'r5' AS route",
-    "capability_routes": "SELECT * FROM (VALUES ('r2'), ('r4')) AS t(route)",
-    "source_signals": "SELECT * FROM (VALUES (1, 3.5::DOUBLE), (2, 1.0), (3, 0.0)) AS t(id, signal)",
     "conversation_overlap": "WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_''-]{3,}')) AS q FROM benchmark ORDER BY item_id LIMIT 1), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_''-]{3,}')) AS w FROM documents) SELECT doc_id, CASE WHEN least(len(w), len(q)) > 0 THEN round_even(len(list_intersect(w, q)) / least(len(w), len(q)), 6) ELSE 0 END AS overlap FROM d, q",
 }

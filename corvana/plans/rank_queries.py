@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
 from corvana.operators import fusion, lexical, memory, skills, spans, vectors
 from corvana.plans import retrieval
 from corvana.plans.audit_queries import _WORDS_SQL
-from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table, values
+from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table
 
 
 def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,16 +81,6 @@ def pending_batches(spark: SparkSession, sf: str) -> DataFrame:
     return batches.select(F.col("offset").cast("long").alias("offset"), F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"))
 
 
-MODES = "(1, 2, 3, 4, ''), (0, 2, 3, 0, ''), (0, 2, 3, 4, ''), (0, 0, 3, 4, ''), (0, 0, 0, 4, 'schema'), (0, 0, 0, 4, 'missing')"
-
-
-def refresh_modes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, MODES, "resumed, reused, stored, pending, cause")
-    mode = vectors.refresh_mode(*(F.col(c) for c in ("resumed", "reused", "stored", "pending", "cause")))
-    shown = vectors.shown_mode(mode, F.col("cause"))
-    return rows.select("resumed", "reused", "stored", "pending", "cause", mode.alias("mode"), shown["mode"].alias("shown"), vectors.eta_seconds(F.lit(100), F.col("stored") * 10, F.col("resumed"), F.lit(30.0)).alias("eta"), vectors.planned_bytes(F.col("pending"), F.lit(1024)).cast("long").alias("bytes"))
-
-
 def _lanes(spark: SparkSession, sf: str) -> list[DataFrame]:
     d = table(spark, sf, "documents").select(F.lit("doc").alias("path"), F.col("doc_id").cast("string").alias("chunk"), "text")
     lex = lexical.with_score(d, first_question(spark, sf), F.col("text")).filter("score > 0").orderBy(F.desc("score"), F.col("chunk").cast("long")).limit(40)
@@ -194,21 +184,6 @@ def feedback_status(spark: SparkSession, sf: str) -> DataFrame:
     return _feedback(spark, sf).select("doc_id", memory.quality_status(F.col("rating")).alias("status"))
 
 
-WORKERS = r"""(1, '{"summary": "Deadline on May 20", "tasks": []}'), (2, 'Sure! {"summary": "no date"}'), (3, '<think>x</think> deadline May 20'), (4, '{"summary": "SECRET deadline May 20", "tasks": 1}')"""
-
-
-def worker_scores(spark: SparkSession, sf: str) -> DataFrame:
-    fact = lambda name, *options: F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, options)).alias("any"))
-    rows = values(spark, WORKERS, "id, output").withColumns({
-        "required_keys": F.array(F.lit("summary"), F.lit("tasks")),
-        "required_facts": F.array(fact("deadline", "deadline"), fact("date", "may 20", "20 may")),
-        "forbidden_facts": F.array(fact("secret", "secret")),
-        "max_output_chars": F.lit(400),
-        "min_fact_ratio": F.lit(0.8),
-    })
-    return memory.worker_score(rows).select("id", "score", "status")
-
-
 def _skill_rows(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
     return b.select(F.format_string("skill-%d", "item_id").alias("slug"), F.col("item_id").alias("ord"), F.lit("").alias("description"), F.col("text").alias("body"), (F.col("item_id") % 10 == 0).alias("archived"), F.format_string("2024-01-%02d", (F.col("item_id") % 28 + 1).cast("int")).alias("updated_at"))
@@ -251,7 +226,7 @@ def recency_rows(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.last_per_id(e, "user_id", "event_id")
 
 
-_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, reuse_report, pending_batches, refresh_modes, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, worker_scores, skill_rank, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
+_ALL = (hash_vectors, sparse_similarity, dense_unit, dense_scores, best_per_label, content_parts, byte_parts, reuse_report, pending_batches, hybrid_fusion, hybrid_rerank, retrieve, newest_dates, packed_turns, normal_memories, memory_relevance, memory_rank, similar_memory, nearest_previous_user, last_assistant, recall_texts, transcripts, conversation_recall, feedback_counts, feedback_status, skill_rank, skill_groups, skill_matches, stale_skills, rule_findings, rule_verdicts, recency_rows)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TOK = "regexp_extract_all(lower({x}), '[A-Za-z0-9_''-]{{3,}}')"
@@ -275,7 +250,6 @@ ORACLE = {
     "content_parts": r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), n AS (SELECT doc_id, t, length(t) AS n, CASE WHEN length(t) <= 400 THEN 1 ELSE (length(t) - 400 + 339) // 340 + 1 END AS need FROM f), p AS (SELECT doc_id, t, n, need, unnest(range(1, least(need, 6) + 1)) AS part FROM n WHERE n > 0) SELECT doc_id, part, sha256(trim(CASE WHEN need > 6 AND part = 6 THEN right(t, 400) ELSE substr(t, (part - 1) * 340 + 1, 400) END)) AS sha FROM p",
     "reuse_report": "WITH d AS (SELECT doc_id % 5 = 0 AS c, doc_id % 3 = 0 AS p, doc_id % 2 = 0 AS old FROM documents), n AS (SELECT count(*) FILTER (WHERE c) AS from_checkpoint, count(*) FILTER (WHERE NOT c AND p AND NOT old) AS from_previous, count(*) FILTER (WHERE NOT c AND (NOT p OR old)) AS pending, count(*) FILTER (WHERE p) AS stored FROM d) SELECT *, greatest(0, stored - from_previous) AS superseded, 'resumed' AS mode FROM n",
     "pending_batches": "SELECT doc_id // 64 * 64 AS \"offset\", count(*) AS n, 'd' || min(doc_id) AS first_id FROM documents WHERE NOT (doc_id % 5 = 0 OR (doc_id % 3 = 0 AND doc_id % 2 <> 0)) GROUP BY 1",
-    "refresh_modes": "SELECT * FROM (VALUES (1, 2, 3, 4, '', 'resumed', 'resumed', 72, 19456), (0, 2, 3, 0, '', 'reuse-only', 'reuse-only', 70, 0), (0, 2, 3, 4, '', 'incremental', 'incremental', 70, 19456), (0, 0, 3, 4, '', 'rebuild', 'rebuild', 70, 19456), (0, 0, 0, 4, 'schema', 'rebuild', 'rebuild', NULL, 19456), (0, 0, 0, 4, 'missing', 'full', 'initial', NULL, 19456)) AS t(resumed, reused, stored, pending, cause, mode, shown, eta, bytes)",
     "hybrid_fusion": f"{_FUSED} SELECT 'doc' AS path, chunk, methods, ls AS lexical_score, vs AS vector_rank_score, greatest(ls, vs) AS base, guard FROM fused",
     "hybrid_rerank": f"{_FUSED}, o AS (SELECT chunk, greatest(ls, vs) AS base, guard, row_number() OVER (ORDER BY greatest(ls, vs) DESC, guard DESC, chunk) AS r FROM fused) SELECT chunk, CASE WHEN r <= 12 THEN 0 ELSE 1 END AS phase, CASE WHEN r <= 12 THEN round_even(base * 0.2 + (chunk::BIGINT % 10) / 10 * 1000 + guard, 6) ELSE base END AS hybrid_score FROM o",
     "newest_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE strftime(ts, '%Y-%m-%d') IN (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS d FROM events ORDER BY d DESC LIMIT 3)",
@@ -291,7 +265,6 @@ ORACLE = {
     "conversation_recall": f"WITH {TERMS_SQL}, rec AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 AND role IN ('user', 'assistant') AND text <> '' GROUP BY conv_id),\n{score_sql('rec', 'conv_id', 'text')}, s AS (SELECT k AS conv_id, (SELECT max(conv_id) FROM rec) - k AS ord, score AS matched, score * 8 + greatest(1, 10 - ((SELECT max(conv_id) FROM rec) - k)) AS recall FROM scored), rel AS (SELECT conv_id FROM s WHERE matched > 0 ORDER BY matched DESC, recall DESC, conv_id::VARCHAR DESC, ord LIMIT 8) SELECT conv_id, matched, recall, CASE WHEN ord < 5 AND conv_id IN (SELECT conv_id FROM rel) THEN 'recent,relevant' WHEN ord < 5 THEN 'recent' ELSE 'relevant' END AS reasons FROM s WHERE ord < 5 OR conv_id IN (SELECT conv_id FROM rel)",
     "feedback_counts": "WITH " + _FEED + ", x AS (SELECT lower(rating || ' ' || note || ' a question') AS t FROM f), l AS (SELECT list_filter([CASE WHEN t LIKE '%missing%' OR t LIKE '%didn''t find%' OR t LIKE '%did not find%' OR t LIKE '%not found%' OR t LIKE '%absent%' OR t LIKE '%sources%' THEN 'recall' END, CASE WHEN t LIKE '%wrong source%' OR t LIKE '%wrong file%' OR t LIKE '%irrelevant%' OR t LIKE '%ranking%' OR t LIKE '%top result%' THEN 'ranking' END, CASE WHEN t LIKE '%citation%' OR t LIKE '%source%' OR t LIKE '%excerpt%' OR t LIKE '%ground%' OR t LIKE '%quote%' THEN 'evidence' END, CASE WHEN t LIKE '%ignored%' OR t LIKE '%didn''t use%' OR t LIKE '%did not use%' OR t LIKE '%answer%' THEN 'prompt_use' END, CASE WHEN t LIKE '%stale%' OR t LIKE '%old%' OR t LIKE '%outdated%' OR t LIKE '%changed%' THEN 'staleness' END, CASE WHEN t LIKE '%summary%' OR t LIKE '%prioritize%' OR t LIKE '%todo%' OR t LIKE '%plan%' THEN 'synthesis' END], lambda v: v IS NOT NULL) AS l FROM x) SELECT 'rating' AS facet, rating AS value, count(*) AS n FROM f GROUP BY rating UNION ALL SELECT 'focus', v, count(*) FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['answer_quality'] ELSE l END) AS v FROM l) GROUP BY v",
     "feedback_status": f"WITH {_FEED} SELECT doc_id, CASE rating WHEN 'up' THEN 'accepted-good' WHEN 'ok' THEN 'accepted-mixed' ELSE 'needs-review' END AS status FROM f",
-    "worker_scores": "SELECT * FROM (VALUES (1, 100.0::DOUBLE, 'pass'), (2, 40.0, 'fail'), (3, 70.0, 'fail'), (4, 90.0, 'fail')) AS t(id, score, status)",
     "skill_rank": f"WITH q AS (SELECT 'use skill-7 and ' || text AS q FROM benchmark ORDER BY item_id LIMIT 1), s AS (SELECT 'skill-' || item_id AS slug, text AS t, format('2024-01-{{:02d}}', item_id % 28 + 1) AS u FROM benchmark WHERE item_id % 10 <> 0), r AS (SELECT slug, u, len(list_intersect({_NAME.format(x='q')}, {_NAME.format(x='slug || chr(32) || t')})) * 10 + CASE WHEN contains(lower(q), slug) THEN 20 ELSE 0 END AS score FROM s, q) SELECT slug, score FROM r WHERE score > 0 ORDER BY score DESC, u DESC, slug LIMIT 12",
     "skill_groups": f"WITH t AS (SELECT item_id AS i, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark) SELECT a.i AS a, b.i AS b, count(*) AS shared FROM t a JOIN t b ON a.term = b.term AND a.i < b.i GROUP BY 1, 2 HAVING shared >= 4",
     "skill_matches": f"WITH a AS (SELECT DISTINCT conv_id || '-' || turn AS text_id, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM conversations WHERE role = 'user'), b AS (SELECT item_id AS ord, unnest(list_filter({_NAME.format(x='text')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark), p AS (SELECT text_id, ord, string_agg(DISTINCT term, ' ' ORDER BY term) AS shared FROM a JOIN b USING (term) GROUP BY text_id, ord) SELECT text_id, 'skill-' || ord AS slug, shared FROM p QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY ord) <= 3",

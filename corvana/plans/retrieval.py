@@ -139,7 +139,7 @@ def candidates(chunks: DataFrame, plan: Plan, env: Environment) -> DataFrame:
     if plan.has("code"):
         rows = lexical.code_rows(chunks, plan.query)
         lanes.append(fusion.lane(rows, "code", score=F.col("total"), path_boost=F.col("path_boost"), total=F.col("total")))
-    if plan.has("temporal"):
+    if plan.dated:
         lanes.append(temporal_lane(chunks, plan))
     if env.evidence is not None:
         lanes += [structural_lane(env.evidence, plan)] * plan.has("structural") + [evidence_lane(env.evidence, plan)]

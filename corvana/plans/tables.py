@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,18 @@ def values(spark: SparkSession, sql_values: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {sql_values} AS t({columns})")
 
 
+def spread(number: Column, templates: list[str | None]) -> Column:
+    """One of some strings by a row's number, with the number for {n} in it: grammars over rows of a table."""
+    one = F.element_at(F.array(*(F.lit(t).cast("string") for t in templates)), (F.pmod(number, F.lit(len(templates))) + 1).cast("int"))
+    return F.replace(one, F.lit("{n}"), number.cast("string"))
+
+
+def spread_sql(number: str, templates: list[str | None]) -> str:
+    """The same in DuckDB."""
+    listed = ", ".join("NULL" if t is None else "'" + t.replace("'", "''") + "'" for t in templates)
+    return f"replace(([{listed}])[({number}) % {len(templates)} + 1], '{{n}}', ({number})::VARCHAR)"
+
+
 def first_question(spark: SparkSession, sf_dir: str) -> str:
     """The text of the benchmark item with the smallest id: queries are scalars of a plan."""
     rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select("text").collect()

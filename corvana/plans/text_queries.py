@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.functions import references as R
 from corvana.functions import text as T
 from corvana.operators import lexical, memory, spans
-from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table, values
+from corvana.plans.tables import TERMS_SQL, first_question, score_sql, table
 
 WORDS = "'[A-Za-z0-9_''-]{3,}'"
 
@@ -54,47 +53,11 @@ def human_units(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", T.human_bytes(size).alias("bytes"), T.duration(F.col("n_chars")).alias("short"), T.duration(F.col("n_chars"), " ").alias("words"))
 
 
-SIZES = "('12GiB'), ('8m'), ('1_000'), (' 3 kb'), ('5kib'), ('7'), ('2tb'), ('9b'), ('x'), ('4ib'), ('')"
-
-
-def parse_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, SIZES, "size").select("size", T.parse_bytes(F.col("size")).alias("bytes"))
-
-
-PHASES = "('embedding full reuse 3 new 4 batch 2/9 eta 3m'), ('summaries retry'), ('index file 3/8 x'), ('chunk chunk 4/5'), ('plain'), ('call abc def'), (' rebuild route rows 1/2')"
-
-
-def phase_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, PHASES, "phase").select("phase", T.phase_key(F.col("phase")).alias("key"))
-
-
-TIMES = "('2024-05-01T10:00:00'), ('2024-05-01T11:59:57+00:00'), ('2024-05-01T12:30:00+02:00'), ('2023-01-01'), ('2024-04-20T00:00:00'), ('2024-02-01T00:00:00'), ('nonsense'), ('')"
-
-
-def relative_times(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, TIMES, "moment").select("moment", T.relative(F.col("moment"), F.lit("2024-05-01T12:00:00Z").cast("timestamp")).alias("ago"))
-
-
-RATINGS = "('+'), (' Good '), ('thumbs-down'), ('neutral'), ('maybe'), ('NO'), ('')"
-
-
-def ratings(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, RATINGS, "given").select("given", T.rating(F.col("given")).alias("rating"))
-
-
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("url")
     return table(spark, sf, "pages").select("page_id", T.name_slug(u).alias("name_slug"), T.safe_slug(u, 40).alias("safe_slug"), T.short_ref(u, "page").alias("ref"), T.file_component(u, "x").alias("component"))
 
 
-REPLIES = r"""('{"a": 1}'), ('text {"b": [1, 2]} more'), ('```json\n{"c": {"d": 2}}\n```'), ('no json'), ('[1, 2]'), ('{"broken": ')"""
-
-
-def json_objects(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, REPLIES, "reply")
-    return rows.select("reply", T.json_object(F.col("reply")).isNotNull().alias("found"))
-
-
 def path_boost(spark: SparkSession, sf: str) -> DataFrame:
     path = F.regexp_replace("url", r"^[a-z]+://", "")
     query = "see ththth.example.net/en/25#top. and therha.example.com or example.org (a.b)"
@@ -112,44 +75,6 @@ def code_locator(spark: SparkSession, sf: str) -> DataFrame:
     return scored.filter("score > 0")
 
 
-IGNORE = "*.log\nbuild/\n/docs/private\ncache"
-PATHS = "('a.log'), ('x/b.log'), ('build/y.txt'), ('src/build/z.c'), ('docs/private/k'), ('x/docs/private'), ('cache'), ('a/cache/b'), ('keep.txt'), ('building')"
-
-
-def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, PATHS, "path").select("path", R.ignored_by(F.col("path"), R.parse_ignore(IGNORE)).alias("line"))
-
-
-TREES = """(1, '{"a": {"conversation_id": "c1"}}'), (2, '{"x": [{"source_conversations": [{"id": "c2"}, {"id": "c1"}]}]}'), (3, '{"conversation": "c1"}'), (4, '{"note": "c1"}'), (5, '{"index_ids": ["i1", {"id": "i2"}]}'), (6, '{"owner_conversation_id": "c1", "index": {"id": "i1"}}'), (7, '{"conversation_ids": ["c1", 5], "dossier_id": "d1"}'), (8, '{"kind": "topic", "id": "t1", "topics": ["t2", {"id": "t3"}]}'), (9, '{"context_items": [{"kind": "index", "id": "i1"}, {"kind": "file", "id": "i9"}]}'), (10, '{"source_conversations": ["c1"]}'), (11, '{"source_index": 7, "created_by_conversation_id": 12}'), (12, 'no json'), (13, NULL)"""
-
-
-def tree_references(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, TREES, "id, tree").filter(R.references(F.col("tree"), R.CONVERSATION, "c1")).select("id")
-
-
-def tree_index_references(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, TREES, "id, tree").filter(R.references(F.col("tree"), R.INDEX, "i1")).select("id")
-
-
-def tree_links(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, TREES, "id, tree").select("id", F.explode(R.artifact_links(F.col("tree"))).alias("l")).select("id", "l.kind", F.col("l.id").alias("ref")).distinct()
-
-
-ORG = r"""(1, '* [2024-05-01 Wed] one\ntext\n** sub [2024-05-01 Wed]\nmore\n* plain\n* <2024-05-03> two\nend'), (2, '# md\nx\n## deep\ny'), (3, '')"""
-
-
-def dated_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, ORG, "id, content")
-    out = rows.select("id", F.explode(spans.prune_nested(spans.dated(F.col("content")))).alias("s"))
-    return out.select("id", F.col("s.label").alias("date"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
-
-
-def headings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = values(spark, ORG, "id, content")
-    both = F.concat(spans.headed(F.col("content"), "org"), spans.headed(F.col("content"), "markdown"))
-    return rows.select("id", F.explode(both).alias("s")).select("id", "s.kind", "s.label", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.base_score")
-
-
 def evidence_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of every document, scored against the first question, chosen without overlap: all within the row."""
     d = table(spark, sf, "documents").select("doc_id", spans.windowed(F.col("text"), 600).alias("w"))
@@ -162,14 +87,9 @@ def term_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", spans.term_window(F.col("text"), first_question(spark, sf), 200).alias("excerpt"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, first_words, lexical_scores, lexical_topk, matched_terms, compact_texts, titles, human_units, parse_sizes, phase_keys, relative_times, ratings, slugs, json_objects, path_boost, memory_tags, code_locator, ignored_paths, tree_references, tree_index_references, tree_links, dated_sections, headings, evidence_windows, term_windows)}
-
-
-def _q(s: str) -> str:
-    return s.replace("\\n", "' || chr(10) || '")
+QUERIES = {f.__name__: f for f in (tokenize_counts, first_words, lexical_scores, lexical_topk, matched_terms, compact_texts, titles, human_units, slugs, path_boost, memory_tags, code_locator, evidence_windows, term_windows)}
 
 
-_NODES = f"t(id, tree) AS (VALUES {TREES}), n AS (SELECT t.id, j.id AS node, j.parent, j.key, j.type, j.value FROM t, json_tree(CASE WHEN json_valid(t.tree) THEN t.tree END) j)"
 _LEX = f"WITH {TERMS_SQL},\n{score_sql('documents', 'doc_id', 'text')}\nSELECT k AS doc_id, score FROM scored WHERE score > 0"
 _STRIP = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
 _FLAT = rf"regexp_replace({_STRIP.format(x='text')}, '\s+', ' ', 'g')"
@@ -182,20 +102,9 @@ ORACLE = {
     "compact_texts": rf"WITH f AS (SELECT doc_id, text, {_FLAT} AS flat, {_STRIP.format(x='text')} AS s FROM documents) SELECT doc_id, CASE WHEN length(flat) <= 60 THEN flat ELSE rtrim(left(flat, 59)) || '…' END AS compact, CASE WHEN length(flat) <= 60 THEN flat ELSE left(rtrim(left(flat, 27)) || ' ... ' || ltrim(right(flat, 28)), 60) END AS middle, CASE WHEN length(s) <= 60 THEN s ELSE left(regexp_replace(left(s, 27), '\s+$', '') || chr(10) || '...' || chr(10) || regexp_replace(right(s, 28), '^\s+', ''), 60) END AS source_middle, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 80) || chr(10) || '[truncated]' END AS preview FROM f",
     "titles": r"SELECT item_id, left(array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}_''-]+'), 1, 8), ' '), 80) AS title FROM benchmark",
     "human_units": "WITH d AS (SELECT doc_id, n_chars AS s, n_chars * n_chars * 16 AS v FROM documents) SELECT doc_id, CASE WHEN v < 1024 THEN v::VARCHAR || ' B' WHEN v < 1048576 THEN format('{:.1f} KiB', v / 1024.0::DOUBLE) WHEN v < 1073741824 THEN format('{:.1f} MiB', v / 1048576.0::DOUBLE) WHEN v < 1099511627776 THEN format('{:.1f} GiB', v / 1073741824.0::DOUBLE) ELSE format('{:.1f} TiB', v / 1099511627776.0::DOUBLE) END AS bytes, CASE WHEN s >= 3600 THEN format('{}h{:02d}m', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN format('{}m{:02d}s', s // 60, s % 60) ELSE format('{}s', s) END AS short, CASE WHEN s >= 3600 THEN format('{}h {:02d}m', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN format('{}m {:02d}s', s // 60, s % 60) ELSE format('{}s', s) END AS words FROM d",
-    "parse_sizes": f"WITH t(size) AS (VALUES {SIZES}), n AS (SELECT size, replace(lower(trim(size)), '_', '') AS x FROM t) SELECT size, CASE WHEN regexp_full_match(x, '\\d+([kmgt]i?b?|b|)') THEN regexp_extract(x, '^\\d+')::BIGINT * (CASE regexp_extract(x, '^\\d+([kmgt])', 1) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 ELSE 1 END) END AS bytes FROM n",
-    "phase_keys": "SELECT * FROM (VALUES ('embedding full reuse 3 new 4 batch 2/9 eta 3m', 'embedding'), ('summaries retry', 'summaries'), ('index file 3/8 x', 'index'), ('chunk chunk 4/5', 'chunk'), ('plain', 'plain'), ('call abc def', 'call abc def'), (' rebuild route rows 1/2', '')) AS t(phase, key)",
-    "relative_times": "SELECT * FROM (VALUES ('2024-05-01T10:00:00', '2h ago'), ('2024-05-01T11:59:57+00:00', 'now'), ('2024-05-01T12:30:00+02:00', '1h ago'), ('2023-01-01', '1y ago'), ('2024-04-20T00:00:00', '11d ago'), ('2024-02-01T00:00:00', '3mo ago'), ('nonsense', '-'), ('', '-')) AS t(moment, ago)",
-    "ratings": f"WITH t(given) AS (VALUES {RATINGS}) SELECT given, CASE WHEN lower(trim(given)) IN ('+', 'good', 'yes', 'thumbsup', 'thumbs-up', 'up') THEN 'up' WHEN lower(trim(given)) IN ('-', 'bad', 'no', 'thumbsdown', 'thumbs-down', 'down') THEN 'down' WHEN lower(trim(given)) IN ('ok', 'neutral') THEN 'ok' END AS rating FROM t",
     "slugs": r"WITH p AS (SELECT page_id, url, regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g') AS s FROM pages) SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[_\s]+', '-', 'g'), '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 64) AS name_slug, left(regexp_replace(s, '^[-.]+|[-.]+$', '', 'g'), 40) AS safe_slug, 'page:' || left(sha256(url), 12) AS ref, coalesce(nullif(regexp_replace(s, '^[-.]+|[-.]+$', '', 'g'), ''), 'x') AS component FROM p",
-    "json_objects": "SELECT reply, json_valid(regexp_extract(reply, '(?s)(\\{.*\\})', 1)) AND regexp_extract(reply, '(?s)(\\{.*\\})', 1) <> '' AS found FROM (VALUES " + _q(REPLIES) + ") AS t(reply)",
     "path_boost": r"WITH p AS (SELECT page_id, lower(regexp_replace(url, '^[a-z]+://', '')) AS l FROM pages), m(m, own) AS (VALUES ('ththth.example.net', 'ththth.example.net'), ('therha.example.com', 'therha.example.com'), ('example.org', 'example.org'), ('a.b', 'a.b')), n AS (SELECT page_id, l, list_last(string_split(l, '/')) AS name FROM p) SELECT page_id, CAST(sum(CASE WHEN l = m OR ends_with(l, '/' || m) THEN 2500 WHEN name = own THEN 2000 WHEN contains(l, m) THEN 1200 WHEN contains(name, own) THEN 800 ELSE 0 END) AS BIGINT) AS boost FROM n, m GROUP BY page_id",
     "memory_tags": f"WITH w AS (SELECT doc_id, t AS tag, count(*) AS n, min(p) AS first_pos FROM (SELECT doc_id, unnest(k) AS t, generate_subscripts(k, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORDS}) AS k FROM documents)) GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS r FROM w), s AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS place FROM r WHERE r <= 20 AND tag NOT IN ({', '.join(repr(x) for x in memory.TAG_STOP)})) SELECT doc_id, tag, place FROM s WHERE place <= 8",
     "code_locator": "WITH c AS (SELECT page_id, html, lower(html) AS l, lower(url) AS u FROM pages), t(term) AS (VALUES ('track'), ('script'), ('charset')), x AS (SELECT page_id, term, (length(l) - length(replace(l, term, ''))) // length(term) AS n, contains(u, term) AS inu, strpos(l, term) AS hit, regexp_matches(html, '(?m)^\\s*' || term || '\\s*=') AS eq, regexp_matches(html, '(?m)^\\s*(def|class)\\s+' || term || '\\b') AS de FROM c, t) SELECT page_id, CAST(sum(least(n, 8) * 90 + CASE WHEN inu THEN 250 ELSE 0 END + CASE WHEN eq THEN 350 ELSE 0 END + CASE WHEN de THEN 1200 ELSE 0 END) AS BIGINT) AS score, min(nullif(hit, 0)) - 1 AS first_hit FROM x GROUP BY page_id HAVING score > 0",
     "term_windows": rf"WITH {TERMS_SQL}, w AS (SELECT list(term) AS ts FROM numbered WHERE length(term) >= 4), h AS (SELECT doc_id, text, length(text) AS n, list_min(list_filter(list_transform(ts, lambda t: strpos(lower(text), t)), lambda p: p > 0)) - 1 AS a FROM documents, w), s AS (SELECT *, greatest(0, a - 66) AS s0, least(n, greatest(0, a - 66) + 200) AS e FROM h), f AS (SELECT doc_id, CASE WHEN n <= 200 THEN text WHEN a IS NULL THEN left(text, 200) ELSE substr(text, CASE WHEN e - s0 < 200 THEN greatest(0, e - 200) ELSE s0 END + 1, e - CASE WHEN e - s0 < 200 THEN greatest(0, e - 200) ELSE s0 END) END AS x FROM s) SELECT doc_id, {_STRIP.format(x='x')} AS excerpt FROM f",
-    "ignored_paths": "SELECT * FROM (VALUES ('a.log', 1), ('x/b.log', 1), ('build/y.txt', 2), ('src/build/z.c', 2), ('docs/private/k', 3), ('x/docs/private', NULL), ('cache', 4), ('a/cache/b', 4), ('keep.txt', NULL), ('building', NULL)) AS t(path, line)",
-    "tree_references": f"WITH {_NODES} SELECT DISTINCT n.id FROM n LEFT JOIN n p ON p.id = n.id AND p.node = n.parent WHERE (n.key IN ('conversation_id', 'owner_conversation_id', 'created_by_conversation_id') AND n.value->>'$' = 'c1') OR (p.type = 'ARRAY' AND p.key IN ('conversation_ids', 'source_conversation_ids') AND n.value->>'$' = 'c1') OR (p.type = 'ARRAY' AND p.key = 'source_conversations' AND n.value->>'id' = 'c1')",
-    "tree_index_references": f"WITH {_NODES} SELECT DISTINCT n.id FROM n LEFT JOIN n p ON p.id = n.id AND p.node = n.parent WHERE (n.key IN ('index', 'index_id', 'source_index', 'source_index_id', 'created_by_index_id', 'source_fingerprint_index') AND (n.value->>'$' = 'i1' OR n.value->>'id' = 'i1')) OR (p.type = 'ARRAY' AND p.key IN ('indexes', 'index_ids', 'source_indexes', 'source_index_ids') AND (n.value->>'$' = 'i1' OR n.value->>'id' = 'i1')) OR (p.type = 'ARRAY' AND p.key = 'context_items' AND n.value->>'kind' = 'index' AND n.value->>'id' = 'i1')",
-    "tree_links": f"WITH {_NODES}, one(key, kind) AS (VALUES ('index', 'index'), ('index_id', 'index'), ('source_index', 'index'), ('source_index_id', 'index'), ('created_by_index_id', 'index'), ('topic', 'topic'), ('topic_id', 'topic'), ('source_topic', 'topic'), ('dossier', 'dossier'), ('dossier_id', 'dossier'), ('source_dossier', 'dossier')), many(key, kind) AS (VALUES ('indexes', 'index'), ('index_ids', 'index'), ('source_indexes', 'index'), ('source_index_ids', 'index'), ('topics', 'topic'), ('topic_ids', 'topic'), ('dossiers', 'dossier'), ('dossier_ids', 'dossier')), c AS (SELECT id, kind, value FROM n JOIN one USING (key) UNION ALL SELECT n.id, kind, n.value FROM n JOIN n p ON p.id = n.id AND p.node = n.parent AND p.type = 'ARRAY' JOIN many ON many.key = p.key UNION ALL SELECT id, value->>'kind', value FROM n WHERE type = 'OBJECT' AND value->>'kind' IN ('index', 'topic', 'dossier')), r AS (SELECT id, kind, CASE json_type(value) WHEN 'VARCHAR' THEN value->>'$' WHEN 'OBJECT' THEN value->>'id' END AS ref FROM c) SELECT DISTINCT id, kind, ref FROM r WHERE ref <> ''",
-    "headings": "SELECT id, kind, label, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", base AS base_score FROM (VALUES (1, 'org-heading', '[2024-05-01 Wed] one', 0, 57, 76.0::DOUBLE), (1, 'org-heading', 'sub [2024-05-01 Wed]', 28, 57, 72.0), (1, 'org-heading', 'plain', 57, 65, 76.0), (1, 'org-heading', '<2024-05-03> two', 65, 87, 76.0), (2, 'markdown-heading', 'md', 0, 16, 76.0), (2, 'markdown-heading', 'deep', 7, 16, 72.0)) AS t(id, kind, label, s, e, base)",
-    "dated_sections": "SELECT id, date, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM (VALUES (1, '2024-05-01', 0, 57), (1, '2024-05-03', 65, 87)) AS t(id, date, s, e)",
 }
