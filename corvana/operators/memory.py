@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import text as T
 from corvana.operators import lexical, similarity
+from corvana.sources.state import jsonl
 
 IMPORTANCE, MOST_IMPORTANCE, DUPLICATE_AT = 3, 5, 0.72
 # Words that are no tags.
@@ -30,6 +31,23 @@ def normalize(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
     })
 
 
+SCHEMA = "id string, created string, source string, text string, importance string, pinned boolean, tags array<string>, seen_count int, conversation_id string, source_conversations array<string>"
+
+
+def load(spark: SparkSession, path: str, limit: int | None = 80) -> DataFrame:
+    """The last `limit` memories of files of JSON lines, with defaults for what is missing, in their order (ord); all with None."""
+    rows = jsonl(spark, path, SCHEMA, limit)
+    # A row without an id is named by its place in its file.
+    return normalize(rows)
+
+
+def without_conversation(rows: DataFrame, conversation_id: str) -> tuple[DataFrame, DataFrame]:
+    """(normalised rows that do not name a conversation, one row with the number removed)."""
+    named = F.coalesce(F.col("conversation_id") == conversation_id, F.lit(False)) | F.coalesce(F.array_contains("source_conversations", conversation_id), F.lit(False))
+    marked = normalize(rows).withColumn("_named", named)
+    return marked.filter("NOT _named").drop("_named"), marked.agg(F.count_if("_named").alias("removed"))
+
+
 def tags(rows: DataFrame, id_col: str, text: Column, top: int = 20, most: int = 8, stop: list[str] = TAG_STOP) -> DataFrame:
     """id, tag, place: the first `most` of the `top` commonest words that are no stop words; ties by first occurrence."""
     common = F.slice(T.word_counts(text), 1, top)

@@ -262,6 +262,93 @@ def with_best_content(rows: DataFrame, content_col: str, query: str, limit: int,
     return out.withColumn(name, best).drop("_s", "_n")
 
 
+def _middle(text: str, limit: int) -> str:
+    """A text in one line, its middle cut out beyond the limit."""
+    flat = " ".join(text.split())
+    if len(flat) <= limit:
+        return flat
+    side = max(1, (limit - 5) // 2)
+    return (flat[:side].rstrip() + " ... " + flat[-max(1, limit - 5 - side) :].lstrip())[:limit]
+
+
+def _pruned(spans: list[dict]) -> list[dict]:
+    """Dated sections that lie in no earlier or longer one of their date, by start."""
+    kept, far = [], {}
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["end"] > far.get(s["label"], -1):
+            kept.append(s)
+            far[s["label"]] = s["end"]
+    return kept
+
+
+def dated_excerpt(content: Column, limit: int, dates: list[str] | None = None, recent: int = 0) -> Column:
+    """Sections of some dates, or of the `recent` newest of a text, by date: joined, each with its middle cut out where they pass the limit."""
+
+    def one(text: str) -> str:
+        found = _pruned(dated_sections(text))
+        wanted = set(dates or sorted({s["label"] for s in found})[-max(1, recent) :])
+        blocks = [s["text"] for s in sorted(found, key=lambda s: (s["label"], s["start"])) if s["label"] in wanted and s["text"]]
+        joined = "\n\n".join(blocks)
+        if len(joined) <= limit:
+            return joined
+        return "\n\n".join(_middle(b, max(240, limit // len(blocks))) for b in blocks)[:limit].strip()
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t or "") for t in texts.to_pylist()], pa.string())
+
+    return run(content)
+
+
+def _term_span(content: str, terms: list[str], size: int) -> list[dict]:
+    """A window that begins a third of its size before the first term; the text's beginning without any."""
+    low = content.lower()
+    places = [at for t in terms if (at := low.find(t)) >= 0]
+    a = max(0, min(places) - size // 3) if places else 0
+    b = min(len(content), a + size)
+    a = max(0, b - size) if b - a < size else a
+    text = content[a:b].strip()
+    return [{"kind": "term-window", "label": "query term window", "start": a, "end": b, "text": text, "base_score": 60.0}] if text else []
+
+
+def with_selection(rows: DataFrame, content_col: str, query: str, limit: int, name: str = "excerpt", most: int | None = MOST_WINDOWS) -> DataFrame:
+    """Rows with an excerpt of a text that answers a query within a limit, how it was made (method), and its spans.
+
+    Sections of the dates that the query names, or of the newest that it asks for, come first and alone
+    (date-span, cut to equal shares over the limit). Else headings, a window about the query's terms and
+    windows of the whole text are scored, and the best that do not overlap fill the limit
+    (scored-span). A text without any has none (empty). All of it is one pass within the row.
+    """
+    from corvana.plans.planner import dates, recent_count
+
+    exact, recent = dates(query), recent_count(query)
+    terms = [t for t in query_terms(query) if len(t) >= 4]
+
+    def base(content: str) -> list[dict]:
+        found = [*headed_sections(content, "org"), *headed_sections(content, "markdown"), *_term_span(content, terms, limit), *windows(content, limit, most)]
+        once: dict[tuple, dict] = {}
+        for s in found:
+            once.setdefault((s["start"], s["end"], s["text"][:240]), s)
+        return list(once.values())
+
+    # Python functions are columns of their own: a lambda may not hold one.
+    out = rows.withColumn("_t", T.strip(F.coalesce(content_col, F.lit(""))))
+    if exact or recent:
+        out = out.withColumn("_d", prune_nested(dated(F.col("_t"))))
+        kept = F.array(*map(F.lit, exact)) if exact else F.slice(F.reverse(F.array_sort(F.array_distinct(F.transform("_d", lambda s: s["label"])))), 1, recent)
+        out = out.withColumn("_n", kept).withColumn("_d", F.filter("_d", lambda s: F.array_contains("_n", s["label"]) & (s["text"] != "")))
+        kind = "org-date-exact" if exact else "org-date-recent"
+        must = F.transform(fit(F.col("_d"), limit), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"], s["end"], s["text"]))
+    else:
+        must = F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")
+    out = out.withColumn("_m", must).withColumn("_b", _udf(base)(F.col("_t")))
+    chosen = F.transform(select_non_overlapping(ranked(F.col("_b"), query), limit), lambda s: F.struct(s["kind"], s["start"], s["end"], s["text"]))
+    out = out.withColumn("spans", F.when(F.size("_m") > 0, F.col("_m")).otherwise(chosen))
+    text = T.strip(F.substring(F.array_join(F.transform("spans", lambda s: T.strip(s["text"])), "\n\n"), 1, limit))
+    method = F.when(F.col("_t") == "", "empty").when(F.size("_m") > 0, "date-span").otherwise("scored-span")
+    return out.withColumns({name: text, "method": method}).drop("_t", "_d", "_n", "_m", "_b")
+
+
 def subspans(spans_: DataFrame, limit: int, most: int) -> DataFrame:
     """Spans (with text and start) cut into at most `most` overlapping parts of `limit` characters each, the last one the tail.
 

@@ -181,6 +181,28 @@ def reuse(candidates: DataFrame, checkpoint: DataFrame, previous: DataFrame) ->
     return both.select(*candidates.columns, F.coalesce("v1", "v2").alias("vector"), origin.alias("origin"))
 
 
+def reusable(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored vectors that may stand for candidates, as rows of the candidates: same id, text, schema and kind, and the route's dimensions.
+
+    candidates: ord, id, input_sha256, schema, kind, route_dims (0: any); stored: id, input_sha256, schema, kind, vector.
+    """
+    on = ["id", "input_sha256", "schema", "kind"]
+    kept = stored.filter(F.size("vector") > 0).select(*on, "vector").dropDuplicates(on)
+    fits = (F.col("route_dims") == 0) | (F.size("vector") == F.col("route_dims"))
+    return candidates.join(kept, on).filter(fits).select(*candidates.columns, "vector")
+
+
+def completed(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the candidates (ord, id) that are completed, in the candidates' order."""
+    return rows.join(candidates.select("id", "ord"), "id").orderBy("ord").drop("ord")
+
+
+def checkpointed(progress: DataFrame, candidates: DataFrame, created: str) -> DataFrame:
+    """Rows of a checkpoint that belong to the candidates, with a time where they lack one; the last row of an id stands."""
+    mine = progress.join(candidates.select("id"), "id", "left_semi")
+    return last_per_id(mine.withColumn("created", F.coalesce(F.nullif("created", F.lit("")), F.lit(created))), "id", "ord")
+
+
 def pending_batches(state: DataFrame, size: int, ord_col: str = "ord") -> DataFrame:
     """offset, ids of the batches of candidates that still lack a vector."""
     offset = (F.floor(F.col(ord_col) / size) * size).alias("offset")

@@ -7,7 +7,7 @@ dot products stand in, so that everything runs without a network.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +26,8 @@ SHOWN = ["place", "path", "chunk", "methods", "hybrid_score", "base", "guard", "
 class Environment:
     """What a caller may bring: embed (query -> vector), rerank (candidates, query -> path, chunk, rerank), stored
     vectors, evidence rows (path, chunk, kind, title, tags, todo, priority, date, start, text, base_score), tasks
-    (path, chunk, score: structured tasks), and reasons why indexes are blocked (index_id, reason)."""
+    (path, chunk, score: structured tasks), and reasons why indexes are blocked (index_id, reason). With stores
+    (store_id, created, fingerprint) and the fingerprint of the sources, vectors of the newest fresh store count alone."""
 
     embed: Callable[[str], list[float]] | None = None
     rerank: Callable[[DataFrame, str], DataFrame] | None = None
@@ -34,6 +35,8 @@ class Environment:
     evidence: DataFrame | None = None
     tasks: DataFrame | None = None
     boundaries: DataFrame | None = None
+    stores: DataFrame | None = None
+    fingerprint: str = ""
 
 
 def gate(chunks: DataFrame, boundaries: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
@@ -59,11 +62,32 @@ def lexical_lane(chunks: DataFrame, plan: Plan) -> DataFrame:
     return fusion.lane(kept, "lexical", score=F.col("total"), path_boost=F.col("path_boost"), total=F.col("total"))
 
 
+def two_level(chunks: DataFrame, plan: Plan, per_file: int) -> DataFrame:
+    """path, chunk, total, file_score, summary, place: the best chunks of each of the best files.
+
+    A file's score is that of its path and summary with the path's boost; chunks of a file share their
+    summary, so that files and chunks are ranked from one scan. The limit of a file's chunks holds
+    below the exchange by path: at most per_file rows of a file leave a task.
+    """
+    own = F.concat_ws("\n", "path", "summary")
+    parts = lexical.with_score(scored_chunks(chunks, plan), plan.query, own, "_own").withColumn("file_score", F.col("_own") + F.col("path_boost"))
+    w = Window.partitionBy("path").orderBy(F.desc("total"), "chunk")
+    limited = parts.select("path", "chunk", "total", "file_score", "summary").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_file)
+    # The rows of a path are together already; a file's list holds per_file of them.
+    files = limited.groupBy("path").agg(F.max("file_score").alias("file_score"), F.min("summary").alias("summary"), F.collect_list(F.struct("chunk", "total", "place")).alias("best"))
+    top = files.filter("file_score > 0").orderBy(F.desc("file_score"), "path").limit(plan.limits.files)
+    return top.select("path", "file_score", "summary", F.explode("best").alias("b")).select("path", "b.chunk", "b.total", "file_score", "summary", "b.place")
+
+
 def best_files(chunks: DataFrame, plan: Plan) -> DataFrame:
-    """path, score of the best files: the score of path and summary and the best path boost of a chunk; chunks of a file share its summary."""
-    files = chunks.groupBy("path").agg(F.min("summary").alias("summary"))
-    scored = lexical.score_parts(files, plan.query, F.concat_ws("\n", "path", "summary"), F.col("path"))
-    return scored.select("path", F.col("total").alias("score")).filter("score > 0").orderBy(F.desc("score"), "path").limit(plan.limits.files)
+    """path, score, summary of the best files, best first."""
+    return two_level(chunks, plan, 1).select("path", F.col("file_score").alias("score"), "summary").orderBy(F.desc("score"), "path")
+
+
+def fresh_vectors(vectors_: DataFrame, stores: DataFrame, fingerprint: str) -> DataFrame:
+    """Vectors (store_id) of the newest store (store_id, created, fingerprint) that was made from the sources as they are; none if all are stale."""
+    newest = stores.filter(F.col("fingerprint") == fingerprint).orderBy(F.desc("created"), F.desc("store_id")).limit(1).select("store_id")
+    return vectors_.join(F.broadcast(newest), "store_id", "left_semi")  # one row
 
 
 def temporal_lane(chunks: DataFrame, plan: Plan) -> DataFrame:
@@ -144,7 +168,8 @@ def candidates(chunks: DataFrame, plan: Plan, env: Environment) -> DataFrame:
     if env.evidence is not None:
         lanes += [structural_lane(env.evidence, plan)] * plan.has("structural") + [evidence_lane(env.evidence, plan)]
     if env.vectors is not None and env.embed is not None:
-        lanes.append(vector_lane(env.vectors, plan, env.embed(plan.query)))
+        stored = env.vectors if env.stores is None else fresh_vectors(env.vectors, env.stores, env.fingerprint)
+        lanes.append(vector_lane(stored, plan, env.embed(plan.query)))
     return fusion.restrict(fusion.fuse(lanes, max(24, plan.limits.evidence) if plan.has("structural") else plan.limits.evidence))
 
 
@@ -157,7 +182,7 @@ def retrieve(chunks: DataFrame, query: str, env: Environment | None = None, evid
     """
     env, plan = env or Environment(), build_plan(query)
     if evidence is not None:
-        env = Environment(env.embed, env.rerank, env.vectors, evidence, env.tasks, env.boundaries)
+        env = replace(env, evidence=evidence)
     chunks, _ = gate(chunks, env.boundaries)
     found = candidates(chunks, plan, env)
     scores = env.rerank(found, query) if env.rerank else None
@@ -166,7 +191,9 @@ def retrieve(chunks: DataFrame, query: str, env: Environment | None = None, evid
     texts = chunks.select("path", F.col("chunk").cast("string").alias("chunk"), "content")
     rows = texts.join(F.broadcast(chosen), ["path", "chunk"])  # limits.chunks rows, three of code and one for each date of the query
     w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    sized = rows.withColumn("text", T.compact_source_middle(F.col("content"), max(240, plan.limits.chars // 4))).withColumn("_end", F.sum(F.length("text") + 2).over(w))
+    # Of each chunk the sections of the dates asked for, else the best spans, within its share.
+    told = spans.with_selection(rows, "content", query, max(240, plan.limits.chars // 4), "text")
+    sized = told.withColumn("_end", F.sum(F.length("text") + 2).over(w))
     return sized.filter((F.col("_end") - F.length("text") - 2) < plan.limits.chars).select(SHOWN)
 
 
@@ -203,6 +230,7 @@ class Service:
     files: DataFrame | None = None
     env: Environment = field(default_factory=Environment)
     budget: int = 12_000
+    summaries: bool = False  # with the summaries of the best files, at place 0
 
     COLUMNS = "item int, kind string, id string, status string, place int, path string, text string, warning string"
 
@@ -210,7 +238,10 @@ class Service:
         """Rows of an index that answer a query, or its one warning if it is blocked."""
         mine = self.chunks.filter(F.col("index_id") == index_id)
         allowed, warned = gate(mine, self.env.boundaries)
-        rows = retrieve(allowed, query, Environment(self.env.embed, self.env.rerank, self.env.vectors, self.env.evidence, self.env.tasks)).select(F.lit("ok").alias("status"), "place", "path", "text", F.lit("").alias("warning"))
+        rows = retrieve(allowed, query, replace(self.env, boundaries=None)).select(F.lit("ok").alias("status"), "place", "path", "text", F.lit("").alias("warning"))
+        if self.summaries:
+            files = best_files(allowed, build_plan(query)).filter("summary <> ''")
+            rows = rows.unionByName(files.select(F.lit("ok").alias("status"), F.lit(0).alias("place"), "path", F.col("summary").alias("text"), F.lit("").alias("warning")))
         if warned is None:
             return rows
         warnings = warned.filter(F.col("index_id") == index_id).select("status", F.lit(0).alias("place"), F.lit("").alias("path"), F.lit("").alias("text"), "warning")
