@@ -89,6 +89,35 @@ def _tasks(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
+def _dealt(rdd: RDD, tasks: int) -> RDD:
+    """Rows by key in so many tasks, however many partitions a shuffle has at least: the upper levels are small."""
+    return rdd.partitionBy(tasks).coalesce(tasks)
+
+
+def _grouped(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(key, values) of a task's rows; a key has FAN values at most."""
+    found: dict[tuple, list] = {}
+    for key, value in rows:
+        found.setdefault(key, []).append(value)
+    return iter(found.items())
+
+
+def _joined(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(key, (left, right)) of a task's rows (key, (0, left)) and (key, (1, right)), one of each for a key."""
+    sides: tuple[dict, dict] = ({}, {})
+    for key, (side, value) in rows:
+        other = sides[1 - side].pop(key, None)
+        if other is None:
+            sides[side][key] = value
+        else:
+            yield key, ((value, other) if side == 0 else (other, value))
+
+
+def _join(left: RDD, right: RDD, tasks: int) -> RDD:
+    both = left.mapValues(lambda v: (0, v)).union(right.mapValues(lambda v: (1, v)))
+    return _dealt(both, tasks).mapPartitions(_joined)
+
+
 def _sources(rows: list[tuple]) -> list[tuple[str | None, list[tuple]]]:
     return [(source, list(some)) for source, some in groupby(rows, key=itemgetter(0))]
 
@@ -185,7 +214,7 @@ def upward(spark: SparkSession, nodes: RDD, most: int, total: int) -> tuple[list
     levels, roots = [], [ended(0)]
     while most > 1:
         sent = nodes.filter(lambda x: x[1][0] > 1).map(_to_parent)
-        runs = _settled(sent.groupByKey(_tasks(total, TASK_MESSAGES)).map(_complete), spark)
+        runs = _settled(_dealt(sent, _tasks(total, TASK_MESSAGES)).mapPartitions(_grouped).map(_complete), spark)
         levels.append((runs, total))
         nodes = runs.map(lambda x: (x[0], x[1][1:]))
         roots.append(ended(len(levels)))
@@ -212,7 +241,7 @@ def downward(spark: SparkSession, levels: list[tuple[RDD, int]], roots: RDD) ->
     paths = begins(len(levels))
     for height in range(len(levels), 0, -1):
         runs, total = levels[height - 1]
-        reached = _settled(runs.join(paths, _tasks(total, TASK_MESSAGES)).flatMap(_to_children), spark)
+        reached = _settled(_join(runs, paths, _tasks(total, TASK_MESSAGES)).flatMap(_to_children), spark)
         paths = reached.union(begins(height - 1))
     return paths
 
@@ -256,6 +285,6 @@ def manifest(docs: DataFrame) -> DataFrame:
     top_levels, top = upward(spark, subroots.map(lambda x: ((TOP, x[0]), (trees, x[1][1]))), trees, trees)
     height, root = top.first()[1]
     above = downward(spark, top_levels, spark.sparkContext.parallelize([(TOP, (height, root, b""))], 1)).map(lambda x: (x[0][1], x[1][1]))
-    headed = _settled(subroots.join(above, _tasks(trees, TASK_MESSAGES)).map(lambda x: (x[0], (*x[1][0], x[1][1]))), spark)
+    headed = _settled(_join(subroots, above, _tasks(trees, TASK_MESSAGES)).map(lambda x: (x[0], (*x[1][0], x[1][1]))), spark)
     paths = downward(spark, levels, headed)
-    return spark.createDataFrame(leaves.join(paths, _tasks(n, TASK_MESSAGES)).map(_verifier(root)), SCHEMA)
+    return spark.createDataFrame(_join(leaves, paths, _tasks(n, TASK_MESSAGES)).map(_verifier(root)), SCHEMA)
