@@ -63,7 +63,7 @@ def signals(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
 
 
 # Words that ask for tasks.
-TASK_WORDS = frozenset("task tasks todo todos deadline deadlines priority priorities plan agenda due next".split())
+TASK_WORDS = frozenset(("task", "tasks", "todo", "todos", "deadline", "deadlines", "priority", "priorities", "plan", "agenda", "due", "next"))
 
 
 def task_boost(query: str, found: DataFrame) -> DataFrame:

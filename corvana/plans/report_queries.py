@@ -356,7 +356,7 @@ def structural_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_candidates(spark: SparkSession, sf: str) -> DataFrame:
     plan = retrieval.build_plan(first_question(spark, sf))
-    return retrieval.evidence_lane(_evidence(spark, sf).filter("chunk % 10 <> 3"), plan).select("path", "chunk", "score")
+    return retrieval.evidence_lane(_evidence(spark, sf), plan).select("path", "chunk", "score")
 
 
 def temporal_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,7 +442,7 @@ ORACLE = {
     "lexical_fallback": f"WITH {_DOCS} SELECT path, doc_id::VARCHAR AS chunk, 0.0::DOUBLE AS score FROM dc ORDER BY path, doc_id LIMIT 2",
     "blocked_indexes": "SELECT 'i' || doc_id % 3 AS index_id, 'ok' AS status, count(*) AS chunks, '' AS warning FROM documents WHERE doc_id % 3 <> 1 GROUP BY 1 UNION ALL SELECT 'i1', 'blocked', 0, 'sources outside the boundary'",
     "structural_candidates": "SELECT source || '/' || doc_id % 7 || '.md' AS path, doc_id AS chunk, 6500 + 1200 + 900 + 700 + 500 AS structured FROM documents WHERE doc_id % 4 > 0 AND doc_id % 2 <> 0 AND doc_id % 3 = 0 AND doc_id % 5 < 4 AND doc_id % 10 = 3",
-    "evidence_candidates": f"WITH {TERMS_SQL}, ev AS (SELECT * FROM documents WHERE doc_id % 10 <> 3),\n{score_sql('ev', 'doc_id', 'text')}, t AS (SELECT source || '/' || doc_id % 7 || '.md' AS path, doc_id, score + 5 AS score FROM scored JOIN ev ON k = doc_id WHERE score > 0) SELECT path, doc_id::VARCHAR AS chunk, score::DOUBLE AS score FROM t ORDER BY score DESC, path, doc_id LIMIT 24",
+    "evidence_candidates": f"WITH {TERMS_SQL}, ev AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN 'DEADLINE: <2024-01-01> ' || text ELSE text END AS text FROM documents),\n{score_sql('ev', 'doc_id', 'text')}, t AS (SELECT source || '/' || doc_id % 7 || '.md' AS path, doc_id, score + 5 AS score FROM scored JOIN ev ON k = doc_id WHERE score > 0) SELECT path, doc_id::VARCHAR AS chunk, score::DOUBLE AS score FROM t ORDER BY score DESC, path, doc_id LIMIT 24",
     "temporal_candidates": "WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 3 = 1) SELECT 'notes/1.org' AS path, event_id AS chunk, day AS date, 6000.0::DOUBLE AS structured FROM e WHERE day IN (SELECT DISTINCT day FROM e ORDER BY day DESC LIMIT 2)",
     "temporal_of_files": "WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 3 = 2) SELECT 'n2' AS path, event_id AS chunk, day AS date FROM e WHERE day IN (SELECT DISTINCT day FROM e ORDER BY day DESC LIMIT 2)",
     "attached_items": "SELECT 0 AS item, 'dossier' AS kind, '1' AS id, 'ok' AS status, '' AS warning, count(*) AS n FROM conversations WHERE conv_id = 1 UNION ALL SELECT 1, 'file', min(url), 'ok', '', (SELECT count(*) FROM pages WHERE url = (SELECT min(url) FROM pages)) FROM pages UNION ALL SELECT 2, 'topic', 't9', 'unavailable', 'no topic t9', 1 UNION ALL SELECT 3, 'index', 'i9', 'unavailable', 'no index i9', 1 UNION ALL SELECT 4, 'song', 'x', 'unavailable', 'no song x', 1",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.operators import memory, spans, vectors
+from corvana.functions import references as R
+from corvana.operators import derived, dossiers, memory, spans, vectors
 from corvana.plans import retrieval
 from corvana.plans.tables import TERMS_SQL, first_question, score_sql, shared_folder, table
-from corvana.sources import versioned
+from corvana.sources import listing, versioned
 
 _TURNS = "conv_id long, turn long, role string, text string"
 
@@ -85,12 +86,44 @@ def selected_spans(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "method", F.size("spans").cast("long").alias("n_spans"), "excerpt")
 
 
-_ALL = (versioned_delete, versioned_merge, memories_loaded, reusable_vectors, completed_vectors, two_level, selected_spans)
+def listed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as a tree of sources and languages, listed with one language ignored: files to index and folders left out, by source."""
+    root = shared_folder(spark)
+    d = table(spark, sf, "documents").select("source", "lang", F.col("n_chars").cast("string").alias("value"))
+    d.repartition("source", "lang").write.partitionBy("source", "lang").text(f"{root}/tree")
+    found = listing.listing(spark, f"{root}/tree", f"{root}/rounds", R.parse_ignore("lang=de/"))
+    source = F.regexp_extract("path", "^source=([^/]*)", 1)
+    files = found.sources().groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("files"))
+    left = found.found.filter("rule IS NOT NULL").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("ignored"))
+    opened = found.opened.filter("path LIKE '%/%'").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("opened"))
+    return files.join(left, "source", "left").join(opened, "source", "left").fillna(0, ["ignored"])
+
+
+def topic_dossiers(spark: SparkSession, sf: str) -> DataFrame:
+    """What of each conversation answers the first question, stored; after a change of some conversations only these are built again."""
+    root, question = shared_folder(spark), first_question(spark, sf)
+    result = versioned.Table(spark, f"{root}/dossiers", "conv_id long, turn long, score long")
+    known = versioned.Table(spark, f"{root}/known", "conv_id long, fingerprint string")
+
+    def build(turns: DataFrame) -> DataFrame:
+        rows = turns.select(F.col("conv_id").alias("dossier_id"), F.col("turn").alias("ord"), "text")
+        return dossiers.from_dossier(rows, question, 900).select(F.col("dossier_id").alias("conv_id"), F.col("ord").alias("turn"), "score")
+
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    derived.refresh(turns, "conv_id", build, result, known)
+    changed = turns.filter("conv_id % 10 <> 3").withColumn("text", F.when((F.col("conv_id") % 5 == 1) & (F.col("turn") == 0), "changed").otherwise(F.col("text")))
+    told = derived.refresh(changed, "conv_id", build, result, known)
+    return result.read().withColumns({"built": F.lit(told.built).cast("long"), "removed": F.lit(told.removed).cast("long")})
+
+
+_ALL = (listed_files, topic_dossiers, versioned_delete, versioned_merge, memories_loaded, reusable_vectors, completed_vectors, two_level, selected_spans)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _ASKED = TERMS_SQL.replace("SELECT text FROM benchmark ORDER BY item_id LIMIT 1", "SELECT 'notes of src7 and src3: ' || text AS text FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)")
 _FILES = score_sql("fc", "path", "own").replace("toks AS", "ftoks AS").replace("FROM toks", "FROM ftoks").replace("JOIN toks", "JOIN ftoks").replace("toks.", "ftoks.").replace("fftoks", "ftoks").replace("tf AS", "ftf AS").replace("FROM tf ", "FROM ftf ").replace("tf.", "ftf.").replace("sat AS", "fsat AS").replace("sat.", "fsat.").replace("LEFT JOIN sat", "LEFT JOIN fsat").replace("bonus AS", "fbonus AS").replace("bonus.", "fbonus.").replace("JOIN bonus", "JOIN fbonus").replace("scored AS", "fscored AS")
 ORACLE = {
+    "listed_files": "SELECT source, count(DISTINCT lang) FILTER (WHERE lang <> 'de') AS files, count(DISTINCT lang) FILTER (WHERE lang = 'de') AS ignored, count(DISTINCT lang) FILTER (WHERE lang <> 'de') AS opened FROM documents GROUP BY source HAVING count(*) FILTER (WHERE lang <> 'de') > 0",
+    "topic_dossiers": f"WITH {TERMS_SQL}, c AS (SELECT conv_id * 10000 + turn AS key, conv_id, turn, CASE WHEN conv_id % 5 = 1 AND turn = 0 THEN 'changed' ELSE text END AS text FROM conversations WHERE conv_id % 10 <> 3),\n{score_sql('c', 'key', 'text')}, r AS (SELECT conv_id, turn, score, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY score DESC, turn ROWS UNBOUNDED PRECEDING) - 2 AS e FROM c JOIN scored ON k = key) SELECT conv_id, turn, score, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 5 = 1) AS built, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 10 = 3) AS removed FROM r WHERE e <= 900",
     "versioned_delete": "SELECT role, count(*) AS n, (SELECT count(*) FROM conversations WHERE conv_id % 7 = 3) AS removed FROM conversations WHERE conv_id % 7 <> 3 GROUP BY role",
     "versioned_merge": "WITH e AS (SELECT conv_id, max(turn) + 1 AS turn FROM conversations GROUP BY conv_id), r AS (SELECT role, CASE WHEN turn = 0 THEN upper(role) ELSE text END AS text FROM conversations UNION ALL SELECT 'note', 'end' FROM e), n AS (SELECT count(*) AS removed FROM conversations WHERE turn = 0) SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, removed, removed + (SELECT count(*) FROM e) AS added FROM r, n GROUP BY role, removed",
     "memories_loaded": "SELECT CASE WHEN doc_id % 9 = 0 THEN 1 ELSE least(5, doc_id % 9) END::INT AS importance, count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 1 OR text = '') AS empty, count(*) FILTER (WHERE doc_id % 5 = 0) AS named, (SELECT count(*) FROM documents WHERE doc_id % 10 = 4) AS removed FROM documents WHERE doc_id % 10 <> 4 GROUP BY 1",
