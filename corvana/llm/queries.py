@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvana.llm import byte_bpe, langid, licenses, main_text, merkle, ngram_join, ogg, prob_minhash, templates, token_files, toxicity, variants, warc
+from corvana.llm import byte_bpe, langid, licenses, main_text, merkle, ngram_join, ogg, oracles, prob_minhash, templates, token_files, toxicity, variants, warc
 from corvana.llm.common import table
 
 
@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle": op13_merkle,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_variants": oracles.VARIANTS, "op12_ngram_join": oracles.NGRAM_JOIN, "op13_merkle": oracles.MERKLE}
