@@ -121,6 +121,18 @@ def code_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, ROW)
 
 
+def code_map(files: DataFrame, uri: str) -> DataFrame:
+    """The rows of files as a stored relation: edges, hotspots, boundaries and search sets read it, and no source is parsed again."""
+    code_rows(files).write.parquet(uri)
+    return files.sparkSession.read.schema(ROW).parquet(uri)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """path, kind, n, first_line: rows of each kind in each file, of each kind, of each file, and of all, from one pass."""
+    sets = [[F.col("path"), F.col("kind")], [F.col("kind")], [F.col("path")], []]
+    return rows.groupingSets(sets, "path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
+
+
 def call_edges(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """caller_path, caller, callee_path, callee, line: calls resolved to a qualified name, else to the one symbol of that name."""
     symbols = rows.filter("kind IN ('function', 'class')")

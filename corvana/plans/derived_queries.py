@@ -432,6 +432,13 @@ def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("path", "kind", "name", "qualname", F.col("line").cast("long").alias("line"))
 
 
+@_query(f"SELECT path, kind, count(*) AS n, min(line)::BIGINT AS first_line FROM ({_rows_sql(_SYMBOLS, 'path, kind, name, qualname, line')}) GROUP BY GROUPING SETS ((path, kind), (kind), (path), ())")
+def code_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything but calls in the files of each document, counted by file and kind from a stored code map."""
+    rows = code.code_map(_sources(spark, sf, "mb"), shared_folder(spark)).filter("kind NOT IN ('call', 'family')")
+    return code.summary(rows).withColumn("first_line", F.col("first_line").cast("long"))
+
+
 _EDGES = [("m{n}.py", "Box{n}.open{n}", "m{n}.py", "helper{n}", 15), ("m{n}.py", "Box{n}.open{n}", "m{n}.py", "Box{n}.close{n}", 16), ("n{n}.py", "main{n}", "m{n}.py", "helper{n}", 5), ("n{n}.py", "main{n}", "m{n}.py", "helper{n}", 6)]
 
 

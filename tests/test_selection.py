@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvana.operators import spans
+from corvana.operators import code, spans
 from corvana.plans import planner, retrieval
 from tests.test_whole_queries import plain_score, plain_windows
 
@@ -163,3 +163,14 @@ def test_plan_handlers_and_explanation():
     assert asks("latest news") == () and "temporal" in asks("latest entries of a.org") and planner.explain(planner.build_plan("hello there")) is None
     shown = planner.explain(planner.build_plan("last two entries tagged work in notes/a.org"))
     assert shown["temporal"] == {"mode": "newest-in-named-source", "count": 2, "paths": ["notes/a.org"]} and shown["structural"]["tags"] == ["work"]
+
+
+def test_a_code_map_is_parsed_once(spark, tmp_path):
+    """Search sets of a stored map read it; of rows as they are made, they would parse all sources again for each part."""
+    files = spark.createDataFrame([("m.py", "def f():\n    g()\n\ndef g():\n    pass\n"), ("t.py", "def test_f():\n    f()\n")], "path string, content string")
+    sets = code.search_sets(code.code_map(files, f"file://{tmp_path}/map"))
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan parquet" in plan
+    assert sorted(map(tuple, sets.select("set", "name", "path", "line", "haystack").collect())) == sorted(map(tuple, code.search_sets(code.code_rows(files)).select("set", "name", "path", "line", "haystack").collect()))
+    found = {(r.set, r.name) for r in code.query(sets, "test f of t.py", 3).collect()}
+    assert ("tests", "test_f") in found
