@@ -11,14 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvana.plans.tables import shared_folder
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read from there: what joins them sees a plain scan."""
+    uri = shared_folder(rows.sparkSession)
+    rows.write.parquet(uri)
+    return rows.sparkSession.read.schema(rows.schema).parquet(uri)
+
 
 def frequencies(*sides: DataFrame) -> DataFrame:
-    """word, df over the sides (columns id, words), counted with map-side combine."""
+    """word, df over the sides (columns id, words), counted with map-side combine and written first.
+
+    A join with an aggregate right below it would keep Spark from splitting a word that very many rows have.
+    """
     words = [s.select(F.explode("words").alias("word")) for s in sides]
     every = words[0]
     for w in words[1:]:
         every = every.union(w)
-    return every.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return _written(every.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
 
 
 def ranked(rows: DataFrame, df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvana.operators import code, spans
+from corvana.operators import code, similarity, spans
 from corvana.plans import planner, retrieval
 from tests.test_whole_queries import plain_score, plain_windows
 
@@ -174,3 +174,20 @@ def test_a_code_map_is_parsed_once(spark, tmp_path):
     assert sorted(map(tuple, sets.select("set", "name", "path", "line", "haystack").collect())) == sorted(map(tuple, code.search_sets(code.code_rows(files)).select("set", "name", "path", "line", "haystack").collect()))
     found = {(r.set, r.name) for r in code.query(sets, "test f of t.py", 3).collect()}
     assert ("tests", "test_f") in found
+
+
+def test_a_word_of_all_rows_can_be_split(spark):
+    """Both sides of the join by words are plain exchanges, so that adaptive execution may deal a hot word anew."""
+    rng = random.Random(3)
+    rows = [(k, ["every", *rng.sample("abcdefghijklmnopqrstuvwxyz", 4)]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id int, words array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = similarity.ranked(frame, similarity.frequencies(frame))
+        ranked.collect()
+        plan = ranked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and "HashAggregate" not in plan
+        got = {(r.a, r.b) for r in similarity.sharing(frame, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(a, b) for a, x in rows for b, y in rows if a < b and len(set(x) & set(y)) >= 4}
