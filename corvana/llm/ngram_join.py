@@ -7,9 +7,9 @@ as a whole; what of it can hold a link is bounded three times by the sizes of se
 
 1. Columns: of a set of n, a partner must have ceil(0.85 n), so the n - ceil(0.85 n) + 1
    n-grams that come first in any fixed order hold a common one. Documents meet by these
-   columns alone. The order puts n-grams last that repeat much within parts of the corpus
-   (levels of a table of hashed counts whose size is bounded), so that common passages,
-   lines and phrases make no large meeting.
+   columns alone. The order puts n-grams last that repeat much within parts of the corpus,
+   and before them those of common words (tables of hashed counts whose sizes are bounded),
+   so that common passages, lines and phrases make no large meeting, and few rows meet by chance.
 2. Sizes and cells: an n-gram falls into one of about n / 4 cells; the overlap of two sets
    is at most the sum of their cells' smaller counts. Pairs whose bound is below the overlap
    that their sizes ask for are discarded before their texts travel.
@@ -43,10 +43,10 @@ from corvana.llm.common import lean, materialise, mix64, window_hashes
 from corvana.llm.prob_minhash import components, merged
 
 WORDS, MIN_SHARE = 4, 85
-#: N-grams whose repetitions are counted together in a task, and how often one must be there to count.
-PART, REPEATED = 1 << 21, 3
-#: Bits of the table of levels: one cell for each 64 n-grams, between these bounds.
-LEAST_BITS, MOST_BITS = 12, 22
+#: N-grams whose repetitions are counted together in a task, and how often one, or a word, must be there to count.
+PART, REPEATED, COMMON = 1 << 21, 3, 8
+#: Bits of the table of n-grams: one cell for each 64, between these bounds; bits of the table of words.
+LEAST_BITS, MOST_BITS, WORD_BITS = 12, 22, 20
 #: N-grams of a cell on the average, and cells at most.
 PER_CELL, MOST_CELLS = 4, 1 << 13
 #: A block: rows that are held with their n-grams, and rows that pass by.
@@ -113,8 +113,8 @@ def _set(words: np.ndarray) -> np.ndarray:
     return grams[new]
 
 
-def ngram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The distinct n-gram hashes of each text, ascending; texts: a string array, null as empty."""
+def word_lists(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text in order; texts: a string array, null as empty."""
     if not len(texts):
         return
     data = texts.buffers()[2]
@@ -125,64 +125,85 @@ def ngram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CUT_BYTES, side="right")) - 1)
         low, raw = offsets[a], whole[offsets[a] : offsets[b]]
         if b == a + 1:
-            yield _set(np.concatenate([word_hashes(piece, np.zeros(1, dtype=np.int64))[0] for piece in _pieces(raw)]))
+            yield np.concatenate([word_hashes(piece, np.zeros(1, dtype=np.int64))[0] for piece in _pieces(raw)])
         else:
             hashes, at = word_hashes(raw, offsets[a:b] - low)
             cuts = np.searchsorted(at, offsets[a : b + 1] - low)
             for k in range(b - a):
-                yield _set(hashes[cuts[k] : cuts[k + 1]])
+                yield hashes[cuts[k] : cuts[k + 1]]
         a = b
 
 
+def ngram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct n-gram hashes of each text, ascending."""
+    return map(_set, word_lists(texts))
+
+
 def _strings(column: pa.Array) -> pa.Array:
     return column if pa.types.is_string(column.type) else column.cast(pa.string())
 
 
-def _levels_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The cell of the table of levels of each n-gram."""
+def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of a table of 2^bits."""
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (id, n, digest of its set), and rows (null id, cell, repetitions) of n-grams repeated in a part."""
-    held, size, seen = [], 0, set()
-
-    def repeated() -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held)) if held else np.empty(0, dtype=np.uint64)
-        at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, dtype=np.int64)
-        times = np.diff(np.append(at, len(every)))
-        many = times >= REPEATED
-        cells, inverse = np.unique(_levels_of(every[at[many]], MOST_BITS), return_inverse=True)
-        most = np.zeros(len(cells), dtype=np.int64)
-        np.maximum.at(most, inverse, times[many])
-        return pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.int64()), pa.array(most), pa.array(cells), pa.nulls(len(cells), pa.int64())], ["id", "n", "h1", "h2"])
+def _repeated(held: list[np.ndarray], least: int, bits: int, kind: int) -> pa.RecordBatch:
+    """Rows (null id, times, cell, kind) of hashes that are there `least` times or more."""
+    every = np.sort(np.concatenate(held)) if held else np.empty(0, dtype=np.uint64)
+    at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, dtype=np.int64)
+    times = np.diff(np.append(at, len(every)))
+    many = times >= least
+    cells, inverse = np.unique(_cell(every[at[many]], bits), return_inverse=True)
+    most = np.zeros(len(cells), dtype=np.int64)
+    np.maximum.at(most, inverse, times[many])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.int64()), pa.array(most), pa.array(cells), pa.array(np.full(len(cells), kind))], ["id", "n", "h1", "h2"])
+
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document (id, n, digest of its set), and those of the n-grams (kind 0) and words (1) that repeat in a part."""
+    grams_held, words_held, size, seen = [], [], 0, set()
     for batch in batches:
         sizes, high, low = [], [], []
-        for grams in ngram_sets(_strings(batch.column(1))):
+        for words in word_lists(_strings(batch.column(1))):
+            grams = _set(words)
             digest = xxhash.xxh3_128_intdigest(grams.tobytes())
             sizes.append(len(grams))
             high.append((digest >> 64) - (1 << 63))
             low.append((digest & (1 << 64) - 1) - (1 << 63))
             if digest not in seen:
                 seen.add(digest)
-                held.append(grams)
-                size += len(grams)
+                grams_held.append(grams)
+                words_held.append(words)
+                size += len(words)
                 if size >= PART:
-                    yield repeated()
-                    held, size, seen = [], 0, set()
+                    yield _repeated(grams_held, REPEATED, MOST_BITS, 0)
+                    yield _repeated(words_held, COMMON, WORD_BITS, 1)
+                    grams_held, words_held, size, seen = [], [], 0, set()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["id", "n", "h1", "h2"])
-    yield repeated()
+    yield _repeated(grams_held, REPEATED, MOST_BITS, 0)
+    yield _repeated(words_held, COMMON, WORD_BITS, 1)
 
 
-def level_table(cells: DataFrame, grams: int) -> tuple[int, np.ndarray]:
-    """(bits, level of each cell): cells (cell of MOST_BITS, times); grams: n-grams of the corpus. At most 2^MOST_BITS bytes."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (grams // 64).bit_length()))
-    folded = cells.groupBy(F.shiftright("cell", MOST_BITS - bits).alias("cell")).agg(F.max("times").alias("times"))
+def level_table(cells: DataFrame, held_bits: int, bits: int) -> np.ndarray:
+    """Four times the logarithm of the greatest number in each of 2^bits cells: 2^bits bytes; cells: cell of held_bits, times."""
+    folded = cells.groupBy(F.shiftright("cell", held_bits - bits).alias("cell")).agg(F.max("times").alias("times"))
     levels = np.zeros(1 << bits, dtype=np.uint8)
-    for batch in folded.select("cell", F.floor(F.log2("times")).cast("long").alias("level")).toArrow().to_batches():
+    for batch in folded.select("cell", F.floor(4 * F.log2("times")).cast("long").alias("level")).toArrow().to_batches():
         levels[batch["cell"].to_numpy()] = np.minimum(batch["level"].to_numpy(), 255)
-    return bits, levels
+    return levels
+
+
+def place_in_order(words: np.ndarray, gram_levels: np.ndarray, word_levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct n-grams of a text, ascending, their places in the order of columns); equal places are told apart by the hash."""
+    grams = window_hashes(words, min(WORDS, len(words))) if len(words) else words
+    grams, at = np.unique(grams, return_index=True)
+    if not len(grams):
+        return grams, np.empty(0, dtype=np.int64)
+    common = np.cumsum(np.append(0, word_levels[_cell(words, WORD_BITS)].astype(np.int64)))
+    width = min(WORDS, len(words))
+    sums = common[width:] - common[:-width]
+    return grams, gram_levels[_cell(grams, len(gram_levels).bit_length() - 1)].astype(np.int64) * (WORDS << 8) + sums[at]
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
@@ -203,18 +224,17 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
 
 
-def _sketcher(table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sketcher(tables: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, n, first columns, cells) of sets."""
-        bits, levels = table.value
         for batch in batches:
             sizes, firsts, cells = [], [], []
-            for grams in ngram_sets(_strings(batch.column(1))):
+            for words in word_lists(_strings(batch.column(1))):
+                grams, place = place_in_order(words, *tables.value)
                 n = len(grams)
                 first = n - -(-MIN_SHARE * n // 100) + 1 if n else 0
-                order = np.argsort(levels[_levels_of(grams, bits)], kind="stable")[:first]
                 sizes.append(n)
-                firsts.append(grams[order].view(np.int64))
+                firsts.append(grams[np.argsort(place, kind="stable")[:first]].view(np.int64))
                 cells.append(cell_counts(grams).astype(np.uint16).tobytes())
             ends = np.cumsum([0, *map(len, firsts)])
             columns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
@@ -385,7 +405,12 @@ def _tasks(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def first_links(columns: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts(given: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of these ids alone."""
+    return materialise(given.join(ids, "id", "left_semi"))
+
+
+def first_links(columns: DataFrame, sketches: DataFrame, given: DataFrame) -> DataFrame:
     """Links (a, b) of each column's smallest document with its others. columns: key, head, id."""
     pairs = columns.filter("id != head").selectExpr("head AS a", "id AS b").distinct()
     side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(f"c{s}"))
@@ -395,13 +420,14 @@ def first_links(columns: DataFrame, sketches: DataFrame, texts: DataFrame) -> Da
     sized = materialise(sized)
     bounded = sized.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ca", "cb")
     possible = materialise(bounded.mapInArrow(lean(_possible), "a long, b long"))
+    texts = _texts(given, materialise(possible.selectExpr("a AS id").union(possible.selectExpr("b AS id")).distinct()))
     read = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"t{s}"))
     whole = possible.join(read("b"), "b").join(read("a"), "a").select("a", "b", "ta", "tb")
     whole = whole.repartition(_tasks(possible.count(), TASK_TEXTS), "a", "b").sortWithinPartitions("a", "b")
     return materialise(whole.mapInArrow(lean(_exact), "a long, b long"))
 
 
-def block_links(columns: DataFrame, label: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def block_links(columns: DataFrame, label: DataFrame, sketches: DataFrame, given: DataFrame) -> DataFrame:
     """Links (a, b) of labels that the blocked product finds among each column's documents of different components."""
     placed = materialise(columns.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")).join(sketches.select("id", "n"), "id"))
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"))
@@ -418,6 +444,7 @@ def block_links(columns: DataFrame, label: DataFrame, sketches: DataFrame, texts
     rows = holding.select(names).union(passing.select(names))
     drawn = rows.join(sketches.select("id", "n", "cells"), "id").repartition("key", "c", "m").sortWithinPartitions(*order)
     near = materialise(drawn.select(*names, "n", "cells").mapInArrow(lean(_near), _BLOCKED))
+    texts = _texts(given, materialise(near.select("id").distinct()))
     exact = near.join(sketches.select("id", "n", "cells"), "id").join(texts, "id").select(*names, "n", "cells", "text")
     return materialise(exact.repartition("key", "c", "m").sortWithinPartitions(*order).mapInArrow(lean(_multiplied), "a long, b long"))
 
@@ -433,21 +460,20 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         once = given.groupBy("id").agg(F.max("text").alias("text"))
         return linked_components(materialise(once), "id", "text")
     sets = sets.drop("times")
-    bits, levels = level_table(scanned.filter("id IS NULL").selectExpr("h1 AS cell", "n AS times"), grams)
-    table = spark.sparkContext.broadcast((bits, levels))
+    repeated = scanned.filter("id IS NULL").selectExpr("h1 AS cell", "n AS times", "h2 AS kind")
+    bits = min(MOST_BITS, max(LEAST_BITS, (grams // 64).bit_length()))
+    tables = spark.sparkContext.broadcast((level_table(repeated.filter("kind = 0"), MOST_BITS, bits), level_table(repeated.filter("kind = 1"), WORD_BITS, WORD_BITS)))
     # Equal sets are one row, that of the smallest id.
     equal = materialise(sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")), size)
     copies = materialise(sets.filter("n > 0").join(equal.filter("times > 1"), ["h1", "h2"]).filter("id != first").select("id", "first"), size)
     alone = given.join(copies.select("id"), "id", "left_anti")
-    sketches = materialise(alone.mapInArrow(lean(_sketcher(table)), "id long, n long, firsts array<long>, cells binary").filter("n > 0"))
+    sketches = materialise(alone.mapInArrow(lean(_sketcher(tables)), "id long, n long, firsts array<long>, cells binary").filter("n > 0"))
     keyed = sketches.select(F.explode("firsts").alias("key"), "id")
     shared = materialise(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"))
     columns = materialise(keyed.join(shared, "key").select("key", "head", "id"))
     sketches = sketches.select("id", "n", "cells")
-    involved = materialise(columns.select("id").distinct())
-    texts = materialise(given.join(involved, "id", "left_semi"))
-    label = components(first_links(columns, sketches, texts))
-    label = merged(label, block_links(columns, label, sketches, texts))
-    table.unpersist()
+    label = components(first_links(columns, sketches, given))
+    label = merged(label, block_links(columns, label, sketches, given))
+    tables.unpersist()
     named = sets.join(copies, "id", "left").withColumn("row", F.coalesce("first", "id"))
     return named.join(label.withColumnRenamed("id", "row"), "row", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "row").alias("component_id"))
