@@ -20,7 +20,7 @@ def normalize(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
     get = lambda name, default: F.coalesce(F.col(name), default) if name in have else default
     importance = F.expr("try_cast(importance AS int)") if "importance" in have else F.lit(None).cast("int")
     return rows.withColumns({
-        "id": get("id", F.format_string("legacy-%04d", F.col(ord_col).cast("int"))),
+        "id": get("id", F.format_string("legacy-%04d", F.col(ord_col).cast("long"))),
         "created": get("created", F.lit("")),
         "source": get("source", F.lit("unknown")),
         "text": get("text", F.lit("")),

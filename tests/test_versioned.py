@@ -7,7 +7,7 @@ import threading
 
 import pytest
 
-from corvana.operators import cleanup
+from corvana.operators import cleanup, memory
 from corvana.sources import lines, state, versioned
 from corvana.streaming import refresh
 
@@ -223,3 +223,15 @@ def test_refresh_knows_its_ids_by_state(spark, tmp_path):
     # A lost checkpoint begins a run of its own; no folder of the one before is touched.
     assert run(checkpoint="other") == ["x", "y", "z"]
     assert len(list((tmp_path / "store").glob("run=*"))) == 2 and refresh.stored(spark, f"file://{tmp_path}/store").count() == 3
+
+
+def test_memories_of_files_in_blocks(spark, tmp_path):
+    """A place beyond a file's first block is no int: rows without an id are named all the same, each by its own place."""
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"text": "t{k}", "importance": "{k}"}}\n' for k in range(1, 3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = memory.load(spark, f"file://{tmp_path}/a.jsonl", None).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.text for r in rows] == [f"t{k}" for k in range(1, 3000)]
+    assert [r.id for r in rows] == [f"legacy-{r.ord:04d}" for r in rows] and len({r.id for r in rows}) == 2999 and rows[-1].ord >= 1 << 31
