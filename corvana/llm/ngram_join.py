@@ -15,7 +15,7 @@ as a whole; what of it can hold a link is bounded three times by the sizes of se
    that their sizes ask for are discarded before their texts travel.
 3. Blocks: what is left is multiplied in blocks bounded in rows and n-grams. A row passes by
    a block's inverted columns and accumulates its overlap with every row of the block; exact
-   overlaps decide.
+   overlaps decide. Columns and blocks of the very same documents go through once.
 
 Of a column's documents the smallest meets all others first. Once components are known,
 only documents outside a column's largest component are held against those of other
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvana.llm.common import lean, materialise, mix64, window_hashes
@@ -51,6 +51,8 @@ LEAST_BITS, MOST_BITS, WORD_BITS = 12, 22, 20
 PER_CELL, MOST_CELLS = 4, 1 << 13
 #: A block: rows that are held with their n-grams, and rows that pass by.
 BLOCK_ROWS, BLOCK_NGRAMS, PASSING_ROWS = 512, 1 << 19, 1024
+#: Rows of blocks that leave a task in one batch.
+SIFTED_ROWS = 1 << 13
 #: Matching n-grams that one numpy pass counts; bytes of text that one pass cuts.
 MATCHES, CUT_BYTES = 1 << 20, 1 << 20
 #: Pairs of a task: by cells, and by texts.
@@ -282,8 +284,10 @@ class _Block:
         whole = pa.Table.from_batches(self.batches).combine_chunks()
         self.batches, self.rows = [], whole.num_rows
         self.id, self.label = whole["id"].to_pylist(), whole["label"].to_pylist()
-        self.n, self.cells = whole["n"].to_numpy(), [_cells(c) for c in whole["cells"].to_pylist()]
-        self.table, self.columns = whole, None
+        self.n, self.table, self.columns = whole["n"].to_numpy(), whole, None
+        if "cells" not in whole.column_names:
+            return
+        self.cells = [_cells(c) for c in whole["cells"].to_pylist()]
         few = min(map(len, self.cells))
         self.coarse = np.array([c.reshape(-1, few).sum(axis=0) for c in self.cells])
 
@@ -334,36 +338,63 @@ def _bounded(block: _Block, n: int, cells: np.ndarray, label: int) -> list[int]:
     return [i for i in np.flatnonzero(fit).tolist() if block.label[i] != label and overlap_bound(block.cells[i], cells) >= need[i]]
 
 
+def _by_size(block: _Block, rows: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """For each row that passes by, the rows of the block in other components whose sizes admit a link."""
+    n, label = (rows[c].to_numpy()[:, None] for c in ("n", "label"))
+    fit = (MIN_SHARE * np.maximum(block.n, n) <= 100 * np.minimum(block.n, n)) & (np.array(block.label) != label)
+    return map(np.flatnonzero, fit)
+
+
+def _by_cells(block: _Block, rows: pa.RecordBatch) -> Iterator[list[int]]:
+    """The same by cells."""
+    return (_bounded(block, n, _cells(cells), label) for n, cells, label in zip(*(rows[c].to_pylist() for c in ("n", "cells", "label")), strict=True))
+
+
 _BLOCKED = "key long, c long, m long, id long, label long, holds boolean"
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the blocks that may link with a row of the other side, by size and cells; their texts are not read."""
+def _sifter(possible: Callable[[_Block, pa.RecordBatch], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [x.split()[0] for x in _BLOCKED.split(", ")]
-    block, hit = _Block(()), set()
 
-    def held() -> Iterator[pa.RecordBatch]:
-        if hit:
-            yield from block.table.select(names).take(pa.array(sorted(hit))).combine_chunks().to_batches()
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        block, hit = _Block(()), set()
 
-    for key, holds, rows in _runs(batches):
-        if key != block.key:
-            yield from held()
-            block, hit = _Block(key), set()
-        if holds:
-            block.batches.append(rows)
-            continue
-        block.settle()
-        if not block.rows:
-            continue
-        keep = []
-        for n, cells, label in zip(*(rows[c].to_pylist() for c in ("n", "cells", "label")), strict=True):
-            some = _bounded(block, n, _cells(cells), label)
-            hit.update(some)
-            keep.append(bool(some))
-        if any(keep):
-            yield rows.select(names).filter(pa.array(keep))
-    yield from held()
+        def held() -> Iterator[pa.Table]:
+            if hit:
+                yield block.table.select(names).take(pa.array(sorted(hit)))
+
+        for key, holds, rows in _runs(batches):
+            if key != block.key:
+                yield from held()
+                block, hit = _Block(key), set()
+            if holds:
+                block.batches.append(rows)
+                continue
+            block.settle()
+            if not block.rows:
+                continue
+            keep = []
+            for some in possible(block, rows):
+                hit.update(map(int, some))
+                keep.append(len(some) > 0)
+            if any(keep):
+                yield pa.Table.from_batches([rows.select(names).filter(pa.array(keep))])
+        yield from held()
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the blocks that may link with a row of the other side; their texts are not read."""
+        ready, size = [], 0
+        for part in blocks(batches):
+            ready.append(part)
+            size += part.num_rows
+            if size >= SIFTED_ROWS:  # blocks are small: many go out in one batch
+                yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                ready, size = [], 0
+        if ready:
+            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+
+    sift.__module__ = __name__
+    return sift
 
 
 def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,13 +458,24 @@ def first_links(columns: DataFrame, sketches: DataFrame, given: DataFrame) -> Da
     return materialise(whole.mapInArrow(lean(_exact), "a long, b long"))
 
 
+def _members(*columns: str) -> list[Column]:
+    """Aggregates x and y: the same for groups of the same members, 128 bits of their hashes."""
+    return [F.bit_xor(F.xxhash64(F.lit(k), *columns)).alias(name) for k, name in enumerate("xy")]
+
+
+def distinct_blocks(rows: DataFrame) -> DataFrame:
+    """Of blocks of the very same rows one: near copies meet again and again, in column after column."""
+    whole = rows.groupBy("key", "c", "m").agg(*_members("id", "holds"), F.count(F.lit(1)).alias("r"))
+    return rows.join(materialise(whole.dropDuplicates(["x", "y", "r"]).select("key", "c", "m")), ["key", "c", "m"], "left_semi")
+
+
 def block_links(columns: DataFrame, label: DataFrame, sketches: DataFrame, given: DataFrame) -> DataFrame:
     """Links (a, b) of labels that the blocked product finds among each column's documents of different components."""
     placed = materialise(columns.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")).join(sketches.select("id", "n"), "id"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("r", "label", "n")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("r").alias("all"), F.sum("n").alias("every"))
-    # In a column of two its first document has met the other.
-    main = materialise(main.filter("parts > 1 AND all > 2").selectExpr("key", "m.label AS main", "all - m.r AS out", "every - m.n AS out_n", "all"))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"), *_members("id"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("r", "label", "n")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("r").alias("all"), F.sum("n").alias("every"), *(F.bit_xor(c).alias(c) for c in "xy"))
+    # In a column of two its first document has met the other. Of columns of the very same documents one is enough.
+    main = materialise(main.filter("parts > 1 AND all > 2").dropDuplicates(["x", "y", "all"]).selectExpr("key", "m.label AS main", "all - m.r AS out", "every - m.n AS out_n", "all"))
     mixed = placed.join(main, "key").withColumn("outside", F.col("label") != F.col("main"))
     hashed, ms = F.xxhash64("id"), F.ceil(F.col("all") / PASSING_ROWS)
     cs = F.greatest(F.ceil(F.col("out") / BLOCK_ROWS), F.ceil(F.col("out_n") / BLOCK_NGRAMS), F.lit(1).cast("long"))
@@ -441,12 +483,16 @@ def block_links(columns: DataFrame, label: DataFrame, sketches: DataFrame, given
     holding = mixed.filter("outside").withColumn("c", F.pmod(hashed, cs)).withColumn("m", upto(ms)).withColumn("holds", F.lit(True))
     passing = mixed.withColumn("m", F.pmod(hashed, ms)).withColumn("c", upto(cs)).withColumn("holds", F.lit(False))
     names, order = ["key", "c", "m", "id", "label", "holds"], ["key", "c", "m", F.desc("holds")]
-    rows = holding.select(names).union(passing.select(names))
-    drawn = rows.join(sketches.select("id", "n", "cells"), "id").repartition("key", "c", "m").sortWithinPartitions(*order)
-    near = materialise(drawn.select(*names, "n", "cells").mapInArrow(lean(_near), _BLOCKED))
+    rows = holding.select(*names, "n").union(passing.select(*names, "n"))
+    # Sizes alone first: short rows. What they leave is drawn with its cells, what these leave with its text.
+    dealt = lambda r: r.repartition("key", "c", "m").sortWithinPartitions(*order)
+    sized = materialise(dealt(rows).mapInArrow(lean(_sifter(_by_size)), _BLOCKED))
+    drawn = distinct_blocks(sized).join(sketches.select("id", "n", "cells"), "id").select(*names, "n", "cells")
+    near = materialise(dealt(drawn).mapInArrow(lean(_sifter(_by_cells)), _BLOCKED))
+    near = materialise(distinct_blocks(near))
     texts = _texts(given, materialise(near.select("id").distinct()))
     exact = near.join(sketches.select("id", "n", "cells"), "id").join(texts, "id").select(*names, "n", "cells", "text")
-    return materialise(exact.repartition("key", "c", "m").sortWithinPartitions(*order).mapInArrow(lean(_multiplied), "a long, b long"))
+    return materialise(dealt(exact).mapInArrow(lean(_multiplied), "a long, b long"))
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -469,11 +515,11 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone = given.join(copies.select("id"), "id", "left_anti")
     sketches = materialise(alone.mapInArrow(lean(_sketcher(tables)), "id long, n long, firsts array<long>, cells binary").filter("n > 0"))
     keyed = sketches.select(F.explode("firsts").alias("key"), "id")
-    shared = materialise(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"))
-    columns = materialise(keyed.join(shared, "key").select("key", "head", "id"))
+    shared = materialise(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    columns = materialise(keyed.join(shared, "key").select("key", "head", "id", "times"))
     sketches = sketches.select("id", "n", "cells")
     label = components(first_links(columns, sketches, given))
-    label = merged(label, block_links(columns, label, sketches, given))
+    label = merged(label, block_links(columns.filter("times > 2"), label, sketches, given))
     tables.unpersist()
     named = sets.join(copies, "id", "left").withColumn("row", F.coalesce("first", "id"))
     return named.join(label.withColumnRenamed("id", "row"), "row", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "row").alias("component_id"))

@@ -99,6 +99,25 @@ def test_small_blocks_and_chains(spark, monkeypatch):
     assert mine(spark, rows) == want and len({c for _, c in want.values()}) == 1
 
 
+def test_columns_of_the_same_documents_go_once(spark, monkeypatch):
+    """Documents that meet in many columns are held against each other once."""
+    rng, rows, drawn = random.Random(9), [], []
+    for k in range(5):  # one that shares a passage with two that link, and just misses both
+        passage = text(rng, 355, "abcdefghijklmnopqrst")
+        rows += [(3 * k + j, " ".join(passage + text(rng, own, "abcdefghijklmnopqrst"))) for j, own in enumerate((48, 18, 18))]
+
+    def spied(df, *rest, written=N.materialise):
+        out = written(df, *rest)
+        if "holds" in out.columns:
+            drawn.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialise", spied)
+    want = brute(rows)
+    assert mine(spark, rows) == want and len({c for _, c in want.values()}) == 10
+    assert 0 < drawn[-1] <= len(rows)
+
+
 def test_bounds():
     """No pair that links is discarded by its columns, size or cells."""
     rng = np.random.default_rng(3)
